@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from loomspan.llm.decontaminate import OP5_SQL, op5_decontamination
 from loomspan.llm.line_dedup import OP4_SQL, op4_line_dedup
+from loomspan.llm.near_dedup import op3_near_dedup
 from loomspan.llm.packing import op8_packing
 from loomspan.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op3_near_dedup": op3_near_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontamination": op5_decontamination,
     "op8_packing": op8_packing,
