@@ -6,9 +6,11 @@ from loomspan.llm.decontaminate import OP5_SQL, op5_decontamination
 from loomspan.llm.line_dedup import OP4_SQL, op4_line_dedup
 from loomspan.llm.near_dedup import op3_near_dedup
 from loomspan.llm.packing import op8_packing
+from loomspan.llm.quality_rules import op2_quality_rules, op2_sql
 from loomspan.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op3_near_dedup": op3_near_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontamination": op5_decontamination,
@@ -17,6 +19,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op2_quality_rules": op2_sql(),
     "op4_line_dedup": OP4_SQL,
     "op5_decontamination": OP5_SQL,
 }
