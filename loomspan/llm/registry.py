@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from loomspan.llm.decontaminate import OP5_SQL, op5_decontamination
+from loomspan.llm.language_id import op6_language_id
 from loomspan.llm.line_dedup import OP4_SQL, op4_line_dedup
 from loomspan.llm.near_dedup import op3_near_dedup
 from loomspan.llm.packing import op8_packing
+from loomspan.llm.quality_classifier import op9_quality_classifier
 from loomspan.llm.quality_rules import op2_quality_rules, op2_sql
 from loomspan.llm.toxicity import op10_toxicity
 
@@ -14,7 +16,9 @@ QUERIES = {
     "op3_near_dedup": op3_near_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontamination": op5_decontamination,
+    "op6_language_id": op6_language_id,
     "op8_packing": op8_packing,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_toxicity": op10_toxicity,
 }
 
