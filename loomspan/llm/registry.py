@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from loomspan.llm.decontaminate import OP5_SQL, op5_decontamination
+from loomspan.llm.html_text import op1_html_extraction
 from loomspan.llm.language_id import op6_language_id
 from loomspan.llm.line_dedup import OP4_SQL, op4_line_dedup
 from loomspan.llm.near_dedup import op3_near_dedup
@@ -12,6 +13,7 @@ from loomspan.llm.quality_rules import op2_quality_rules, op2_sql
 from loomspan.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_quality_rules": op2_quality_rules,
     "op3_near_dedup": op3_near_dedup,
     "op4_line_dedup": op4_line_dedup,
