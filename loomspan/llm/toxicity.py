@@ -26,7 +26,7 @@ from loomspan.llm.common import fold, hash_order, small_batches
 #: Bits of the feature hash.
 BITS = 20
 #: Most positive and unlabelled documents that a model is fitted on.
-MAX_POSITIVE, MAX_UNLABELLED = 6000, 12000
+MAX_POSITIVE, MAX_UNLABELLED = 4000, 8000
 #: Most features that keep a weight.
 MAX_FEATURES = 20000
 #: Positive documents that a feature must occur in before it may get a weight.
@@ -150,9 +150,9 @@ def fit_pu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
 def _features(frame: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_distinct(t).tolist() for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))], names=["id", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_distinct(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "features"])
 
-    return frame.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id string, features array<int>")
+    return frame.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id string, features binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: tuple[int, int] | None = (3, 1), prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> PUModel:
@@ -177,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = _features(docs.select(id_col, text_col).join(F.broadcast(wanted), id_col, "left_semi"), id_col, text_col).collect()
     by = {}
     for r in rows:
-        by.setdefault(r["id"], np.array(r["features"] or [], dtype=np.int32))
+        by.setdefault(r["id"], np.frombuffer(r["features"], dtype=np.int32))
     pick = lambda k: [by[str(i)] for i in sorted(ids[k]) if str(i) in by]
     return fit_pu(pick("p"), pick("u"), prior)
 
