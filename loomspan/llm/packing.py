@@ -24,8 +24,8 @@ from loomspan.plans.shared import materialize
 CAPACITY, END_ID = 4096, 1
 #: Pieces packed by one task: bounds its time and memory, whatever the size of the corpus.
 BLOCK = 250_000
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers in each of two generations: some 100 MB each.
+REMEMBERED = 500_000
 #: ASCII punctuation that the tokenizer splits from a letter before it. The apostrophe isn't among it: it starts contractions.
 _TAIL = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 
@@ -42,7 +42,8 @@ class WordTokenizer:
 
         self.inner = Tokenizer.from_file(path)
         self.safe = self._splits_at_space()
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}  # the newer of two generations: what is used stays
+        self.older: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -55,17 +56,20 @@ class WordTokenizer:
         return self._encode(probe) == b"".join(self._encode(x) for x in probe.split())
 
     def _encode(self, text: str) -> bytes:
-        return np.asarray(self.inner.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.array(self.inner.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, chunk: bytes) -> bytes:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        """Ids of a chunk that isn't in the newer generation. A word with punctuation after it is put together each time:
+        cheaper than to remember every pair of them."""
         body = chunk.rstrip(_TAIL)
         if body and len(body) < len(chunk) and (body[-1] in b"abcdefghijklmnopqrstuvwxyz") and b"<" not in chunk:
             tail = chunk[len(body) :]
-            out = (self.known.get(body) or self._learn(body)) + (self.known.get(tail) or self._learn(tail))
-        else:
+            return (self.known.get(body) or self._learn(body)) + (self.known.get(tail) or self._learn(tail))
+        out = self.older.get(chunk)
+        if out is None:
             out = self._encode(chunk.decode("utf-8", "replace"))
+        if len(self.known) >= REMEMBERED:
+            self.known, self.older = {}, self.known
         self.known[chunk] = out
         return out
 
@@ -76,10 +80,11 @@ class WordTokenizer:
         raw = text.encode("utf-8", "replace")
         if b"<|" not in raw:  # the special tokens' strings are case-sensitive
             raw = raw.lower()
-        get, learn = self.known.get, self._learn
         chunks = raw.split()
-        found = [get(x) for x in chunks]
-        return b"".join([y if y is not None else get(x) or learn(x) for x, y in zip(chunks, found, strict=True)])
+        found = list(map(self.known.get, chunks))
+        if None in found:
+            found = [self._learn(x) if y is None else y for x, y in zip(chunks, found, strict=True)]
+        return b"".join(found)
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
