@@ -48,9 +48,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines
     split = _lines(F.col(text_col))
     joined = docs.withColumn("__n", F.coalesce(F.size(F.when(F.col(text_col).isNotNull(), split)), F.lit(0))).join(gone, F.col(id_col) == F.col("__id"), "left")
     kept = F.array_except(F.sequence(F.lit(0), F.col("__n") - 1), F.col("gone"))
-    lines_col = F.col("__lines")
     joined = joined.withColumn("__lines", F.when(F.col("gone").isNotNull(), split))
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines_col, i)), "\n"))
+    lines_col = F.col("__lines")
+    # ``__lines`` is named twice, which keeps the optimizer from splitting the text anew for every line.
+    text = F.when(F.col("gone").isNull(), F.col(text_col)).when(F.size(lines_col) == F.size("gone"), F.lit("")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines_col, i)), "\n"))
     others = [c for c in docs.columns if c != text_col]
     return joined.select(*others, text.alias(text_col), F.greatest(F.col("__n"), F.lit(0)).cast("long").alias("lines_total"), F.coalesce(F.size(F.when(F.col("gone").isNotNull(), F.col("gone"))), F.lit(0)).cast("long").alias("lines_removed")).select(*docs.columns, "lines_total", "lines_removed")
 
