@@ -3,9 +3,12 @@
 Each distinct shingle set gets ``TREES`` sequences of ``DEPTH`` min-hashes. A tree is the global sorted order of its
 sequences, range-partitioned, so neighbours have the longest common prefixes; candidates are neighbours that agree on
 at least the first ``depth_for`` values. The depth adapts by region: in a dense region of the order the neighbours
-agree on more values, elsewhere on fewer. A pass looks at neighbours up to some distance. After each pass the
-candidates are confirmed on full shingle sets and united to components; only regions that still hold several
-components and are wider than the distance go into the next, wider pass, until there is none. So no candidate is capped away.
+agree on more values, elsewhere on fewer. Candidates are confirmed on full shingle sets and united to components.
+
+Regions (equal first values in a tree) that still hold several components after that get two more steps, so that no
+candidate is capped away. First, members are compared with their region's hub, the one with most confirmed links: a
+pair a member. Then, what lies outside a region's largest component is the query set, compared with the whole region in
+blocks; signatures and full sets are compared within the block, and only links leave it.
 
 Sets that are equal (128 bits of hash of the whole set) are one node from the start, whatever the number of copies.
 """
@@ -28,8 +31,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 TREES, DEPTH = 16, 8
 #: Chance that a pair at the similarity shares the depth in no tree.
 MISS = 1e-5
-#: Distances in the order that the passes reach.
-REACH = (1, 8, 64, 512, 4096, 32768)
+#: Distance in a tree's order up to which neighbours are candidates at first; rows of a block in the last step.
+REACH, BLOCK = 2, 256
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, TREES * DEPTH, dtype=np.uint64)
@@ -92,53 +95,39 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
 
 
 def _ordered(rows: DataFrame, partitions: int) -> DataFrame:
-    """The trees' orders: (tree, path, id, c) sorted over range partitions. The id is part of the order, so a
+    """The trees' orders: (tree, path, id) sorted over range partitions. The id is part of the order, so a
     region of any size is spread over partitions. A pair is lost only where a border falls between its members in
     every tree that has it."""
-    spread = rows.select("id", "c", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    spread = rows.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     # substring() of a column: the start depends on the tree
-    paths = spread.select("tree", F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("path"), "id", "c")
+    paths = spread.select("tree", F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("path"), "id")
     return paths.repartitionByRange(partitions, "tree", "path", "id").sortWithinPartitions("tree", "path", "id")
 
 
-def _neighbours(order: DataFrame, kind: str, depth: int, near: int, far: int) -> DataFrame:
-    """(a, b, lcp), a < b, of rows ``near`` < distance <= ``far`` apart in one tree that share ``depth`` values and not the component."""
+def _neighbours(order: DataFrame, kind: str, depth: int, far: int) -> DataFrame:
+    """(a, b, lcp), a < b, of rows up to ``far`` apart in one tree that share ``depth`` values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = path = ids = comp = None
+        tree = path = ids = None
         for batch in batches:
             t = batch.column(0).to_numpy(zero_copy_only=False)
             p = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=">u4").reshape(-1, DEPTH).astype(np.uint32)
             i = batch.column(2).to_numpy(zero_copy_only=False)
-            c = batch.column(3).to_numpy(zero_copy_only=False)
             fresh = len(t)
             if tree is not None:
-                t, p, i, c = np.concatenate((tree, t)), np.concatenate((path, p)), np.concatenate((ids, i)), np.concatenate((comp, c))
-            base = len(t) - fresh
-            for w in range(near + 1, min(far, len(t) - 1) + 1):
-                lo = max(base, w)  # second members are the fresh rows
-                if lo >= len(t):
-                    break
-                second = np.arange(lo, len(t))
+                t, p, i = np.concatenate((tree, t)), np.concatenate((path, p)), np.concatenate((ids, i))
+            for w in range(1, min(far, len(t) - 1) + 1):
+                second = np.arange(max(len(t) - fresh, w), len(t))  # pairs of carried rows are done
                 first = second - w
-                good = (t[first] == t[second]) & (p[first, 0] == p[second, 0])
-                first, second = first[good], second[good]
-                if not len(first):
-                    break  # wider pairs share no more
                 same = p[first] == p[second]
-                good = same[:, :depth].all(axis=1)
-                if not good.any():
-                    break
-                good &= c[first] != c[second]
-                first, second, same = first[good], second[good], same[good]
-                x, y = i[first], i[second]
-                swap = x > y
-                a, b = np.where(swap, y, x), np.where(swap, x, y)
-                differ = a != b
-                lcp = np.cumprod(same, axis=1).sum(axis=1)
-                if differ.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(a[differ], batch.schema.field(2).type), pa.array(b[differ], batch.schema.field(2).type), pa.array(lcp[differ].astype(np.int32), pa.int32())], names=["a", "b", "lcp"])
-            tree, path, ids, comp = t[-far:], p[-far:], i[-far:], c[-far:]
+                good = (t[first] == t[second]) & same[:, :depth].all(axis=1) & (i[first] != i[second])
+                if good.any():
+                    x, y = i[first[good]], i[second[good]]
+                    swap = x > y
+                    lcp = np.cumprod(same[good], axis=1).sum(axis=1).astype(np.int32)
+                    of = batch.schema.field(2).type
+                    yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, y, x), of), pa.array(np.where(swap, x, y), of), pa.array(lcp, pa.int32())], names=["a", "b", "lcp"])
+            tree, path, ids = t[-far:], p[-far:], i[-far:]
 
     return order.mapInArrow(run, f"a {kind}, b {kind}, lcp int")
 
@@ -205,39 +194,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     m = TREES * DEPTH
     least = int(m * similarity - 6 * (m * similarity * (1 - similarity)) ** 0.5)
 
-    edges = sets = roots = None
-    rows = reps.withColumn("c", F.col("id"))
-    for step, far in enumerate(REACH):
-        near = REACH[step - 1] if step else 0
-        found = _neighbours(_ordered(rows, partitions), kind, depth, near, far).groupBy("a", "b").agg(F.sum("lcp").alias("weight"))
-        found = materialize(found, "candidates")
-        if sets is None:
-            if found.isEmpty():
-                break
-            members = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
-            members = materialize(members, "members")
-            sets = materialize(_sets(docs, members, id_col, text_col, shingle), "sets")
-            # One likely edge for each node first: most other candidates then lie within a component.
-            best = found.groupBy("b").agg(F.max_by("a", F.struct("weight", "a")).alias("a")).select("a", "b")
-            edges = materialize(_confirmed(best, sets, similarity), "links")
-            roots = materialize(components(edges), "roots")
-        across = _across(found, roots, least, reps)
-        fresh = materialize(_confirmed(across, sets, similarity), "links")
-        if not fresh.isEmpty():
-            edges = materialize(edges.unionByName(fresh), "links")
-            roots = materialize(components(edges), "roots")
-        release(found)
-        # What is left: regions of several components that are wider than this pass could see.
-        at = members.join(reps, "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "sig", F.coalesce("root", "id").alias("c"))
-        at = materialize(at, "members")
-        tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-        spread = at.select("id", "c", "sig", tree.alias("tree")).select("id", "c", "tree", F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * depth})").alias("region"))
-        wide = spread.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("c0"), F.max("c").alias("c1")).where(f"k > {far + 1} and c0 <> c1")
-        wide = materialize(wide.select("tree", "region"), "regions")
-        if wide.isEmpty():
-            break
-        rows = at.join(spread.join(wide, ["tree", "region"], "left_semi").select("id").distinct(), "id", "left_semi")
-
+    found = _neighbours(_ordered(reps, partitions), kind, depth, REACH).groupBy("a", "b").agg(F.sum("lcp").alias("weight"))
+    found = materialize(found, "candidates")
+    roots = None if found.isEmpty() else _roots(found, docs, reps, id_col, text_col, shingle, similarity, depth, least)
     if roots is None:
         by_key = nodes.select("key", F.col("rep").alias("component_id"))
     else:
@@ -247,6 +206,105 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     return linked.unionByName(alone)
 
 
+def _roots(found: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, depth: int, least: int) -> DataFrame:
+    """(node, root) of the components over all links that share a region, from the candidates ``found``."""
+    members = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
+    members = materialize(members.join(reps, "id"), "members")
+    sets = materialize(_sets(docs, members.select("id"), id_col, text_col, shingle), "sets")
+    # One likely edge for each node first: most other candidates then lie within a component.
+    best = found.groupBy("b").agg(F.max_by("a", F.struct("weight", "a")).alias("a")).select("a", "b")
+    edges = materialize(_confirmed(best, sets, similarity), "links")
+    roots = materialize(components(edges), "roots")
+
+    def add(fresh: DataFrame) -> None:
+        nonlocal edges, roots
+        fresh = materialize(fresh, "links")
+        if not fresh.isEmpty():
+            edges = materialize(edges.unionByName(fresh), "links")
+            roots = materialize(components(edges), "roots")
+
+    add(_confirmed(_across(found, roots, least, reps), sets, similarity))
+    release(found)
+    regions = _open_regions(members, roots, depth)
+    if regions.isEmpty():
+        return roots
+    degree = edges.select(F.col("u").alias("id")).unionByName(edges.select(F.col("v").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    hubs = regions.join(degree, "id", "left").groupBy("tree", "region").agg(F.max_by("id", F.struct(F.coalesce("degree", F.lit(0)), "id")).alias("hub"), F.max_by("c", F.struct(F.coalesce("degree", F.lit(0)), "id")).alias("hub_c"))
+    spokes = regions.join(hubs, ["tree", "region"]).where("c <> hub_c").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    add(_confirmed(_across(spokes, roots, least, reps), sets, similarity))
+    regions = _open_regions(members, roots, depth)
+    if not regions.isEmpty():
+        add(_block_links(regions, members, sets, similarity, least, depth))
+    return roots
+
+
+def _open_regions(members: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """(tree, region, id, c, k) of the regions with several components and more members than the neighbours' distance covers."""
+    at = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "sig", F.coalesce("root", "id").alias("c"))
+    spread = at.select("id", "c", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    spread = spread.select("tree", F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * depth})").alias("region"), "id", "c")
+    wide = spread.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("c0"), F.max("c").alias("c1")).where(f"k > {REACH + 1} and c0 <> c1").select("tree", "region", "k")
+    return materialize(spread.join(wide, ["tree", "region"]), "regions")
+
+
+def _block_links(regions: DataFrame, members: DataFrame, sets: DataFrame, similarity: float, least: int, depth: int) -> DataFrame:
+    """Links (u, v) between the query set of each region, what lies outside its largest component, and the whole region."""
+    per = regions.groupBy("tree", "region", "c").agg(F.count(F.lit(1)).alias("of_c"))
+    main = per.groupBy("tree", "region").agg(F.max_by("c", F.struct("of_c", "c")).alias("main"), F.sum("of_c").alias("all"), F.max("of_c").alias("most"))
+    main = main.select("tree", "region", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("nq"), F.ceil(F.col("all") / BLOCK).cast("int").alias("nm"))
+    rows = regions.drop("k").join(main, ["tree", "region"])
+    turn = F.xxhash64("id")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    whole = rows.select("tree", "region", "id", "c", F.lit(False).alias("asks"), F.pmod(turn, "nm").cast("int").alias("mb"), each("nq").alias("qb"))
+    query = rows.where("c <> main").select("tree", "region", "id", "c", F.lit(True).alias("asks"), F.pmod(turn, "nq").cast("int").alias("qb"), each("nm").alias("mb"))
+    block = whole.unionByName(query).join(members, "id").join(sets, "id").select("tree", "region", "mb", "qb", "id", "c", "asks", "sig", "hashes")
+    per_mille = round(1000 * similarity)
+    kind = regions.schema["id"].dataType.simpleString()
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        tree = part["tree"][0].as_py()
+        ids, comp, asks = (part[k].to_numpy() for k in ("id", "c", "asks"))
+        sig = np.frombuffer(b"".join(part["sig"].to_pylist()), dtype=np.uint32).reshape(-1, TREES, DEPTH)
+        own = [np.frombuffer(x, np.uint64) for x in part["hashes"].to_pylist()]
+        size = np.array([len(x) for x in own])
+        flat = sig.reshape(len(sig), -1)
+        base = np.flatnonzero(~asks)
+        group = {c: c for c in set(comp.tolist())}
+
+        def top(c):
+            while group[c] != c:
+                group[c] = c = group[group[c]]
+            return c
+
+        u, v = [], []
+        for q in np.flatnonzero(asks).tolist():
+            other = base[(comp[base] != comp[q]) & (ids[base] != ids[q])]
+            if not len(other):
+                continue
+            # the sizes and signatures must allow it, and the first tree that has both in one region does the work
+            fits = 1000 * np.minimum(size[other], size[q]) >= per_mille * np.maximum(size[other], size[q])
+            other = other[fits]
+            agree = (flat[other] == flat[q]).sum(axis=1)
+            first = ~(sig[other, :tree, :depth] == sig[q, :tree, :depth]).all(axis=2).any(axis=1)
+            good = first & (agree >= least)
+            other, agree = other[good], agree[good]
+            for m in other[np.argsort(-agree, kind="stable")].tolist():
+                if top(comp[q].item()) == top(comp[m].item()):
+                    continue
+                total = np.concatenate((own[q], own[m]))
+                total.sort(kind="stable")
+                shared = int((total[1:] == total[:-1]).sum())
+                if 1000 * shared >= per_mille * (len(total) - shared):
+                    u.append(ids[q])
+                    v.append(ids[m])
+                    group[top(comp[q].item())] = top(comp[m].item())
+        of = part.schema.field("id").type
+        return pa.table({"u": pa.array(u, of), "v": pa.array(v, of)})
+
+    return block.groupBy("tree", "region", "mb", "qb").applyInArrow(run, f"u {kind}, v {kind}")
+
+
 def _across(found: DataFrame, roots: DataFrame, least: int, reps: DataFrame) -> DataFrame:
     """Candidates between components, as far as signatures allow the similarity."""
     a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
