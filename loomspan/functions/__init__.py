@@ -1 +1 @@
-
+"""Column functions: text, regular-expression spans, vectors."""

@@ -1 +1 @@
-
+"""Readers and writers: source trees, question and answer files, stored entities."""

@@ -1 +1 @@
-
+"""Question feeds as streams."""
