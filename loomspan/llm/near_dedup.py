@@ -31,8 +31,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 TREES, DEPTH = 16, 8
 #: Chance that a pair at the similarity shares the depth in no tree.
 MISS = 1e-5
-#: Distance in a tree's order up to which neighbours are candidates at first; rows of a block in the last step.
-REACH, BLOCK = 2, 256
+#: Distance in a tree's order up to which neighbours are candidates at first.
+REACH = 2
+#: Most rows, and most shingles of all its rows, in one side of a block of the last step: bounds a task's time and memory.
+BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1_000_000
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, TREES * DEPTH, dtype=np.uint64)
@@ -187,7 +189,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     kind = own.schema["id"].dataType.simpleString()
     full = own.where("n > 0 and id is not null")
     nodes = materialize(full.groupBy("key").agg(F.min("id").alias("rep")), "nodes")
-    reps = own.select("id", "sig").join(nodes.select(F.col("rep").alias("id")), "id", "left_semi").where("sig is not null")
+    reps = own.select("id", "n", "sig").join(nodes.select(F.col("rep").alias("id")), "id", "left_semi").where("sig is not null")
     reps = materialize(reps.dropDuplicates(["id"]), "reps")
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Signature agreement of a pair at the similarity is binomial; six standard deviations below it nothing is lost.
@@ -239,25 +241,27 @@ def _roots(found: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text
 
 
 def _open_regions(members: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """(tree, region, id, c, k) of the regions with several components and more members than the neighbours' distance covers."""
-    at = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "sig", F.coalesce("root", "id").alias("c"))
-    spread = at.select("id", "c", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    spread = spread.select("tree", F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * depth})").alias("region"), "id", "c")
+    """(tree, region, id, n, c, k) of the regions with several components and more members than the neighbours' distance covers."""
+    at = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "sig", F.coalesce("root", "id").alias("c"))
+    spread = at.select("id", "n", "c", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    spread = spread.select("tree", F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * depth})").alias("region"), "id", "n", "c")
     wide = spread.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("c0"), F.max("c").alias("c1")).where(f"k > {REACH + 1} and c0 <> c1").select("tree", "region", "k")
     return materialize(spread.join(wide, ["tree", "region"]), "regions")
 
 
 def _block_links(regions: DataFrame, members: DataFrame, sets: DataFrame, similarity: float, least: int, depth: int) -> DataFrame:
     """Links (u, v) between the query set of each region, what lies outside its largest component, and the whole region."""
-    per = regions.groupBy("tree", "region", "c").agg(F.count(F.lit(1)).alias("of_c"))
-    main = per.groupBy("tree", "region").agg(F.max_by("c", F.struct("of_c", "c")).alias("main"), F.sum("of_c").alias("all"), F.max("of_c").alias("most"))
-    main = main.select("tree", "region", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("nq"), F.ceil(F.col("all") / BLOCK).cast("int").alias("nm"))
-    rows = regions.drop("k").join(main, ["tree", "region"])
+    per = regions.groupBy("tree", "region", "c").agg(F.count(F.lit(1)).alias("of_c"), F.sum("n").alias("n_c"))
+    main = per.groupBy("tree", "region").agg(F.max(F.struct("of_c", "c", "n_c")).alias("m"), F.sum("of_c").alias("rows"), F.sum("n_c").alias("n"))
+    blocks = lambda rows, n: F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(n / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    main = main.select("tree", "region", F.col("m.c").alias("main"), blocks(F.col("rows") - F.col("m.of_c"), F.col("n") - F.col("m.n_c")).alias("nq"), blocks(F.col("rows"), F.col("n")).alias("nm"))
+    rows = regions.drop("k", "n").join(main, ["tree", "region"])
     turn = F.xxhash64("id")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     whole = rows.select("tree", "region", "id", "c", F.lit(False).alias("asks"), F.pmod(turn, "nm").cast("int").alias("mb"), each("nq").alias("qb"))
     query = rows.where("c <> main").select("tree", "region", "id", "c", F.lit(True).alias("asks"), F.pmod(turn, "nq").cast("int").alias("qb"), each("nm").alias("mb"))
-    block = whole.unionByName(query).join(members, "id").join(sets, "id").select("tree", "region", "mb", "qb", "id", "c", "asks", "sig", "hashes")
+    # signature and set in one row, so that a block's rows are joined once
+    block = whole.unionByName(query).join(members.drop("n").join(sets, "id"), "id").select("tree", "region", "mb", "qb", "id", "c", "asks", "sig", "hashes")
     per_mille = round(1000 * similarity)
     kind = regions.schema["id"].dataType.simpleString()
 
