@@ -10,6 +10,7 @@ from loomspan.llm.near_dedup import op3_near_dedup
 from loomspan.llm.packing import op8_packing
 from loomspan.llm.quality_classifier import op9_quality_classifier
 from loomspan.llm.quality_rules import op2_quality_rules, op2_sql
+from loomspan.llm.suffix_dedup import op7_suffix_dedup
 from loomspan.llm.toxicity import op10_toxicity
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_language_id": op6_language_id,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_packing": op8_packing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_toxicity": op10_toxicity,
