@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -185,15 +186,13 @@ def _table(rows: list[dict]) -> pa.Table:
 
 
 def _columns(part: pa.Table, kind: str, kinds: dict[str, str]) -> list[np.ndarray]:
-    rows = part.filter(pa.compute.equal(part["kind"], kind))
+    rows = part.filter(pc.equal(part["kind"], kind))
     return [np.frombuffer(b"".join(rows[n].to_pylist()), np.dtype(t)) for n, t in kinds.items()]
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame, int]:
     """(spans, numbered, groups): packed starts to remove by group of documents, and the documents with their group.
     Ids are whole numbers and distinct; a null id takes part as the largest."""
-    import pyarrow.compute  # noqa: F401
-
     spark = docs.sparkSession
     small_batches(spark, 2000)
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
