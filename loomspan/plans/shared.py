@@ -43,3 +43,11 @@ def release(*frames: DataFrame) -> None:
         if path:
             p, fs = _hadoop_path(df.sparkSession, path)
             fs.delete(p, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished plans now, not when the driver next happens to run short of memory."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
