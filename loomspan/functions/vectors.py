@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def doubles(v: Column) -> Column:
@@ -24,12 +28,28 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
     return F.when((F.size(a) > 0) & (F.size(a) == F.size(b)) & (na > 0) & (nb > 0), dot(a, b) / (na * nb)).otherwise(F.lit(0.0))
 
 
-def hashed_words(text: Column, size: int = 64) -> Column:
-    """Deterministic stand-in for an embedding service: counts of words by the first four hex digits of their MD5, of length one."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), " "), lambda w: w != "")
-    buckets = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int"), F.lit(size)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(buckets, lambda b: b == k)).cast("double"))
-    return counts
+def hashed_words(text: Column, size: int = 64, length_one: bool = False) -> Column:
+    """Deterministic stand-in for an embedding service: counts of words by the first four hex digits of their MD5,
+    scaled to length one if asked (a zero vector stays zero). An Arrow UDF:
+    as built-in expressions each of the counts would hash all words again."""
+
+    def counts(texts: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
+
+        def one(t: str | None) -> list[float]:
+            out = [0.0] * size
+            for w in (t or "").split(" "):
+                if w:
+                    k = known.get(w)
+                    if k is None:
+                        k = known[w] = int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % size
+                    out[k] += 1.0
+            n = sum(x * x for x in out) ** 0.5 if length_one else 0.0
+            return [x / n for x in out] if n else out
+
+        return texts.map(one)
+
+    return F.pandas_udf(counts, ArrayType(DoubleType()))(F.lower(text))
 
 
 def unit(v: Column) -> Column:

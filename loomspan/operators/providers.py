@@ -21,7 +21,7 @@ COMPOSE_PROMPT = 'Answer in English, from the sources alone. If they do not say,
 
 
 def offline_vector(text: Column, size: int = 64) -> Column:
-    return V.unit(V.hashed_words(text, size))
+    return V.hashed_words(text, size, length_one=True)
 
 
 def embed(rows: DataFrame, text_col: str, service: Callable[[list[str]], list[list[float]]] | None = None, size: int = 64, too_large: Callable[[Exception], bool] = lambda e: "large" in str(e).lower(), sleep: Callable[[float], None] = time.sleep) -> DataFrame:

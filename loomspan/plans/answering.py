@@ -7,19 +7,22 @@ from pyspark.sql import functions as F
 
 from loomspan.operators import answers as A
 from loomspan.operators import providers, qa_cache, retrieval
+from loomspan.plans.shared import materialize
 
 
 def answer(questions: DataFrame, chunks: DataFrame, sections: DataFrame, entries: DataFrame | None = None, compose=providers.extractive_answer, fallback: Column | None = None, limits: retrieval.Limits = retrieval.Limits()) -> DataFrame:
     """(question_id, slot, answer, deferred, how) for every row of ``questions`` (question_id, doc_id, slot, question). Cached answers
     come first; of the others, those whose plan names no known section are answered from the whole article."""
-    asked = providers.embed(questions, "question")
-    embedded = providers.embed(chunks, "text")
+    # Vectors are used by several passes: computed once.
+    asked = materialize(providers.embed(questions, "question"), "asked")
+    embedded = materialize(providers.embed(chunks, "text"), "embedded")
     cached = None
     if entries is not None:
         found = qa_cache.lookup(asked, entries).where("how <> 'miss'")
         cached = found.join(entries.select("entry_id", "answer"), "entry_id").join(questions.select("question_id", "slot"), "question_id").select("question_id", "slot", "answer", F.lit(False).alias("deferred"), "how")
         asked = asked.join(found, "question_id", "left_anti")
     plans = retrieval.validate_scope(providers.rule_plan(asked, sections), embedded)
+    plans = materialize(plans, "plans")
     rows = retrieval.retrieve(embedded, plans.select("question_id", "embedding", "scope", "is_figure", "target_label"), limits)
     sources = A.format_sources(rows)
     composed = asked.select("question_id", "slot", "question").join(sources, "question_id", "left").select("question_id", compose(F.col("question"), F.coalesce("sources", F.lit(""))).alias("answer"))

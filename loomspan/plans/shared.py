@@ -28,7 +28,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     executor costs nothing that was finished. The files go when the driver's JVM ends, or by ``release``."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/loomspan/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     p, fs = _hadoop_path(spark, path)
     fs.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)

@@ -130,7 +130,7 @@ def collapse_blank_lines(spark, sf_dir):
 
 
 def _macro_texts(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("\\newcommand{\\aa}{first {x}}\\renewcommand{\\aa}{last}\\newcommand{\\bb}[2]{#1}\\def\\cc{"), F.col("source"), F.lit("}\n"), F.substring("text", 1, 200)).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("\\newcommand{\\aa}{first {x}}\\renewcommand{\\aa}{last}\\newcommand{\\bb}[2]{#1}\\def\\cc{"), F.col("source"), F.lit("}\n"), F.col("text")).alias("text"))
 
 
 @query(r"""select doc_id, unnest(['aa', 'bb', 'cc']) as name, unnest(['last', '#1', source]) as last, unnest(['first {x}', null, source]) as first_plain from documents""")
@@ -233,10 +233,10 @@ def authors(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(structure.authors(blob), "|").alias("authors"))
 
 
-@query(r"select doc_id, regexp_replace(regexp_replace(text[1:300], '^\s+', ''), '\s+$', '') as abstract from documents")
+@query(r"select doc_id, md5(regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '')) as digest from documents")
 def abstract(spark, sf_dir):
-    text = F.concat(F.lit("x\\begin{abstract}"), F.substring("text", 1, 300), F.lit(" \\end{abstract} y"))
-    return table(spark, sf_dir, "documents").select("doc_id", structure.abstract(text).alias("abstract"))
+    text = F.concat(F.lit("x\\begin{abstract}"), "text", F.lit(" \\end{abstract} y"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(structure.abstract(text)).alias("digest"))
 
 
 # ---------------------------------------------------------------- chunks
@@ -289,14 +289,14 @@ def vector_chunks(spark, sf_dir) -> DataFrame:
 
 def vector_plans(spark, sf_dir) -> DataFrame:
     v = F.col("vec_id")
-    turn = (v / 25).cast("int")
+    turn = (v / 20).cast("int")
     scope = F.when(turn % 5 != 4, F.array(F.concat(F.col("label").cast("string"), F.lit(".0")), ((F.col("label") + 1) % 10).cast("string")))
-    return table(spark, sf_dir, "embeddings").where("vec_id % 25 = 0").select(v.alias("question_id"), "embedding", scope.alias("scope"), (turn % 3 == 0).alias("is_figure"), F.concat(F.lit("f"), (turn % 7).cast("string")).alias("target_label"))
+    return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(v.alias("question_id"), "embedding", scope.alias("scope"), (turn % 3 == 0).alias("is_figure"), F.concat(F.lit("f"), (turn % 7).cast("string")).alias("target_label"))
 
 
 VECTORS = r"""with chunk as (select printf('v%05d', vec_id) as chunk_id, ['body', 'caption', 'figure_desc', 'equation'][vec_id % 4 + 1] as kind, label || '.' || vec_id % 3 as section_number, cast(label as varchar) as section_top,
   vec_id % 2 = 0 as has_figure, 'f' || vec_id % 7 as fig, 'e' || vec_id % 5 as equ, cast(embedding as double[]) as v from embeddings),
-plan as (select vec_id as question_id, cast(embedding as double[]) as q, case when vec_id // 25 % 5 <> 4 then [label || '.0', cast((label + 1) % 10 as varchar)] end as scope, vec_id // 25 % 3 = 0 as is_figure, 'f' || vec_id // 25 % 7 as target from embeddings where vec_id % 25 = 0),
+plan as (select vec_id as question_id, cast(embedding as double[]) as q, case when vec_id // 20 % 5 <> 4 then [label || '.0', cast((label + 1) % 10 as varchar)] end as scope, vec_id // 20 % 3 = 0 as is_figure, 'f' || vec_id // 20 % 7 as target from embeddings where vec_id % 20 = 0),
 base as (select *, greatest(0, list_cosine_similarity(v, q)) as sim from chunk, plan),
 flag as (select *, (scope is null or list_contains(scope, section_number) or list_contains(scope, section_top)) and (not is_figure or kind <> 'equation' and has_figure) as in_scope, not is_figure or kind <> 'equation' and has_figure as in_figures,
   sim + case when list_contains(scope, section_number) then 0.05 else 0 end + case when list_contains(scope, section_top) then 0.03 else 0 end + case when is_figure and kind in ('caption', 'figure_desc') then 0.05 else 0 end + case when target = fig or target = equ then 0.1 else 0 end as score from base)"""
@@ -389,21 +389,21 @@ def question_normalize(spark, sf_dir):
 
 
 def _entries(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where("role = 'user' and turn % 4 < 2").select((F.col("conv_id") * 1000 + F.col("turn")).alias("entry_id"), F.col("text").alias("question"))
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("entry_id"), F.col("text").alias("question"))
 
 
-@query(f"with e as (select conv_id * 1000 + turn as entry_id, {NORM.format('text')} as norm from conversations where role = 'user' and turn % 4 < 2), f as (select norm, min(entry_id) as entry_id from e group by norm) select c.conv_id * 1000 + c.turn as question_id, f.entry_id from conversations c join f on {NORM.format("c.text || ' ?!'")} = f.norm where role = 'user'")
+@query(f"with e as (select conv_id * 1000 + turn as entry_id, {NORM.format('text')} as norm from conversations where role = 'user'), f as (select norm, min(entry_id) as entry_id from e group by norm) select c.conv_id * 1000 + c.turn as question_id, f.entry_id from conversations c join f on {NORM.format("c.text || ' ?!'")} = f.norm where role = 'user'")
 def qa_exact_lookup(spark, sf_dir):
     questions = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.concat("text", F.lit(" ?!")).alias("question"))
     return qa_cache.exact(questions, _entries(spark, sf_dir))
 
 
-SEMANTIC = "with p as (select q.vec_id as question_id, e.vec_id as entry_id, list_cosine_similarity(cast(q.embedding as double[]), cast(e.embedding as double[])) as similarity from embeddings q, embeddings e where q.vec_id % 10 = 3 and e.vec_id % 10 <> 3), b as (select question_id, arg_max(entry_id, similarity) as entry_id, max(similarity) as similarity from p group by 1)"
+SEMANTIC = "with p as (select q.vec_id as question_id, e.vec_id as entry_id, list_cosine_similarity(cast(q.embedding as double[]), cast(e.embedding as double[])) as similarity from embeddings q, embeddings e where q.vec_id % 20 = 0 and e.vec_id % 20 <> 0), b as (select question_id, arg_max(entry_id, similarity) as entry_id, max(similarity) as similarity from p group by 1)"
 
 
 def _semantic(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "embeddings")
-    return rows.where("vec_id % 10 = 3").select(F.col("vec_id").alias("question_id"), "embedding"), rows.where("vec_id % 10 <> 3").select(F.col("vec_id").alias("entry_id"), "embedding")
+    return rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), "embedding"), rows.where("vec_id % 20 <> 0").select(F.col("vec_id").alias("entry_id"), "embedding")
 
 
 @query(SEMANTIC + " select question_id, entry_id, round(similarity, 6) as similarity from b where similarity >= 0.35")
@@ -524,10 +524,10 @@ def floor_percentile(spark, sf_dir):
     return evaluation.floor_rank_of(table(spark, sf_dir, "documents"), "n_chars", 0.95)
 
 
-@query(RETRIEVE + ", it as (select vec_id as question_id, case when vec_id // 25 % 2 = 0 then label || '.0' end as s, case when vec_id // 25 % 2 = 1 then 'f' || vec_id // 25 % 7 end as f from embeddings where vec_id % 25 = 0), h as (select it.question_id, s, f, coalesce(max(cast(c.section_number = s as int)), 0) as sh, coalesce(max(cast(c.fig = f as int)), 0) as fh from it left join (select question_id, section_number, fig from final join chunk using (chunk_id) where ord <= 5) c on c.question_id = it.question_id group by 1, 2, 3) select round(sum(case when s is not null then sh else 0 end) / greatest(1, count(s)), 3) as section_recall, round(sum(case when f is not null then fh else 0 end) / greatest(1, count(f)), 3) as figure_hit_rate, count(s) as n_factual, count(f) as n_figure from h")
+@query(RETRIEVE + ", it as (select vec_id as question_id, case when vec_id // 20 % 2 = 0 then label || '.0' end as s, case when vec_id // 20 % 2 = 1 then 'f' || vec_id // 20 % 7 end as f from embeddings where vec_id % 20 = 0), h as (select it.question_id, s, f, coalesce(max(cast(c.section_number = s as int)), 0) as sh, coalesce(max(cast(c.fig = f as int)), 0) as fh from it left join (select question_id, section_number, fig from final join chunk using (chunk_id) where ord <= 5) c on c.question_id = it.question_id group by 1, 2, 3) select round(sum(case when s is not null then sh else 0 end) / greatest(1, count(s)), 3) as section_recall, round(sum(case when f is not null then fh else 0 end) / greatest(1, count(f)), 3) as figure_hit_rate, count(s) as n_factual, count(f) as n_figure from h")
 def recall_at_k(spark, sf_dir):
-    turn = (F.col("vec_id") / 25).cast("int")
-    items = table(spark, sf_dir, "embeddings").where("vec_id % 25 = 0").select(F.col("vec_id").alias("question_id"), F.when(turn % 2 == 0, F.concat(F.col("label").cast("string"), F.lit(".0"))).alias("target_section"), F.when(turn % 2 == 1, F.concat(F.lit("f"), (turn % 7).cast("string"))).alias("target_figure"))
+    turn = (F.col("vec_id") / 20).cast("int")
+    items = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), F.when(turn % 2 == 0, F.concat(F.col("label").cast("string"), F.lit(".0"))).alias("target_section"), F.when(turn % 2 == 1, F.concat(F.lit("f"), (turn % 7).cast("string"))).alias("target_figure"))
     return evaluation.recall_at(items, retrieval.retrieve(vector_chunks(spark, sf_dir), vector_plans(spark, sf_dir), LIMITS))
 
 
@@ -602,11 +602,11 @@ def base64_plain(spark, sf_dir):
 
 @query()
 def answer_two_pass(spark, sf_dir):
-    """First words of sections as questions, answered from the LaTeX view's chunks."""
+    """A question from each document whose id is divisible by 20, answered from the chunks of all documents' LaTeX views."""
     from loomspan.plans.answering import answer
 
-    p = materialize(parsed(spark, sf_dir).where("doc_id % 50 = 0"), "structure")
-    chunks = materialize(C.all_chunks(p).select("chunk_id", "kind", "section_number", "section_top", "has_figure", "figure_refs", "equation_refs", F.concat(F.col("doc_id").cast("string"), F.lit(" "), "text").alias("text")), "chunks")
+    p = parsed(spark, sf_dir)
+    chunks = C.all_chunks(p).select(F.concat(F.col("doc_id").cast("string"), F.lit(" "), "chunk_id").alias("chunk_id"), "kind", "section_number", "section_top", "has_figure", "figure_refs", "equation_refs", "text")
     sections = p.select("doc_id", F.inline("sections")).select("doc_id", "number", "title")
-    asked = p.select("doc_id", F.col("doc_id").alias("question_id"), F.lit(1).alias("slot"), F.concat(F.lit("What shows "), F.substring("text", 30, 60)).alias("question"))
+    asked = p.where("doc_id % 20 = 0").select("doc_id", F.col("doc_id").alias("question_id"), F.lit(1).alias("slot"), F.concat(F.lit("What shows "), F.substring("text", 30, 60)).alias("question"))
     return answer(asked, chunks, sections, limits=retrieval.Limits(least=0.1)).select("question_id", "slot", "deferred", F.length("answer").alias("n_chars"))
