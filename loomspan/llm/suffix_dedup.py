@@ -20,22 +20,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import small_batches
+from loomspan.plans.shared import materialize, release, sweep
 
 LENGTH, GRAM = 50, 20
-#: Bytes of text in a group of documents, and of contexts in a block: bounds of a task's memory.
-GROUP_BYTES, BLOCK_BYTES = 12_000_000, 3_000_000
+#: Bytes of text in a group of documents, for each block, and hashed at a time: bounds of a task's memory, and small enough
+#: for a processor's caches. A document of more is hashed alone.
+GROUP_BYTES, BLOCK_BYTES, CHUNK_BYTES = 8_000_000, 800_000, 250_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(int(_P), -1, 2**64))
 
 
+_cached: dict[int, np.ndarray] = {}
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out, done = np.ones(max(n, 1), np.uint64), 1
-    factor = int(base)
+    """The first ``n`` powers; those for a chunk's length are computed once a worker."""
+    have = _cached.get(int(base))
+    if have is not None and len(have) >= n:
+        return have[:n]
+    out, done, factor = np.ones(max(n, 1), np.uint64), 1, int(base)
     while done < n:
         m = min(done, n - done)
         out[done : done + m] = out[:m] * np.uint64(factor)
         factor = factor * factor % 2**64
         done += m
+    if n <= 2 * CHUNK_BYTES:
+        _cached[int(base)] = out
     return out[:n]
 
 
@@ -45,8 +55,12 @@ def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
     if n < size:
         return np.empty(0, np.uint64)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_P_INVERSE, n), out=sums[1:])
-    h = (sums[size:] - sums[:-size]) * _powers(_P, n - size + 1)
+    term = data.astype(np.uint64)
+    term += np.uint64(1)
+    term *= _powers(_P_INVERSE, n)
+    np.cumsum(term, out=sums[1:])
+    h = sums[size:] - sums[:-size]
+    h *= _powers(_P, n - size + 1)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(29)
@@ -54,56 +68,99 @@ def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
 
 
 def minimizers(h: np.ndarray, window: int) -> np.ndarray:
-    """For each window of that many hashes the place of its smallest, the first of equals."""
-    at, value, have = np.arange(len(h), dtype=np.int32), h, 1
+    """For each window of that many hashes the place of its smallest by the upper 32 bits, the first of equals: the place fills the lower bits."""
+    value = h & np.uint64(0xFFFFFFFF00000000)
+    value |= np.arange(len(h), dtype=np.uint64)
+    have = 1
     while have < window:
         step = min(have, window - have)
-        left = value[:-step] <= value[step:]
-        at, value = np.where(left, at[:-step], at[step:]), np.where(left, value[:-step], value[step:])
+        value = np.minimum(value[:-step], value[step:])
         have += step
-    return at
+    return (value & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """Runs of string starts that share a minimizer: (document, first start, last start, hash), starts within the document. Texts
+    are joined to chunks for numpy's sake; no string crosses documents."""
+    parts, chunk, size = [], [], 0
+    for k, t in enumerate([*texts, None]):
+        if chunk and (t is None or size + len(t) > CHUNK_BYTES):
+            parts.append(_anchors_of(chunk, k - len(chunk), length))
+            chunk, size = [], 0
+        if t is not None:
+            chunk.append(t)
+            size += len(t)
+    none = np.empty(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (none, none, none, none.view(np.uint64))
 
 
-def _anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of string starts that share a minimizer, over the joined texts: (document, first start, last start, hash), and the joined
-    bytes and documents' places. Starts are places in the joined bytes; no string crosses documents."""
+def _anchors_of(texts: list[bytes], number: int, length: int) -> tuple[np.ndarray, ...]:
     size = np.array([len(t) for t in texts], np.int64)
-    place = np.concatenate(([0], np.cumsum(size)))
-    data = np.frombuffer(b"".join(texts), np.uint8)
+    starts = np.maximum(size - length + 1, 0)
     none = np.empty(0, np.int64)
-    if len(data) < length:
-        return none, none, none, np.empty(0, np.uint64), data, place
-    h = gram_hashes(data)
+    if not starts.any():
+        return none, none, none, none.view(np.uint64)
+    h = gram_hashes(np.frombuffer(b"".join(texts), np.uint8))
     at = minimizers(h, length - GRAM + 1)
-    owner = np.repeat(np.arange(len(texts)), np.maximum(size - length + 1, 0))
-    first_of = np.repeat(place[:-1], np.maximum(size - length + 1, 0))
-    start = first_of + (np.arange(len(owner)) - np.repeat(np.cumsum(np.maximum(size - length + 1, 0)) - np.maximum(size - length + 1, 0), np.maximum(size - length + 1, 0)))
-    if not len(start):
-        return none, none, none, np.empty(0, np.uint64), data, place
-    anchor = at[start]
-    new = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])))
-    head = np.flatnonzero(new)
-    tail = np.concatenate((head[1:], [len(start)])) - 1
-    return owner[head], start[head], start[tail], h[anchor[head]], data, place
-
-
-def _ranks(*columns: np.ndarray) -> tuple[np.ndarray, int]:
-    """Dense ranks of tuples, first column first, and how many there are."""
-    bits = [max(int(c.max()).bit_length(), 1) if len(c) else 1 for c in columns]
+    owner = np.repeat(np.arange(len(texts)), starts)
+    local = np.arange(len(owner)) - np.repeat(np.cumsum(starts) - starts, starts)
+    anchor = at[local + np.repeat(np.cumsum(size) - size, starts)]
+    head = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1]))))
+    tail = np.concatenate((head[1:], [len(owner)])) - 1
+    return owner[head] + number, local[head], local[tail], h[anchor[head]]
+
+
+#: Tuples of fewer bits are ranked through a table instead of a sort.
+TABLE_BITS = 22
+
+
+def _bits(*columns: np.ndarray) -> list[int]:
+    return [max(int(c.max()).bit_length(), 1) if len(c) else 1 for c in columns]
+
+
+def _packed_keys(columns: tuple[np.ndarray, ...], bits: list[int]) -> np.ndarray:
+    key = columns[0].astype(np.uint64)
+    for c, b in zip(columns[1:], bits[1:], strict=True):
+        key <<= np.uint64(b)
+        key |= c.astype(np.uint64)
+    return key
+
+
+def _ranks(*columns: np.ndarray) -> tuple[np.ndarray, int, np.ndarray | None]:
+    """Dense ranks of tuples, first column first, how many there are, and the order they were sorted in (None if there was no sort)."""
+    bits = _bits(*columns)
+    if not len(columns[0]):
+        return np.empty(0, np.int64), 0, np.empty(0, np.int64)
+    if sum(bits) <= TABLE_BITS:
+        key = _packed_keys(columns, bits)
+        have = np.zeros(1 << sum(bits), bool)
+        have[key] = True
+        rank = np.cumsum(have, dtype=np.int64) - 1
+        return rank[key], int(rank[-1]) + 1, None
     if sum(bits) <= 63:
-        key = columns[0].astype(np.uint64)
-        for c, b in zip(columns[1:], bits[1:], strict=True):
-            key = key << np.uint64(b) | c.astype(np.uint64)
+        key = _packed_keys(columns, bits)
         order = np.argsort(key, kind="stable")
-        differ = key[order][1:] != key[order][:-1]
+        key = key[order]
+        differ = key[1:] != key[:-1]
     else:
         order = np.lexsort(columns[::-1])
-        differ = np.zeros(max(len(order) - 1, 0), bool)
+        differ = np.zeros(len(order) - 1, bool)
         for c in columns:
             differ |= c[order][1:] != c[order][:-1]
     out = np.empty(len(order), np.int64)
-    out[order] = np.concatenate(([0], np.cumsum(differ))) if len(order) else order
-    return out, int(out[order[-1]]) + 1 if len(order) else 0
+    out[order] = np.concatenate(([0], np.cumsum(differ)))
+    return out, int(out[order[-1]]) + 1, order
+
+
+def _below(mine: tuple[np.ndarray, ...], theirs: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted tuples of two kinds: of the second kind, those less than each of the first; of the first, those at most each of the second."""
+    bits = [max(a, b) for a, b in zip(_bits(*mine), _bits(*theirs), strict=True)]
+    if sum(bits) <= 63:
+        x, y = _packed_keys(mine, bits), _packed_keys(theirs, bits)
+    else:
+        dense = _ranks(*(np.concatenate(c) for c in zip(mine, theirs, strict=True)))[0]
+        x, y = dense[: len(mine[0])], dense[len(mine[0]) :]
+    return np.searchsorted(y, x, side="left"), np.searchsorted(x, y, side="right")
 
 
 def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
@@ -116,36 +173,39 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     padded = np.concatenate((s.astype(np.int64), np.zeros(3, np.int64)))
     one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)  # with n = 1 modulo 3 a sample past the end closes the first class
     sample = np.concatenate((one, two))
-    names, kinds = _ranks(padded[sample], padded[sample + 1], padded[np.minimum(sample + 2, n + 2)])
+    names, kinds, order = _ranks(padded[sample], padded[sample + 1], padded[np.minimum(sample + 2, n + 2)])
     if kinds < len(sample) and depth > 3:
         order = suffix_array(names + 1, -(-depth // 3))
-        names = np.empty(len(sample), np.int64)
-        names[order] = np.arange(len(sample))
+    elif order is None:
+        order = np.argsort(names, kind="stable")
     rank = np.zeros(n + 4, np.int64)
-    rank[sample] = names + 1
-    sampled = sample[np.argsort(names, kind="stable")]
+    rank[sample[order]] = np.arange(1, len(sample) + 1)
+    sampled = sample[order]
     sampled = sampled[sampled < n]
     zero = np.arange(0, n, 3)
-    zero = zero[np.argsort(_ranks(padded[zero], rank[zero + 1])[0], kind="stable")]
+    dense, _, order = _ranks(padded[zero], rank[zero + 1])
+    zero = zero[np.argsort(dense, kind="stable") if order is None else order]
     # Merge: against the first class by (symbol, rank), against the second by (symbol, symbol, rank).
     at = np.empty(n, np.int64)
     at[sampled] = np.arange(len(sampled))
     at[zero] = np.arange(len(zero))
     for k in (1, 2):
         part = sampled[sampled % 3 == k]
-        both = np.concatenate((zero, part))
-        keys = (padded[both], rank[both + 1]) if k == 1 else (padded[both], padded[both + 1], rank[both + 2])
-        dense = _ranks(*keys)[0]
-        mine, theirs = dense[: len(zero)], dense[len(zero) :]
-        at[zero] += np.searchsorted(theirs, mine, side="left")
-        at[part] += np.searchsorted(mine, theirs, side="right")
-    return np.argsort(at, kind="stable")
+        keys = lambda x: (padded[x], rank[x + 1]) if k == 1 else (padded[x], padded[x + 1], rank[x + 2])  # noqa: B023, E731
+        mine, theirs = _below(keys(zero), keys(part))
+        at[zero] += mine
+        at[part] += theirs
+    out = np.full(n, -1, np.int64)
+    out[at] = np.arange(n)
+    return np.argsort(at, kind="stable") if (out < 0).any() else out  # equal beyond the depth: two may claim one place
 
 
 def repeated(contexts: np.ndarray, first: np.ndarray, valid: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
     """The smallest document of every string: ``contexts`` joined bytes, each with ``valid`` string starts from ``first`` on and its
     document. Returns one document for each start, in order."""
-    order = suffix_array(contexts.astype(np.int64) + 1, length)
+    used = np.zeros(256, np.int64)
+    used[contexts] = 1
+    order = suffix_array(np.cumsum(used)[contexts], length)  # few symbols: the first triples are named through a table
     owner = np.repeat(np.arange(len(first)), valid)
     starts = np.repeat(first, valid) + (np.arange(len(owner)) - np.repeat(np.cumsum(valid) - valid, valid))
     index = np.full(len(contexts), -1, np.int64)
@@ -171,7 +231,7 @@ def _packed(target: np.ndarray, kind: str, *columns: np.ndarray) -> list[dict]:
     order = np.argsort(target, kind="stable")
     t = target[order]
     cuts = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else []
-    for lo, hi in zip(cuts, [*cuts[1:], len(t)], strict=True):
+    for lo, hi in zip(cuts, [*cuts[1:], len(t)] if len(t) else [], strict=True):
         part = order[lo:hi]
         rows.append({"to": int(t[lo]), "kind": kind} | {n: np.ascontiguousarray(c[part]).tobytes() for n, c in zip("abc", columns, strict=False)})
     return rows
@@ -190,11 +250,11 @@ def _columns(part: pa.Table, kind: str, kinds: dict[str, str]) -> list[np.ndarra
     return [np.frombuffer(b"".join(rows[n].to_pylist()), np.dtype(t)) for n, t in kinds.items()]
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame, int]:
-    """(spans, numbered, groups): packed starts to remove by group of documents, and the documents with their group.
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+    """(spans, numbered): packed starts to remove by group of documents, and the documents with their group.
     Ids are whole numbers and distinct; a null id takes part as the largest."""
     spark = docs.sparkSession
-    small_batches(spark, 2000)
+    small_batches(spark)
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     groups, blocks = max(8, -(-total // GROUP_BYTES)), max(8, -(-total // BLOCK_BYTES))
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
@@ -204,7 +264,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
         """Distinct minimizers of each document, to the task that has all documents of a minimizer."""
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            owner, _, _, h, _, _ = _anchors(batch.column(1).to_pylist(), length)
+            owner, _, _, h = _anchors(batch.column(1).to_pylist(), length)
             if len(h):
                 order = np.lexsort((ids[owner], h))
                 h, own = h[order], ids[owner][order]
@@ -222,39 +282,39 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
         h, own = h[many], own[many]
         return _table(_packed(_group_of(own, groups), "s", h, own))
 
-    replies = numbered.select("id", "raw").mapInArrow(fingerprints, _ROW_SQL).groupBy("to").applyInArrow(shared, _ROW_SQL)
+    replies = materialize(numbered.select("id", "raw").mapInArrow(fingerprints, _ROW_SQL).groupBy("to").applyInArrow(shared, _ROW_SQL), "shared")
+    sweep(spark)
 
     def contexts(key, left: pa.Table, right: pa.Table) -> pa.Table:
         """Texts of a group with the minimizers that other documents have: contexts to their blocks, and starts decided within the group."""
         ids = left["id"].to_numpy()
-        owner, lo, hi, h, data, place = _anchors(left["raw"].to_pylist(), length)
+        raws = left["raw"].to_pylist()
+        owner, lo, hi, h = _anchors(raws, length)
         sh, sown = _columns(right, "s", {"a": "u8", "b": "i8"}) if right.num_rows else (np.empty(0, np.uint64), np.empty(0, np.int64))
         mark = lambda a, b: a ^ (b.astype(np.uint64) * _P)  # noqa: E731  a chance equality only lets one context more through
         keep = np.isin(mark(h, ids[owner]), mark(sh, sown)) if len(h) else np.empty(0, bool)
         owner, lo, hi, h = owner[keep], lo[keep], hi[keep], h[keep]
         # Equal contexts: the smallest document speaks for all, and the others' starts go at once.
-        raw = data.tobytes()
         seen: dict[bytes, int] = {}
         sent, gone = [], []
         for k in np.argsort(ids[owner], kind="stable").tolist():
-            c = raw[lo[k] : hi[k] + length]
+            c = raws[owner[k]][lo[k] : hi[k] + length]
             if (j := seen.setdefault(c, k)) == k:
                 sent.append(k)
             elif owner[j] != owner[k]:
                 gone.append(k)
             else:
                 sent.append(k)
-        base = lo - place[owner]
-        rows = _packed(np.full(len(gone), key[0].as_py(), np.int64), "g", ids[owner[gone]], base[gone].astype(np.int64), (hi - lo)[gone].astype(np.int64) + 1) if gone else []
+        rows = _packed(np.full(len(gone), key[0].as_py(), np.int64), "g", ids[owner[gone]], lo[gone], (hi - lo)[gone] + 1) if gone else []
         sent = np.array(sent, np.int64)
         to = (h[sent] % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         t = to[order]
         cuts = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else []
-        for a, b in zip(cuts, [*cuts[1:], len(t)], strict=True):
+        for a, b in zip(cuts, [*cuts[1:], len(t)] if len(t) else [], strict=True):
             part = sent[order[a:b]]
-            text = b"".join(raw[lo[k] : hi[k] + length] for k in part.tolist())
-            rows.append({"to": int(t[a]), "kind": "c", "a": ids[owner[part]].tobytes(), "b": base[part].astype(np.int64).tobytes(), "c": ((hi - lo)[part] + 1).astype(np.int64).tobytes(), "d": text})
+            text = b"".join(raws[owner[k]][lo[k] : hi[k] + length] for k in part.tolist())
+            rows.append({"to": int(t[a]), "kind": "c", "a": ids[owner[part]].tobytes(), "b": lo[part].tobytes(), "c": ((hi - lo)[part] + 1).tobytes(), "d": text})
         return _table(rows)
 
     def decided(part: pa.Table) -> pa.Table:
@@ -287,11 +347,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
         return _table(_packed(_group_of(own[of[head[pick]]], groups), "g", own[of[head[pick]]], place[head[pick]], count[pick]))
 
     made = numbered.groupBy("grp").cogroup(replies.groupBy("to")).applyInArrow(contexts, _ROW_SQL)
-    from loomspan.plans.shared import materialize
-
-    made = materialize(made, "contexts")  # read twice below
-    spans = made.where("kind = 'c'").groupBy("to").applyInArrow(decided, _ROW_SQL).unionByName(made.where("kind = 'g'"))
-    return spans, numbered, groups
+    made = materialize(made, "contexts")
+    release(replies)
+    sweep(spark)
+    spans = materialize(made.where("kind = 'c'").groupBy("to").applyInArrow(decided, _ROW_SQL).unionByName(made.where("kind = 'g'")), "spans")
+    release(made)
+    sweep(spark)
+    return spans, numbered
 
 
 def _group_of(ids: np.ndarray, groups: int) -> np.ndarray:
@@ -313,7 +375,7 @@ def _group_of(ids: np.ndarray, groups: int) -> np.ndarray:
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept binary): each text's UTF-8 bytes without those covered by a ``length``-byte string that a
     document of a smaller id has too. Judged on the input; overlaps count; strings don't cross documents; null counts as empty."""
-    spans, numbered, _ = find(docs, id_col, text_col, length)
+    spans, numbered = find(docs, id_col, text_col, length)
 
     def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left["id"].to_numpy()
