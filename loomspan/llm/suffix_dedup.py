@@ -25,7 +25,7 @@ from loomspan.plans.shared import materialize, release, sweep
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a group of documents, for each block, and hashed at a time: bounds of a task's memory, and small enough
 #: for a processor's caches. A document of more is hashed alone.
-GROUP_BYTES, BLOCK_BYTES, CHUNK_BYTES = 8_000_000, 800_000, 250_000
+GROUP_BYTES, BLOCK_BYTES, CHUNK_BYTES = 3_000_000, 800_000, 250_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(int(_P), -1, 2**64))
 
@@ -254,7 +254,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     """(spans, numbered): packed starts to remove by group of documents, and the documents with their group.
     Ids are whole numbers and distinct; a null id takes part as the largest."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 250)
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     groups, blocks = max(8, -(-total // GROUP_BYTES)), max(8, -(-total // BLOCK_BYTES))
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
