@@ -25,7 +25,9 @@ from loomspan.plans.shared import materialize, release, sweep
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a group of documents, for each block, and hashed at a time: bounds of a task's memory, and small enough
 #: for a processor's caches. A document of more is hashed alone.
-GROUP_BYTES, BLOCK_BYTES, CHUNK_BYTES = 3_000_000, 800_000, 250_000
+GROUP_BYTES, BLOCK_BYTES, CHUNK_BYTES = 6_000_000, 1_600_000, 250_000
+#: Minimizers that a task gathers before it deals them out: few rows, well filled.
+FLUSH = 200_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(int(_P), -1, 2**64))
 
@@ -256,21 +258,32 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     spark = docs.sparkSession
     small_batches(spark, 250)
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    groups, blocks = max(8, -(-total // GROUP_BYTES)), max(8, -(-total // BLOCK_BYTES))
+    groups, blocks, dealers = (max(8, -(-total // k)) for k in (GROUP_BYTES, BLOCK_BYTES, 2 * GROUP_BYTES))
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
     numbered = docs.select(ident.alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"), F.pmod(F.xxhash64(ident), F.lit(groups)).alias("grp"))
 
     def fingerprints(batches):
         """Distinct minimizers of each document, to the task that has all documents of a minimizer."""
+        held, size = [], 0
+
+        def dealt():
+            h, own = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((own, h))
+            h, own = h[order], own[order]
+            new = np.concatenate(([True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])))
+            h, own = h[new], own[new]
+            return _table(_packed((h % np.uint64(dealers)).astype(np.int64), "h", h, own)).to_batches()
+
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             owner, _, _, h = _anchors(batch.column(1).to_pylist(), length)
             if len(h):
-                order = np.lexsort((ids[owner], h))
-                h, own = h[order], ids[owner][order]
-                new = np.concatenate(([True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])))
-                h, own = h[new], own[new]
-                yield from _table(_packed((h % np.uint64(blocks)).astype(np.int64), "h", h, own)).to_batches()
+                held.append((h, batch.column(0).to_numpy(zero_copy_only=False)[owner]))
+                size += len(h)
+            if size >= FLUSH:
+                yield from dealt()
+                held, size = [], 0
+        if size:
+            yield from dealt()
 
     def shared(part: pa.Table) -> pa.Table:
         h, own = _columns(part, "h", {"a": "u8", "b": "i8"})
