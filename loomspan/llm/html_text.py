@@ -25,7 +25,13 @@ MAX_PAD = 40
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 #: Never shown.
-INVISIBLE = frozenset("head title script style template noscript noembed noframes iframe object audio video canvas svg math datalist meta link base".split())
+INVISIBLE = frozenset("head title script style template noscript noembed noframes iframe object audio video canvas datalist meta link base".split())
+#: Of drawings and formulas: not shown, set on lines of their own, and holding HTML again.
+FOREIGN_INVISIBLE = frozenset("title desc metadata defs annotation annotation-xml".split())
+FOREIGN_LINED = frozenset("text foreignobject mtr".split())
+INTEGRATION = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+#: Start tags that end an open drawing or formula.
+BREAKOUT = frozenset("b big blockquote br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: Blocks set apart by a blank line, and blocks that only start a new line.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu blockquote pre table figure hr fieldset details".split())
 LINED = frozenset("html body div section article aside header footer nav main address li dt dd form legend summary figcaption center caption hgroup search option optgroup select".split())
@@ -71,8 +77,9 @@ def _tag_end(text: str, at: int) -> int:
 
 
 def tokens(text: str) -> Iterator[tuple[str, str, dict[str, str] | None]]:
-    """('text', data, None), ('start', name, attributes), ('end', name, None)."""
-    at, size = 0, len(text)
+    """('text', data, None), ('start', name, attributes), ('end', name, None). In drawings and formulas an element that its start
+    tag closes is followed by its end."""
+    at, size, foreign = 0, len(text), 0
     while at < size:
         less = text.find("<", at)
         if less < 0:
@@ -109,14 +116,20 @@ def tokens(text: str) -> Iterator[tuple[str, str, dict[str, str] | None]]:
             return
         at = end + 1
         if closing:
+            foreign -= foreign > 0 and name in ("svg", "math")
             yield "end", name, None
             continue
         inner = text[m.end() : end]
-        attributes = {}
+        attributes, last = {}, 0
         if inner and not inner.isspace():
             for a in _ATTRIBUTE.finditer(inner):
                 attributes.setdefault(a[1].lower(), html.unescape(a[2] if a[2] is not None else a[3] if a[3] is not None else a[4] or ""))
+                last = a.end()
         yield "start", name, attributes
+        if (foreign or name in ("svg", "math")) and inner[last:].endswith("/") and name not in VOID:
+            yield "end", name, None
+            continue
+        foreign += name in ("svg", "math")
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(text, at)
             end = close.start() if close else size
@@ -127,10 +140,10 @@ def tokens(text: str) -> Iterator[tuple[str, str, dict[str, str] | None]]:
 
 
 class Node:
-    __slots__ = ("attributes", "children", "name")
+    __slots__ = ("attributes", "children", "foreign", "name")
 
-    def __init__(self, name: str, attributes: dict[str, str] | None = None):
-        self.name, self.attributes, self.children = name, attributes or {}, []
+    def __init__(self, name: str, attributes: dict[str, str] | None = None, foreign: bool = False):
+        self.name, self.attributes, self.children, self.foreign = name, attributes or {}, [], foreign
 
 
 def build(text: str) -> tuple[Node, str]:
@@ -154,8 +167,12 @@ def build(text: str) -> tuple[Node, str]:
                 continue
             if stack[-1].name == "head" and data not in HEAD:
                 stack.pop()  # the head ends at the first element that can't be in it
+            if data in BREAKOUT:
+                while stack[-1].foreign and stack[-1].name not in INTEGRATION:
+                    stack.pop()
             _imply(stack, data)
-            node = Node(data, attributes)
+            up = stack[-1]
+            node = Node(data, attributes, data in ("svg", "math") or (up.foreign and up.name not in INTEGRATION))
             stack[-1].children.append(node)
             if data not in VOID:
                 stack.append(node)
@@ -214,10 +231,12 @@ def _imply(stack: list[Node], name: str) -> None:
 
 def hidden(node: Node) -> bool:
     a = node.attributes
-    if node.name in INVISIBLE:
+    if node.name in INVISIBLE or (node.foreign and node.name in FOREIGN_INVISIBLE):
         return True
     if not a:
         return False
+    if node.foreign and (a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse")):
+        return True
     return "hidden" in a or (node.name == "input") or (node.name == "dialog" and "open" not in a) or bool("style" in a and _HIDDEN.search(a["style"]))
 
 
@@ -340,7 +359,7 @@ def render(root: Node, depth: int = 0) -> list[str]:
                 pre -= 1
             if name in SPACED:
                 out.gap(0 if name in ("ul", "ol", "menu") and counters else 1)
-            elif name in LINED:
+            elif name in LINED or (node.foreign and name in FOREIGN_LINED):
                 out.gap(0)
             continue
         stack[-1][1] = k + 1
@@ -379,9 +398,9 @@ def render(root: Node, depth: int = 0) -> list[str]:
         state = None
         if name in SPACED:
             out.gap(0 if name in ("ul", "ol", "menu") and counters else 1)
-        elif name in LINED:
+        elif name in LINED or (child.foreign and name in FOREIGN_LINED):
             out.gap(0)
-        if name in ("td", "th"):
+        if name in ("td", "th") or (child.foreign and name == "mtd"):
             out.space = True
         if name == "tr":
             out.gap(0)

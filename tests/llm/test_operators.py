@@ -78,6 +78,22 @@ def test_html_layout(source, want):
     assert html_text.page_text(source)[1] == want
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("a <math><mi>x</mi><mo>+</mo><mn>1</mn></math> b", "a x+1 b"),
+        ("<math><semantics><mi>x</mi><annotation encoding='application/x-tex'>\\alpha</annotation></semantics></math>", "x"),
+        ("<math><mtable><mtr><mtd><mn>1</mn></mtd><mtd><mn>2</mn></mtd></mtr><mtr><mtd><mn>3</mn></mtd></mtr></mtable></math>", "1 2\n3"),
+        ("<p>a</p><svg><title>t</title><desc>d</desc><metadata>m</metadata><defs><text>no</text></defs><g><text>one</text><text>two <tspan>three</tspan></text></g></svg>b", "a\n\none\ntwo three\nb"),
+        ("<svg><defs/><title/><style/><path d='M0 0'/><text>shown</text></svg>z", "shown\nz"),
+        ("<svg><foreignObject><div>in</div></foreignObject></svg>", "in"), ("<svg><g display='none'><text>x</text></g><text visibility='hidden'>y</text></svg>z", "z"),
+        ("<svg><defs><text>x<p>after", "after"), ("<svg href=a/><text>b</text></svg>c", "b\nc"), ("<desc>d</desc><defs>e</defs>", "de"), ("<table><tr><td><svg/>k<td>l</table>", "k | l"),
+    ],
+)
+def test_html_shows_drawings_and_formulas(source, want):
+    assert html_text.page_text(source)[1] == want
+
+
 def test_html_deep_nesting():
     assert html_text.page_text("<div>" * 50_000 + "x")[1] == "x"
     assert "x" in html_text.page_text("<table><tr><td>" * 200 + "x")[1]
