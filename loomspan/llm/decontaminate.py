@@ -3,8 +3,9 @@
 Items are normalised to word numbers and all their subsequences go into one automaton, whose size is linear in the
 items' words. Training documents stream through it word by word; the automaton's state tells the longest item passage
 that ends at each word. Only runs of words that items know at all are streamed, found by numpy, so most text costs one
-dictionary lookup a word. There is no shuffle. The automaton is broadcast in blocks of at most ``MAX_BLOCK_WORDS`` item words;
-more items than that make more passes over the documents, and their hits are united.
+dictionary lookup a word. There is no shuffle. The automaton is broadcast in blocks of at most ``MAX_BLOCK_WORDS`` item words.
+Each row is scanned by all blocks, on the text as it came, and judged and cut once, on their united hits: results don't
+depend on the size of the blocks.
 """
 
 from __future__ import annotations
@@ -119,16 +120,17 @@ class Automaton:
         to = self.next[s].get(w)
         return (0, 0) if to is None else (to, length + 1)
 
-    def scan(self, words: list[bytes]) -> tuple[np.ndarray | None, set[int], int]:
-        """Hit flags by word (None: no hit), the items with occurring windows, and the longest passage found."""
-        if not self.least or len(words) < self.least:
+    def scan(self, words: list[bytes], least: int) -> tuple[np.ndarray | None, set[int], int]:
+        """Hit flags by word (None: no hit), the items with occurring windows, and the longest passage found in runs of
+        ``least`` known words or more."""
+        if not self.least or len(words) < least:
             return None, set(), 0
         get = self.vocabulary.get
         numbers = np.array([get(w, -1) for w in words], dtype=np.int64)
         known = np.concatenate(([0], (numbers >= 0).view(np.int8), [0]))
         edge = np.flatnonzero(np.diff(known))
         starts, ends = edge[::2], edge[1::2]
-        long = ends - starts >= self.least
+        long = ends - starts >= least
         hit, items, longest = None, set(), 0
         for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
             s = length = 0
@@ -171,39 +173,50 @@ def _digest(names: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
 
 
+class _Blocks:
+    """The automata of all blocks, each a broadcast of its own."""
+
+    def __init__(self, items: DataFrame, item_col: str, item_text_col: str, window: int, max_block_words: int):
+        self.payloads, leasts = [], []
+        for a in automata(items, item_col, item_text_col, window, max_block_words):
+            self.payloads.append(items.sparkSession.sparkContext.broadcast(a))
+            leasts += [a.least] if a.least else []
+        self.least = min(leasts, default=0)
+
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray | None, list[str], int]:
+        """Hit flags by word (None: no hit), the names of items with occurring windows, and the longest passage, over all blocks."""
+        hit, names, longest = None, [], 0
+        for payload in self.payloads:
+            automaton = payload.value
+            flags, own, most = automaton.scan(words, self.least)
+            if flags is not None:
+                hit = flags if hit is None else hit | flags
+            names += [automaton.names[k] for k in sorted(own)]
+            longest = max(longest, most)
+        return hit, names, longest
+
+
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_block_words: int = MAX_BLOCK_WORDS) -> DataFrame:
-    """(id, n_words, n_hit, items array<string>, longest) for each row. Null texts have no words; null or empty items no
-    window; items of the same words all count. Several blocks of items need an id without repeats."""
+    """(id, n_words, n_hit, items array<string>, longest) for each row, repeated and null ids too. Null texts have no words;
+    null or empty items no window; items of the same words all count."""
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
+    blocks = _Blocks(items, item_col, item_text_col, window, max_block_words)
 
-    def one(payload, flags: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = payload.value
-            for batch in batches:
-                n, hits, found, longest, at = [], [], [], [], []
-                for text in batch.column(1).to_pylist():
-                    words = words_of(text)
-                    hit, own, most = automaton.scan(words)
-                    n.append(len(words))
-                    hits.append(0 if hit is None else int(hit.sum()))
-                    found.append([automaton.names[k] for k in sorted(own)])
-                    longest.append(most)
-                    at.append([] if hit is None else np.flatnonzero(hit).tolist())
-                columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(longest, pa.int64())]
-                names = [id_col, "n_words", "n_hit", "items", "longest"]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(at, pa.list_(pa.int32()))] if flags else columns, names=[*names, "at"] if flags else names)
-
-        return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_hit long, items array<string>, longest long" + ", at array<int>" * flags)
-
-    payloads = [spark.sparkContext.broadcast(a) for a in automata(items, item_col, item_text_col, window, max_block_words)]
-    if len(payloads) == 1:
-        return one(payloads[0], False)
-    parts = one(payloads[0], True)
-    for p in payloads[1:]:
-        parts = parts.unionByName(one(p, True))
-    return parts.groupBy(id_col).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.max("longest").alias("longest"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("at")).select(id_col, "n_words", F.size("at").cast("long").alias("n_hit"), "items", "longest")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, hits, found, longest = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                words = words_of(text)
+                hit, own, most = blocks.scan(words)
+                n.append(len(words))
+                hits.append(0 if hit is None else int(hit.sum()))
+                found.append(own)
+                longest.append(most)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(longest, pa.int64())], names=[id_col, "n_words", "n_hit", "items", "longest"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_hit long, items array<string>, longest long")
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_coverage: float = MAX_COVERAGE, max_block_words: int = MAX_BLOCK_WORDS) -> DataFrame:
@@ -211,25 +224,21 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: s
     hit words reaches ``max_coverage`` go. Other columns stay as they are; null texts and texts without hits are untouched."""
     small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
-    out = docs
-    for automaton in automata(items, item_col, item_text_col, window, max_block_words):
-        payload = docs.sparkSession.sparkContext.broadcast(automaton)
-
-        def run(batches: Iterator[pa.RecordBatch], payload=payload) -> Iterator[pa.RecordBatch]:
-            automaton = payload.value
-            for batch in batches:
-                texts, stay = batch.column(at).to_pylist(), []
-                for i, text in enumerate(texts):
-                    words = words_of(text)
-                    hit, _, _ = automaton.scan(words)
-                    stay.append(hit is None or hit.sum() < max_coverage * len(words))
-                    if hit is not None and stay[-1]:
-                        texts[i] = cut(text, hit)
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-                yield batch.filter(pa.array(stay, pa.bool_()))
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    blocks = _Blocks(items, item_col, item_text_col, window, max_block_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, stay = batch.column(at).to_pylist(), []
+            for i, text in enumerate(texts):
+                words = words_of(text)
+                hit, _, _ = blocks.scan(words)
+                stay.append(hit is None or hit.sum() < max_coverage * len(words))
+                if hit is not None and stay[-1]:
+                    texts[i] = cut(text, hit)
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            yield batch.filter(pa.array(stay, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def cut(text: str, hit: np.ndarray) -> str:

@@ -267,6 +267,22 @@ def test_decontamination_cuts_spans_and_drops_documents(spark, odd):
     assert decontaminate.clean(odd, bench.where("false")).count() == len(ODD)
 
 
+@pytest.mark.parametrize("block", [10**6, 12])
+def test_decontamination_does_not_depend_on_blocks(spark, block):
+    one, two = ([f"{c}{k}" for k in range(12)] for c in "uv")
+    more = [f"more{k}" for k in range(16)]
+    # the third item shares its first words with the end of the first
+    items = [(1, " ".join(one)), (2, " ".join(two)), (3, " ".join([*one[4:], "x0", "x1", "x2", "x3"])), (4, "q0 q1")]
+    # half of the words are hits, but less than half of each item alone; passages that overlap; no new neighbours at a seam
+    rows = [(1, " ".join([*one, *more, *two])), (2, " ".join([*more, *one, "x0", "x1", "x2", "x3", *more])), (3, " ".join([*more, "q0", *one, "q1", *more])), (4, None), (5, "none"), (5, " ".join(two)), (None, "a b"), (None, None)]
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in decontaminate.clean(df, bench, max_block_words=block).collect()), key=str)
+    m = " ".join(more)
+    assert got == sorted([(2, f"{m} {m}"), (3, f"{m} q0 q1 {m}"), (4, None), (5, "none"), (None, "a b"), (None, None)], key=str)
+    found = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["longest"]) for r in decontaminate.find(df, bench, max_block_words=block).collect()), key=str)
+    assert found == sorted([(1, 40, 24, ["1", "2"], 12), (2, 48, 16, ["1", "3"], 12), (3, 46, 12, ["1"], 12), (4, 0, 0, [], 0), (5, 1, 0, [], 0), (5, 12, 12, ["2"], 12), (None, 2, 0, [], 0), (None, 0, 0, [], 0)], key=str)
+
+
 # ------------------------------------------------------------------ 6, 9, 10
 
 
