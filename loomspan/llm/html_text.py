@@ -19,8 +19,6 @@ from pyspark.sql import DataFrame
 
 from loomspan.llm.common import small_batches
 
-#: Cells are padded to the widest of their column, but at most to this; wider cells are kept whole and push their row.
-MAX_PAD = 40
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -283,14 +281,22 @@ class _Out:
         self.blank = max(self.blank, blank)
 
 
+def _span(cell: Node, name: str, most: int) -> int:
+    """The whole number in a span attribute, at most ``most``; 1 without one."""
+    value = cell.attributes.get(name, "1").strip()
+    return min(int(value), most) if value.isdecimal() and len(value) < 10 else 1
+
+
 def _table(node: Node, depth: int) -> list[str]:
-    """Lines of a table: one a row, cells padded to their column; a cell that spans columns takes that many."""
-    rows: list[list[tuple[str, int]]] = []
+    """Lines of a table: one a row, cells padded to the widest of their column. A cell that spans columns takes that many; below one
+    that spans rows its columns stay empty."""
+    rows: list[list[tuple[int, str, int]]] = []
     before: list[str] = []
     pending = [node]
     while pending:
         n = pending.pop(0)
         below = []
+        taken: dict[int, int] = {}  # column: rows of this group that an earlier cell still takes
         for child in n.children:
             if isinstance(child, str):
                 if not child.isspace():
@@ -301,31 +307,47 @@ def _table(node: Node, depth: int) -> list[str]:
             if child.name in ("thead", "tbody", "tfoot"):
                 below.append(child)
             elif child.name == "tr":
-                row = []
+                row, at, fresh = [], 0, {}
                 for cell in child.children:
                     if isinstance(cell, str):
-                        if not cell.isspace():
-                            row.append((_SPACE.sub(" ", cell).strip(), 1))
-                    elif not hidden(cell):
-                        span = cell.attributes.get("colspan", "1").strip()
-                        row.append((" ".join(x.strip() for x in render(cell, depth + 1) if x.strip()), min(max(int(span), 1), 1000) if span.isdecimal() and len(span) < 5 else 1))
+                        if cell.isspace():
+                            continue
+                        text, span, down = _SPACE.sub(" ", cell).strip(), 1, 1
+                    elif hidden(cell):
+                        continue
+                    else:
+                        text = " ".join(x.strip() for x in render(cell, depth + 1) if x.strip())
+                        # rowspan 0: to the end of the group
+                        span, down = max(_span(cell, "colspan", 1000), 1), _span(cell, "rowspan", 65534) or 65534
+                    while at in taken:
+                        at += 1
+                    row.append((at, text, span))
+                    if down > 1:
+                        fresh |= dict.fromkeys(range(at, at + span), down - 1)
+                    at += span
+                taken = {c: k - 1 for c, k in taken.items() if k > 1}
+                for c, k in fresh.items():
+                    taken[c] = max(taken.get(c, 0), k)
                 rows.append(row)
             elif child.name not in ("colgroup", "col"):
                 before += [x for x in render(child, depth + 1) if x]
         pending = below + pending
     width: dict[int, int] = {}
     for row in rows:
-        at = 0
-        for cell, span in row:
+        for at, cell, span in row:
             if span == 1:
-                width[at] = max(width.get(at, 0), min(len(cell), MAX_PAD))
-            at += span
+                width[at] = max(width.get(at, 0), len(cell))
+    size = lambda at, span: sum(width.get(c, 0) for c in range(at, at + span)) + 3 * (span - 1)
+    for at, cell, span in sorted((c for row in rows for c in row[:-1] if c[2] > 1), key=lambda c: c[2]):
+        if (less := len(cell) - size(at, span)) > 0:  # what follows must start behind the whole cell
+            width[at + span - 1] = width.get(at + span - 1, 0) + less
     out = before
     for row in rows:
-        at, line = 0, []
-        for cell, span in row:
-            line.append(cell.ljust(sum(width.get(at + k, 0) for k in range(span)) + 3 * (span - 1)))
-            at += span
+        end, line = 0, []
+        for at, cell, span in row:
+            line += [" " * width.get(c, 0) for c in range(end, at)]
+            line.append(cell.ljust(size(at, span)))
+            end = at + span
         text = " | ".join(line).rstrip()
         if text.strip(" |"):
             out.append(text)

@@ -94,6 +94,24 @@ def test_html_shows_drawings_and_formulas(source, want):
     assert html_text.page_text(source)[1] == want
 
 
+LONG = "w" * 60
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        (f"<tr><td>{LONG}<td>b<tr><td>a<td>c", f"{LONG} | b\n{'a':60} | c"),
+        ("<tr><th>h1<th>h2<th>h3<tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e<tr><td>f<td>g<td>h", "h1 | h2 | h3\na  | b  | c\n   | d  | e\nf  | g  | h"),
+        ("<tr><td>a<td rowspan=2>b<td>c<tr><td>d<td>e", "a | b | c\nd |   | e"), ("<tr><td>a<td rowspan=3>b<tr><td>c<tr><td>d<tr><td>e<td>f", "a | b\nc\nd\ne | f"),
+        ("<tr><td rowspan=2 colspan=2>ab<td>c<tr><td>d<tr><td>1<td>2<td>3", "ab    | c\n  |   | d\n1 | 2 | 3"),
+        ("<tbody><tr><td rowspan=0>a<td>b<tr><td>c</tbody><tbody><tr><td>d<td>e", "a | b\n  | c\nd | e"), ("<tr><td colspan=2>a long one<td>b<tr><td>c<td>d<td>e", "a long one | b\nc | d      | e"),
+        ("<tr><td rowspan=x>a<td>b<tr><td>c<td>d", "a | b\nc | d"),
+    ],
+)
+def test_html_aligns_cells(source, want):
+    assert html_text.page_text(f"<table>{source}</table>")[1] == want
+
+
 def test_html_deep_nesting():
     assert html_text.page_text("<div>" * 50_000 + "x")[1] == "x"
     assert "x" in html_text.page_text("<table><tr><td>" * 200 + "x")[1]
