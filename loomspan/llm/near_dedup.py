@@ -98,8 +98,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
 
 def _ordered(rows: DataFrame, partitions: int) -> DataFrame:
     """The trees' orders: (tree, path, id) sorted over range partitions. The id is part of the order, so a
-    region of any size is spread over partitions. A pair is lost only where a border falls between its members in
-    every tree that has it."""
+    region of any size is spread over partitions."""
     spread = rows.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     # substring() of a column: the start depends on the tree
     paths = spread.select("tree", F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * DEPTH})").alias("path"), "id")
@@ -107,15 +106,24 @@ def _ordered(rows: DataFrame, partitions: int) -> DataFrame:
 
 
 def _neighbours(order: DataFrame, kind: str, depth: int, far: int) -> DataFrame:
-    """(a, b, lcp), a < b, of rows up to ``far`` apart in one tree that share ``depth`` values."""
+    """(a, b, lcp, tree, path): a < b of rows up to ``far`` apart in one tree and partition that share ``depth`` values; and, with
+    null b and lcp, the first and last ``far`` rows of each partition, which have neighbours in others."""
+
+    def border(t: np.ndarray, p: np.ndarray, i: np.ndarray, of: pa.DataType) -> pa.RecordBatch:
+        columns = [pa.array(i, of), pa.nulls(len(i), of), pa.nulls(len(i), pa.int32()), pa.array(t, pa.int32()), pa.array([x.astype(">u4").tobytes() for x in p], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "lcp", "tree", "path"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = path = ids = None
+        begun, of = 0, None
         for batch in batches:
             t = batch.column(0).to_numpy(zero_copy_only=False)
             p = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=">u4").reshape(-1, DEPTH).astype(np.uint32)
             i = batch.column(2).to_numpy(zero_copy_only=False)
-            fresh = len(t)
+            fresh, of = len(t), batch.schema.field(2).type
+            if begun < far:
+                yield border(t[: far - begun], p[: far - begun], i[: far - begun], of)
+                begun += fresh
             if tree is not None:
                 t, p, i = np.concatenate((tree, t)), np.concatenate((path, p)), np.concatenate((ids, i))
             for w in range(1, min(far, len(t) - 1) + 1):
@@ -127,11 +135,25 @@ def _neighbours(order: DataFrame, kind: str, depth: int, far: int) -> DataFrame:
                     x, y = i[first[good]], i[second[good]]
                     swap = x > y
                     lcp = np.cumprod(same[good], axis=1).sum(axis=1).astype(np.int32)
-                    of = batch.schema.field(2).type
-                    yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, y, x), of), pa.array(np.where(swap, x, y), of), pa.array(lcp, pa.int32())], names=["a", "b", "lcp"])
+                    columns = [pa.array(np.where(swap, y, x), of), pa.array(np.where(swap, x, y), of), pa.array(lcp, pa.int32())]
+                    columns += [pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "lcp", "tree", "path"])
             tree, path, ids = t[-far:], p[-far:], i[-far:]
+        if tree is not None:
+            yield border(tree, path, ids, of)
+
+    return order.mapInArrow(run, f"a {kind}, b {kind}, lcp int, tree int, path binary")
+
 
-    return order.mapInArrow(run, f"a {kind}, b {kind}, lcp int")
+def _candidates(order: DataFrame, kind: str, depth: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b, weight): neighbours of the whole order, those across a border of partitions too; and the tables they are read from.
+    A pair may come twice."""
+    found = materialize(_neighbours(order, kind, depth, REACH).groupBy("a", "b", "tree", "path").agg(F.sum("lcp").alias("weight")), "neighbours")
+    # bound: 2 * REACH rows a partition
+    rows = found.where("b is null").select("tree", "path", F.col("a").alias("id")).repartition(1).sortWithinPartitions("tree", "path", "id")
+    over = _neighbours(rows, kind, depth, REACH).where("b is not null").groupBy("a", "b").agg(F.sum("lcp").alias("weight"))
+    over = materialize(over, "neighbours")
+    return found.where("b is not null").select("a", "b", "weight").unionByName(over), [found, over]
 
 
 def _agreement(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
@@ -196,9 +218,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     m = TREES * DEPTH
     least = int(m * similarity - 6 * (m * similarity * (1 - similarity)) ** 0.5)
 
-    found = _neighbours(_ordered(reps, partitions), kind, depth, REACH).groupBy("a", "b").agg(F.sum("lcp").alias("weight"))
-    found = materialize(found, "candidates")
-    roots = None if found.isEmpty() else _roots(found, docs, reps, id_col, text_col, shingle, similarity, depth, least)
+    found, tables = _candidates(_ordered(reps, partitions), kind, depth)
+    roots = None if found.isEmpty() else _roots(found, tables, docs, reps, id_col, text_col, shingle, similarity, depth, least)
     if roots is None:
         by_key = nodes.select("key", F.col("rep").alias("component_id"))
     else:
@@ -208,8 +229,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     return linked.unionByName(alone)
 
 
-def _roots(found: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, depth: int, least: int) -> DataFrame:
-    """(node, root) of the components over all links that share a region, from the candidates ``found``."""
+def _roots(found: DataFrame, tables: list[DataFrame], docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, depth: int, least: int) -> DataFrame:
+    """(node, root) of the components over all links that share a region, from the candidates ``found``, read from ``tables``."""
     members = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
     members = materialize(members.join(reps, "id"), "members")
     sets = materialize(_sets(docs, members.select("id"), id_col, text_col, shingle), "sets")
@@ -226,7 +247,7 @@ def _roots(found: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text
             roots = materialize(components(edges), "roots")
 
     add(_confirmed(_across(found, roots, least, reps), sets, similarity))
-    release(found)
+    release(*tables)
     regions = _open_regions(members, roots, depth)
     if regions.isEmpty():
         return roots

@@ -201,6 +201,20 @@ def test_near_dedup_equals_brute_force(spark, shingle, similarity):
     assert got == brute_components(own, shingle, round(1000 * similarity))
 
 
+def test_near_dedup_compares_across_partitions(spark):
+    rng = random.Random(33)
+    base = [[rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(120)] for _ in range(3)]
+    own = {k: " ".join(base[k // 2] + ["end"] * (k % 2)) for k in range(6)}
+    df = spark.createDataFrame(list(own.items()), "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 16 * len(own))  # a row a partition
+    try:
+        got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.link(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == brute_components(own, 5, 800) and {c for _, c in got.values()} == {0, 2, 4}
+
+
 def test_near_dedup_odd_rows(spark, odd):
     got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.link(odd).collect()}
     assert got[0] == (0, 0) and got[1] == (0, 1) and got[2] == (0, 2) and got[5] == got[4] == (got[4][0], 4) and got[None][1] is None
