@@ -254,7 +254,8 @@ def _columns(part: pa.Table, kind: str, kinds: dict[str, str]) -> list[np.ndarra
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """(spans, numbered): packed starts to remove by group of documents, and the documents with their group.
-    Ids are whole numbers and distinct; a null id takes part as the largest."""
+    Ids are whole numbers; a null id takes part as the largest. Rows that repeat an id count as one document: nothing is
+    removed from one for the other."""
     spark = docs.sparkSession
     small_batches(spark, 250)
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
@@ -314,7 +315,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
             c = raws[owner[k]][lo[k] : hi[k] + length]
             if (j := seen.setdefault(c, k)) == k:
                 sent.append(k)
-            elif owner[j] != owner[k]:
+            elif ids[owner[j]] != ids[owner[k]]:
                 gone.append(k)
             else:
                 sent.append(k)

@@ -402,6 +402,14 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert suffix_dedup.remove(df.where("false")).count() == 0
 
 
+def test_suffix_dedup_of_repeated_rows(spark):
+    rng = random.Random(10)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(200))
+    df = spark.createDataFrame([(1, passage), (1, passage), (2, "x" + passage + "y")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_removed"], bytes(r["kept"])) for r in suffix_dedup.remove(df).collect())
+    assert got == [(1, 0, passage.encode()), (1, 0, passage.encode()), (2, 200, b"xy")]
+
+
 def test_suffix_dedup_odd_rows(spark, odd):
     rows = {r["doc_id"]: r for r in suffix_dedup.remove(odd).collect()}
     assert len(rows) == len(ODD) and rows[0]["n_bytes"] == 0 and rows[6]["n_removed"] == 0
