@@ -19,8 +19,9 @@ from loomspan.llm.common import fold, hash_order, small_batches
 
 WINDOW = 256
 EMBEDDING, WIDTHS, FILTERS = 6, (2, 3, 4), 8
-#: Documents of each language that the network learns from, in hash order of the id, windows of each, spread over the whole text, and languages.
-DOCS_PER_LANGUAGE, WINDOWS_PER_DOC, MAX_LANGUAGES = 500, 6, 200
+#: Documents of each language that the network learns from, in hash order of the id, windows of each, spread over the whole text, and
+#: documents in all: more languages learn from fewer documents each, of one at least.
+DOCS_PER_LANGUAGE, WINDOWS_PER_DOC, MAX_DOCS = 500, 6, 100_000
 EPOCHS, BATCH, RATE = 12, 64, 4e-3
 UNDETERMINED = "und"
 #: ASCII bytes that aren't letters count as a space; padding is zero.
@@ -124,15 +125,16 @@ def fit_cnn(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 11,
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: tuple[int, int] | None = (4, 2), docs_per_language: int = DOCS_PER_LANGUAGE) -> ByteCNN:
-    """Fit on at most ``docs_per_language`` documents of each of the ``MAX_LANGUAGES`` most frequent languages, none of the held-out fold."""
+    """Fit on at most ``docs_per_language`` documents of each language, and about ``MAX_DOCS`` in all, none of the held-out fold."""
     small_batches(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and lang is not null")
     if held_out:
         known = known.where(~fold("id", *held_out))
-    kinds = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
+    kinds = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    most = max(1, min(docs_per_language, MAX_DOCS // max(1, len(kinds))))
     order = Window.partitionBy("lang").orderBy(*hash_order("id"))
-    picked = known.where(F.col("lang").isin(kinds)).withColumn("k", F.row_number().over(order)).where(f"k <= {docs_per_language}").select("id", "lang")
-    # bound: docs_per_language * MAX_LANGUAGES rows of an id and a short text
+    picked = known.withColumn("k", F.row_number().over(order)).where(f"k <= {most}").select("id", "lang")
+    # bound: MAX_DOCS rows, or one a language, of an id and a short text
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(picked), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +148,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     got = sorted(rows.select("id", "text", "lang").mapInArrow(run, "id string, lang string, windows binary").collect())
     parts = [np.frombuffer(r["windows"], np.uint8).reshape(-1, WINDOW) for r in got]
-    y = np.repeat([kinds.index(r["lang"]) for r in got], [len(p) for p in parts]).astype(np.int64)
+    number = {lang: k for k, lang in enumerate(kinds)}
+    y = np.repeat([number[r["lang"]] for r in got], [len(p) for p in parts]).astype(np.int64)
     return fit_cnn(np.concatenate(parts) if parts else np.zeros((0, WINDOW), np.uint8), y, kinds)
 
 

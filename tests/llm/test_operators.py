@@ -330,6 +330,12 @@ def test_language_id_on_held_out_documents(spark, docs, odd):
     assert {r["lang_pred"] for r in language_id.identify(odd, language_id.train(odd.where("false"))).collect()} == {"und"}
 
 
+def test_language_id_learns_every_language(spark):
+    rows = [(k, f"word{k} text", f"l{k:03}") for k in range(230)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), held_out=None)
+    assert model.languages == [r[2] for r in rows] and model.out.shape[1] == len(rows)
+
+
 @pytest.mark.parametrize("module", [quality_classifier, toxicity])
 def test_classifiers_on_held_out_labels(spark, odd, module):
     d = "/root/testdata/sf0.1" if module is toxicity else "/root/testdata/sf0.01"
