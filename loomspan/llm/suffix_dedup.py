@@ -6,21 +6,26 @@ Minimizers that only one document has are dropped first, which leaves the region
 suffixes are sorted by the difference cover modulo 3: triples of sampled suffixes are sorted and named, names recursed on
 until they stand for ``LENGTH`` bytes, the remaining suffixes merged in, and neighbours' prefixes compared.
 
-Equal contexts within a group of documents travel once, so a passage that a third of the corpus has costs a block one context
-a group. Numbers travel as packed arrays, one row for each pair of groups.
+No step gathers what a frequent passage has in all documents. A task that sees a minimizer in two documents answers them itself
+and only notes that it is shared, so the task that unites a minimizer gets a number a flush, not one a document. Equal
+contexts within a group of documents travel once. Blocks that still hold more than ``SPLIT_STARTS`` string starts, as around a
+passage with other neighbours each time, are parted by the whole string: each string goes alone to a part by its hash, and
+parts are sorted like blocks. Numbers travel as packed arrays, one row for each pair of groups.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import small_batches
-from loomspan.plans.shared import materialize, release, sweep
+from pyspark.sql.types import IntegralType
+
+from loomspan.llm.common import bounded_batches, named
+from loomspan.plans.shared import materialize, release
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a group of documents, for each block, and hashed at a time: bounds of a task's memory, and small enough
@@ -28,6 +33,11 @@ LENGTH, GRAM = 50, 20
 GROUP_BYTES, BLOCK_BYTES, CHUNK_BYTES = 6_000_000, 1_600_000, 250_000
 #: Minimizers that a task gathers before it deals them out: few rows, well filled.
 FLUSH = 200_000
+#: String starts beyond which a block is parted by whole strings; bounds a task's time and memory.
+SPLIT_STARTS = 4_000_000
+#: Bits of a start's number within its document; those above tell apart the texts of rows that repeat an id.
+START_BITS = 40
+_NULL = 2**63 - 1
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(int(_P), -1, 2**64))
 
@@ -239,8 +249,8 @@ def _packed(target: np.ndarray, kind: str, *columns: np.ndarray) -> list[dict]:
     return rows
 
 
-_ROW = pa.schema([("to", pa.int64()), ("kind", pa.string()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
-_ROW_SQL = "to long, kind string, a binary, b binary, c binary, d binary"
+_ROW = pa.schema([("to", pa.int64()), ("kind", pa.string()), ("n", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+_ROW_SQL = "to long, kind string, n long, a binary, b binary, c binary, d binary"
 
 
 def _table(rows: list[dict]) -> pa.Table:
@@ -252,28 +262,68 @@ def _columns(part: pa.Table, kind: str, kinds: dict[str, str]) -> list[np.ndarra
     return [np.frombuffer(b"".join(rows[n].to_pylist()), np.dtype(t)) for n, t in kinds.items()]
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """(spans, numbered): packed starts to remove by group of documents, and the documents with their group.
-    Ids are whole numbers; a null id takes part as the largest. Rows that repeat an id count as one document: nothing is
-    removed from one for the other."""
+def _cuts(t: np.ndarray) -> list[tuple[int, int]]:
+    """The runs of equal values of a sorted array."""
+    if not len(t):
+        return []
+    head = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+    return list(zip(head.tolist(), [*head[1:].tolist(), len(t)], strict=True))
+
+
+def _variants(ids: np.ndarray, raws: list[bytes]) -> np.ndarray:
+    """For rows that repeat an id, the number of their text among the id's distinct ones, in their order; else 0. All tasks that see
+    the rows of an id give the same numbers."""
+    out = np.zeros(len(ids), np.int64)
+    order = np.argsort(ids, kind="stable")
+    for lo, hi in _cuts(ids[order]):
+        if hi - lo > 1:
+            rows = order[lo:hi].tolist()
+            number = {t: k for k, t in enumerate(sorted({raws[r] for r in rows}))}
+            out[rows] = [number[raws[r]] for r in rows]
+    return out
+
+
+def _numbered_ids(docs: DataFrame, id_col: str) -> DataFrame | None:
+    """(name, id): whole numbers in the order of ids that aren't whole numbers themselves; None if they are."""
+    if isinstance(docs.schema[id_col].dataType, IntegralType):
+        return None
+    names = docs.select(named(id_col).alias("name")).where("name is not null").distinct().orderBy("name")
+    return materialize(names.select("name", F.monotonically_increasing_id().alias("id")), "ids")
+
+
+def find(docs: DataFrame, ids: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, split_starts: int = SPLIT_STARTS) -> tuple[DataFrame, DataFrame]:
+    """(spans, numbered): packed starts to remove by group of documents, and the documents with their group."""
     spark = docs.sparkSession
-    small_batches(spark, 250)
-    total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    bounded_batches(spark)
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(named(text_col))), F.lit(0))).first()[0]
     groups, blocks, dealers = (max(8, -(-total // k)) for k in (GROUP_BYTES, BLOCK_BYTES, 2 * GROUP_BYTES))
-    ident = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
-    numbered = docs.select(ident.alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"), F.pmod(F.xxhash64(ident), F.lit(groups)).alias("grp"))
+    rows = docs.select(named(id_col).alias("name"), F.coalesce(named(text_col), F.lit("")).cast("binary").alias("raw"))
+    rows = rows.withColumn("id", F.col("name").cast("long")) if ids is None else rows.join(ids, "name", "left")
+    ident = F.coalesce("id", F.lit(_NULL))
+    numbered = rows.select(ident.alias("id"), "raw", F.pmod(F.xxhash64(ident), F.lit(groups)).alias("grp"))
 
     def fingerprints(batches):
-        """Distinct minimizers of each document, to the task that has all documents of a minimizer."""
-        held, size = [], 0
+        """Distinct minimizers of each document, to the task that unites a minimizer ("h"). Of one that several documents here have, only
+        its number goes there ("m"), and the documents' groups are told through any task ("f")."""
+        held, size, turn = [], 0, TaskContext.get().partitionId()
 
         def dealt():
+            nonlocal turn
             h, own = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((own, h))
             h, own = h[order], own[order]
             new = np.concatenate(([True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])))
             h, own = h[new], own[new]
-            return _table(_packed((h % np.uint64(dealers)).astype(np.int64), "h", h, own)).to_batches()
+            head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            count = np.diff(np.append(head, len(h)))
+            one = np.repeat(count == 1, count)
+            dealer = lambda x: (x % np.uint64(dealers)).astype(np.int64)
+            several = h[head[count > 1]]
+            rows = _packed(dealer(h[one]), "h", h[one], own[one]) + _packed(dealer(several), "m", several)
+            if len(several):
+                turn += 1
+                rows += _packed(np.full(len(h) - int(one.sum()), turn % dealers), "f", h[~one], own[~one])
+            return _table(rows).to_batches()
 
         for batch in batches:
             owner, _, _, h = _anchors(batch.column(1).to_pylist(), length)
@@ -288,48 +338,79 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
 
     def shared(part: pa.Table) -> pa.Table:
         h, own = _columns(part, "h", {"a": "u8", "b": "i8"})
+        (several,) = _columns(part, "m", {"a": "u8"})
         order = np.argsort(h, kind="stable")
         h, own = h[order], own[order]
         head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
         lo, hi = np.minimum.reduceat(own, head) if len(h) else own, np.maximum.reduceat(own, head) if len(h) else own
-        many = np.repeat(lo != hi, np.diff(np.append(head, len(h))))
-        h, own = h[many], own[many]
+        many = np.repeat((lo != hi) | np.isin(h[head], several), np.diff(np.append(head, len(h))))
+        fh, fown = _columns(part, "f", {"a": "u8", "b": "i8"})
+        h, own = np.concatenate((h[many], fh)), np.concatenate((own[many], fown))
         return _table(_packed(_group_of(own, groups), "s", h, own))
 
     replies = materialize(numbered.select("id", "raw").mapInArrow(fingerprints, _ROW_SQL).groupBy("to").applyInArrow(shared, _ROW_SQL), "shared")
-    sweep(spark)
 
     def contexts(key, left: pa.Table, right: pa.Table) -> pa.Table:
         """Texts of a group with the minimizers that other documents have: contexts to their blocks, and starts decided within the group."""
         ids = left["id"].to_numpy()
         raws = left["raw"].to_pylist()
+        variant = _variants(ids, raws)
+        # Rows of equal id and text have one answer.
+        rows = _firsts(ids, variant)
+        ids, variant, raws = ids[rows], variant[rows], [raws[k] for k in rows.tolist()]
         owner, lo, hi, h = _anchors(raws, length)
         sh, sown = _columns(right, "s", {"a": "u8", "b": "i8"}) if right.num_rows else (np.empty(0, np.uint64), np.empty(0, np.int64))
         mark = lambda a, b: a ^ (b.astype(np.uint64) * _P)  # noqa: E731  a chance equality only lets one context more through
         keep = np.isin(mark(h, ids[owner]), mark(sh, sown)) if len(h) else np.empty(0, bool)
         owner, lo, hi, h = owner[keep], lo[keep], hi[keep], h[keep]
+        start, count = lo | variant[owner] << START_BITS, hi - lo + 1
         # Equal contexts: the smallest document speaks for all, and the others' starts go at once.
         seen: dict[bytes, int] = {}
         sent, gone = [], []
         for k in np.argsort(ids[owner], kind="stable").tolist():
             c = raws[owner[k]][lo[k] : hi[k] + length]
-            if (j := seen.setdefault(c, k)) == k:
-                sent.append(k)
-            elif ids[owner[j]] != ids[owner[k]]:
-                gone.append(k)
-            else:
-                sent.append(k)
-        rows = _packed(np.full(len(gone), key[0].as_py(), np.int64), "g", ids[owner[gone]], lo[gone], (hi - lo)[gone] + 1) if gone else []
+            j = seen.setdefault(c, k)
+            (sent if j == k or ids[owner[j]] == ids[owner[k]] else gone).append(k)
+        out = _packed(np.full(len(gone), key[0].as_py(), np.int64), "g", ids[owner[gone]], start[gone], count[gone]) if gone else []
         sent = np.array(sent, np.int64)
         to = (h[sent] % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         t = to[order]
-        cuts = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else []
-        for a, b in zip(cuts, [*cuts[1:], len(t)] if len(t) else [], strict=True):
+        for a, b in _cuts(t):
             part = sent[order[a:b]]
             text = b"".join(raws[owner[k]][lo[k] : hi[k] + length] for k in part.tolist())
-            rows.append({"to": int(t[a]), "kind": "c", "a": ids[owner[part]].tobytes(), "b": lo[part].tobytes(), "c": ((hi - lo)[part] + 1).tobytes(), "d": text})
-        return _table(rows)
+            out.append({"to": int(t[a]), "kind": "c", "n": int(count[part].sum()), "a": ids[owner[part]].tobytes(), "b": start[part].tobytes(), "c": count[part].tobytes(), "d": text})
+        return _table(out)
+
+    def parted(batches, parts: int):
+        """Contexts of a block of too many starts as single strings, to parts by the string's hash; of equal ones in a row the smallest
+        document speaks for all."""
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            for row in range(batch.num_rows):
+                one = part.slice(row, 1)
+                own, base, valid = _columns(one, "c", {"a": "i8", "b": "i8", "c": "i8"})
+                text = np.frombuffer(one["d"][0].as_py(), np.uint8)
+                first = np.cumsum(valid + length - 1) - (valid + length - 1)
+                of = np.repeat(np.arange(len(own)), valid)
+                step = np.arange(len(of)) - np.repeat(np.cumsum(valid) - valid, valid)
+                at, start, mine = first[of] + step, base[of] + step, own[of]
+                for k in range(0, len(at), CHUNK_BYTES // length):
+                    chunk = slice(k, k + CHUNK_BYTES // length)
+                    strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, length)[at[chunk]])
+                    _, same = np.unique(strings.view(f"V{length}").ravel(), return_inverse=True)
+                    least = np.full(int(same.max()) + 1, _NULL)
+                    np.minimum.at(least, same, mine[chunk])
+                    late = mine[chunk] > least[same]
+                    n = len(late)
+                    rows = _packed(_group_of(mine[chunk][late], groups), "g", mine[chunk][late], start[chunk][late], np.ones(int(late.sum()), np.int64))
+                    to = blocks + (gram_hashes(strings.ravel(), length)[::length] % np.uint64(parts)).astype(np.int64)
+                    stay = np.flatnonzero(~late)
+                    stay = stay[np.argsort(to[stay], kind="stable")]
+                    for a, b in _cuts(to[stay]):
+                        p = stay[a:b]
+                        rows.append({"to": int(to[p[0]]), "kind": "c", "n": len(p), "a": mine[chunk][p].tobytes(), "b": start[chunk][p].tobytes(), "c": np.ones(len(p), np.int64).tobytes(), "d": strings[p].tobytes()})
+                    yield from _table(rows).to_batches() if n else ()
 
     def decided(part: pa.Table) -> pa.Table:
         """One block: the starts whose string a smaller document has, by group of documents."""
@@ -360,16 +441,31 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
         pick = goes[head]
         return _table(_packed(_group_of(own[of[head[pick]]], groups), "g", own[of[head[pick]]], place[head[pick]], count[pick]))
 
-    made = numbered.groupBy("grp").cogroup(replies.groupBy("to")).applyInArrow(contexts, _ROW_SQL)
-    made = materialize(made, "contexts")
+    made = materialize(numbered.groupBy("grp").cogroup(replies.groupBy("to")).applyInArrow(contexts, _ROW_SQL), "contexts")
     release(replies)
-    sweep(spark)
-    spans = materialize(made.where("kind = 'c'").groupBy("to").applyInArrow(decided, _ROW_SQL).unionByName(made.where("kind = 'g'")), "spans")
-    release(made)
-    sweep(spark)
+    sent, told = made.where("kind = 'c'"), made.where("kind = 'g'")
+    large = sent.groupBy("to").agg(F.sum("n").alias("starts")).where(F.col("starts") > split_starts)
+    starts = large.agg(F.sum("starts")).first()[0]
+    if starts:
+        parts = -(-starts * length // BLOCK_BYTES)
+        large = large.select("to")
+        alone = materialize(sent.join(large, "to", "left_semi").select(*_ROW.names).mapInArrow(lambda batches: parted(batches, parts), _ROW_SQL), "contexts")
+        sent = sent.join(large, "to", "left_anti").select(*_ROW.names).unionByName(alone.where("kind = 'c'"))
+        told = told.unionByName(alone.where("kind = 'g'"))
+    spans = materialize(sent.groupBy("to").applyInArrow(decided, _ROW_SQL).unionByName(told), "spans")
+    release(made, *([alone] if starts else []))
     return spans, numbered
 
 
+def _firsts(ids: np.ndarray, variant: np.ndarray) -> np.ndarray:
+    """The first row of each pair, in the rows' order."""
+    if not len(ids):
+        return np.empty(0, np.int64)
+    order = np.lexsort((variant, ids))
+    new = np.concatenate(([True], (ids[order][1:] != ids[order][:-1]) | (variant[order][1:] != variant[order][:-1])))
+    return np.sort(order[new])
+
+
 def _group_of(ids: np.ndarray, groups: int) -> np.ndarray:
     """The group of documents, as Spark's pmod(xxhash64(id), groups) gives it."""
     p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -386,19 +482,28 @@ def _group_of(ids: np.ndarray, groups: int) -> np.ndarray:
     return np.mod(h.view(np.int64), groups)
 
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept binary): each text's UTF-8 bytes without those covered by a ``length``-byte string that a
-    document of a smaller id has too. Judged on the input; overlaps count; strings don't cross documents; null counts as empty."""
-    spans, numbered = find(docs, id_col, text_col, length)
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, split_starts: int = SPLIT_STARTS) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept binary) for every row: each text's UTF-8 bytes without those covered by a ``length``-byte
+    string that a document of a smaller id has too. Judged on the input; overlaps count; strings don't cross documents; null counts
+    as empty. Ids of any type that can be ordered; null comes last. Rows that repeat an id count as one document: nothing is removed
+    from one for the other, and each keeps its own text. Long texts are read whole; only the two named columns are read, so no
+    other name clashes; an empty table gives no row."""
+    ids = _numbered_ids(docs, id_col)
+    spans, numbered = find(docs, ids, id_col, text_col, length, split_starts)
 
     def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = left["id"].to_numpy()
+        ids, raws = left["id"].to_numpy(), left["raw"].to_pylist()
         own, start, count = _columns(right, "g", {"a": "i8", "b": "i8", "c": "i8"}) if right.num_rows else (np.empty(0, np.int64),) * 3
-        order = np.argsort(own, kind="stable")
-        own, start, count = own[order], start[order], count[order]
-        lo, hi = np.searchsorted(own, ids, side="left"), np.searchsorted(own, ids, side="right")
+        variant = _variants(ids, raws)
+        # A number for each id and text that orders spans and rows alike.
+        known, many = np.unique(np.concatenate((ids, own))), int(variant.max(initial=0)) + 1
+        row, span = np.searchsorted(known, ids) * many + variant, np.searchsorted(known, own) * many + (start >> START_BITS)
+        start = start & (1 << START_BITS) - 1
+        order = np.argsort(span, kind="stable")
+        span, start, count = span[order], start[order], count[order]
+        lo, hi = np.searchsorted(span, row, side="left"), np.searchsorted(span, row, side="right")
         n, removed, runs, kept = [], [], [], []
-        for raw, a, b in zip(left["raw"].to_pylist(), lo.tolist(), hi.tolist(), strict=True):
+        for raw, a, b in zip(raws, lo.tolist(), hi.tolist(), strict=True):
             n.append(len(raw))
             if a == b:
                 removed.append(0)
@@ -415,7 +520,11 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
         return pa.table({"id": pa.array(ids, pa.int64()), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
     out = numbered.groupBy("grp").cogroup(spans.groupBy("to")).applyInArrow(finish, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.withColumn("id", F.when(F.col("id") != 2**63 - 1, F.col("id"))).withColumnRenamed("id", id_col)
+    if ids is None:
+        name = F.when(F.col("id") != _NULL, F.col("id")).cast(docs.schema[id_col].dataType)
+    else:
+        out, name = out.join(ids, "id", "left"), F.col("name")
+    return out.select(name.alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
