@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch: with texts of a few KB a batch stays at some MB, and 1,000 texts of 100 KB still fit.
-ARROW_ROWS = 1000
+#: Bytes in one Arrow batch, whatever the length of the texts; a text of more is a batch of its own.
+ARROW_BYTES = "16m"
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound what one Python worker holds at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound what one Python worker holds at a time. One value for all operators, so a plan that runs later has the same bound;
+    a bound that the session has already stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
+def named(column: str) -> Column:
+    """The column of just this name, dots and back-ticks in it included."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

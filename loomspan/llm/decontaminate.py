@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import small_batches
+from loomspan.llm.common import bounded_batches
 
 WINDOW = 10
 #: Item words in one automaton: a bound of some hundred MB on what is broadcast.
@@ -200,7 +200,7 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     """(id, n_words, n_hit, items array<string>, longest) for each row, repeated and null ids too. Null texts have no words;
     null or empty items no window; items of the same words all count."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     blocks = _Blocks(items, item_col, item_text_col, window, max_block_words)
 
@@ -222,7 +222,7 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_coverage: float = MAX_COVERAGE, max_block_words: int = MAX_BLOCK_WORDS) -> DataFrame:
     """``docs`` with the spans of hit words cut out of the text, a space in each one's place; documents whose share of
     hit words reaches ``max_coverage`` go. Other columns stay as they are; null texts and texts without hits are untouched."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     blocks = _Blocks(items, item_col, item_text_col, window, max_block_words)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import fold, hash_order, small_batches
+from loomspan.llm.common import bounded_batches, fold, hash_order
 
 WINDOW = 256
 EMBEDDING, WIDTHS, FILTERS = 6, (2, 3, 4), 8
@@ -126,7 +126,7 @@ def fit_cnn(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 11,
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: tuple[int, int] | None = (4, 2), docs_per_language: int = DOCS_PER_LANGUAGE) -> ByteCNN:
     """Fit on at most ``docs_per_language`` documents of each language, and about ``MAX_DOCS`` in all, none of the held-out fold."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and lang is not null")
     if held_out:
         known = known.where(~fold("id", *held_out))
@@ -155,7 +155,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def identify(docs: DataFrame, model: ByteCNN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) for every row, from its whole text alone."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     payload = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

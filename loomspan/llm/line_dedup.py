@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.llm.common import named
 from loomspan.plans.shared import materialize
 
 LINES = 3
@@ -23,8 +24,8 @@ def _lines(text: Column) -> Column:
 
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines: int = LINES) -> DataFrame:
     """(id, first, last, h1, h2): the lines' numbers from 0 and 128 bits of hash of each window. Texts of fewer lines have none."""
-    solid = F.filter(F.transform(_lines(F.col(text_col)), lambda x, i: F.struct(F.trim(x, F.lit(" \t\r")).alias("t"), i.alias("i"))), lambda x: x["t"] != "")
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), solid.alias("s")).where(F.size("s") >= lines)
+    solid = F.filter(F.transform(_lines(F.col("text")), lambda x, i: F.struct(F.trim(x, F.lit(" \t\r")).alias("t"), i.alias("i"))), lambda x: x["t"] != "")
+    rows = docs.select(named(id_col).alias("id"), named(text_col).alias("text")).where("id is not null and text is not null").select("id", solid.alias("s")).where(F.size("s") >= lines)
     at = lambda k, j: F.get(F.col("s"), k + j)
     parts = lambda k: [at(k, j)["t"] for j in range(lines)]
     made = F.transform(F.sequence(F.lit(0), F.size("s") - lines), lambda k: F.struct(at(k, 0)["i"].alias("first"), at(k, lines - 1)["i"].alias("last"), F.xxhash64(*parts(k)).alias("h1"), F.xxhash64(F.lit(1), *parts(k)).alias("h2")))
@@ -41,19 +42,29 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return spans.select("id", F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"])))).alias("gone"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines: int = LINES) -> DataFrame:
-    """``docs`` with later occurrences cut from the text, and ``lines_total``, ``lines_removed`` added. Null texts stay
-    null with 0 lines; a null id keeps its text whole. Which rows there are doesn't change."""
-    gone = removed_lines(docs, id_col, text_col, lines).select(F.col("id").alias("__id"), "gone")
-    split = _lines(F.col(text_col))
-    joined = docs.withColumn("__n", F.coalesce(F.size(F.when(F.col(text_col).isNotNull(), split)), F.lit(0))).join(gone, F.col(id_col) == F.col("__id"), "left")
-    kept = F.array_except(F.sequence(F.lit(0), F.col("__n") - 1), F.col("gone"))
-    joined = joined.withColumn("__lines", F.when(F.col("gone").isNotNull(), split))
-    lines_col = F.col("__lines")
-    # ``__lines`` is named twice, which keeps the optimizer from splitting the text anew for every line.
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).when(F.size(lines_col) == F.size("gone"), F.lit("")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines_col, i)), "\n"))
-    others = [c for c in docs.columns if c != text_col]
-    return joined.select(*others, text.alias(text_col), F.greatest(F.col("__n"), F.lit(0)).cast("long").alias("lines_total"), F.coalesce(F.size(F.when(F.col("gone").isNotNull(), F.col("gone"))), F.lit(0)).cast("long").alias("lines_removed")).select(*docs.columns, "lines_total", "lines_removed")
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines: int = LINES, counts: tuple[str, str] | None = ("lines_total", "lines_removed"), drop_emptied: bool = False) -> DataFrame:
+    """``docs`` with later occurrences cut from the text, and the ``counts`` of lines before and of lines removed added, unless
+    None is given for them; a column of ``docs`` that has such a name gives way to the count. Other names don't clash: what is
+    carried along travels in a struct. Null texts stay null with 0 lines, texts without a line that isn't blank are whole, and so
+    are texts of a null id. Of equal windows the one of the smallest (id, line) stays. Rows that repeat an id count as one document,
+    so equal ones stay equal. Texts of any length are split whole. Which rows there are doesn't change, unless ``drop_emptied``: then
+    those go of which a cut leaves nothing but white space."""
+    gone = removed_lines(docs, id_col, text_col, lines)
+    taken = {c.lower() for c in counts or ()}
+    others = [c for c in docs.columns if c not in (id_col, text_col) and c.lower() not in taken]
+    rows = docs.select(named(id_col).alias("key"), named(text_col).alias("text"), F.struct(F.lit(None).cast("int"), *map(named, others)).alias("others"))
+    split = _lines(F.col("text"))
+    rows = rows.join(gone.withColumnRenamed("id", "key"), "key", "left").withColumn("lines", F.when(F.col("gone").isNotNull(), split))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    # ``lines`` is named twice, which keeps the optimizer from splitting the text anew for every line.
+    text = F.when(F.col("gone").isNull(), F.col("text")).when(F.size("lines") == F.size("gone"), F.lit("")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n"))
+    total, removed = F.coalesce(F.size(split), F.lit(0)).cast("long"), F.coalesce(F.size("gone"), F.lit(0)).cast("long")
+    rows = rows.select("key", "others", text.alias("text"), total.alias("total"), removed.alias("removed"))
+    if drop_emptied:
+        rows = rows.where((F.col("removed") == 0) | F.col("text").rlike(r"\S"))
+    place = {id_col: F.col("key"), text_col: F.col("text")} | {c: F.col("others").getField(c) for c in others}
+    out = [place[c].alias(c) for c in docs.columns if c in place]
+    return rows.select(*out, *([F.col("total").alias(counts[0]), F.col("removed").alias(counts[1])] if counts else []))
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import small_batches
+from loomspan.llm.common import bounded_batches
 from loomspan.llm.graph import components
 from loomspan.plans.shared import materialize, release
 
@@ -205,7 +205,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     empty set and are linked with nothing, as are rows with a null id (whose component is null). Rows that repeat an id
     count as one document. ``similarity`` counts to three decimals."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     depth = depth_for(similarity)
     own = materialize(signatures(docs, id_col, text_col, shingle), "signatures")
     kind = own.schema["id"].dataType.simpleString()

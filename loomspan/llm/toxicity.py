@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import fold, hash_order, small_batches
+from loomspan.llm.common import bounded_batches, fold, hash_order
 
 #: Bits of the feature hash.
 BITS = 20
@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ``held_out`` = (modulus, remainder) of the crc32 of the id: labels of that fold are never read, and its texts aren't
     used either. ``prior``: share of toxic documents; by default the labelled share outside the held-out fold."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     open_rows = (lambda df: df.where(F.col(id_col).isNotNull() & ~fold(id_col, *held_out))) if held_out else (lambda df: df.where(F.col(id_col).isNotNull()))
     known = open_rows(labels.select(id_col, F.col(label_col).cast("int").alias("__y"))).where(F.col("__y").isNotNull())
     total, toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("__y") == 1).cast("long")), F.lit(0))).first()
@@ -185,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: PUModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for every row. Null and empty texts have no feature, so their score is the logistic of the bias.
     Repeated rows are scored each; columns other than the two named aren't read."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     payload = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +199,7 @@ def score(docs: DataFrame, model: PUModel, id_col: str = "doc_id", text_col: str
 
 def reject(docs: DataFrame, model: PUModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose score stays below ``threshold``."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     payload = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
