@@ -13,27 +13,29 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import small_batches
+from loomspan.llm.common import bounded_batches, named
 from loomspan.plans.shared import materialize
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces packed by one task: bounds its time and memory, whatever the size of the corpus.
 BLOCK = 250_000
-#: Words whose ids a worker remembers in each of two generations: some 100 MB each.
-REMEMBERED = 500_000
+#: Words whose ids a worker remembers in each of two generations, their bytes and those of their ids, and bytes of the longest one:
+#: some 100 MB each with what Python adds to a word.
+REMEMBERED, REMEMBERED_BYTES, LONGEST = 500_000, 40_000_000, 200
 #: ASCII punctuation that the tokenizer splits from a letter before it. The apostrophe isn't among it: it starts contractions.
 _TAIL = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 
 
 class WordTokenizer:
-    """Token ids of whole texts. The tokenizer splits at white space before anything else and never looks across it,
-    so ids are looked up by white-space separated chunk and only unknown chunks are encoded. ``safe`` is False for
-    tokenizers that don't split so; then each text is encoded whole."""
+    """Token ids of whole texts. A tokenizer that splits at white space before anything else never looks across it, so ids are
+    looked up by white-space separated chunk and only unknown chunks are encoded. Each shortcut is taken only if probes show
+    that the tokenizer allows it: ``safe``, it splits so (else each text is encoded whole); ``folds``, it lower-cases A-Z;
+    ``parts``, it splits ASCII punctuation from a word before it."""
 
     _loaded: dict[str, WordTokenizer] = {}
 
@@ -41,9 +43,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.safe = self._splits_at_space()
+        self.safe, self.folds, self.parts = self._splits_at_space(), self._folds_case(), self._parts_tails()
         self.known: dict[bytes, bytes] = {}  # the newer of two generations: what is used stays
         self.older: dict[bytes, bytes] = {}
+        self.size = 0  # bytes in the newer one
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -52,8 +55,16 @@ class WordTokenizer:
         return cls._loaded[path]
 
     def _splits_at_space(self) -> bool:
-        probe = "Is it's 12 ab\n\t'll (re)do,  don't! x"
-        return self._encode(probe) == b"".join(self._encode(x) for x in probe.split())
+        probes = ("Is it's 12 ab\n\t'll (re)do,  don't! x", " A-b C_d\r\n\r\nUPPER lower MiXed 3.14 1,000 50% $5 é ß İ ñ 中文 🎉 a/b <x> \"q\" ... --- #tag @me ", "ends in space \n ")
+        return all(self._encode(p) == b"".join(self._encode(x) for x in p.split()) for p in probes)
+
+    def _folds_case(self) -> bool:
+        probes = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "The Quick BROWN fOX Jumps", "McDonald's I'LL NASA-Esa Île ÉCOLE Straße")
+        return all(self._encode(p) == self._encode(p.encode().lower().decode()) for p in probes)
+
+    def _parts_tails(self) -> bool:
+        marks = _TAIL.decode()
+        return all(self._encode("word" + x + y) == self._encode("word") + self._encode(x + y) for x in marks for y in ["", *marks])
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.inner.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -61,16 +72,18 @@ class WordTokenizer:
     def _learn(self, chunk: bytes) -> bytes:
         """Ids of a chunk that isn't in the newer generation. A word with punctuation after it is put together each time:
         cheaper than to remember every pair of them."""
-        body = chunk.rstrip(_TAIL)
+        body = chunk.rstrip(_TAIL) if self.parts else chunk
         if body and len(body) < len(chunk) and (body[-1] in b"abcdefghijklmnopqrstuvwxyz") and b"<" not in chunk:
             tail = chunk[len(body) :]
             return (self.known.get(body) or self._learn(body)) + (self.known.get(tail) or self._learn(tail))
         out = self.older.get(chunk)
         if out is None:
             out = self._encode(chunk.decode("utf-8", "replace"))
-        if len(self.known) >= REMEMBERED:
-            self.known, self.older = {}, self.known
-        self.known[chunk] = out
+        if len(chunk) <= LONGEST:
+            if len(self.known) >= REMEMBERED or self.size >= REMEMBERED_BYTES:
+                self.known, self.older, self.size = {}, self.known, 0
+            self.known[chunk] = out
+            self.size += len(chunk) + len(out)
         return out
 
     def ids(self, text: str) -> bytes:
@@ -78,7 +91,7 @@ class WordTokenizer:
         if not self.safe:
             return self._encode(text)
         raw = text.encode("utf-8", "replace")
-        if b"<|" not in raw:  # the special tokens' strings are case-sensitive
+        if self.folds and b"<|" not in raw:  # the special tokens' strings are case-sensitive
             raw = raw.lower()
         chunks = raw.split()
         found = list(map(self.known.get, chunks))
@@ -90,7 +103,7 @@ class WordTokenizer:
 def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """One row a piece: (id, piece, start, length, ids_crc32[, ids]). A null text counts as empty, so it is the end id
     alone; texts longer than ``capacity`` are cut, and only those. Every row of ``docs`` gives pieces, repeated ones too."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     end = int(end_id).to_bytes(4, "little")
     kind = docs.schema[id_col].dataType
 
@@ -118,7 +131,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = f"`{id_col}` {kind.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(named(id_col), named(text_col)).mapInArrow(run, schema)
 
 
 class SumOfSquares:
@@ -162,22 +175,24 @@ def pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, bl
     """``pieces`` (id, piece, length, any other columns) with ``sequence_id`` and a gapless ``offset`` in that sequence.
     Pieces that fill a sequence take one each. The others are dealt by hash to blocks, and a block is packed in hash order,
     ties by id and piece: the rule is made for mixed sizes, and the result doesn't depend on the partitioning."""
-    small_batches(pieces.sparkSession, 20_000)
+    bounded_batches(pieces.sparkSession)
     rest = pieces.where(F.col("length") < capacity)
     blocks = max(1, -(-rest.count() // block))
-    order = [id_col, "piece"]
+    rest_cols = [f.name for f in pieces.schema.fields]
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["__hash", *order], kind="stable", na_position="first", ignore_index=True)
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        # Ids never leave Arrow: pandas would make numbers beside a null inexact.
+        keys = pa.table({"hash": part["__hash"], "id": part[id_col], "piece": part["piece"]})
+        part = part.take(pc.sort_indices(keys, sort_keys=[("hash", "ascending"), ("id", "ascending"), ("piece", "ascending")], null_placement="at_start"))
         bins = SumOfSquares(capacity)
-        put = [bins.put(int(x)) for x in part["length"]]
-        part["sequence_id"] = [key[0] + blocks * x for x, _ in put]
-        part["offset"] = [x for _, x in put]
-        return part.drop(columns=["__block", "__hash"])
+        put = [bins.put(x) for x in part["length"].to_pylist()]
+        number = key[0].as_py()
+        part = part.select(rest_cols)
+        return part.append_column("sequence_id", pa.array([number + blocks * x for x, _ in put], pa.int64())).append_column("offset", pa.array([x for _, x in put], pa.int64()))
 
-    hashed = F.xxhash64(F.col(id_col).cast("string"), F.col("piece"))
+    hashed = F.xxhash64(named(id_col).cast("string"), F.col("piece"))
     filled = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
-    packed = rest.withColumns({"__hash": F.floor(hashed / blocks), "__block": F.pmod(hashed, F.lit(blocks)).cast("long")}).groupBy("__block").applyInPandas(run, filled)
+    packed = rest.withColumns({"__hash": F.floor(hashed / blocks), "__block": F.pmod(hashed, F.lit(blocks)).cast("long")}).groupBy("__block").applyInArrow(run, filled)
     # Negative numbers never meet those of the blocks.
     alone = pieces.where(F.col("length") >= capacity).select("*", (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(alone)
@@ -190,7 +205,9 @@ def default_tokenizer() -> str:
 
 
 def best_fit(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Tokenize and pack: (id, piece, start, length, ids_crc32, sequence_id, offset). An empty table gives no row."""
+    """Tokenize and pack: (id, piece, start, length, ids_crc32, sequence_id, offset). Null and empty texts are the end id alone; ids of any
+    type, null ones too, come back as they are; repeated rows are packed each; texts of any length are read whole; only the two
+    named columns are read, so others can't clash. An empty table gives no row."""
     pieces = materialize(tokenized(docs, tokenizer_path or default_tokenizer(), id_col, text_col, capacity, end_id), "pieces")
     return pack(pieces, id_col, capacity)
 
