@@ -10,6 +10,7 @@ Pages are independent: one Arrow-batched pass, no shuffle.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomspan.llm.common import small_batches
+from loomspan.llm.common import bounded_batches, named
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,7 +48,7 @@ HEAD = frozenset("title meta link base script style template noscript".split())
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"'][^\s=/>]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
-_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)", re.I)
+_NUMBER = re.compile(r"[ \t\n\r\f]*\+?([0-9]+)")
 
 
 def _tag_end(text: str, at: int) -> int:
@@ -138,16 +139,52 @@ def tokens(text: str) -> Iterator[tuple[str, str, dict[str, str] | None]]:
 
 
 class Node:
-    __slots__ = ("attributes", "children", "foreign", "name")
+    """An element. ``seen``: whether its own text shows; ``gone``: it isn't laid out at all; ``lines``: of a table that is laid out."""
+
+    __slots__ = ("attributes", "children", "foreign", "gone", "lines", "name", "seen")
 
     def __init__(self, name: str, attributes: dict[str, str] | None = None, foreign: bool = False):
         self.name, self.attributes, self.children, self.foreign = name, attributes or {}, [], foreign
+        self.seen, self.gone, self.lines = True, False, None
+
+
+class _Open:
+    """The open elements, with the places of each name, so that no tag is looked for along the whole stack."""
+
+    def __init__(self, root: Node):
+        self.stack, self.at = [root], {}
+        self.blocks: list[int] = []
+
+    def __getitem__(self, k: int) -> Node:
+        return self.stack[k]
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.name, []).append(len(self.stack))
+        if node.name in BLOCKS or node.name in ("td", "th", "button"):
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, k: int) -> None:
+        """Closes the element at ``k`` and all in it."""
+        while len(self.stack) > k:
+            self.at[self.stack.pop().name].pop()
+            if self.blocks and self.blocks[-1] == len(self.stack):
+                self.blocks.pop()
+
+    def last(self, *names: str) -> int:
+        """Place of the innermost open element of the names; 0 if there is none."""
+        return max((x[-1] for n in names if (x := self.at.get(n))), default=0)
+
+    def first_after(self, k: int, names: set[str]) -> int:
+        """Place of the outermost one beyond ``k``; 0 if there is none."""
+        found = [x[i] for n in names if (x := self.at.get(n)) and (i := bisect.bisect_right(x, k)) < len(x)]
+        return min(found, default=0)
 
 
 def build(text: str) -> tuple[Node, str]:
     """The tree under an implied body, and the title. Head elements before any content aren't part of it."""
     root = Node("body")
-    stack, title = [root], ""
+    stack, title = _Open(root), ""
     for kind, data, attributes in tokens(text):
         if kind == "text":
             if data:
@@ -158,25 +195,26 @@ def build(text: str) -> tuple[Node, str]:
                     for k, v in attributes.items():
                         root.attributes.setdefault(k, v)
                 if data == "head":
-                    stack.append(Node("head"))
-                    stack[-2].children.append(stack[-1])
+                    node = Node("head")
+                    stack[-1].children.append(node)
+                    stack.push(node)
                 elif data == "body":
                     _close(stack, "head")
                 continue
             if stack[-1].name == "head" and data not in HEAD:
-                stack.pop()  # the head ends at the first element that can't be in it
+                stack.cut(len(stack.stack) - 1)  # the head ends at the first element that can't be in it
             if data in BREAKOUT:
                 while stack[-1].foreign and stack[-1].name not in INTEGRATION:
-                    stack.pop()
+                    stack.cut(len(stack.stack) - 1)
             _imply(stack, data)
             up = stack[-1]
             node = Node(data, attributes, data in ("svg", "math") or (up.foreign and up.name not in INTEGRATION))
-            stack[-1].children.append(node)
+            up.children.append(node)
             if data not in VOID:
-                stack.append(node)
+                stack.push(node)
         elif data in ("body", "html"):
             continue
-        elif data == "p" and not any(n.name == "p" for n in stack[-12:]):
+        elif data == "p" and not stack.last("p"):
             stack[-1].children.append(Node("p"))  # an end tag without a start makes an empty paragraph
         elif data == "br":
             stack[-1].children.append(Node("br"))
@@ -188,54 +226,81 @@ def build(text: str) -> tuple[Node, str]:
     return root, title
 
 
-def _close(stack: list[Node], name: str) -> None:
-    """End tag: closes to the nearest open element of the name; tables are only left by their own end tag."""
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].name == name:
-            del stack[k:]
-            return
-        if stack[k].name == "table" and name not in ("table", "body", "html"):
-            return
-        if stack[k].name in ("td", "th", "li") and name in ("b", "i", "em", "strong", "span", "a", "font"):
-            return
+def _close(stack: _Open, name: str) -> None:
+    """End tag: closes to the nearest open element of the name; tables are only left by their own end tag, and a cell or an item
+    is not left by the end of what only sets letters apart."""
+    at = stack.last(name)
+    if not at or name != "table" and stack.last("table") > at:
+        return
+    if name in ("b", "i", "em", "strong", "span", "a", "font") and stack.last("td", "th", "li") > at:
+        return
+    stack.cut(at)
 
 
-def _imply(stack: list[Node], name: str) -> None:
-    if name in BLOCKS and name != "option":
-        for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-            if stack[k].name == "p":
-                del stack[k:]
-                break
-            if stack[k].name in BLOCKS or stack[k].name in ("td", "th", "button"):
-                break
+def _imply(stack: _Open, name: str) -> None:
+    if name in BLOCKS and name != "option" and stack.blocks and stack[stack.blocks[-1]].name == "p":
+        stack.cut(stack.blocks[-1])  # a block ends an open paragraph
     ends = IMPLIED_END.get(name)
     if ends:
-        barrier = BARRIER.get(name, ())
-        lowest = None
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in barrier:
-                break
-            if stack[k].name in ends:
-                lowest = k
-                if name in ("li", "option"):
-                    break
-        if lowest is not None:
-            del stack[lowest:]
+        barrier = stack.last(*BARRIER.get(name, ()))
+        at = stack.last(*ends) if name in ("li", "option") else stack.first_after(barrier, ends)
+        if at > barrier:
+            stack.cut(at)
     if name in ("td", "th") and stack[-1].name in ("table", "tbody", "thead", "tfoot"):
         row = Node("tr")
         stack[-1].children.append(row)
-        stack.append(row)
+        stack.push(row)
 
 
-def hidden(node: Node) -> bool:
-    a = node.attributes
-    if node.name in INVISIBLE or (node.foreign and node.name in FOREIGN_INVISIBLE):
-        return True
-    if not a:
-        return False
-    if node.foreign and (a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse")):
-        return True
-    return "hidden" in a or (node.name == "input") or (node.name == "dialog" and "open" not in a) or bool("style" in a and _HIDDEN.search(a["style"]))
+def _styles(node: Node) -> dict[str, str]:
+    """The last value of each property of the style attribute, important ones before others; in drawings attributes count as styles."""
+    found = {k: node.attributes[k].strip().lower() for k in ("display", "visibility") if k in node.attributes} if node.foreign else {}
+    strong = set()
+    for part in node.attributes.get("style", "").split(";"):
+        name, colon, value = part.partition(":")
+        name, value = name.strip().lower(), value.strip().lower()
+        if not colon:
+            continue
+        bare, mark, rest = value.partition("!")
+        important = bool(mark) and rest.strip() == "important"
+        if important or name not in strong:
+            found[name] = bare.strip() if important else value
+        if important:
+            strong.add(name)
+    return found
+
+
+def _visibility(node: Node, up: Node | None) -> None:
+    """Sets ``gone`` and ``seen``. Visibility is inherited and may be set again further in; what isn't displayed takes all in it along."""
+    a, name = node.attributes, node.name
+    styles = _styles(node) if a and ("style" in a or node.foreign) else {}
+    node.gone = (
+        name in INVISIBLE or (node.foreign and name in FOREIGN_INVISIBLE) or "hidden" in a or name == "input" or (name == "dialog" and "open" not in a)
+        or styles.get("display") == "none" or styles.get("content-visibility") == "hidden"
+    )
+    node.seen = up is None or up.seen
+    if (own := styles.get("visibility")) in ("visible", "hidden", "collapse"):
+        node.seen = own == "visible"
+
+
+def mark(root: Node) -> list[Node]:
+    """Marks what is visible in the whole tree; the displayed tables, inner ones before those around them."""
+    _visibility(root, None)
+    tables, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.name == "table":
+            tables.append(node)
+        if node.name == "details":  # its first summary comes first, and alone if it is closed
+            first = next((c for c in node.children if isinstance(c, Node) and c.name == "summary"), None)
+            rest = [c for c in node.children if c is not first] if "open" in node.attributes else []
+            node.children = ([first] if first else []) + rest
+        for child in node.children:
+            if not isinstance(child, str):
+                _visibility(child, node)
+                if not child.gone:
+                    stack.append(child)
+    return tables[::-1]  # a table comes before what is in it
 
 
 class _Out:
@@ -282,27 +347,27 @@ class _Out:
 
 
 def _span(cell: Node, name: str, most: int) -> int:
-    """The whole number in a span attribute, at most ``most``; 1 without one."""
-    value = cell.attributes.get(name, "1").strip()
-    return min(int(value), most) if value.isdecimal() and len(value) < 10 else 1
+    """The whole number at the start of a span attribute, at most ``most``; 1 without one."""
+    m = _NUMBER.match(cell.attributes.get(name, ""))
+    return min(int(m[1][:9]), most) if m else 1
 
 
-def _table(node: Node, depth: int) -> list[str]:
-    """Lines of a table: one a row, cells padded to the widest of their column. A cell that spans columns takes that many; below one
-    that spans rows its columns stay empty."""
-    rows: list[list[tuple[int, str, int]]] = []
+def _table(node: Node) -> list[str]:
+    """Lines of a table: one for each line of a row's highest cell, cells padded to the widest line of their column. A cell that spans
+    columns takes that many; below one that spans rows its columns stay empty."""
+    rows: list[list[tuple[int, list[str], int]]] = []
     before: list[str] = []
     pending = [node]
     while pending:
-        n = pending.pop(0)
+        n = pending.pop()
         below = []
         taken: dict[int, int] = {}  # column: rows of this group that an earlier cell still takes
         for child in n.children:
             if isinstance(child, str):
-                if not child.isspace():
+                if n.seen and not child.isspace():
                     before.append(_SPACE.sub(" ", child).strip())
                 continue
-            if hidden(child):
+            if child.gone:
                 continue
             if child.name in ("thead", "tbody", "tfoot"):
                 below.append(child)
@@ -310,13 +375,13 @@ def _table(node: Node, depth: int) -> list[str]:
                 row, at, fresh = [], 0, {}
                 for cell in child.children:
                     if isinstance(cell, str):
-                        if cell.isspace():
+                        if cell.isspace() or not child.seen:
                             continue
-                        text, span, down = _SPACE.sub(" ", cell).strip(), 1, 1
-                    elif hidden(cell):
+                        text, span, down = [_SPACE.sub(" ", cell).strip()], 1, 1
+                    elif cell.gone:
                         continue
                     else:
-                        text = " ".join(x.strip() for x in render(cell, depth + 1) if x.strip())
+                        text = [x for x in render(cell) if x.strip()]
                         # rowspan 0: to the end of the group
                         span, down = max(_span(cell, "colspan", 1000), 1), _span(cell, "rowspan", 65534) or 65534
                     while at in taken:
@@ -330,36 +395,34 @@ def _table(node: Node, depth: int) -> list[str]:
                     taken[c] = max(taken.get(c, 0), k)
                 rows.append(row)
             elif child.name not in ("colgroup", "col"):
-                before += [x for x in render(child, depth + 1) if x]
-        pending = below + pending
+                before += [x for x in render(child) if x]
+        pending += below[::-1]
+    wide = lambda text: max(map(len, text), default=0)
     width: dict[int, int] = {}
     for row in rows:
-        for at, cell, span in row:
+        for at, text, span in row:
             if span == 1:
-                width[at] = max(width.get(at, 0), len(cell))
+                width[at] = max(width.get(at, 0), wide(text))
     size = lambda at, span: sum(width.get(c, 0) for c in range(at, at + span)) + 3 * (span - 1)
-    for at, cell, span in sorted((c for row in rows for c in row[:-1] if c[2] > 1), key=lambda c: c[2]):
-        if (less := len(cell) - size(at, span)) > 0:  # what follows must start behind the whole cell
+    for at, text, span in sorted((c for row in rows for c in row[:-1] if c[2] > 1), key=lambda c: c[2]):
+        if (less := wide(text) - size(at, span)) > 0:  # what follows must start behind the whole cell
             width[at + span - 1] = width.get(at + span - 1, 0) + less
     out = before
     for row in rows:
-        end, line = 0, []
-        for at, cell, span in row:
-            line += [" " * width.get(c, 0) for c in range(end, at)]
-            line.append(cell.ljust(size(at, span)))
-            end = at + span
-        text = " | ".join(line).rstrip()
-        if text.strip(" |"):
-            out.append(text)
+        for k in range(max((len(text) for _, text, _ in row), default=0)):
+            end, line = 0, []
+            for at, text, span in row:
+                line += [" " * width.get(c, 0) for c in range(end, at)]
+                line.append((text[k] if k < len(text) else "").ljust(size(at, span)))
+                end = at + span
+            joined = " | ".join(line).rstrip()
+            if joined.strip(" |"):
+                out.append(joined)
     return out
 
 
-#: Tables within tables beyond this depth are laid out as plain blocks.
-MAX_TABLES = 8
-
-
-def render(root: Node, depth: int = 0) -> list[str]:
-    """Lines of what is shown of a tree."""
+def render(root: Node) -> list[str]:
+    """Lines of what is shown of a marked tree whose tables are laid out."""
     out = _Out()
     # (node, next child, state) with an explicit stack: pages may nest a hundred thousand elements.
     stack: list[list] = [[root, 0, None]]
@@ -387,6 +450,8 @@ def render(root: Node, depth: int = 0) -> list[str]:
         stack[-1][1] = k + 1
         child = node.children[k]
         if isinstance(child, str):
+            if not node.seen:
+                continue
             if pre:
                 parts = child.replace("\r\n", "\n").split("\n")
                 if stack[-1][0].name == "pre" and k == 0 and not parts[0]:
@@ -399,7 +464,7 @@ def render(root: Node, depth: int = 0) -> list[str]:
             else:
                 out.text(child)
             continue
-        if hidden(child):
+        if child.gone:
             continue
         name = child.name
         if name == "br":
@@ -410,9 +475,9 @@ def render(root: Node, depth: int = 0) -> list[str]:
         if name == "hr":
             out.gap(1)
             continue
-        if name == "table" and depth < MAX_TABLES:
+        if name == "table":
             out.gap(1)
-            for line in _table(child, depth):
+            for line in child.lines or ():
                 out.line = [line]
                 out.end_line()
             out.gap(1)
@@ -459,8 +524,11 @@ def page_text(source: str | None) -> tuple[str, str]:
     if not source:
         return "", ""
     root, title = build(source)
-    if hidden(root):
+    tables = mark(root)
+    if root.gone:
         return title, ""
+    for table in tables:
+        table.lines = _table(table)
     lines = render(root)
     while lines and not lines[-1]:
         lines.pop()
@@ -470,8 +538,9 @@ def page_text(source: str | None) -> tuple[str, str]:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, title, text) for every row, repeated ones too; other columns aren't read."""
-    small_batches(pages.sparkSession)
+    """(id, title, text) for every row, repeated and null ids too. Null and empty pages give empty texts; long pages are read whole; only
+    the two named columns are read, so no other name clashes; an empty table gives no row."""
+    bounded_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -479,7 +548,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.string())], names=[id_col, "title", "text"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(id_col, html_col).mapInArrow(run, f"`{id_col}` {kind}, title string, text string")
+    return pages.select(named(id_col), named(html_col)).mapInArrow(run, f"`{id_col}` {kind}, title string, text string")
 
 
 def op1_html_extraction(spark, sf_dir: str) -> DataFrame:
