@@ -6,6 +6,7 @@ import html.parser
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -112,9 +113,40 @@ def test_html_aligns_cells(source, want):
     assert html_text.page_text(f"<table>{source}</table>")[1] == want
 
 
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b>c</div>d", "b\nd"), ("<p style='display:none;display:block'>q</p>", "q"), ("<p style='display:none !important;display:block'>q</p>z", "z"),
+        ("<details>x<summary>s</summary>y<p>z</details>w", "s\n\nw"), ("<details open>x<summary>s</summary>y</details>w", "s\nxy\n\nw"),
+        ("<table><tr><td><p>a<p>b<td>c<tr><td>dddd<td>e</table>", "a    | c\nb    |\ndddd | e"),
+        ("<table><tr><td>x<td><table><tr><td>1<td>2<tr><td>33<td>4</table><tr><td>y<td>z</table>", "x | 1  | 2\n  | 33 | 4\ny | z"),
+        ("<table><tr><td colspan='2x'>a<td>b<tr><td>c<td>d<td>e</table>", "a     | b\nc | d | e"), ("<table><tr style='visibility:hidden'><td>a<td style='visibility:visible'>b</table>", "| b"),
+        ("<p>" + "<b>" * 20 + "a</p>b", "a\n\nb"),
+    ],
+)
+def test_html_visibility_and_blocks_in_cells(source, want):
+    assert html_text.page_text(source)[1].strip() == want
+
+
 def test_html_deep_nesting():
     assert html_text.page_text("<div>" * 50_000 + "x")[1] == "x"
-    assert "x" in html_text.page_text("<table><tr><td>" * 200 + "x")[1]
+    assert html_text.page_text("<table><tr><td>" * 3000 + "x")[1] == "x"
+
+
+def test_html_takes_linear_time():
+    n = 20_000
+    for source in ("<span>" * n + "</i>" * n, "<i>" + "<span>" * n + "</b></p>" * n, "<p>" + "<span>" * n + "<div></div>" * n, "<table><tr><td><i><table><tr><td>" + "<span>" * n + "</i>" * n):
+        began = time.process_time()
+        html_text.page_text(source)
+        assert time.process_time() - began < 2
+
+
+def test_html_odd_rows(spark):
+    rows = [(1, None, "x", 1), (2, "", "x", 1), (None, "<p>a", None, 1), (2, "<p>b", "y", 2), (2, "<p>b", "y", 2), (3, "word " * 200_000, "z", 3)]
+    df = spark.createDataFrame(rows, "page_id long, html string, text string, title int")
+    got = sorted(((r["page_id"], r["text"]) for r in html_text.extract(df).collect()), key=str)
+    assert got == sorted([(1, ""), (2, ""), (None, "a"), (2, "b"), (2, "b"), (3, ("word " * 200_000).strip())], key=str)
+    assert html_text.extract(df.where("false")).count() == 0 and html_text.extract(df).columns == ["page_id", "title", "text"]
 
 
 # ------------------------------------------------------------------ 2
@@ -260,6 +292,20 @@ def test_line_dedup_equals_brute_force(spark, odd):
     assert line_dedup.dedup(odd.where("false")).count() == 0
 
 
+def test_line_dedup_with_clashing_names(spark):
+    names = ["gone", "lines", "key", "others", "text_", "removed", "total", "__n", "__id", "__lines", "id", "first", "last", "h1", "a.b"]
+    rows = [(i, t, *[f"{i}{n}" for n in names], 7, 8) for i, t in [(1, "a\nb\nc\nd"), (2, "a\nb\nc"), (2, "a\nb\nc"), (3, None), (None, "a\nb\nc")]]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names) + ", lines_total long, LINES_REMOVED long"
+    df = spark.createDataFrame(rows, schema)
+    out = line_dedup.dedup(df)
+    assert out.columns == ["doc_id", "text", *names, "lines_total", "lines_removed"]
+    got = sorted((tuple(r) for r in out.collect()), key=str)
+    own = lambda i: tuple(f"{i}{n}" for n in names)
+    assert got == sorted([(1, "a\nb\nc\nd", *own(1), 4, 0), (2, "", *own(2), 3, 3), (2, "", *own(2), 3, 3), (3, None, *own(3), 0, 0), (None, "a\nb\nc", *own(None), 3, 0)], key=str)
+    left = line_dedup.dedup(df, counts=None, drop_emptied=True)
+    assert left.columns == df.columns and sorted((r["doc_id"], r["lines_total"]) for r in left.where("doc_id is not null").collect()) == [(1, 7), (3, 7)]
+
+
 # ------------------------------------------------------------------ 5
 
 
@@ -408,6 +454,31 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert suffix_dedup.remove(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("split", [0, 300])
+def test_suffix_dedup_parts_large_blocks(spark, split):
+    rng = random.Random(11)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(90))
+    noise = lambda n: "".join(rng.choice("xyz 123") for _ in range(n))
+    own = {i: noise(rng.randrange(30)) + passage[rng.randrange(10) :] + noise(rng.randrange(60)) + rng.choice(["", passage]) for i in range(80)}
+    df = spark.createDataFrame(list(own.items()), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.remove(df, split_starts=split).collect()}
+    assert got == brute_removed(own)
+
+
+def test_suffix_dedup_of_odd_ids(spark):
+    rng = random.Random(12)
+    a, b, c = ("".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(3))
+    rows = [("k2", a + b), ("k10", b), ("k2", c), ("k1", "z" + c), (None, a), (None, "own " + b), ("k2", a + b)]
+    # in order of the text of ids: k1, k10, k2, null; rows of one id are one document
+    want = [("k1", b"z" + c.encode()), ("k10", b.encode()), ("k2", a.encode()), ("k2", a.encode()), ("k2", b""), (None, b""), (None, b"own ")]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id string, text string, id int, name string")
+    got = [(r["doc_id"], bytes(r["kept"])) for r in suffix_dedup.remove(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    same = spark.createDataFrame([(1, a + c), (2, b), (2, a)], "doc_id int, text string")
+    out = suffix_dedup.remove(same)
+    assert sorted((r["doc_id"], bytes(r["kept"])) for r in out.collect()) == [(1, (a + c).encode()), (2, b""), (2, b.encode())] and out.schema["doc_id"].dataType == same.schema["doc_id"].dataType
+
+
 def test_suffix_dedup_of_repeated_rows(spark):
     rng = random.Random(10)
     passage = "".join(rng.choice("abcdefgh ") for _ in range(200))
@@ -428,7 +499,7 @@ def test_packing_round_trip(spark, docs, odd):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(packing.default_tokenizer())
-    for df in (docs, odd.where("doc_id is not null")):
+    for df in (docs, odd):
         own = texts(df)
         rows = packing.best_fit(df).collect()
         by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
@@ -452,6 +523,43 @@ def test_packing_round_trip(spark, docs, odd):
         assert len(by_seq) <= math.ceil(sum(r["length"] for r in rows) / 4096 * 1.1) + 1
 
 
+def test_packing_odd_ids(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, "a b", 1), (None, "c", 2), (None, None, 3), (big, "a b", 4), (3, "word " * 9000, 5)], "doc_id long, text string, piece int")
+    rows = packing.best_fit(df).collect()
+    assert sorted((str(r["doc_id"]), r["piece"], r["length"]) for r in rows) == sorted([(str(big), 0, 3)] * 2 + [("None", 0, 2), ("None", 0, 1), ("3", 0, 4096), ("3", 1, 4096), ("3", 2, 9001 - 8192)])
+    names = df.withColumn("doc_id", F.concat(F.lit("n"), "doc_id"))
+    assert {r["doc_id"] for r in packing.best_fit(names).collect()} == {f"n{big}", "n3", None}
+    assert packing.best_fit(df.where("false")).count() == 0
+
+
+def test_packing_in_several_blocks(spark, docs):
+    pieces = packing.tokenized(docs, packing.default_tokenizer())
+    rows = packing.pack(pieces, block=40).collect()
+    by_seq = collections.defaultdict(list)
+    for r in rows:
+        by_seq[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert len(rows) == pieces.count()
+    for parts in by_seq.values():
+        ends = [a + n for a, n in sorted(parts)]
+        assert [a for a, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 4096
+
+
+def test_tokenizer_shortcuts_need_proof(tmp_path):
+    """A case-sensitive tokenizer is not given lower-cased text, and one that doesn't split at spaces gets whole texts."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocab = {w: k for k, w in enumerate(["[u]", "The", "the", "Cat", "cat", "cat.", ".", "the cat"])}
+    text = "The cat the Cat cat."
+    for name, split in (("space", pre_tokenizers.WhitespaceSplit()), ("none", pre_tokenizers.Split(",", "removed"))):
+        tok = Tokenizer(models.WordLevel(vocab, unk_token="[u]"))
+        tok.pre_tokenizer = split
+        tok.save(str(tmp_path / f"{name}.json"))
+        own = packing.WordTokenizer(str(tmp_path / f"{name}.json"))
+        for t in (text, "the cat,The", ""):
+            assert np.frombuffer(own.ids(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
 def test_sum_of_squares_takes_the_smallest_sum():
     rng = random.Random(9)
     bins, own = packing.SumOfSquares(20), []
