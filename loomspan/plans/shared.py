@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder only where it is unset (tests, one machine)."""
+    """The cluster's ``spark.checkpoint.dir``. Only a local master, which is one machine, may leave it unset: then a temporary folder serves."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors see")
         root = "file://" + tempfile.mkdtemp(prefix="loomspan-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -23,12 +30,24 @@ def _hadoop_path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries within go as soon as their query has ended; afterwards the setting is what it was."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and a lost
     executor costs nothing that was finished. The files go when the driver's JVM ends, or by ``release``."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/loomspan/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
     p, fs = _hadoop_path(spark, path)
     fs.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
@@ -43,11 +62,3 @@ def release(*frames: DataFrame) -> None:
         if path:
             p, fs = _hadoop_path(df.sparkSession, path)
             fs.delete(p, True)
-
-
-def sweep(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished plans now, not when the driver next happens to run short of memory."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
