@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes in one Arrow batch, whatever the length of the texts; a text of more is a batch of its own.
-ARROW_BYTES = "16m"
+ARROW_BYTES = "4m"
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -31,8 +31,9 @@ LENGTH, GRAM = 50, 20
 #: Bytes of text in a group of documents, for each block, and hashed at a time: bounds of a task's memory, and small enough
 #: for a processor's caches. A document of more is hashed alone.
 GROUP_BYTES, BLOCK_BYTES, CHUNK_BYTES = 6_000_000, 1_600_000, 250_000
-#: Minimizers that a task gathers before it deals them out: few rows, well filled.
-FLUSH = 200_000
+#: Minimizers that a task gathers before it deals them out: few rows, well filled; documents looked at in one go; and pairs of a
+#: minimizer and a document in a row.
+FLUSH, SLICE, TOLD = 200_000, 250, 20_000
 #: String starts beyond which a block is parted by whole strings; bounds a task's time and memory.
 SPLIT_STARTS = 4_000_000
 #: Bits of a start's number within its document; those above tell apart the texts of rows that repeat an id.
@@ -320,19 +321,23 @@ def find(docs: DataFrame, ids: DataFrame | None, id_col: str = "doc_id", text_co
             dealer = lambda x: (x % np.uint64(dealers)).astype(np.int64)
             several = h[head[count > 1]]
             rows = _packed(dealer(h[one]), "h", h[one], own[one]) + _packed(dealer(several), "m", several)
-            if len(several):
+            told = np.flatnonzero(~one)
+            for k in range(0, len(told), TOLD):
                 turn += 1
-                rows += _packed(np.full(len(h) - int(one.sum()), turn % dealers), "f", h[~one], own[~one])
+                some = told[k : k + TOLD]
+                rows += _packed(np.full(len(some), turn % dealers), "f", h[some], own[some])
             return _table(rows).to_batches()
 
         for batch in batches:
-            owner, _, _, h = _anchors(batch.column(1).to_pylist(), length)
-            if len(h):
-                held.append((h, batch.column(0).to_numpy(zero_copy_only=False)[owner]))
-                size += len(h)
-            if size >= FLUSH:
-                yield from dealt()
-                held, size = [], 0
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for k in range(0, batch.num_rows, SLICE):
+                owner, _, _, h = _anchors(batch.column(1).slice(k, SLICE).to_pylist(), length)
+                if len(h):
+                    held.append((h, ids[k : k + SLICE][owner]))
+                    size += len(h)
+                if size >= FLUSH:
+                    yield from dealt()
+                    held, size = [], 0
         if size:
             yield from dealt()
 
