@@ -131,6 +131,20 @@ def _bits(*columns: np.ndarray) -> list[int]:
     return [max(int(c.max()).bit_length(), 1) if len(c) else 1 for c in columns]
 
 
+def _order(key: np.ndarray, bits: int | None = None) -> np.ndarray:
+    """Places of whole numbers in order, equal ones in any. Where number and place fit one word together the words are sorted: several
+    times as fast as sorting places."""
+    places = max(len(key) - 1, 1).bit_length()
+    if (_bits(key)[0] if bits is None else bits) + places > 64:
+        return np.argsort(key)
+    word = key.astype(np.uint64)
+    word <<= np.uint64(places)
+    word |= np.arange(len(key), dtype=np.uint64)
+    word.sort()
+    word &= np.uint64((1 << places) - 1)
+    return word.view(np.int64)
+
+
 def _packed_keys(columns: tuple[np.ndarray, ...], bits: list[int]) -> np.ndarray:
     key = columns[0].astype(np.uint64)
     for c, b in zip(columns[1:], bits[1:], strict=True):
@@ -152,7 +166,7 @@ def _ranks(*columns: np.ndarray) -> tuple[np.ndarray, int, np.ndarray | None]:
         return rank[key], int(rank[-1]) + 1, None
     if sum(bits) <= 63:
         key = _packed_keys(columns, bits)
-        order = np.argsort(key, kind="stable")
+        order = _order(key, sum(bits))
         key = key[order]
         differ = key[1:] != key[:-1]
     else:
@@ -182,7 +196,7 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
     if depth <= 1:
-        return np.argsort(s, kind="stable")
+        return _order(s)
     padded = np.concatenate((s.astype(np.int64), np.zeros(3, np.int64)))
     one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)  # with n = 1 modulo 3 a sample past the end closes the first class
     sample = np.concatenate((one, two))
@@ -190,14 +204,14 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     if kinds < len(sample) and depth > 3:
         order = suffix_array(names + 1, -(-depth // 3))
     elif order is None:
-        order = np.argsort(names, kind="stable")
+        order = _order(names)
     rank = np.zeros(n + 4, np.int64)
     rank[sample[order]] = np.arange(1, len(sample) + 1)
     sampled = sample[order]
     sampled = sampled[sampled < n]
     zero = np.arange(0, n, 3)
     dense, _, order = _ranks(padded[zero], rank[zero + 1])
-    zero = zero[np.argsort(dense, kind="stable") if order is None else order]
+    zero = zero[_order(dense) if order is None else order]
     # Merge: against the first class by (symbol, rank), against the second by (symbol, symbol, rank).
     at = np.empty(n, np.int64)
     at[sampled] = np.arange(len(sampled))
@@ -210,7 +224,7 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
         at[part] += theirs
     out = np.full(n, -1, np.int64)
     out[at] = np.arange(n)
-    return np.argsort(at, kind="stable") if (out < 0).any() else out  # equal beyond the depth: two may claim one place
+    return _order(at) if (out < 0).any() else out  # equal beyond the depth: two may claim one place
 
 
 def repeated(contexts: np.ndarray, first: np.ndarray, valid: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
@@ -271,6 +285,17 @@ def _cuts(t: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(head.tolist(), [*head[1:].tolist(), len(t)], strict=True))
 
 
+def _united(h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pairs sorted by ``h``, where each value begins, its smallest document, and whether it has only that one."""
+    order = np.argsort(h)
+    h, own = h[order], own[order]
+    if not len(h):
+        return h, own, np.empty(0, np.int64), own, np.empty(0, bool)
+    head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    least = np.minimum.reduceat(own, head)
+    return h, own, head, least, least == np.maximum.reduceat(own, head)
+
+
 def _variants(ids: np.ndarray, raws: list[bytes]) -> np.ndarray:
     """For rows that repeat an id, the number of their text among the id's distinct ones, in their order; else 0. All tasks that see
     the rows of an id give the same numbers."""
@@ -311,17 +336,11 @@ def find(docs: DataFrame, ids: DataFrame | None, id_col: str = "doc_id", text_co
         def dealt():
             nonlocal turn
             h, own = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((own, h))
-            h, own = h[order], own[order]
-            new = np.concatenate(([True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])))
-            h, own = h[new], own[new]
-            head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            count = np.diff(np.append(head, len(h)))
-            one = np.repeat(count == 1, count)
+            h, own, head, least, one = _united(h, own)
             dealer = lambda x: (x % np.uint64(dealers)).astype(np.int64)
-            several = h[head[count > 1]]
-            rows = _packed(dealer(h[one]), "h", h[one], own[one]) + _packed(dealer(several), "m", several)
-            told = np.flatnonzero(~one)
+            single, several = h[head[one]], h[head[~one]]
+            rows = _packed(dealer(single), "h", single, least[one]) + _packed(dealer(several), "m", several)
+            told = np.flatnonzero(np.repeat(~one, np.diff(np.append(head, len(h)))))
             for k in range(0, len(told), TOLD):
                 turn += 1
                 some = told[k : k + TOLD]
@@ -344,11 +363,8 @@ def find(docs: DataFrame, ids: DataFrame | None, id_col: str = "doc_id", text_co
     def shared(part: pa.Table) -> pa.Table:
         h, own = _columns(part, "h", {"a": "u8", "b": "i8"})
         (several,) = _columns(part, "m", {"a": "u8"})
-        order = np.argsort(h, kind="stable")
-        h, own = h[order], own[order]
-        head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
-        lo, hi = np.minimum.reduceat(own, head) if len(h) else own, np.maximum.reduceat(own, head) if len(h) else own
-        many = np.repeat((lo != hi) | np.isin(h[head], several), np.diff(np.append(head, len(h))))
+        h, own, head, _, one = _united(h, own)
+        many = np.repeat(~one | np.isin(h[head], several), np.diff(np.append(head, len(h))))
         fh, fown = _columns(part, "f", {"a": "u8", "b": "i8"})
         h, own = np.concatenate((h[many], fh)), np.concatenate((own[many], fown))
         return _table(_packed(_group_of(own, groups), "s", h, own))
