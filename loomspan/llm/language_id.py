@@ -12,16 +12,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import bounded_batches, fold, hash_order
+from loomspan.llm.common import bounded_batches, fold, named
 
 WINDOW = 256
 EMBEDDING, WIDTHS, FILTERS = 6, (2, 3, 4), 8
-#: Documents of each language that the network learns from, in hash order of the id, windows of each, spread over the whole text, and
-#: documents in all: more languages learn from fewer documents each, of one at least.
-DOCS_PER_LANGUAGE, WINDOWS_PER_DOC, MAX_DOCS = 500, 6, 100_000
+#: Documents of each language that the network learns from, about: those whose hash lies below the share that is wanted; windows of
+#: each, spread over the whole text; documents in all, about: more languages learn from fewer documents each, ``LEAST_DOCS`` at least.
+DOCS_PER_LANGUAGE, WINDOWS_PER_DOC, MAX_DOCS, LEAST_DOCS = 500, 6, 100_000, 20
 EPOCHS, BATCH, RATE = 12, 64, 4e-3
 UNDETERMINED = "und"
 #: ASCII bytes that aren't letters count as a space; padding is zero.
@@ -125,17 +125,19 @@ def fit_cnn(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 11,
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: tuple[int, int] | None = (4, 2), docs_per_language: int = DOCS_PER_LANGUAGE) -> ByteCNN:
-    """Fit on at most ``docs_per_language`` documents of each language, and about ``MAX_DOCS`` in all, none of the held-out fold."""
+    """Fit on about ``docs_per_language`` documents of each language, and about ``MAX_DOCS`` in all, none of the held-out fold. The choice
+    goes by the hash of the id: no sort, no window, so a language that has most rows costs no more than others. Null texts, ids and
+    languages are left out, rows that repeat an id are documents each; without rows nothing is learnt."""
     bounded_batches(docs.sparkSession)
-    known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and lang is not null")
+    known = docs.select(named(id_col).cast("string").alias("id"), named(lang_col).cast("string").alias("lang"), named(text_col).alias("text")).where("id is not null and lang is not null")
     if held_out:
         known = known.where(~fold("id", *held_out))
-    kinds = sorted(r["lang"] for r in known.select("lang").distinct().collect())
-    most = max(1, min(docs_per_language, MAX_DOCS // max(1, len(kinds))))
-    order = Window.partitionBy("lang").orderBy(*hash_order("id"))
-    picked = known.withColumn("k", F.row_number().over(order)).where(f"k <= {most}").select("id", "lang")
-    # bound: MAX_DOCS rows, or one a language, of an id and a short text
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(picked), "id")
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    kinds = sorted(counts)
+    most = max(LEAST_DOCS, min(docs_per_language, MAX_DOCS // max(1, len(kinds))))
+    shares = [(k, 2**63 - 1 if counts[k] <= most else int(-(2**63) + 2**64 * most / counts[k])) for k in kinds]
+    limits = docs.sparkSession.createDataFrame(shares, "lang string, upto long")
+    rows = known.where("text is not null").join(F.broadcast(limits), "lang").where(F.xxhash64("id") <= F.col("upto")).select("id", "text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,9 +146,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 w = windows_of(text)
                 at = np.unique(np.linspace(0, len(w) - 1, min(len(w), WINDOWS_PER_DOC)).astype(int))
                 out.append(w[at].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2), pa.array(out, pa.binary())], names=["id", "lang", "windows"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], names=["id", "lang", "windows"])
 
-    got = sorted(rows.select("id", "text", "lang").mapInArrow(run, "id string, lang string, windows binary").collect())
+    got = sorted(rows.mapInArrow(run, "id string, lang string, windows binary").collect())
     parts = [np.frombuffer(r["windows"], np.uint8).reshape(-1, WINDOW) for r in got]
     number = {lang: k for k, lang in enumerate(kinds)}
     y = np.repeat([number[r["lang"]] for r in got], [len(p) for p in parts]).astype(np.int64)
@@ -154,7 +156,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def identify(docs: DataFrame, model: ByteCNN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) for every row, from its whole text alone."""
+    """(id, lang_pred, score) for every row, null and repeated ids too, from its whole text alone, however long. Null texts and texts without
+    a letter are ``und`` with score 0; of languages that tie the first in their order. Only the two named columns are read, so no other
+    name clashes; an empty table gives no row."""
     bounded_batches(docs.sparkSession)
     payload = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -166,7 +170,7 @@ def identify(docs: DataFrame, model: ByteCNN, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 200), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    return docs.select(named(id_col), named(text_col)).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
