@@ -410,12 +410,94 @@ def test_rule_column_equals_numpy(spark, docs):
     assert np.allclose(stats["score"], model.predict({k: stats[k].to_numpy() for k in quality_classifier.STATISTICS}))
 
 
-def test_pu_risk_never_negative_and_falls():
+def test_byte_network_equals_direct_loops():
+    """The network's forward pass, place by place and filter by filter."""
+    rng = np.random.default_rng(3)
+    texts_ = ["Ab é zz " * 60, "q", "x9y " * 5, None, "12 .", "ß" * 300]
+    x = np.concatenate([language_id.windows_of(t) for t in texts_[:3]])
+    net = language_id.fit_cnn(x, rng.integers(0, 3, len(x)), ["a", "b", "c"], epochs=1)
+    wide, size = max(language_id.WIDTHS), language_id.EMBEDDING
+    for t, lang, score in zip(texts_, *net.predict(texts_), strict=True):
+        if not t or not any(c.isalpha() for c in t):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        raw = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in t.lower().encode())
+        total = np.zeros(3)
+        for k in range(0, len(raw), language_id.WINDOW):
+            part = raw[k : k + language_id.WINDOW]
+            padded = part + bytes(language_id.WINDOW - len(part))
+            h = []
+            for f in range(net.filters.shape[1]):
+                best = max(sum(float(net.embedding[padded[p + j], e]) * float(net.filters[j * size + e, f]) for j in range(wide) for e in range(size)) for p in range(len(padded) - wide + 1))
+                h.append(max(best + float(net.bias[f]), 0.0))
+            z = [sum(h[f] * float(net.out[f, c]) for f in range(len(h))) + float(net.out_bias[c]) for c in range(3)]
+            e = [math.exp(v - max(z)) for v in z]
+            total += len(part) * np.array(e) / sum(e)
+        total /= total.sum()
+        assert lang == "abc"[int(total.argmax())] and abs(score - total.max()) < 1e-4
+
+
+def test_language_id_odd_rows(spark, odd):
+    model = language_id.train(spark.createDataFrame([(k, "abc def" if k % 2 else "xyz uvw", "ab"[k % 2]) for k in range(80)], "doc_id long, text string, lang string"), held_out=None)
+    assert language_id.identify(odd.where("false"), model).count() == 0
+    rows = language_id.identify(odd.unionByName(odd), model)
+    assert rows.count() == 2 * len(ODD) and rows.columns == ["doc_id", "lang_pred", "score"]
+
+
+def brute_risk(positive, unlabelled, weights, bias, prior):
+    """The non-negative estimate by its definition, a document at a time."""
+    z = lambda doc: bias + sum(weights[f] for f in doc)
+    mean = lambda xs: sum(xs) / len(xs)
+    loss = lambda v, y: math.log1p(math.exp(-y * v))
+    positive_part = prior * mean([loss(z(d), 1) for d in positive])
+    negative = mean([loss(z(d), -1) for d in unlabelled]) - prior * mean([loss(z(d), -1) for d in positive])
+    return positive_part + max(0.0, negative), negative
+
+
+def test_pu_risk_equals_its_definition_and_falls():
     rng = np.random.default_rng(0)
-    pos = [np.unique(np.append(rng.integers(100, 5000, 30), rng.integers(0, 5))).astype(np.int32) for _ in range(60)]
-    unl = [np.unique(rng.integers(100, 5000, 30)).astype(np.int32) for _ in range(400)]
-    model = toxicity.fit_pu(pos, unl, 0.1)
-    assert min(model.history) >= 0 and model.history[-1] < model.history[0] and {f for f in model.weights} <= set(range(5))
+    pos = [np.unique(np.append(rng.integers(5, 60, 30), rng.integers(0, 5))).astype(np.int32) for _ in range(60)]
+    unl = [np.unique(rng.integers(5, 60, 30)).astype(np.int32) for _ in range(360)] + pos[:40]
+    w, b = rng.normal(size=60) * 0.2, -1.0
+    got = toxicity.risk(toxicity._scores(pos, w, b), toxicity._scores(unl, w, b), 0.1)
+    assert np.allclose(got, brute_risk(pos, unl, w, b, 0.1))
+    many = [np.unique(np.append(rng.integers(5, 60, 10), rng.integers(0, 5, 2))).astype(np.int32) for _ in range(500)]
+    others = [np.unique(rng.integers(5, 60, 12)).astype(np.int32) for _ in range(1800)] + many[300:]
+    assert abs(toxicity.estimate_prior(many[:300], [others[k] for k in rng.permutation(len(others))], 60, 0.3) - 0.1) < 0.03
+    w, b, history = toxicity.fit_pu(pos, unl, 0.1, 60)
+    assert min(history) >= 0 and history[-1] < history[0] and w[:5].min() > w[5:].max() and abs(history[0] - brute_risk(pos, unl, np.zeros(60), math.log(0.1 / 0.9), 0.1)[0]) < 1e-9
+
+
+def test_toxicity_counts_and_scores_equal_brute_force(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    model = toxicity.train(docs, labels)
+    own = texts(docs)
+    toxic = {r["doc_id"] for r in labels.collect() if r["toxic"] == 1 and not held(r["doc_id"])}
+    features = {i: {f for chunk in (t or "").split() for f in toxicity.word_features(chunk)} for i, t in own.items()}
+    p, u = collections.Counter(f for i in toxic & set(own) for f in features[i]), collections.Counter(f for i in own if not held(i) for f in features[i])
+    n_p, n_u = len(toxic & set(own)), sum(not held(i) for i in own)
+    for f in model.weights:
+        share = n_p / (n_p + n_u)
+        ratio = 2 * (p[f] * math.log(p[f] / ((p[f] + u[f]) * share)) + u[f] * math.log(u[f] / ((p[f] + u[f]) * (1 - share))))
+        assert p[f] >= min(3, n_p) and ratio >= toxicity.MIN_RATIO and (p[f] / n_p) / (u[f] / n_u) >= 1 + toxicity.MIN_LIFT * (1 / model.prior - 1)
+    for r in toxicity.score(docs, model).collect():
+        z = model.bias + sum(model.weights.get(f, 0.0) for f in features[r["doc_id"]])
+        assert abs(r["score"] - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_toxicity_does_not_read_held_out_labels(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    flipped = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = toxicity.train(docs, labels), toxicity.train(docs, flipped)
+    assert (a.bias, a.weights, a.prior) == (b.bias, b.weights, b.prior)
+
+
+def test_toxicity_of_empty_tables(spark, odd):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.train(odd.where("false"), labels)
+    assert not model.weights and toxicity.score(odd.where("false"), model).count() == 0 and toxicity.reject(odd, model).count() in (0, len(ODD))
+    assert quality_classifier.score(odd.where("false"), quality_classifier.train(odd.where("false"), labels)).count() == 0
 
 
 # ------------------------------------------------------------------ 7
