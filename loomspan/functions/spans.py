@@ -1,39 +1,27 @@
-"""Matches of a regular expression with their places, in built-in expressions and without a shuffle.
-
-Spark gives the matched strings but not where they are. Extracting the text before each match as well makes places a
-running sum, folded within the row.
-"""
+"""Matches of a regular expression with their places. Spark's own functions give the strings but not where they are."""
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def matches(text: Column, pattern: str, groups: int, upto: Column | None = None) -> Column:
-    """array<struct<start, end, g1..gn>> of all matches, places from 0 and half-open. ``pattern`` is a Java expression whose
-    own groups are numbered from 3 in back-references: group 1 is the text before, group 2 the match."""
-    # \\G ties each search to the end of the last match: without it the text after the last one is searched from each of its places.
-    full = F.lit(f"(?s)\\G(.*?)({pattern})")
-    pulled = [F.regexp_extract_all(text, full, F.lit(k)) for k in range(1, groups + 3)]
-    names = ["before", "whole", *[f"g{k}" for k in range(1, groups + 1)]]
-    zipped = F.arrays_zip(*[p.alias(n) for p, n in zip(pulled, names, strict=True)])
-    fields = lambda x, start, end: F.struct(start.alias("start"), end.alias("end"), *[x[n].alias(n) for n in names[2:]])
-    zero = F.lit(0)
-    shape = "array<struct<start:int,end:int" + "".join(f",{n}:string" for n in names[2:]) + ">>"
-    folded = F.aggregate(
-        F.transform(zipped, lambda x: F.struct(*[x[n].alias(n) for n in names])),
-        F.struct(zero.alias("at"), F.array().cast(shape).alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["before"]) + F.length(x["whole"])).alias("at"),
-            F.concat(s["out"], F.array(fields(x, s["at"] + F.length(x["before"]), s["at"] + F.length(x["before"]) + F.length(x["whole"])))).alias("out"),
-        ),
-    )
-    return folded["out"]
+def matches(text: Column, pattern: str, groups: int) -> Column:
+    """array<struct<start, end, g1..gn>> of all matches, places from 0 in code points and half-open; a group that took no part is
+    null. ``pattern`` is a Python expression. One scan of each text, in Arrow batches; lists are built in linear time."""
+    names = [f"g{k}" for k in range(1, groups + 1)]
+    shape = "array<struct<start:int,end:int" + "".join(f",{n}:string" for n in names) + ">>"
 
+    def found(texts: pa.Array) -> pa.Array:
+        known = re.compile(pattern)
+        offsets, rows = [0], []
+        for t in texts.to_pylist():
+            rows += known.finditer(t or "")
+            offsets.append(len(rows))
+        columns = [pa.array([m.start() for m in rows], pa.int32()), pa.array([m.end() for m in rows], pa.int32()), *[pa.array([m[k] for m in rows], pa.string()) for k in range(1, groups + 1)]]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, ["start", "end", *names]))
 
-def section_at(sections: Column, place: Column) -> Column:
-    """Number of the section whose span holds the place, "0" if none does. Spans are disjoint, so one does at most. The list is
-    named twice, which keeps the optimizer from moving its computation into a loop over places."""
-    found = F.get(F.filter(sections, lambda s: (s["char_start"] <= place) & (place < s["char_end"])), F.lit(0))
-    return F.when(F.size(sections) == 0, F.lit("0")).otherwise(F.coalesce(found["number"], F.lit("0")))
+    return F.arrow_udf(found, shape)(text)

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from loomspan.functions import text as T
 from loomspan.operators import latex, structure
 
 SIZE, OVERLAP = 1200, 150
-EQUATION_CHARS, EQUATION_CONTEXT, CHUNK_CHARS = 800, 150, 1500
+EQUATION_CHARS, CHUNK_CHARS = 800, 1500
 #: Where texts may be parted, coarse to fine; a separator stays with what follows it.
 SEPARATORS = (r"(?=\\(?:chapter|section|subsection|subsubsection|paragraph)\b)", r"(?=\\begin\{(?:enumerate|itemize|description|list|quote|quotation|verse|verbatim|align|equation|gather)\*?\})", r"(?=\$\$)", r"(?<=\n)(?=\n)", r"(?<=\n)", r"(?<= )")
 COLUMNS = ["chunk_id", "kind", "text", "section_path", "section_number", "section_top", "char_start", "char_end", "label_refs", "figure_refs", "equation_refs", "has_figure", "has_equation", "synthetic"]
@@ -43,9 +42,24 @@ def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[str]
     return [*out, now] if now else out
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def split_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: split_text(t or "") or [t or ""])
+def pieces(text: Column) -> Column:
+    """array<struct<i, at, piece>>: the pieces of a text that aren't blank, with their number and the length of those before."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        offsets, number, place, out = [0], [], [], []
+        for t in texts.to_pylist():
+            at = 0
+            for i, p in enumerate(split_text(t or "") or [t or ""]):
+                if p.strip():
+                    number.append(i)
+                    place.append(at)
+                    out.append(p)
+                at += len(p)
+            offsets.append(len(out))
+        columns = [pa.array(number, pa.int32()), pa.array(place, pa.int32()), pa.array(out, pa.string())]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, ["i", "at", "piece"]))
+
+    return F.arrow_udf(run, "array<struct<i:int,at:int,piece:string>>")(text)
 
 
 def fixed_width(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
@@ -64,44 +78,33 @@ def _none() -> Column:
     return F.array().cast("array<string>")
 
 
-def path_of(sections: Column, number: Column) -> Column:
-    """Path of the first section of that number, or the number itself."""
-    return F.coalesce(F.get(F.filter(sections, lambda s: s["number"] == number), F.lit(0))["path"], number)
-
-
 def body_chunks(parsed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Sections' texts, unwrapped and split. Blank pieces go but keep their number; places are approximate, the section's start
-    and the lengths of the pieces before."""
-    figures, equations = F.transform("figures", lambda f: f["label"]), F.transform("equations", lambda e: e["label"])
-    rows = parsed.select(id_col, "text", figures.alias("__f"), equations.alias("__e"), F.explode("sections").alias("s"))
-    rows = rows.withColumn("__b", T.between(F.col("text"), F.col("s.char_start"), F.col("s.char_end"))).where(~T.blank(F.col("__b")))
-    rows = rows.withColumn("__p", split_udf(latex.strip_wrappers(F.col("__b"))))
-    before = F.aggregate(F.slice("__p", F.lit(1), F.col("i")), F.lit(0), lambda a, p: a + F.length(p))
-    rows = rows.select(id_col, "s", "__f", "__e", "__p", F.posexplode("__p").alias("i", "piece")).withColumn("__at", F.col("s.char_start") + before)
-    rows = rows.where(~T.blank(F.col("piece"))).withColumn("refs", structure.refs_in(F.col("piece")))
-    rows = rows.withColumns({"fr": F.array_intersect("refs", "__f"), "er": F.array_intersect("refs", "__e")})
-    return rows.select(id_col, *_row("body", F.concat(F.lit("body:"), F.col("s.number"), F.lit("#"), F.col("i").cast("string")), T.strip(F.col("piece")), F.col("s.path"), F.col("s.number"), F.col("__at"), F.col("__at") + F.length("piece"), F.col("refs"), F.col("fr"), F.col("er"), (F.size("fr") > 0) | structure.has_graphics(F.col("piece")), F.size("er") > 0, F.col("s.synthetic")))
+    """Sections' texts, unwrapped and split; from the parts sections, bodies, figures and equations. Blank pieces go but keep their number;
+    places are approximate, the section's start and the lengths of the pieces before."""
+    labels = lambda c: F.transform(c, lambda x: x["label"])
+    rows = parsed.select(id_col, labels("figures").alias("f"), labels("equations").alias("e"), F.inline(F.arrays_zip(F.col("sections").alias("s"), F.col("bodies").alias("body"))))
+    rows = rows.where(~T.blank(F.col("body"))).withColumn("body", pieces(latex.strip_wrappers(F.col("body"))))
+    rows = rows.select(id_col, "f", "e", "s", F.inline("body")).withColumn("refs", structure.refs_in(F.col("piece")))
+    rows = rows.withColumns({"fr": F.array_intersect("refs", "f"), "er": F.array_intersect("refs", "e"), "at": F.col("s.char_start") + F.col("at")})
+    return rows.select(id_col, *_row("body", F.concat(F.lit("body:"), F.col("s.number"), F.lit("#"), F.col("i").cast("string")), T.strip(F.col("piece")), F.col("s.path"), F.col("s.number"), F.col("at"), F.col("at") + F.length("piece"), F.col("refs"), F.col("fr"), F.col("er"), (F.size("fr") > 0) | structure.has_graphics(F.col("piece")), F.size("er") > 0, F.col("s.synthetic")))
 
 
 def caption_chunks(parsed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    rows = parsed.select(id_col, "sections", F.explode("figures").alias("f")).where("f.caption <> ''")
+    rows = parsed.select(id_col, F.explode("figures").alias("f")).where("f.caption <> ''")
     one = F.array("f.label")
-    return rows.select(id_col, *_row("caption", F.concat(F.lit("caption:"), F.col("f.label")), F.concat(F.lit("Figure "), F.col("f.label"), F.lit(": "), F.col("f.caption")), path_of(F.col("sections"), F.col("f.section")), F.col("f.section"), F.col("f.char_pos"), F.col("f.char_pos") + 1, one, one, _none(), F.lit(True), F.lit(False), F.lit(False)))
+    return rows.select(id_col, *_row("caption", F.concat(F.lit("caption:"), F.col("f.label")), F.concat(F.lit("Figure "), F.col("f.label"), F.lit(": "), F.col("f.caption")), F.col("f.section_path"), F.col("f.section"), F.col("f.char_pos"), F.col("f.char_pos") + 1, one, one, _none(), F.lit(True), F.lit(False), F.lit(False)))
 
 
-def equation_text(label: Column, latex_: Column, text: Column, at: Column) -> Column:
-    """The equation, cut, and what stands around it. The text after starts at the environment's place plus the equation's length."""
-    end = at + F.length(latex_)
-    before = T.strip(T.between(text, F.greatest(at - EQUATION_CONTEXT, F.lit(0)), at))
-    after = T.strip(T.between(text, end, end + EQUATION_CONTEXT))
-    whole = F.concat(F.lit("eq "), label, F.lit(": "), T.cut(latex_, EQUATION_CHARS, " ..."), F.lit("\nBefore: "), before, F.lit("\nAfter: "), after)
+def equation_text(e: Column) -> Column:
+    """The equation, cut, and what stands around it."""
+    whole = F.concat(F.lit("eq "), e["label"], F.lit(": "), T.cut(e["latex"], EQUATION_CHARS, " ..."), F.lit("\nBefore: "), e["before"], F.lit("\nAfter: "), e["after"])
     return F.substring(whole, 1, CHUNK_CHARS)
 
 
 def equation_chunks(parsed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    rows = parsed.select(id_col, "text", "sections", F.explode("equations").alias("e"))
+    rows = parsed.select(id_col, F.explode("equations").alias("e"))
     one = F.array("e.label")
-    return rows.select(id_col, *_row("equation", F.concat(F.lit("equation:"), F.col("e.label")), equation_text(F.col("e.label"), F.col("e.latex"), F.col("text"), F.col("e.char_pos")), path_of(F.col("sections"), F.col("e.section")), F.col("e.section"), F.col("e.char_pos"), F.col("e.char_pos") + F.length("e.latex"), one, _none(), one, F.lit(False), F.lit(True), F.lit(False)))
+    return rows.select(id_col, *_row("equation", F.concat(F.lit("equation:"), F.col("e.label")), equation_text(F.col("e")), F.col("e.section_path"), F.col("e.section"), F.col("e.char_pos"), F.col("e.char_pos") + F.length("e.latex"), one, _none(), one, F.lit(False), F.lit(True), F.lit(False)))
 
 
 def summary_chunks(parsed: DataFrame, summaries: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -117,6 +120,10 @@ def description_chunks(described: DataFrame, id_col: str = "doc_id") -> DataFram
     return rows.select(id_col, *_row("figure_desc", F.concat(F.lit("figure_desc:"), F.col("label")), F.concat(F.lit("Figure "), F.col("label"), F.lit(" description: "), F.col("description_text")), F.col("section_path"), F.col("n"), F.lit(0), F.lit(0), one, one, _none(), F.lit(True), F.lit(False), F.lit(False)))
 
 
+#: Parts of the structure that chunks are made of.
+PARTS = ("sections", "bodies", "figures", "equations")
+
+
 def all_chunks(parsed: DataFrame, summaries: DataFrame | None = None, described: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
     """The bag union of all kinds."""
     out = body_chunks(parsed, id_col).unionByName(caption_chunks(parsed, id_col)).unionByName(equation_chunks(parsed, id_col))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
 
+# Fixed value: what shows that an answer names its place.
 GROUNDING = r"§\d|Figure \d|fig:|eq:"
 
 
@@ -39,11 +40,12 @@ def chunk_sizes(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return chunks.where("kind = 'body'").groupBy(id_col).agg(F.count(F.lit(1)).alias("n_chunks"), F.median(size).cast("int").alias("p50"), floor_rank(size, 0.95).cast("int").alias("p95"))
 
 
-def dangling(referenced: DataFrame, defined: DataFrame, id_col: str = "doc_id", limit: int = 20) -> DataFrame:
-    """(id, undefined, unreferenced): the first labels, sorted, that one side has and the other hasn't."""
-    first = lambda a, b, name: a.join(b, [id_col, "label"], "left_anti").groupBy(id_col).agg(F.slice(F.array_sort(F.collect_set("label")), 1, limit).alias(name))
-    r, d = referenced.select(id_col, "label").distinct(), defined.select(id_col, "label").distinct()
-    return first(r, d, "undefined").join(first(d, r, "unreferenced"), id_col, "full")
+def dangling(parsed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, undefined, unreferenced): the labels, sorted, that are referred to but name nothing, and those that nothing refers to. Both
+    sides are in a document's row, so there is no join; a report shows the first ``SHOWN``."""
+    label = lambda c: F.transform(c, lambda x: x["label"])
+    less = lambda a, b: F.array_sort(F.array_except(label(a), label(b)))
+    return parsed.select(id_col, less("referenced", "targets").alias("undefined"), less("targets", "referenced").alias("unreferenced"))
 
 
 def resolution_rate(figures: DataFrame) -> DataFrame:

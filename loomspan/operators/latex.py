@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from loomspan.functions.spans import matches
+
 # Commands whose argument stays wrapped, and environments whose blank lines stay.
 SAFE_COMMANDS = (
     "caption label ref eqref autoref cref Cref section subsection subsubsection paragraph title author abstract includegraphics "
     "begin end input include subfile newcommand renewcommand providecommand def graphicspath cite"
 ).split()
 PROTECTED = r"(?:verbatim|lstlisting|align\*?|equation\*?|gather\*?|multline\*?)"
-#: Possessive, so that a long body can't exhaust the JVM's stack.
+#: Possessive, so that a body that never closes fails at once.
 _BODY = r"((?:[^{}]++|\{[^{}]*+\})*+)"
 MACRO = r"\\(?:(?:re)?newcommand|providecommand)\*?\s*\{?\\(\w+)\}?\s*(?:\[(\d+)\])?\s*\{" + _BODY + r"\}"
 DEF = r"\\def\\(\w+)\s*\{" + _BODY + r"\}"
@@ -78,8 +80,6 @@ def normalize_whitespace(text: Column) -> Column:
 
 def macros(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
     """(id, name, arity, body, place): every macro definition, in the order of sources and places."""
-    from loomspan.functions.spans import matches
-
     text = F.col(text_col)
     order = F.col(order_col) if order_col else F.lit(0)
     new = texts.select(id_col, order.alias("source"), F.inline(matches(text, MACRO, 3))).select(id_col, "source", F.col("start").alias("place"), F.col("g1").alias("name"), F.when(F.coalesce("g2", F.lit("")) == "", 0).otherwise(F.col("g2").cast("int")).alias("arity"), F.col("g3").alias("body"), F.lit(0).alias("kind"))

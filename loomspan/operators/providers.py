@@ -99,9 +99,8 @@ def extractive_answer(question: Column, sources: Column) -> Column:
 def summaries(parsed: DataFrame, service: Callable[[list[str]], list[str]] | None = None, id_col: str = "doc_id") -> DataFrame:
     """(id, number, title_hint, dense_summary) of sections of over 200 characters, for documents of 1 to 60 sections; JSON replies
     are salvaged and cut. Without a service there are none."""
-    rows = parsed.where((F.size("sections") > 0) & (F.size("sections") <= 60)).select(id_col, "text", F.explode("sections").alias("s"))
-    body = T.between(F.col("text"), F.col("s.char_start"), F.col("s.char_end"))
-    rows = rows.where((F.col("s.number") != "0") & (F.length(body) > 200)).select(id_col, F.col("s.number").alias("number"), F.substring(body, 1, 3000).alias("body"))
+    rows = parsed.where((F.size("sections") > 0) & (F.size("sections") <= 60)).select(id_col, F.inline(F.arrays_zip(F.col("sections").alias("s"), F.col("bodies").alias("body"))))
+    rows = rows.where((F.col("s.number") != "0") & (F.length("body") > 200)).select(id_col, F.col("s.number").alias("number"), F.substring("body", 1, 3000).alias("body"))
     if service is None:
         return rows.where("false").select(id_col, "number", F.lit("").alias("title_hint"), F.lit("").alias("dense_summary"))
 

@@ -47,15 +47,15 @@ def ingest(files: DataFrame, store: Store, summarize=None, describe=None) -> Art
     prints = S.fingerprint(files.where(F.col("path").endswith(".tex")))
     if store.fresh(prints, ENTITIES):
         return Artifacts(*(store.load(n) for n in ENTITIES), reused=True)
-    parsed = store.save("structure", structure.parse(texts(files)))
-    raw = parsed.select("doc_id", F.explode("figures").alias("f"), "sections").select("doc_id", "f.*", F.concat_ws(" ", "f.section", F.get(F.filter("sections", lambda s: s["number"] == F.col("f.section")), F.lit(0))["title"]).alias("section_path"))
+    parsed = store.save("structure", structure.parse(texts(files), parts=(*structure.WHOLE, "bodies")))
+    raw = parsed.select("doc_id", F.inline("figures"))
     folders = S.graphics_paths(parsed)
     resolved = S.resolve_figures(raw, files, folders).select("doc_id", "label", "resolved_path").dropDuplicates(["doc_id", "label"])
     described = providers.describe(raw.join(resolved, ["doc_id", "label"], "left"), describe)
     figures = store.save("figures", described.join(resolved, ["doc_id", "label"], "left"))
     summarized = providers.summaries(parsed, summarize)
     chunks = store.save("chunks", C.all_chunks(parsed, summarized, figures))
-    maps = store.save("maps", digest.article_map(parsed, structure.referenced_by(parsed), figures))
+    maps = store.save("maps", digest.article_map(parsed, figures))
     store.save("manifest", prints.withColumn("ts", F.lit(began)))  # last: a broken run is not taken for a finished one
     took = {"ingest_s": round(time.time() - began, 3)}
     log_run(store.spark, f"{store.root}/log", took)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomspan.functions import text as T
 from loomspan.functions.spans import matches
 
+# What starts a question or an answer.
 MARKDOWN = r"(?im)^##[ \t]*{}[ \t]+(\d+)[ \t]*$"
 NUMBERED = r"^\s*(\d+)[\).]\s+(.*\S)\s*$"
 
