@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.functions import vectors as V
 from loomspan.functions.text import normalize_question
+from loomspan.operators.retrieval import top_k
 
 THRESHOLD = 0.92
 
@@ -17,21 +17,22 @@ def exact(questions: DataFrame, entries: DataFrame) -> DataFrame:
     return questions.select("question_id", normalize_question(F.col("question")).alias("norm")).join(firsts, "norm").select("question_id", "entry_id")
 
 
-def semantic(questions: DataFrame, entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(question_id, entry_id, similarity): the entry of greatest cosine, ties to the first, if it reaches the threshold. Questions
-    are the broadcast side; the best entry is aggregated per task before the exchange."""
-    e = entries.select("entry_id", V.doubles(F.col("embedding")).alias("v")).withColumn("n", V.norm(F.col("v")))
-    q = questions.select("question_id", V.doubles(F.col("embedding")).alias("w")).withColumn("m", V.norm(F.col("w")))
-    pairs = e.join(F.broadcast(q)).select("question_id", "entry_id", V.cosine(F.col("v"), F.col("w"), F.col("n"), F.col("m")).alias("similarity"))
-    best = pairs.groupBy("question_id").agg(F.max(F.struct("similarity", (-F.col("entry_id")).alias("turn"))).alias("b"))
-    return best.select("question_id", (-F.col("b.turn")).alias("entry_id"), F.col("b.similarity").alias("similarity")).where(F.col("similarity") >= threshold)
+def semantic(questions: DataFrame, entries: DataFrame, threshold: float = THRESHOLD, others: bool = False) -> DataFrame:
+    """(question_id, entry_id, similarity): the entry of greatest cosine, ties to the first, if it reaches the threshold. ``others``: an entry
+    of the question's own id doesn't count, for questions that are entries themselves."""
+    rows = top_k(entries.select("entry_id", "embedding"), questions.select("question_id", "embedding"), 1 + others, id_col="entry_id")
+    rows = rows.where(F.col("sim") >= threshold)
+    if others:
+        turn = F.row_number().over(Window.partitionBy("question_id").orderBy("rank"))
+        rows = rows.where("entry_id <> question_id").withColumn("turn", turn).where("turn = 1")
+    return rows.select("question_id", "entry_id", F.col("sim").alias("similarity"))
 
 
-def lookup(questions: DataFrame, entries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def lookup(questions: DataFrame, entries: DataFrame, threshold: float = THRESHOLD, others: bool = False) -> DataFrame:
     """(question_id, entry_id, similarity, how): how is exact, semantic or miss, for every question."""
     hit = exact(questions, entries).withColumns({"similarity": F.lit(1.0), "how": F.lit("exact")})
     rest = questions.join(hit.select("question_id"), "question_id", "left_anti")
-    near = semantic(rest, entries, threshold).withColumn("how", F.lit("semantic"))
+    near = semantic(rest, entries, threshold, others).withColumn("how", F.lit("semantic"))
     found = hit.unionByName(near)
     return questions.select("question_id").join(found, "question_id", "left").withColumn("how", F.coalesce("how", F.lit("miss")))
 

@@ -1,22 +1,27 @@
 """Filtered vector top-k, re-ranking, grouped deduplication, fallback and bonus: set at a time over all questions.
 
 ``chunks`` (chunk_id, kind, section_number, section_top, has_figure, figure_refs, equation_refs, embedding[, text]);
-``plans`` (question_id, embedding, scope array<string> or null, is_figure, target_label). Each question's rows come
-from one scan of the chunks: scores are computed once and every pass ranks them under its own condition, so the scoped, the
-global and the bonus pass share a single exchange by question, cut to the best rows of each pass before it.
+``plans`` (question_id, embedding, scope array<string> or null, is_figure, target_label). Questions are the small side: blocks of
+at most ``QUESTION_BLOCK`` of them are broadcast as one matrix, and chunks stream past it in Arrow batches, a matrix product each. A
+task emits a row only if it can be among the best of a pass so far, so what is exchanged is some rows a question and task, never
+all pairs. Ranking, deduplication, fallback and bonus are windows over that one exchange by question.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomspan.functions import vectors as V
 
-#: Questions up to which their vectors are broadcast; more are taken in blocks of as many.
+#: Questions in one block: what is collected and broadcast at a time. More questions take a scan of the chunks for each block.
 QUESTION_BLOCK = 2000
+#: What the order of a sum may change in a cosine; rows so near to the last place are scored again one by one.
+ROUNDING = 1e-9
 
 
 @dataclass(frozen=True)
@@ -50,8 +55,12 @@ def in_scope(scope: Column, number: Column, top: Column) -> Column:
     return F.coalesce(F.array_contains(scope, number) | F.array_contains(scope, top), F.lit(False))
 
 
+#: Kinds that answer a question about a figure, if they have one.
+FIGURE_KINDS = ("caption", "figure_desc", "body")
+
+
 def figure_kinds() -> Column:
-    return F.col("kind").isin("caption", "figure_desc", "body") & F.col("has_figure")
+    return F.col("kind").isin(*FIGURE_KINDS) & F.col("has_figure")
 
 
 def predicate(scope: Column, is_figure: Column) -> Column:
@@ -67,20 +76,127 @@ def bonus(scope: Column, is_figure: Column, target: Column) -> Column:
     return when(number, 0.05) + when(top, 0.03) + when(is_figure & F.col("kind").isin("caption", "figure_desc"), 0.05) + when(label, 0.1)
 
 
-def scored(chunks: DataFrame, plans: DataFrame) -> DataFrame:
-    """Every chunk against every question: (question columns, chunk columns, sim). Questions are the small side, in blocks."""
-    left = chunks.withColumn("__v", V.doubles(F.col("embedding"))).withColumn("__n", V.norm(F.col("__v"))).drop("embedding")
-    right = plans.withColumn("__q", V.doubles(F.col("embedding"))).withColumn("__m", V.norm(F.col("__q"))).drop("embedding")
-    pairs = left.join(F.broadcast(right))
-    return pairs.withColumn("sim", F.greatest(F.lit(0.0), V.cosine(F.col("__v"), F.col("__q"), F.col("__n"), F.col("__m")))).drop("__v", "__n", "__q", "__m")
-
-
-def top_k(chunks: DataFrame, plans: DataFrame, k: int, where: Column | None = None) -> DataFrame:
-    """The k nearest chunks of each question, filtered before ranking; ties by chunk id. Ranking is cut within each task first."""
-    rows = scored(chunks, plans)
-    rows = rows if where is None else rows.where(where)
-    order = Window.partitionBy("question_id").orderBy(F.desc("sim"), "chunk_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def _matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of all vectors, where each begins, and how long it is; missing values count as 0."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    lengths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = np.nan_to_num(vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False))
+    return flat, np.cumsum(lengths) - lengths, lengths
+
+
+def _units(vectors: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By length of vector: which rows have it, their vectors, and their norms. Empty and zero vectors are in none."""
+    flat, first, lengths = _matrix(vectors)
+    out = []
+    for d in np.unique(lengths[lengths > 0]).tolist():
+        rows = np.flatnonzero(lengths == d)
+        v = flat[first[rows][:, None] + np.arange(d)]
+        norm = np.sqrt((v * v).sum(axis=1))
+        some = norm > 0
+        out.append((rows[some], v[some], norm[some]))
+    return out
+
+
+class _Questions:
+    """A block of questions: unit vectors by length, and for each pass which chunks it admits."""
+
+    def __init__(self, rows: pa.Table, passes: dict[str, tuple[int, str]]):
+        self.ids, self.passes, self.n = rows["question_id"], passes, rows.num_rows
+        self.units = _units(rows["embedding"])
+        scopes = rows["scope"].to_pylist() if "scope" in rows.column_names else [None] * self.n
+        self.is_figure = np.array([bool(x) for x in rows["is_figure"].to_pylist()] if "is_figure" in rows.column_names else [False] * self.n, bool)
+        self.unscoped = np.array([not x for x in scopes], bool)
+        self.asked: dict[str, list[int]] = {}
+        for k, scope in enumerate(scopes):
+            for item in set(scope or ()):
+                self.asked.setdefault(item, []).append(k)
+
+    def _in_scope(self, column: pa.Array) -> np.ndarray:
+        code = column.dictionary_encode()
+        table = np.zeros((len(code.dictionary) + 1, self.n), bool)
+        for k, item in enumerate(code.dictionary.to_pylist()):
+            table[k, self.asked.get(item, [])] = True
+        return table[code.indices.fill_null(len(code.dictionary)).to_numpy(zero_copy_only=False)]
+
+    def admitted(self, batch: pa.RecordBatch, kind: str) -> np.ndarray | None:
+        """(chunks, questions) flags; None if all are admitted."""
+        if kind == "all":
+            return None
+        of = lambda name: batch.column(batch.schema.get_field_index(name))
+        pictured = np.array([k in FIGURE_KINDS and bool(h) for k, h in zip(of("kind").to_pylist(), of("has_figure").to_pylist(), strict=True)], bool)
+        out = ~self.is_figure | pictured[:, None]
+        if kind == "scoped":
+            out &= self.unscoped | self._in_scope(of("section_number")) | self._in_scope(of("section_top"))
+        return out
+
+
+def _streamed(questions: _Questions, batches: Iterator[pa.RecordBatch], id_col: str, vector_at: int) -> Iterator[pa.RecordBatch]:
+    best = {name: np.full((k, questions.n), -1.0) for name, (k, _) in questions.passes.items()}
+    for batch in batches:
+        n = batch.num_rows
+        if not n or not questions.n:
+            continue
+        sims, own = np.zeros((n, questions.n)), _units(batch.column(vector_at))
+        for rows, v, norm in own:
+            for asked, q, q_norm in questions.units:
+                if v.shape[1] == q.shape[1]:
+                    sims[np.ix_(rows, asked)] = np.maximum(v @ q.T / (norm[:, None] * q_norm), 0.0)
+        flags = {}
+        for name, (k, kind) in questions.passes.items():
+            mask = questions.admitted(batch, kind)
+            some = sims if mask is None else np.where(mask, sims, -1.0)
+            merged = np.concatenate((best[name], some))
+            best[name] = np.partition(merged, len(merged) - k, axis=0)[len(merged) - k :]
+            flags[name] = (some >= 0) & (some >= best[name].min(axis=0) - ROUNDING)
+        row, asked = np.nonzero(np.logical_or.reduce(list(flags.values())))
+        if not len(row):
+            continue
+        # The product's sums depend on a row's place in the matrix; those that stay are summed alike, so equal vectors tie.
+        exact = np.zeros(len(row))
+        for rows, v, norm in own:
+            for mine, q, q_norm in questions.units:
+                if v.shape[1] == q.shape[1]:
+                    a, b = np.searchsorted(rows, row), np.searchsorted(mine, asked)
+                    hit = np.flatnonzero((a < len(rows)) & (b < len(mine)))
+                    hit = hit[(rows[a[hit]] == row[hit]) & (mine[b[hit]] == asked[hit])]
+                    exact[hit] = np.maximum((v[a[hit]] * q[b[hit]]).sum(axis=1) / (norm[a[hit]] * q_norm[b[hit]]), 0.0)
+        kept = batch.take(pa.array(row)).drop_columns([batch.schema.names[vector_at]])
+        ids = questions.ids.take(pa.array(asked)).combine_chunks()
+        marks = [pa.array(f[row, asked]) for f in flags.values()]
+        yield pa.RecordBatch.from_arrays([*kept.columns, ids, pa.array(exact), *marks], names=[*kept.schema.names, "question_id", "sim", *(f"in_{p}" for p in flags)])
+
+
+def nearest(chunks: DataFrame, plans: DataFrame, passes: dict[str, tuple[int, str]], id_col: str = "chunk_id") -> DataFrame:
+    """(chunk columns without the vector, question_id, sim, in_<pass>): for every question at least its nearest chunks of each pass, by
+    cosine, 0 at least. ``passes``: name to (how many, which chunks: all, figures or scoped)."""
+    asked = [c for c in ("question_id", "embedding", "scope", "is_figure") if c in plans.columns]
+    plans = plans.select(*asked)
+    n = plans.count()
+    blocks = max(1, -(-n // QUESTION_BLOCK))
+    fields = [f for f in chunks.schema.fields if f.name != "embedding"]
+    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"question_id {plans.schema['question_id'].dataType.simpleString()}", "sim double", *(f"in_{p} boolean" for p in passes)])
+    at = chunks.columns.index("embedding")
+    out = None
+    for block in range(blocks):
+        # bound: about QUESTION_BLOCK questions
+        own = plans if blocks == 1 else plans.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == block)
+        payload = chunks.sparkSession.sparkContext.broadcast(_Questions(own.toArrow(), passes))
+        found = chunks.mapInArrow(lambda batches, payload=payload: _streamed(payload.value, batches, id_col, at), shape)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _nearest_first(id_col: str = "chunk_id") -> list[Column]:
+    return [F.desc("sim"), F.col(id_col)]
+
+
+def top_k(chunks: DataFrame, plans: DataFrame, k: int, which: str = "all", id_col: str = "chunk_id") -> DataFrame:
+    """The k nearest chunks of each question, filtered before ranking; ties by chunk id. Columns of the question follow the chunk's."""
+    rows = nearest(chunks, plans, {"k": (k, which)}, id_col).drop("in_k")
+    order = Window.partitionBy("question_id").orderBy(*_nearest_first(id_col))
+    ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.join(plans.drop("embedding"), "question_id")
 
 
 def best_per_group(rows: DataFrame, limit: int) -> DataFrame:
@@ -94,25 +210,26 @@ def best_per_group(rows: DataFrame, limit: int) -> DataFrame:
 def retrieve(chunks: DataFrame, plans: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """At most top + bonus chunks a question: (question_id, chunk columns, sim, score, ord, fallback_used). The scoped pass fetches,
     thresholds, re-ranks and dedups; with fewer than ``min_scoped`` left it gives way to the global pass; otherwise the best
-    chunks without any filter follow, as far as they aren't there yet."""
-    scope, fig, target = F.col("scope"), F.col("is_figure"), F.col("target_label")
-    base = scored(chunks, plans)
-    order = [F.desc("sim"), F.col("chunk_id")]
-
-    def nearest(where: Column, k: int, name: str) -> Column:
-        own = Window.partitionBy("question_id", where).orderBy(*order)
-        return F.when(where & (F.row_number().over(own) <= k), F.lit(name))
-
-    figures_only = ~fig | figure_kinds()
-    scoped_where = F.coalesce(predicate(scope, fig), F.lit(False))
-    ranked = base.withColumns({"__s": nearest(scoped_where, limits.fetch, "s"), "__g": nearest(figures_only, limits.fetch, "g"), "__p": nearest(F.lit(True), limits.fetch // 2, "p")})
-    ranked = ranked.where(F.coalesce("__s", "__g", "__p").isNotNull() & (F.col("sim") >= limits.least)).withColumn("score", F.col("sim") + bonus(scope, fig, target))
-    scoped = best_per_group(ranked.where("__s is not null"), limits.top)
-    enough = scoped.groupBy("question_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limits.min_scoped).select("question_id")
-    kept = scoped.join(enough, "question_id", "left_semi")
-    wide = best_per_group(ranked.where("__g is not null").join(enough, "question_id", "left_anti"), limits.top + limits.bonus)
-    fresh = ranked.where("__p is not null").join(enough, "question_id", "left_semi").join(kept.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_anti")
-    extra = Window.partitionBy("question_id").orderBy(*order)
-    fresh = fresh.withColumn("ord", F.row_number().over(extra)).where(F.col("ord") <= limits.bonus).withColumns({"ord": F.col("ord") + limits.top, "score": F.col("sim")})
-    flag = lambda df, used: df.withColumn("fallback_used", F.lit(used)).drop("__s", "__g", "__p")
-    return flag(kept, False).unionByName(flag(fresh, False)).unionByName(flag(wide, True))
+    chunks without any filter follow, as far as they aren't there yet. All of it is windows on rows that met by question once."""
+    passes = {"s": (limits.fetch, "scoped"), "g": (limits.fetch, "figures"), "p": (limits.fetch // 2, "all")}
+    rows = nearest(chunks, plans, passes).join(plans.select("question_id", "scope", "is_figure", "target_label"), "question_id")
+    by_score = [F.desc("score"), F.desc("sim"), F.col("chunk_id")]
+    place = lambda flag, by, *more: F.row_number().over(Window.partitionBy("question_id", flag, *more).orderBy(*by))
+    for name, (k, _) in passes.items():
+        flag = F.col(f"in_{name}")
+        rows = rows.withColumn(f"in_{name}", flag & (place(flag, _nearest_first()) <= k) & (F.col("sim") >= limits.least))
+    rows = rows.where("in_s or in_g or in_p").withColumn("score", F.col("sim") + bonus(F.col("scope"), F.col("is_figure"), F.col("target_label")))
+    group = [F.coalesce("section_number", F.lit("")), F.coalesce("kind", F.lit(""))]
+    for name, limit in (("s", limits.top), ("g", limits.top + limits.bonus)):
+        flag = F.col(f"in_{name}")
+        rows = rows.withColumn(f"in_{name}", flag & (place(flag, by_score, *group) == 1)).withColumn(f"ord_{name}", place(flag, by_score))
+        rows = rows.withColumn(f"in_{name}", flag & (F.col(f"ord_{name}") <= limit))
+    rows = rows.withColumn("enough", F.count_if("in_s").over(Window.partitionBy("question_id")) >= limits.min_scoped)
+    fresh = F.col("in_p") & F.col("enough") & ~F.col("in_s")
+    rows = rows.withColumn("in_p", fresh).withColumn("ord_p", place(F.col("in_p"), _nearest_first()))
+    rows = rows.withColumn("in_p", F.col("in_p") & (F.col("ord_p") <= limits.bonus))
+    rows = rows.where((F.col("enough") & (F.col("in_s") | F.col("in_p"))) | (~F.col("enough") & F.col("in_g")))
+    turn = F.when(~F.col("enough"), F.col("ord_g")).when(F.col("in_s"), F.col("ord_s")).otherwise(F.col("ord_p") + limits.top)
+    score = F.when(F.col("in_p"), F.col("sim")).otherwise(F.col("score"))
+    out = rows.withColumns({"ord": turn, "score": score, "fallback_used": ~F.col("enough")})
+    return out.drop("enough", *(f"{a}_{b}" for b in passes for a in ("in", "ord")))

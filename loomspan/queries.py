@@ -14,7 +14,6 @@ from loomspan.functions import vectors as V
 from loomspan.operators import answers as A
 from loomspan.operators import chunks as C
 from loomspan.operators import digest, evaluation, latex, providers, qa_cache, retrieval, structure
-from loomspan.plans.shared import materialize
 from loomspan.sources import files as S
 from loomspan.sources import questions as Q
 
@@ -83,9 +82,9 @@ sec as (select doc_id, text, i, number, trim(g2) as title, p0 as char_start, cas
 )
 
 
-def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written once: filters that the optimizer derives from an explode would otherwise repeat the parsing."""
-    return materialize(structure.parse(tex(spark, sf_dir)), "structure")
+def parsed(spark: SparkSession, sf_dir: str, *parts: str, keep_text: bool = False) -> DataFrame:
+    """Only the parts that a query reads are built; the text travels on only where it is read again."""
+    return structure.parse(tex(spark, sf_dir), parts=parts, keep_text=keep_text)
 
 
 @query(f"with {TEX} select doc_id, md5(text) as digest, cast(length(text) as integer) as n from tex")
@@ -151,7 +150,7 @@ def macro_inline(spark, sf_dir):
 
 @query(SECTIONS + " select doc_id, number, title, char_start, char_end, level, label, parent_number from sec")
 def section_spans(spark, sf_dir):
-    s = parsed(spark, sf_dir).select("doc_id", F.inline("sections"))
+    s = parsed(spark, sf_dir, "sections").select("doc_id", F.inline("sections"))
     return s.select("doc_id", "number", "title", "char_start", "char_end", "level", "label", "parent_number")
 
 
@@ -159,7 +158,7 @@ def section_spans(spark, sf_dir):
 select s.doc_id, s.number, s.char_start, concat_ws(' / ', b.number || ' ' || b.title, a.number || ' ' || a.title, s.number || ' ' || s.title) as path, split_part(s.number, '.', 1) as top
 from sec s left join f a on a.doc_id = s.doc_id and a.number = s.parent_number left join f b on b.doc_id = a.doc_id and b.number = a.up""")
 def section_path(spark, sf_dir):
-    s = parsed(spark, sf_dir).select("doc_id", F.inline("sections"))
+    s = parsed(spark, sf_dir, "sections").select("doc_id", F.inline("sections"))
     return s.select("doc_id", "number", "char_start", "path", structure.section_top(F.col("number")).alias("top"))
 
 
@@ -168,8 +167,7 @@ REFS = _found(r"\\(?:ref|eqref|autoref|cref|Cref)\{([^}]+)\}", 1, "r")
 
 @query(SECTIONS + f", {REFS} select r.doc_id, r.p0 as char_at, r.g1 as label, coalesce(s.number, '0') as section from r left join sec s on s.doc_id = r.doc_id and r.p0 >= s.char_start and r.p0 < s.char_end")
 def pos_to_section(spark, sf_dir):
-    rows = parsed(spark, sf_dir).select("doc_id", "sections", F.inline(structure.references(F.col("text"))))
-    return rows.select("doc_id", F.col("start").alias("char_at"), F.col("g1").alias("label"), structure.section_at(F.col("sections"), F.col("start")).alias("section"))
+    return parsed(spark, sf_dir, "references").select("doc_id", F.inline("references"))
 
 
 EQS = _found(r"\\begin\{equation\}(.+?)\\end\{equation\}", 1, "e")
@@ -178,12 +176,12 @@ FIGS = _found(r"\\begin\{figure\}(.+?)\\end\{figure\}", 1, "g")
 
 @query(SECTIONS + f", {EQS} " + r"select e.doc_id, regexp_extract(g1, '\\label\{([^}]+)\}', 1) as label, s.number as section, trim(g1) as latex, p0 as char_pos from e join sec s on s.doc_id = e.doc_id and p0 >= s.char_start and p0 < s.char_end")
 def equations(spark, sf_dir):
-    return parsed(spark, sf_dir).select("doc_id", F.inline("equations"))
+    return parsed(spark, sf_dir, "equations").select("doc_id", F.inline("equations")).drop("section_path", "before", "after")
 
 
 @query(SECTIONS + f", {FIGS} " + r"select g.doc_id, regexp_extract(g1, '\\label\{([^}]+)\}', 1) as label, regexp_extract(g1, 'graphics\{([^}]+)\}', 1) as tex_path, regexp_extract(g1, 'caption\{([^}]+)\}', 1) as caption, p0 as char_pos, s.number as section from g join sec s on s.doc_id = g.doc_id and p0 >= s.char_start and p0 < s.char_end")
 def figures(spark, sf_dir):
-    return parsed(spark, sf_dir).select("doc_id", F.inline("figures"))
+    return parsed(spark, sf_dir, "figures").select("doc_id", F.inline("figures")).drop("section_path")
 
 
 LABELS = SECTIONS + f", {EQS}, {FIGS}, " + r"""target as (select doc_id, label, arg_max(kind, rank) as kind from (
@@ -194,25 +192,23 @@ REFERENCED = f", {REFS}, " + r"""seen as (select r.doc_id, r.g1 as label, coales
 
 @query(LABELS + " select * from target")
 def label_target(spark, sf_dir):
-    return structure.label_targets(parsed(spark, sf_dir))
+    return structure.label_targets(parsed(spark, sf_dir, "targets"))
 
 
 @query(SECTIONS + REFERENCED + " select doc_id, label, string_agg(section, ',' order by p0) as sections from seen group by doc_id, label")
 def label_referenced_by(spark, sf_dir):
-    rows = structure.referenced_by(parsed(spark, sf_dir))
+    rows = structure.referenced_by(parsed(spark, sf_dir, "referenced"))
     return rows.select("doc_id", "label", F.array_join("sections", ",").alias("sections"))
 
 
 @query(LABELS + REFERENCED + " select distinct doc_id, label from seen where not exists (select 1 from target t where t.doc_id = seen.doc_id and t.label = seen.label)")
 def label_undefined(spark, sf_dir):
-    p = parsed(spark, sf_dir)
-    return evaluation.dangling(structure.referenced_by(p), structure.label_targets(p), limit=1000).select("doc_id", F.explode("undefined").alias("label"))
+    return evaluation.dangling(parsed(spark, sf_dir, "referenced", "targets")).select("doc_id", F.explode("undefined").alias("label"))
 
 
 @query(LABELS + REFERENCED + " select doc_id, label from target where not exists (select 1 from seen s where s.doc_id = target.doc_id and s.label = target.label)")
 def label_unreferenced(spark, sf_dir):
-    p = parsed(spark, sf_dir)
-    return evaluation.dangling(structure.referenced_by(p), structure.label_targets(p), limit=100_000).select("doc_id", F.explode("unreferenced").alias("label"))
+    return evaluation.dangling(parsed(spark, sf_dir, "referenced", "targets")).select("doc_id", F.explode("unreferenced").alias("label"))
 
 
 @query(r"""with t as (select doc_id, source || '=' || n_chars || ' \texttt{' || lang || '} \verb|x y| 7 ' || n_chars || '.5 ' || regexp_replace(text, '\d', '', 'g') as text from documents),
@@ -250,26 +246,30 @@ def chunk_offsets(spark, sf_dir):
 
 @query()
 def chunk_body(spark, sf_dir):
-    return C.body_chunks(parsed(spark, sf_dir)).select("doc_id", "chunk_id", "section_path", "char_start", "char_end", "has_figure", F.array_join("label_refs", ",").alias("refs"))
+    return C.body_chunks(parsed(spark, sf_dir, *C.PARTS)).select("doc_id", "chunk_id", "section_path", "char_start", "char_end", "has_figure", F.array_join("label_refs", ",").alias("refs"))
 
 
 @query(SECTIONS + f", {EQS} " + r"""select e.doc_id, 'equation:' || regexp_extract(g1, '\\label\{([^}]+)\}', 1) as chunk_id,
   md5('eq ' || regexp_extract(g1, '\\label\{([^}]+)\}', 1) || ': ' || trim(g1) || chr(10) || 'Before: ' || regexp_replace(substring(text, greatest(p0 - 150, 0) + 1, p0 - greatest(p0 - 150, 0)), '^\s+|\s+$', '', 'g') || chr(10) || 'After: ' || regexp_replace(substring(text, p0 + length(trim(g1)) + 1, 150), '^\s+|\s+$', '', 'g')) as digest from e""")
 def chunk_equation_context(spark, sf_dir):
-    return C.equation_chunks(parsed(spark, sf_dir)).select("doc_id", "chunk_id", F.md5("text").alias("digest"))
+    return C.equation_chunks(parsed(spark, sf_dir, "equations")).select("doc_id", "chunk_id", F.md5("text").alias("digest"))
 
 
-@query(LABELS + r""" select doc_id, kind, count(*) as n, sum(length(t)) as chars from (
-  select doc_id, 'caption' as kind, 'Figure ' || regexp_extract(g1, '\\label\{([^}]+)\}', 1) || ': ' || regexp_extract(g1, 'caption\{([^}]+)\}', 1) as t from g
+@query(LABELS + r""" select doc_id, kind, case kind when 'body' then count(distinct t) else count(*) end as n, case when kind not in ('body', 'equation') then sum(length(t)) end as chars from (
+  select doc_id, 'body' as kind, number as t from sec
+  union all select doc_id, 'caption', 'Figure ' || regexp_extract(g1, '\\label\{([^}]+)\}', 1) || ': ' || regexp_extract(g1, 'caption\{([^}]+)\}', 1) as t from g
   union all select doc_id, 'equation', null from e
   union all select doc_id, 'section_summary', 'Section ' || number || ' ' || title || ': ' || title from sec
   union all select doc_id, 'figure_desc', 'Figure ' || regexp_extract(g1, '\\label\{([^}]+)\}', 1) || ' description: ' || regexp_extract(g1, 'caption\{([^}]+)\}', 1) from g) group by doc_id, kind""")
 def chunk_union(spark, sf_dir):
-    p = parsed(spark, sf_dir)
+    """All kinds; of bodies, whose pieces the splitter makes, the sections that have any."""
+    p = parsed(spark, sf_dir, *C.PARTS)
     summaries = p.select("doc_id", F.inline("sections")).select("doc_id", "number", F.col("title").alias("dense_summary"))
     described = p.select("doc_id", F.inline("figures")).select("doc_id", "label", F.col("section").alias("section_path"), F.col("caption").alias("description_text"))
-    rows = C.all_chunks(p, summaries, described).where("kind <> 'body'")
-    return rows.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("kind") != "equation", F.length("text"))).alias("chars"))
+    rows = C.all_chunks(p, summaries, described)
+    body = F.col("kind") == "body"
+    n = F.count_distinct(F.when(body, F.col("section_number"))) + F.count_if(~body)
+    return rows.groupBy("doc_id", "kind").agg(n.alias("n"), F.sum(F.when(~F.col("kind").isin("body", "equation"), F.length("text"))).alias("chars"))
 
 
 @query("select doc_id, case when source = 'src0' then '' else '|' || source || '|' || lang || '|' end as refs from documents")
@@ -314,7 +314,7 @@ def knn_topk(spark, sf_dir):
 
 @query(VECTORS + " select question_id, chunk_id, round(sim, 6) as sim from (select *, row_number() over (partition by question_id order by sim desc, chunk_id) as rank from flag where in_scope) where rank <= 24 and sim >= 0.2")
 def knn_threshold(spark, sf_dir):
-    rows = retrieval.top_k(vector_chunks(spark, sf_dir), vector_plans(spark, sf_dir), 24, retrieval.predicate(F.col("scope"), F.col("is_figure")))
+    rows = retrieval.top_k(vector_chunks(spark, sf_dir), vector_plans(spark, sf_dir), 24, "scoped")
     return rows.where("sim >= 0.2").select("question_id", "chunk_id", _six("sim"))
 
 
@@ -398,23 +398,24 @@ def qa_exact_lookup(spark, sf_dir):
     return qa_cache.exact(questions, _entries(spark, sf_dir))
 
 
-SEMANTIC = "with p as (select q.vec_id as question_id, e.vec_id as entry_id, list_cosine_similarity(cast(q.embedding as double[]), cast(e.embedding as double[])) as similarity from embeddings q, embeddings e where q.vec_id % 20 = 0 and e.vec_id % 20 <> 0), b as (select question_id, arg_max(entry_id, similarity) as entry_id, max(similarity) as similarity from p group by 1)"
+SEMANTIC = "with p as (select q.vec_id as question_id, e.vec_id as entry_id, list_cosine_similarity(cast(q.embedding as double[]), cast(e.embedding as double[])) as similarity from embeddings q, embeddings e where q.vec_id % 20 = 0 and e.vec_id <> q.vec_id), b as (select question_id, min_by(entry_id, struct_pack(a := -similarity, b := entry_id)) as entry_id, max(similarity) as similarity from p group by 1)"
 
 
+# Every twentieth vector asks against all others.
 def _semantic(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "embeddings")
-    return rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), "embedding"), rows.where("vec_id % 20 <> 0").select(F.col("vec_id").alias("entry_id"), "embedding")
+    return rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), "embedding"), rows.select(F.col("vec_id").alias("entry_id"), "embedding")
 
 
 @query(SEMANTIC + " select question_id, entry_id, round(similarity, 6) as similarity from b where similarity >= 0.35")
 def qa_semantic_lookup(spark, sf_dir):
-    return qa_cache.semantic(*_semantic(spark, sf_dir), threshold=0.35).select("question_id", "entry_id", _six("similarity"))
+    return qa_cache.semantic(*_semantic(spark, sf_dir), threshold=0.35, others=True).select("question_id", "entry_id", _six("similarity"))
 
 
 @query(SEMANTIC + " select 0::bigint as exact_hits, count(*) filter (where similarity >= 0.35) as semantic_hits, count(*) filter (where similarity < 0.35) as misses, round(coalesce(avg(similarity) filter (where similarity >= 0.35), 0), 6) as mean_similarity from b")
 def qa_cache_metrics(spark, sf_dir):
     questions, entries = _semantic(spark, sf_dir)
-    found = qa_cache.lookup(questions.withColumn("question", F.concat(F.lit("q"), "question_id")), entries.withColumn("question", F.concat(F.lit("e"), "entry_id")), threshold=0.35)
+    found = qa_cache.lookup(questions.withColumn("question", F.concat(F.lit("q"), "question_id")), entries.withColumn("question", F.concat(F.lit("e"), "entry_id")), threshold=0.35, others=True)
     return qa_cache.metrics(found).withColumn("mean_similarity", F.round("mean_similarity", 6))
 
 
@@ -423,15 +424,15 @@ def qa_cache_metrics(spark, sf_dir):
 
 @query(SECTIONS + " select doc_id, string_agg(repeat('  ', level - 1) || '- **' || number || ' ' || title || '**', chr(10) order by i) as outline from sec group by doc_id")
 def article_outline(spark, sf_dir):
-    rows = parsed(spark, sf_dir)
-    bare = F.transform("sections", lambda s: s.withField("keywords", F.array().cast("array<string>")))
-    return rows.select("doc_id", F.array_join(digest.outline(bare), "\n").alias("outline"))
+    rows = parsed(spark, sf_dir, "sections")
+    none = F.transform("sections", lambda s: F.array().cast("array<string>"))
+    return rows.select("doc_id", F.array_join(digest.outline(F.col("sections"), none), "\n").alias("outline"))
 
 
 @query()
 def article_map(spark, sf_dir):
-    p = parsed(spark, sf_dir)
-    return digest.article_map(p, structure.referenced_by(p)).select("doc_id", F.length("map").alias("n_chars"), F.md5("map").alias("digest"))
+    p = parsed(spark, sf_dir, *digest.PARTS, keep_text=True)
+    return digest.article_map(p).select("doc_id", F.length("map").alias("n_chars"), F.md5("map").alias("digest"))
 
 
 @query("with b as (select source as by_source, doc_id, '[body; ' || lang || ']' || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g') as block from documents where regexp_matches(text, '\\S')) select * from (select by_source, doc_id, md5(block) as digest, cast(sum(length(block) + 2) over (partition by by_source order by doc_id) as bigint) as total from b) where total <= 70000")
@@ -533,7 +534,7 @@ def recall_at_k(spark, sf_dir):
 
 @query(LABELS + ", own as (select doc_id, number, char_end - char_start as n from sec) select doc_id, count(*) as n_sections, count(distinct number) as n_covered, round(count(distinct number) / greatest(1, count(*)), 3) as coverage from own group by doc_id")
 def section_coverage(spark, sf_dir):
-    p = parsed(spark, sf_dir)
+    p = parsed(spark, sf_dir, *C.PARTS)
     return evaluation.coverage(p, C.body_chunks(p))
 
 
@@ -605,7 +606,7 @@ def answer_two_pass(spark, sf_dir):
     """A question from each document whose id is divisible by 20, answered from the chunks of all documents' LaTeX views."""
     from loomspan.plans.answering import answer
 
-    p = parsed(spark, sf_dir)
+    p = parsed(spark, sf_dir, *C.PARTS, keep_text=True)
     chunks = C.all_chunks(p).select(F.concat(F.col("doc_id").cast("string"), F.lit(" "), "chunk_id").alias("chunk_id"), "kind", "section_number", "section_top", "has_figure", "figure_refs", "equation_refs", "text")
     sections = p.select("doc_id", F.inline("sections")).select("doc_id", "number", "title")
     asked = p.where("doc_id % 20 = 0").select("doc_id", F.col("doc_id").alias("question_id"), F.lit(1).alias("slot"), F.concat(F.lit("What shows "), F.substring("text", 30, 60)).alias("question"))
