@@ -30,12 +30,12 @@ from loomspan.plans.shared import materialize, release
 LENGTH, GRAM = 50, 20
 #: Bytes of text in a group of documents, for each block, and hashed at a time: bounds of a task's memory, and small enough
 #: for a processor's caches. A document of more is hashed alone.
-GROUP_BYTES, BLOCK_BYTES, CHUNK_BYTES = 6_000_000, 1_600_000, 250_000
+GROUP_BYTES, BLOCK_BYTES, CHUNK_BYTES = 6_000_000, 1_000_000, 250_000
 #: Minimizers that a task gathers before it deals them out: few rows, well filled; documents looked at in one go; and pairs of a
 #: minimizer and a document in a row.
 FLUSH, SLICE, TOLD = 200_000, 250, 20_000
 #: String starts beyond which a block is parted by whole strings; bounds a task's time and memory.
-SPLIT_STARTS = 4_000_000
+SPLIT_STARTS = 1_500_000
 #: Bits of a start's number within its document; those above tell apart the texts of rows that repeat an id.
 START_BITS = 40
 _NULL = 2**63 - 1
