@@ -8,8 +8,8 @@ Statistics are whole thousandths and their sums and cross products are exact, so
 partitions. A concentration step is one pass: documents are binned by distance to the current estimate, counts and sums
 are aggregated by group and bin (with map-side combining; a few hundred bins a group), the bins up to the one that
 completes the wanted share become the new subset. No group's rows are brought together, so a hot source costs no more
-than others. Groups with fewer than ``MIN_GROUP`` documents are pooled by language, then overall; pools that stay
-smaller are not judged.
+than others. Every document is judged: groups with fewer than ``MIN_GROUP`` documents are pooled by language; where that pool is
+small too they are judged by the estimate of their whole language over all sources, or of the whole corpus if the language is small.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.plans.shared import materialize
+from loomspan.llm.common import named
+from loomspan.plans.shared import materialize, release
 
 MIN_WORDS, MAX_REPEAT = 50, 50
 #: Share of a group in the subset of least determinant, concentration steps, documents below which groups are pooled.
@@ -161,29 +162,39 @@ def mcd_sql(source: str, exact: str, hint: str = "") -> tuple[list[tuple[str, st
     return ctes, distance()
 
 
-def _groups(rows: DataFrame) -> DataFrame:
-    """Adds ``g``: language and source, or a pool of small groups, or null where even all small groups are too few."""
+def _groups(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``g``, the group whose estimate judges a row, and the rows of estimates: each group's own; for a small language's
+    leftovers ("L") all rows of it, for those of languages that are small themselves ("a") all rows."""
     rows = rows.withColumns({"gl": F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("-")), "gs": F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))})
-    counts = rows.groupBy("gl", "gs").agg(F.count(F.lit(1)).alias("k"))
-    small = counts.where(F.col("k") < MIN_GROUP)
-    by_lang = small.groupBy("gl").agg(F.sum("k").alias("kl"))
-    left = by_lang.where(F.col("kl") < MIN_GROUP).agg(F.coalesce(F.sum("kl"), F.lit(0)).alias("ka"))
-    names = counts.join(by_lang, "gl", "left").crossJoin(F.broadcast(left)).select("gl", "gs", F.when(F.col("k") >= MIN_GROUP, F.concat_ws(" ", F.lit("s"), "gl", "gs")).when(F.col("kl") >= MIN_GROUP, F.concat_ws(" ", F.lit("l"), "gl")).when(F.col("ka") >= MIN_GROUP, F.lit("a")).alias("g"))
-    names = materialize(names, "groups")
+    counts = materialize(rows.groupBy("gl", "gs").agg(F.count(F.lit(1)).alias("k")), "counts")
+    by_lang = counts.groupBy("gl").agg(F.coalesce(F.sum(F.when(F.col("k") < MIN_GROUP, F.col("k"))), F.lit(0)).alias("kl"), F.sum("k").alias("kt"))
+    g = F.when(F.col("k") >= MIN_GROUP, F.concat_ws(" ", F.lit("s"), "gl", "gs")).when(F.col("kl") >= MIN_GROUP, F.concat_ws(" ", F.lit("l"), "gl")).when(F.col("kt") >= MIN_GROUP, F.concat_ws(" ", F.lit("L"), "gl")).otherwise("a")
+    names = materialize(counts.join(by_lang, "gl").select("gl", "gs", g.alias("g")), "groups")
     side = F.broadcast(names) if names.count() <= BROADCAST_GROUPS else names
-    return rows.join(side, ["gl", "gs"]).drop("gl", "gs")
+    named_rows = materialize(rows.join(side, ["gl", "gs"]), "vectors")
+    values = [f"x{i}" for i in range(1, D + 1)]
+    estimated = named_rows.where("substring(g, 1, 1) in ('s', 'l')").select("g", *values)
+    wide = names.where("substring(g, 1, 1) = 'L'").select("gl", "g").distinct()
+    if not wide.isEmpty():
+        estimated = estimated.unionByName(named_rows.drop("g").join(wide, "gl").select("g", *values))
+    if not names.where("g = 'a'").isEmpty():
+        estimated = estimated.unionByName(named_rows.select(F.lit("a").alias("g"), *values))
+    release(counts)
+    return named_rows.drop("gl", "gs"), estimated
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, d2, kept) for every row. Null languages
-    and sources are groups of their own; rows that failed the base aren't judged (d2 is null) nor estimated from."""
+    and sources are groups of their own; rows that failed the base, as null and empty texts do, aren't judged (d2 is null) nor estimated
+    from. Long texts are read whole; rows that repeat an id, or have none, are documents each; of tied estimates the first start counts.
+    Only the four named columns are read, so no other name clashes; an empty table gives no row."""
     spark: SparkSession = docs.sparkSession
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
+    picked = docs.select(named(id_col).alias("id"), named(text_col).alias("text"), named(lang_col).cast("string").alias("lang"), named(source_col).cast("string").alias("source"))
     own = materialize(with_statistics(picked).drop("text").withColumn("base_failed", base_failed()), "statistics")
-    good = _groups(own.where("not base_failed"))
-    good = materialize(good.select("*", *[F.expr(x).alias(f"x{i}") for i, x in enumerate(VECTOR, 1)]), "vectors")
+    good = own.where("not base_failed")
+    good, estimated = _groups(good.select("*", *[F.expr(x).alias(f"x{i}") for i, x in enumerate(VECTOR, 1)]))
     name = f"loomspan_vectors_{uuid.uuid4().hex}"
-    good.where("g is not null").createOrReplaceTempView(name)
+    estimated.createOrReplaceTempView(name)
     few = good.select("g").distinct().count() <= BROADCAST_GROUPS
     hint = "/*+ BROADCAST({}) */" if few else ""
     steps, distance = mcd_sql(name, "cast({} as decimal(20, 0))", hint)
@@ -236,12 +247,15 @@ stat as (
 own as (select *, n_words < %d or 100 * n_repeat_words > %d * n_words as base_failed from stat),
 keyed as (select *, coalesce('=' || lang, '-') as gl, coalesce('=' || source, '-') as gs from own where not base_failed),
 counts as (select gl, gs, count(*) as k from keyed group by gl, gs),
-by_lang as (select gl, sum(k) as kl from counts where k < %d group by gl),
-leftover as (select coalesce(sum(kl), 0) as ka from by_lang where kl < %d),
-names as (select gl, gs, case when k >= %d then 's ' || gl || ' ' || gs when kl >= %d then 'l ' || gl when ka >= %d then 'a' end as g from counts left join by_lang using (gl), leftover),
+by_lang as (select gl, coalesce(sum(k) filter (where k < %d), 0) as kl, sum(k) as kt from counts group by gl),
+names as (select gl, gs, case when k >= %d then 's ' || gl || ' ' || gs when kl >= %d then 'l ' || gl when kt >= %d then 'L ' || gl else 'a' end as g from counts join by_lang using (gl)),
 vectors as (select keyed.*, g, %s from keyed join names using (gl, gs)),
-""" % (MIN_WORDS, MAX_REPEAT, *[MIN_GROUP] * 5, ", ".join(f"{x} as x{i}" for i, x in enumerate(VECTOR, 1)))
-    ctes, distance = mcd_sql("(select * from vectors where g is not null)", "cast({} as hugeint)")
+estimated as (
+  select g, x1, x2, x3, x4, x5 from vectors where g[1] in ('s', 'l')
+  union all select w.g, x1, x2, x3, x4, x5 from vectors v join (select distinct gl, g from names where g[1] = 'L') w using (gl)
+  union all select 'a', x1, x2, x3, x4, x5 from vectors where exists (select 1 from names where g = 'a')),
+""" % (MIN_WORDS, MAX_REPEAT, *[MIN_GROUP] * 4, ", ".join(f"{x} as x{i}" for i, x in enumerate(VECTOR, 1)))
+    ctes, distance = mcd_sql("estimated", "cast({} as hugeint)")
     end = f"""
 ,judged as (select v.*, {distance} from vectors v left join verdict_estimate e on v.g = e.g)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(d2, 0) <= {REJECT_BOUND!r}e0 as kept from judged
