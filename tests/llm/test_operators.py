@@ -7,6 +7,7 @@ import math
 import random
 import re
 import time
+import unicodedata
 import zlib
 
 import numpy as np
@@ -172,6 +173,60 @@ def test_quality_statistics_equal_brute_force(spark, docs, odd):
     assert quality_rules.judge(odd.where("false")).count() == 0
 
 
+def mcd(x):
+    """(center, covariance) of whole vectors by the definition: concentration from two starts, reweighting; with numpy's own algebra."""
+    floors = np.diag(np.array(quality_rules.FLOORS, float) ** 2)
+    fit = lambda part, factor=1.0: (part.mean(axis=0), factor * np.cov(part.T, bias=True).reshape(5, 5) + floors)
+    away = lambda m, v: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(v), x - m)
+    m, v = fit(x)
+    starts = [(m, v)]
+    near = (np.abs(x - m) <= np.sqrt(np.diag(v))).all(axis=1)
+    if near.sum() >= 20:
+        starts.append(fit(x[near]))
+    best = None
+    for m, v in starts:
+        for _ in range(quality_rules.STEPS):
+            place = np.floor(64 * np.log1p(away(m, v)))
+            kinds, count = np.unique(place, return_counts=True)
+            before = np.cumsum(count) - count
+            m, v = fit(x[np.isin(place, kinds[before < quality_rules.SHARE * len(x)])])
+        size = np.linalg.slogdet(v)[1]
+        if best is None or size < best[0] - 1e-12:
+            best = (size, m, v)
+    _, m, v = best
+    bound = quality_rules.chi2_quantile(quality_rules.REWEIGHT_P, 5) * quality_rules.consistency(quality_rules.SHARE, 5)
+    return fit(x[away(m, v) <= bound], quality_rules.consistency(quality_rules.REWEIGHT_P, 5))
+
+
+def vector(text):
+    n, chars, symbols, dup, repeat = brute_statistics(text)
+    upper = sum(unicodedata.category(c) == "Lu" for c in text)
+    rounded = lambda v: math.floor(v + 0.5)
+    return [rounded(1000 * math.log(chars / n)), rounded(1000 * math.log(1 + 10 * symbols / n)), rounded(1000 * upper / chars), rounded(1000 * repeat / n), rounded(1000 * math.log(1 + dup))]
+
+
+def test_quality_estimates_equal_numpy_and_judge_every_group(spark):
+    rng = random.Random(2)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    rows = [(prose(rng.randrange(60, 120)), "en", "big") for _ in range(150)] + [(prose(80), "en", "small") for _ in range(10)]
+    rows += [(prose(80), "xx", f"s{k % 3}") for k in range(10)] + [(prose(80), "fr", f"s{k % 5}") for k in range(120)] + [(prose(70), None, None) for _ in range(3)]
+    junk = " ".join("A#$%" * 9 for _ in range(30)) + " " + prose(40)
+    rows += [(junk, "xx", "s1"), (junk, "en", "small"), (junk, "fr", "s1"), (junk, None, "q")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = {r["id"]: r for r in quality_rules.judge(df).collect()}
+    good = [i for i in range(len(rows)) if not got[i]["base_failed"]]
+    x = {i: vector(rows[i][0]) for i in good}
+    group = lambda i: {"en": rows[i][2], "fr": "fr"}.get(rows[i][1], "all")
+    # the small English source is judged by all English documents, small languages by all documents
+    members = {"big": [i for i in good if rows[i][2] == "big"], "small": [i for i in good if rows[i][1] == "en"], "fr": [i for i in good if rows[i][1] == "fr"], "all": good}
+    fits = {g: mcd(np.array([x[i] for i in own], float)) for g, own in members.items()}
+    for i in good:
+        m, v = fits[group(i)]
+        d2 = (np.array(x[i]) - m) @ np.linalg.inv(v) @ (np.array(x[i]) - m)
+        assert abs(got[i]["d2"] - d2) < 1e-6 * (1 + d2) and got[i]["kept"] == (d2 <= quality_rules.REJECT_BOUND)
+    assert [got[i]["kept"] for i in range(len(rows))] == [True] * (len(rows) - 4) + [False] * 4
+
+
 def test_quality_keeps_good_and_rejects_bad(spark):
     d = "/root/testdata/sf0.01"
     got = quality_rules.judge(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet").withColumnRenamed("doc_id", "id"), "id").where("not base_failed")
@@ -179,6 +234,12 @@ def test_quality_keeps_good_and_rejects_bad(spark):
     assert share[1] > 0.99 and share[0] < 0.1
 
 
+def test_quality_with_clashing_names(spark, docs):
+    other = docs.withColumns({n: F.lit("x") for n in ("g", "gl", "id", "kept", "x1", "d2", "n_words", "k", "__w")})
+    a, b = (sorted((r["id"], r["kept"]) for r in quality_rules.judge(d).collect()) for d in (docs, other))
+    assert a == b
+
+
 def test_chi_square():
     assert abs(quality_rules.chi2_quantile(0.975, 5) - 12.8325) < 1e-3
 
