@@ -17,7 +17,8 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (u, v) but the roots themselves; root is the component's smallest node."""
+    """(node, root) for every node of ``edges`` (u, v) but the roots themselves; root is the component's smallest node.
+    Repeated edges and loops count for nothing; without edges there is no row."""
     now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = _mark(now)
     while seen[0]:
@@ -35,4 +36,6 @@ def components(edges: DataFrame) -> DataFrame:
             now = then
             break
         now, seen = then, after
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = materialize(now.select(F.col("u").alias("node"), F.col("v").alias("root")), "roots")
+    release(now)
+    return out

@@ -1,9 +1,10 @@
 """MinHash near-dedup with an LSH forest.
 
 Each distinct shingle set gets ``TREES`` sequences of ``DEPTH`` min-hashes. A tree is the global sorted order of its
-sequences, range-partitioned, so neighbours have the longest common prefixes; candidates are neighbours that agree on
-at least the first ``depth_for`` values. The depth adapts by region: in a dense region of the order the neighbours
-agree on more values, elsewhere on fewer. Candidates are confirmed on full shingle sets and united to components.
+sequences, range-partitioned, so neighbours have the longest common prefixes. Candidates are neighbours in an order, and a set
+with the first one of its region, all of whose sequences share a prefix. How long that prefix is adapts to the region: where few
+sets share the shortest one, ``depth_for`` values, it is that; where a run of sets is denser than ``DENSE``, it is as many values more
+as bring the set among the first of its run. Candidates are confirmed on full shingle sets and united to components.
 
 Regions (equal first values in a tree) that still hold several components after that get two more steps, so that no
 candidate is capped away. First, members are compared with their region's hub, the one with most confirmed links: a
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import bounded_batches
+from loomspan.llm.common import bounded_batches, named
 from loomspan.llm.graph import components
 from loomspan.plans.shared import materialize, release
 
@@ -31,8 +32,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 TREES, DEPTH = 16, 8
 #: Chance that a pair at the similarity shares the depth in no tree.
 MISS = 1e-5
-#: Distance in a tree's order up to which neighbours are candidates at first.
-REACH = 2
+#: Distance in a tree's order up to which neighbours are candidates at first, and sets in a region before it is taken deeper.
+REACH, DENSE = 2, 32
 #: Most rows, and most shingles of all its rows, in one side of a block of the last step: bounds a task's time and memory.
 BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1_000_000
 _rng = np.random.default_rng(20240229)
@@ -93,7 +94,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Dat
                 sigs.append(signature(hashes) if len(hashes) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["id", "n", "key", "sig"])
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, n long, key binary, sig binary")
+    return docs.select(named(id_col), named(text_col)).mapInArrow(run, f"id {kind}, n long, key binary, sig binary")
 
 
 def _ordered(rows: DataFrame, partitions: int) -> DataFrame:
@@ -106,8 +107,13 @@ def _ordered(rows: DataFrame, partitions: int) -> DataFrame:
 
 
 def _neighbours(order: DataFrame, kind: str, depth: int, far: int) -> DataFrame:
-    """(a, b, lcp, tree, path): a < b of rows up to ``far`` apart in one tree and partition that share ``depth`` values; and, with
-    null b and lcp, the first and last ``far`` rows of each partition, which have neighbours in others."""
+    """(a, b, lcp, tree, path): a < b of rows up to ``far`` apart in one tree and partition that share ``depth`` values, and of a row and the
+    first of its region; and, with null b and lcp, the first and last ``far`` rows of each partition, which have neighbours in others."""
+
+    def pairs(x: np.ndarray, y: np.ndarray, lcp: np.ndarray, of: pa.DataType) -> pa.RecordBatch:
+        swap = x > y
+        columns = [pa.array(np.where(swap, y, x), of), pa.array(np.where(swap, x, y), of), pa.array(lcp.astype(np.int32))]
+        return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.binary())], names=["a", "b", "lcp", "tree", "path"])
 
     def border(t: np.ndarray, p: np.ndarray, i: np.ndarray, of: pa.DataType) -> pa.RecordBatch:
         columns = [pa.array(i, of), pa.nulls(len(i), of), pa.nulls(len(i), pa.int32()), pa.array(t, pa.int32()), pa.array([x.astype(">u4").tobytes() for x in p], pa.binary())]
@@ -116,14 +122,35 @@ def _neighbours(order: DataFrame, kind: str, depth: int, far: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = path = ids = None
         begun, of = 0, None
+        # Of the run of rows that share the first d values: its first id, and how many rows it has had.
+        depths = range(depth, DEPTH + 1)
+        first_id, had = dict.fromkeys(depths), dict.fromkeys(depths, 0)
         for batch in batches:
             t = batch.column(0).to_numpy(zero_copy_only=False)
             p = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=">u4").reshape(-1, DEPTH).astype(np.uint32)
             i = batch.column(2).to_numpy(zero_copy_only=False)
             fresh, of = len(t), batch.schema.field(2).type
+            if not fresh:
+                continue
             if begun < far:
                 yield border(t[: far - begun], p[: far - begun], i[: far - begun], of)
                 begun += fresh
+            shared = np.zeros(fresh, np.int64)  # values shared with the row before
+            if tree is not None and tree[-1] == t[0]:
+                shared[0] = np.cumprod(path[-1] == p[0]).sum()
+            shared[1:] = np.where(t[1:] == t[:-1], np.cumprod(p[1:] == p[:-1], axis=1).sum(axis=1), 0)
+            hub, lcp = np.zeros(fresh, i.dtype), np.zeros(fresh, np.int64)
+            for d in reversed(depths):
+                begins = shared < d
+                head = np.maximum.accumulate(np.where(begins, np.arange(fresh), -1))  # -1: the run came with the batch before
+                place = np.where(head >= 0, np.arange(fresh) - head, had[d] + np.arange(fresh))
+                near = (place < DENSE) if d < DEPTH else np.ones(fresh, bool)
+                owner = np.where(head >= 0, i[np.maximum(head, 0)], i[0] if first_id[d] is None else first_id[d])
+                hub[near], lcp[near] = owner[near], np.where(place[near] > 0, d, 0)
+                first_id[d], had[d] = owner[-1], int(place[-1]) + 1
+            good = (lcp > 0) & (hub != i)
+            if good.any():
+                yield pairs(hub[good], i[good], lcp[good], of)
             if tree is not None:
                 t, p, i = np.concatenate((tree, t)), np.concatenate((path, p)), np.concatenate((ids, i))
             for w in range(1, min(far, len(t) - 1) + 1):
@@ -132,12 +159,7 @@ def _neighbours(order: DataFrame, kind: str, depth: int, far: int) -> DataFrame:
                 same = p[first] == p[second]
                 good = (t[first] == t[second]) & same[:, :depth].all(axis=1) & (i[first] != i[second])
                 if good.any():
-                    x, y = i[first[good]], i[second[good]]
-                    swap = x > y
-                    lcp = np.cumprod(same[good], axis=1).sum(axis=1).astype(np.int32)
-                    columns = [pa.array(np.where(swap, y, x), of), pa.array(np.where(swap, x, y), of), pa.array(lcp, pa.int32())]
-                    columns += [pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "lcp", "tree", "path"])
+                    yield pairs(i[first[good]], i[second[good]], np.cumprod(same[good], axis=1).sum(axis=1), of)
             tree, path, ids = t[-far:], p[-far:], i[-far:]
         if tree is not None:
             yield border(tree, path, ids, of)
@@ -189,21 +211,26 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return both.mapInArrow(run, f"u {kind}, v {kind}")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+def _sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, hashes) of the members; of rows that repeat an id those whose set is the member's."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "hashes"])
+            sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
+            same = [xxhash.xxh3_128_digest(x.tobytes()) == key for x, key in zip(sets, batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "hashes"]).filter(pa.array(same, pa.bool_()))
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi").mapInArrow(run, f"id {kind}, hashes binary")
+    rows = docs.select(named(id_col).alias("id"), named(text_col).alias("text")).join(members.select("id", "key"), "id")
+    return rows.select("id", "text", "key").mapInArrow(run, f"id {kind}, hashes binary")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(id, n_shingles, component_id) for every row of ``docs``: the smallest id reachable over pairs of sets that reach
     ``similarity``. Words are split at ASCII white space after lower-casing A-Z. Null texts and texts without words have an
     empty set and are linked with nothing, as are rows with a null id (whose component is null). Rows that repeat an id
-    count as one document. ``similarity`` counts to three decimals."""
+    count as one document; of different texts the one with most shingles (of ties the larger hash) is compared. Long texts are read whole;
+    only the two named columns are read, so no other name clashes; an empty table gives no row. ``similarity`` counts to three decimals."""
     spark = docs.sparkSession
     bounded_batches(spark)
     depth = depth_for(similarity)
@@ -211,8 +238,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     kind = own.schema["id"].dataType.simpleString()
     full = own.where("n > 0 and id is not null")
     nodes = materialize(full.groupBy("key").agg(F.min("id").alias("rep")), "nodes")
-    reps = own.select("id", "n", "sig").join(nodes.select(F.col("rep").alias("id")), "id", "left_semi").where("sig is not null")
-    reps = materialize(reps.dropDuplicates(["id"]), "reps")
+    reps = own.where("sig is not null").join(nodes.select(F.col("rep").alias("id")), "id", "left_semi")
+    reps = reps.groupBy("id").agg(F.max(F.struct("n", "key", "sig")).alias("x")).select("id", "x.*")
+    reps = materialize(reps, "reps")
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Signature agreement of a pair at the similarity is binomial; six standard deviations below it nothing is lost.
     m = TREES * DEPTH
@@ -233,41 +261,53 @@ def _roots(found: DataFrame, tables: list[DataFrame], docs: DataFrame, reps: Dat
     """(node, root) of the components over all links that share a region, from the candidates ``found``, read from ``tables``."""
     members = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
     members = materialize(members.join(reps, "id"), "members")
-    sets = materialize(_sets(docs, members.select("id"), id_col, text_col, shingle), "sets")
+    sets = materialize(_sets(docs, members, id_col, text_col, shingle), "sets")
     # One likely edge for each node first: most other candidates then lie within a component.
     best = found.groupBy("b").agg(F.max_by("a", F.struct("weight", "a")).alias("a")).select("a", "b")
     edges = materialize(_confirmed(best, sets, similarity), "links")
-    roots = materialize(components(edges), "roots")
+    roots = components(edges)
 
     def add(fresh: DataFrame) -> None:
         nonlocal edges, roots
         fresh = materialize(fresh, "links")
         if not fresh.isEmpty():
+            before = (edges, roots, fresh)
             edges = materialize(edges.unionByName(fresh), "links")
-            roots = materialize(components(edges), "roots")
+            roots = components(edges)
+            release(*before)
 
     add(_confirmed(_across(found, roots, least, reps), sets, similarity))
     release(*tables)
     regions = _open_regions(members, roots, depth)
-    if regions.isEmpty():
-        return roots
-    degree = edges.select(F.col("u").alias("id")).unionByName(edges.select(F.col("v").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    hubs = regions.join(degree, "id", "left").groupBy("tree", "region").agg(F.max_by("id", F.struct(F.coalesce("degree", F.lit(0)), "id")).alias("hub"), F.max_by("c", F.struct(F.coalesce("degree", F.lit(0)), "id")).alias("hub_c"))
-    spokes = regions.join(hubs, ["tree", "region"]).where("c <> hub_c").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    add(_confirmed(_across(spokes, roots, least, reps), sets, similarity))
-    regions = _open_regions(members, roots, depth)
     if not regions.isEmpty():
-        add(_block_links(regions, members, sets, similarity, least, depth))
+        add(_confirmed(_across(_spokes(regions, edges), roots, least, reps), sets, similarity))
+        release(regions)
+        regions = _open_regions(members, roots, depth)
+        if not regions.isEmpty():
+            add(_block_links(regions, members, sets, similarity, least, depth))
+    release(regions, members, sets, edges)
     return roots
 
 
+def _spokes(regions: DataFrame, edges: DataFrame) -> DataFrame:
+    """(a, b): each member of a region with the region's hub, the one that has most links so far, if that is in another component."""
+    degree = materialize(edges.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "degree")
+    rank = F.struct(F.coalesce("degree", F.lit(0)), "id")
+    hubs = materialize(regions.join(degree, "id", "left").groupBy("tree", "region").agg(F.max_by("id", rank).alias("hub"), F.max_by("c", rank).alias("hub_c")), "hubs")
+    return regions.join(hubs, ["tree", "region"]).where("c <> hub_c").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
 def _open_regions(members: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """(tree, region, id, n, c, k) of the regions with several components and more members than the neighbours' distance covers."""
     at = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "sig", F.coalesce("root", "id").alias("c"))
     spread = at.select("id", "n", "c", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     spread = spread.select("tree", F.expr(f"substring(sig, tree * {4 * DEPTH} + 1, {4 * depth})").alias("region"), "id", "n", "c")
     wide = spread.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("c0"), F.max("c").alias("c1")).where(f"k > {REACH + 1} and c0 <> c1").select("tree", "region", "k")
-    return materialize(spread.join(wide, ["tree", "region"]), "regions")
+    # Written first: a join whose sides are both read from exchanges can be split where a region is hot.
+    wide = materialize(wide, "wide")
+    out = materialize(spread.join(wide, ["tree", "region"]), "regions")
+    release(wide)
+    return out
 
 
 def _block_links(regions: DataFrame, members: DataFrame, sets: DataFrame, similarity: float, least: int, depth: int) -> DataFrame:
@@ -276,6 +316,7 @@ def _block_links(regions: DataFrame, members: DataFrame, sets: DataFrame, simila
     main = per.groupBy("tree", "region").agg(F.max(F.struct("of_c", "c", "n_c")).alias("m"), F.sum("of_c").alias("rows"), F.sum("n_c").alias("n"))
     blocks = lambda rows, n: F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(n / BLOCK_SHINGLES), F.lit(1)).cast("int")
     main = main.select("tree", "region", F.col("m.c").alias("main"), blocks(F.col("rows") - F.col("m.of_c"), F.col("n") - F.col("m.n_c")).alias("nq"), blocks(F.col("rows"), F.col("n")).alias("nm"))
+    main = materialize(main, "main")
     rows = regions.drop("k", "n").join(main, ["tree", "region"])
     turn = F.xxhash64("id")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -338,10 +379,11 @@ def _across(found: DataFrame, roots: DataFrame, least: int, reps: DataFrame) ->
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs``, all columns, with one document of each component: the one with the smallest id. Rows with a null id stay."""
+    """``docs``, all columns whatever their names, with one document of each component: the one with the smallest id, all of its rows if
+    they repeat it. Rows with a null id stay."""
     found = link(docs, id_col, text_col, shingle, similarity)
-    gone = materialize(found.where("component_id <> id").select(F.col("id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = materialize(found.where("component_id <> id").select("id").distinct(), "gone")
+    return docs.join(gone, docs[id_col] == gone["id"], "left_anti")
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
