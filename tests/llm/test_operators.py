@@ -308,6 +308,45 @@ def test_near_dedup_compares_across_partitions(spark):
     assert got == brute_components(own, 5, 800) and {c for _, c in got.values()} == {0, 2, 4}
 
 
+@pytest.mark.parametrize("partitions", [1, 97])
+def test_near_dedup_on_any_number_of_partitions(spark, partitions):
+    own = near_copies(partitions)
+    df = spark.createDataFrame(list(own.items()), "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.link(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == brute_components(own, 5, 800)
+
+
+def test_near_dedup_of_a_dense_region(spark):
+    """Hundreds of near copies of two texts that share half of their shingles: regions with sets of both."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    common, own = [word() for _ in range(60)], {}
+    kinds = [[*common, *[word() for _ in range(60)]] for _ in range(2)]
+    for k in range(240):
+        w = list(kinds[k % 2])
+        for _ in range(rng.randrange(3)):
+            w[rng.randrange(len(w))] = word()
+        own[k] = " ".join(w)
+    df = spark.createDataFrame(list(own.items()), "doc_id long, text string")
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.link(df).collect()}
+    assert got == brute_components(own, 5, 800)
+
+
+def test_near_dedup_with_repeated_and_odd_ids(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [("k2", a, 1), ("k2", "short one", 2), ("k1", a + " end", 3), ("k3", b, 4), ("k3", b, 5), ("k4", b, 6), (None, b, 7)]
+    df = spark.createDataFrame([(i, t, n, n, n) for i, t, n in rows], "doc_id string, text string, id int, component_id int, `gone.x` int")
+    got = sorted(((r["id"], r["component_id"]) for r in near_dedup.link(df).collect()), key=str)
+    assert got == sorted([("k2", "k1"), ("k2", "k1"), ("k1", "k1"), ("k3", "k3"), ("k3", "k3"), ("k4", "k3"), (None, None)], key=str)
+    kept = near_dedup.keep_one(df)
+    assert kept.columns == df.columns and sorted(r["id"] for r in kept.collect()) == [3, 4, 5, 7]
+
+
 def test_near_dedup_odd_rows(spark, odd):
     got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.link(odd).collect()}
     assert got[0] == (0, 0) and got[1] == (0, 1) and got[2] == (0, 2) and got[5] == got[4] == (got[4][0], 4) and got[None][1] is None
