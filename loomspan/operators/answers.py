@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
+from loomspan.operators import services as S
+from loomspan.operators.providers import FALLBACK_MAP_CHARS, FALLBACK_PROMPT, TRANSLATE_PROMPT
 
 SOURCES, SOURCE_CHARS, CONTEXT_CHARS = 8, 1500, 70_000
 NO_ANSWER = "no answer"
@@ -44,8 +49,17 @@ def pack_context(chunks: DataFrame, by: str = "doc_id", limit: int = CONTEXT_CHA
     section = F.coalesce(F.nullif(F.col("section_path"), F.lit("")), F.nullif(F.col("section_number"), F.lit("")), F.lit("?"))
     block = F.concat(F.lit("["), F.coalesce("kind", F.lit("body")), F.lit("; "), section, F.lit("]\n"), T.strip(F.col("text")))
     rows = chunks.where(~T.blank(F.col("text"))).withColumn("block", block)
-    order = Window.partitionBy(by).orderBy(F.coalesce("char_start", F.lit(0)), "chunk_id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("total", F.sum(F.length("block") + 2).over(order)).where(F.col("total") <= limit).select(by, "char_start", "chunk_id", "block", "total")
+    order = Window.partitionBy(by).orderBy(F.coalesce("char_start", F.lit(0)), "chunk_id")
+    # A block has 9 characters at least with what parts it from the next, so more can't fit; each task cuts to these before the exchange.
+    rows = rows.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= limit // 9 + 1)
+    total = F.sum(F.length("block") + 2).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("total", total).where(F.col("total") <= limit).select(by, "char_start", "chunk_id", "block", "total")
+
+
+def packed(chunks: DataFrame, by: str = "doc_id") -> DataFrame:
+    """(by, context): the packed blocks of each document as one text."""
+    rows = pack_context(chunks, by).groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("char_start", F.lit(0)).alias("a"), "chunk_id", "block"))).alias("b"))
+    return rows.select(by, F.array_join(F.transform("b", lambda x: x["block"]), "\n\n").alias("context"))
 
 
 def needs_vision(needs: Column, label: Column) -> Column:
@@ -80,9 +94,39 @@ def postprocess(rows: DataFrame, fallback: Column, translated: Column) -> DataFr
     return out.withColumn("answer", F.when(F.col("fallback_used"), with_note(F.col("answer"))).otherwise(F.coalesce(F.nullif(F.col("answer"), F.lit("")), F.lit(NO_ANSWER))))
 
 
-def two_pass(questions: DataFrame, scoped_answers: DataFrame, global_answers: DataFrame) -> DataFrame:
-    """Questions whose plan has a scope take the first pass's answer, the others the deferred one's: (question_id, slot, answer, deferred)."""
-    now, later = questions.where("not unscoped"), questions.where("unscoped")
-    one = now.join(scoped_answers, "question_id", "left").withColumn("deferred", F.lit(False))
-    two = later.join(global_answers, "question_id", "left").withColumn("deferred", F.lit(True))
-    return one.unionByName(two).select("question_id", "slot", F.coalesce("answer", F.lit(NO_ANSWER)).alias("answer"), "deferred")
+def finish(rows: DataFrame, service: S.Chat, deadline: S.Deadline | None = None, by: str = "doc_id") -> DataFrame:
+    """``rows`` (by, slot, idx, question, answer, map, context) with final answers and fallback_used. A refusal is asked again with the
+    article's chunks and what its document's earlier questions were answered, so a document's questions are taken in order, by one
+    task; Cyrillic answers are translated. What fails or comes too late leaves the answer as it was."""
+    keys = [f for f in rows.schema.fields if f.name not in ("map", "context", "answer", "fallback_used")]
+    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keys), "answer string", "fallback_used boolean"])
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("slot")
+        answers, used, previous = [], [], []
+        for r in part.to_pylist():
+            answer = (r["answer"] or "").strip()
+            refused = is_refusal(answer)
+            if refused:
+                prompt = fill(FALLBACK_PROMPT, map=(r["map"] or "")[:FALLBACK_MAP_CHARS], previous="\n\n".join(previous) or "(none)", context=r["context"] or "", question=r["question"])
+                answer = S.reply(service, prompt, S.COMPOSE_S, deadline, S.FALLBACK_S) or NO_ANSWER
+            if not is_refusal(answer) and any("\u0400" <= c <= "\u04ff" for c in answer):
+                answer = S.reply(service, fill(TRANSLATE_PROMPT, question=r["question"], answer=answer), S.COMPOSE_S, deadline, S.TRANSLATION_S) or answer
+            if refused and NOTE not in answer:
+                answer = f"{answer}\n\n{NOTE}"
+            previous.append(f"Question {r['idx']}: {r['question']}\nAnswer {r['idx']}: {answer}")
+            answers.append(answer)
+            used.append(refused)
+        return part.select([f.name for f in keys]).append_column("answer", pa.array(answers, pa.string())).append_column("fallback_used", pa.array(used, pa.bool_()))
+
+    return rows.groupBy(by).applyInArrow(run, shape)
+
+
+def is_refusal(text: str) -> bool:
+    """The same as ``is_no_answer``, of one text."""
+    return text.strip(" .\"'`\n\t\r").lower() in ("", NO_ANSWER)
+
+
+def fill(template: str, **values: str) -> str:
+    """The template with its {names} replaced in one pass, so that values may hold braces."""
+    return re.sub(r"\{(" + "|".join(values) + r")\}", lambda m: values[m[1]], template)

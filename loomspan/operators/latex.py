@@ -13,13 +13,13 @@ from loomspan.functions.spans import matches
 
 # Commands whose argument stays wrapped, and environments whose blank lines stay.
 SAFE_COMMANDS = (
-    "caption label ref eqref autoref cref Cref section subsection subsubsection paragraph title author abstract includegraphics "
-    "begin end input include subfile newcommand renewcommand providecommand def graphicspath cite"
-).split()
+    "caption", "label", "ref", "eqref", "autoref", "cref", "Cref", "section", "subsection", "subsubsection", "paragraph", "title", "author", "abstract",
+    "includegraphics", "begin", "end", "input", "include", "subfile", "newcommand", "renewcommand", "providecommand", "def", "graphicspath", "cite",
+)
 PROTECTED = r"(?:verbatim|lstlisting|align\*?|equation\*?|gather\*?|multline\*?)"
 #: Possessive, so that a body that never closes fails at once.
 _BODY = r"((?:[^{}]++|\{[^{}]*+\})*+)"
-MACRO = r"\\(?:(?:re)?newcommand|providecommand)\*?\s*\{?\\(\w+)\}?\s*(?:\[(\d+)\])?\s*\{" + _BODY + r"\}"
+MACRO = r"\\(?:newcommand|renewcommand|providecommand)\*?\s*\{?\\(\w+)\}?\s*(?:\[(\d+)\])?\s*\{" + _BODY + r"\}"
 DEF = r"\\def\\(\w+)\s*\{" + _BODY + r"\}"
 
 
@@ -47,24 +47,23 @@ def strip_wrappers(text: Column) -> Column:
 
 
 def collapse_blank_lines(text: pd.Series) -> pd.Series:
-    """At most two blank lines in a row, lines without white space at their end; protected environments keep theirs."""
+    """At most two blank lines in a row, lines without white space at their end; protected environments keep their blank lines as they are."""
     begin, end = re.compile(r"\\begin\{" + PROTECTED + r"\}"), re.compile(r"\\end\{" + PROTECTED + r"\}")
 
     def one(t: str | None) -> str | None:
         if t is None:
             return None
-        out, depth, run = [], 0, 0
-        for line in t.split("\n"):
-            inside = depth > 0
-            depth = max(0, depth + len(begin.findall(line)) - len(end.findall(line)))
-            line = line.rstrip()
-            if inside or line or depth:
-                run = 0
-                out.append(line)
-            else:
-                run += 1
-                if run <= 2:
-                    out.append(line)
+        out, depth, blank = [], 0, 0
+        for line in t.splitlines():
+            depth += bool(begin.search(line))
+            bare = line.rstrip()
+            if bare or depth:
+                out.append(bare or line)
+                blank = 0 if bare else blank
+            elif blank < 2:
+                out.append("")
+                blank += 1
+            depth = max(0, depth - bool(end.search(line)))
         return "\n".join(out)
 
     return text.map(one)
@@ -79,18 +78,19 @@ def normalize_whitespace(text: Column) -> Column:
 
 
 def macros(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
-    """(id, name, arity, body, place): every macro definition, in the order of sources and places."""
+    """(id, source, place, name, arity, body, kind): every macro definition; arity is null where none is given. ``order_col`` sorts sources."""
     text = F.col(text_col)
     order = F.col(order_col) if order_col else F.lit(0)
-    new = texts.select(id_col, order.alias("source"), F.inline(matches(text, MACRO, 3))).select(id_col, "source", F.col("start").alias("place"), F.col("g1").alias("name"), F.when(F.coalesce("g2", F.lit("")) == "", 0).otherwise(F.col("g2").cast("int")).alias("arity"), F.col("g3").alias("body"), F.lit(0).alias("kind"))
-    old = texts.select(id_col, order.alias("source"), F.inline(matches(text, DEF, 2))).select(id_col, "source", F.col("start").alias("place"), F.col("g1").alias("name"), F.lit(0).alias("arity"), F.col("g2").alias("body"), F.lit(1).alias("kind"))
+    new = texts.select(id_col, order.alias("source"), F.inline(matches(text, MACRO, 3))).select(id_col, "source", F.col("start").alias("place"), F.col("g1").alias("name"), F.col("g2").cast("int").alias("arity"), F.col("g3").alias("body"), F.lit(0).alias("kind"))
+    old = texts.select(id_col, order.alias("source"), F.inline(matches(text, DEF, 2))).select(id_col, "source", F.col("start").alias("place"), F.col("g1").alias("name"), F.lit(None).cast("int").alias("arity"), F.col("g2").alias("body"), F.lit(1).alias("kind"))
     return new.unionByName(old)
 
 
 def glossary(defined: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, name, last, first_plain): the last definition names the macro in the glossary, the first without arguments is put in its place in texts."""
+    """(id, name, last, first_plain, turn): the last definition names the macro in the glossary, the first that gives no number of arguments is
+    put in its place in texts. Sources count in their order; within one, \\def comes after the others."""
     at = F.struct("source", "kind", "place")
-    return defined.groupBy(id_col, "name").agg(F.max_by("body", at).alias("last"), F.min_by("body", F.when(F.col("arity") == 0, at)).alias("first_plain"), F.min(F.when(F.col("arity") == 0, at)).alias("turn"))
+    return defined.groupBy(id_col, "name").agg(F.max_by("body", at).alias("last"), F.min_by("body", F.when(F.col("arity").isNull(), at)).alias("first_plain"), F.min(F.when(F.col("arity").isNull(), at)).alias("turn"))
 
 
 def inline_macros(text: Column, known: Column) -> Column:
@@ -120,7 +120,7 @@ def expand_inputs(files: DataFrame, entries: DataFrame, id_col: str = "doc_id")
         seen: set[str] = set()
 
         def resolve(target: str, folder: str) -> str | None:
-            for name in (target + ".tex", target):
+            for name in (target,) if target.endswith(".tex") else (target + ".tex", target):
                 for base in (folder, ""):
                     parts: list[str] = []
                     for p in f"{base}/{name}".split("/"):

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomspan.functions import vectors as V
+
 
 #: Questions in one block: what is collected and broadcast at a time. More questions take a scan of the chunks for each block.
 QUESTION_BLOCK = 2000
@@ -35,18 +37,14 @@ class Limits:
     min_scoped: int = 3
 
 
-def normalize_scope(scope: Column, known: Column) -> Column:
-    """Items without the section sign and the characters of "Section " before them, only known ones; null when none is left."""
-    bare = F.transform(scope, lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.trim(s), "^§+", ""), "^[Section ]+", "")))
-    kept = F.filter(bare, lambda s: (s != "") & F.array_contains(known, s))
-    return F.when(F.size(kept) > 0, kept)
-
-
-def validate_scope(plans: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Scopes restricted to the numbers that chunks have, exploded and semi-joined, so known numbers may be of any count; adds ``unscoped``."""
-    known = chunks.select(F.col("section_number").alias("s")).unionByName(chunks.select(F.col("section_top").alias("s"))).where("s <> ''").distinct()
+def validate_scope(plans: DataFrame, chunks: DataFrame, by: str | None = None) -> DataFrame:
+    """Scopes restricted to the numbers that chunks have, of all documents or of the question's own, the column ``by``; exploded and
+    semi-joined, so known numbers may be of any count; adds ``unscoped``. An item loses the section sign and the characters of
+    "Section " before it."""
+    keys = [by] if by else []
+    known = chunks.select(*keys, F.explode(F.array("section_number", "section_top")).alias("s")).where("s <> ''").distinct()
     bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim("item"), "^§+", ""), "^[Section ]+", ""))
-    items = plans.select("question_id", F.posexplode("scope").alias("at", "item")).select("question_id", "at", bare.alias("s")).join(known, "s", "left_semi")
+    items = plans.select("question_id", *keys, F.posexplode("scope").alias("at", "item")).select("question_id", *keys, "at", bare.alias("s")).join(known, [*keys, "s"], "left_semi")
     kept = items.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("at", "s"))).alias("k")).select("question_id", F.transform("k", lambda x: x["s"]).alias("scope"))
     return plans.drop("scope").join(kept, "question_id", "left").withColumn("unscoped", F.col("scope").isNull())
 
@@ -187,6 +185,18 @@ def nearest(chunks: DataFrame, plans: DataFrame, passes: dict[str, tuple[int, st
     return out
 
 
+def within(chunks: DataFrame, plans: DataFrame, passes: dict[str, tuple[int, str]], by: str) -> DataFrame:
+    """What ``nearest`` gives, for questions that ask their own document alone: an equi-join on ``by``, so no chunk meets another document's
+    questions, and columns in place of vectors' matrices."""
+    left = chunks.withColumn("__v", V.doubles(F.col("embedding"))).withColumn("__n", V.norm(F.col("__v"))).drop("embedding")
+    right = plans.select(by, "question_id", F.col("scope").alias("__scope"), F.col("is_figure").alias("__figure"), V.doubles(F.col("embedding")).alias("__q")).withColumn("__m", V.norm(F.col("__q")))
+    pairs = left.join(right, by)
+    admitted = {"all": F.lit(True), "figures": ~F.col("__figure") | figure_kinds(), "scoped": predicate(F.col("__scope"), F.col("__figure"))}
+    flags = [F.coalesce(admitted[kind], F.lit(False)).alias(f"in_{name}") for name, (_, kind) in passes.items()]
+    sim = F.greatest(F.lit(0.0), V.cosine(F.col("__v"), F.col("__q"), F.col("__n"), F.col("__m")))
+    return pairs.select(*(c for c in chunks.columns if c != "embedding"), "question_id", sim.alias("sim"), *flags)
+
+
 def _nearest_first(id_col: str = "chunk_id") -> list[Column]:
     return [F.desc("sim"), F.col(id_col)]
 
@@ -207,12 +217,14 @@ def best_per_group(rows: DataFrame, limit: int) -> DataFrame:
     return rows.withColumn("__f", F.row_number().over(first)).where("__f = 1").withColumn("ord", F.row_number().over(every)).where(F.col("ord") <= limit).drop("__f")
 
 
-def retrieve(chunks: DataFrame, plans: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """At most top + bonus chunks a question: (question_id, chunk columns, sim, score, ord, fallback_used). The scoped pass fetches,
+def retrieve(chunks: DataFrame, plans: DataFrame, limits: Limits = Limits(), by: str | None = None) -> DataFrame:
+    """At most top + bonus chunks a question, of all chunks or those of its own document, the column ``by`` of both tables:
+    (question_id, chunk columns, sim, score, ord, fallback_used). The scoped pass fetches,
     thresholds, re-ranks and dedups; with fewer than ``min_scoped`` left it gives way to the global pass; otherwise the best
     chunks without any filter follow, as far as they aren't there yet. All of it is windows on rows that met by question once."""
     passes = {"s": (limits.fetch, "scoped"), "g": (limits.fetch, "figures"), "p": (limits.fetch // 2, "all")}
-    rows = nearest(chunks, plans, passes).join(plans.select("question_id", "scope", "is_figure", "target_label"), "question_id")
+    found = nearest(chunks, plans, passes) if by is None else within(chunks, plans, passes, by)
+    rows = found.join(plans.select("question_id", "scope", "is_figure", "target_label"), "question_id")
     by_score = [F.desc("score"), F.desc("sim"), F.col("chunk_id")]
     place = lambda flag, by, *more: F.row_number().over(Window.partitionBy("question_id", flag, *more).orderBy(*by))
     for name, (k, _) in passes.items():

@@ -5,15 +5,17 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.operators import chunks as C
 from loomspan.operators import digest, latex, providers, structure
-from loomspan.sources import files as S
+from loomspan.operators import services as S
+from loomspan.plans.shared import materialize, release
+from loomspan.sources import files as files_
 from loomspan.sources.store import Store, log_run
 
-ENTITIES = ["structure", "chunks", "figures", "maps"]
+ENTITIES = ("structure", "chunks", "figures", "images", "maps", "glossary")
 
 
 @dataclass
@@ -23,40 +25,64 @@ class Artifacts:
     structure: DataFrame
     chunks: DataFrame
     figures: DataFrame
+    images: DataFrame
     maps: DataFrame
+    glossary: DataFrame
     reused: bool = False
     timings: dict[str, float] = field(default_factory=dict)
 
 
-def texts(files: DataFrame) -> DataFrame:
-    """(doc_id, text): expanded and cleaned. ``files`` (doc_id, path, content), paths relative to the root."""
-    decoded = files.where(F.col("path").rlike(r"\.(?:tex|sty|bib)$")).select("doc_id", "path", S.decode("content").alias("text"))
+def read_folder(spark: SparkSession, folder: str, doc_id: int = 0) -> DataFrame:
+    """(doc_id, path, content) of one article's folder, paths relative to its TeX root; a folder without a .tex file is an error."""
+    rows = files_.listing(spark, folder)
+    base = F.regexp_replace(F.lit(folder.rstrip("/")), "^[a-z]+:/*", "/")
+    path = F.regexp_replace("path", "^[a-z]+:/*", "/")
+    rows = rows.select(F.lit(doc_id).cast("long").alias("doc_id"), F.substr(path, F.length(base) + 2).alias("path"), "content")
+    roots = materialize(files_.tex_root(rows), "roots")
+    if roots.isEmpty():
+        raise FileNotFoundError(f"no .tex file in {folder}")
+    return files_.under_root(rows, roots)
+
+
+def sources(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Expanded and cleaned texts (doc_id, text), and the macros that documents define (doc_id, name, last)."""
+    decoded = files.where(F.col("path").rlike(r"\.(?:tex|sty)$")).select("doc_id", "path", files_.decode("content").alias("text"))
     tex = decoded.where(F.col("path").endswith(".tex"))
-    entries = S.entry_point(tex)
-    raw = latex.expand_inputs(tex, entries)
-    sources = S.macro_sources(decoded, entries).unionByName(raw.select("doc_id", F.lit(4).alias("turn"), "text"))
-    known = latex.glossary(latex.macros(sources, order_col="turn")).where("first_plain is not null")
-    ordered = known.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "name", "first_plain"))), lambda m: F.struct(m["name"].alias("name"), m["first_plain"].alias("body"))).alias("known"))
+    entries = files_.entry_point(tex)
+    raw = materialize(latex.expand_inputs(tex, entries), "expanded")
+    every = files_.macro_sources(decoded, entries).unionByName(raw.select("doc_id", F.lit("4").alias("turn"), "text"))
+    defined = materialize(latex.glossary(latex.macros(every, order_col="turn")), "macros")
+    known = defined.where("first_plain is not null").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "name", "first_plain"))), lambda m: F.struct(m["name"].alias("name"), m["first_plain"].alias("body"))).alias("known"))
     none = F.array().cast("array<struct<name:string,body:string>>")
-    return raw.join(ordered, "doc_id", "left").select("doc_id", latex.clean(F.col("text"), F.coalesce("known", none)).alias("text"))
-
-
-def ingest(files: DataFrame, store: Store, summarize=None, describe=None) -> Artifacts:
-    """Everything from ``files``, or what is stored if the fingerprints of the .tex files are the stored ones."""
-    began = time.time()
-    prints = S.fingerprint(files.where(F.col("path").endswith(".tex")))
-    if store.fresh(prints, ENTITIES):
-        return Artifacts(*(store.load(n) for n in ENTITIES), reused=True)
-    parsed = store.save("structure", structure.parse(texts(files), parts=(*structure.WHOLE, "bodies")))
-    raw = parsed.select("doc_id", F.inline("figures"))
-    folders = S.graphics_paths(parsed)
-    resolved = S.resolve_figures(raw, files, folders).select("doc_id", "label", "resolved_path").dropDuplicates(["doc_id", "label"])
-    described = providers.describe(raw.join(resolved, ["doc_id", "label"], "left"), describe)
-    figures = store.save("figures", described.join(resolved, ["doc_id", "label"], "left"))
-    summarized = providers.summaries(parsed, summarize)
-    chunks = store.save("chunks", C.all_chunks(parsed, summarized, figures))
-    maps = store.save("maps", digest.article_map(parsed, figures))
-    store.save("manifest", prints.withColumn("ts", F.lit(began)))  # last: a broken run is not taken for a finished one
-    took = {"ingest_s": round(time.time() - began, 3)}
+    cleaned = raw.join(known, "doc_id", "left").select("doc_id", latex.clean(F.col("text"), F.coalesce("known", none)).alias("text"))
+    return cleaned, defined.select("doc_id", "name", "last")
+
+
+def ingest(files: DataFrame, store: Store, summarize: S.Chat | None = None, vision: S.Vision | None = None, vision_seconds: float = S.VISION_TOTAL_S) -> Artifacts:
+    """Everything from ``files`` (doc_id, path, content), or what is stored if the fingerprints of the .tex files are the stored ones."""
+    took: dict[str, float] = {}
+    with S.measured("ingest_s", took):
+        prints = materialize(files_.fingerprint(files.where(F.col("path").endswith(".tex"))), "fingerprints")
+        if store.fresh(prints, list(ENTITIES), files_.SCHEMA_VERSION):
+            return Artifacts(*(store.load(n) for n in ENTITIES), reused=True)
+        with S.measured("structure_s", took):
+            texts, macros = sources(files)
+            glossary = store.save("glossary", macros)
+            parsed = store.save("structure", structure.parse(texts, parts=(*structure.WHOLE, "bodies", "surroundings")))
+        with S.measured("figures_s", took):
+            raw = parsed.select("doc_id", F.inline(F.arrays_zip(F.col("figures").alias("f"), F.col("surroundings").alias("s")))).select("doc_id", "f.label", "f.tex_path", "f.caption", "f.char_pos", F.col("f.section_title").alias("section_path"), "s.*")
+            resolved = materialize(files_.resolve_figures(raw, files, files_.graphics_paths(parsed)).select("doc_id", "label", "resolved_path").dropDuplicates(["doc_id", "label"]), "resolved")
+            images = files_.images(resolved, files).join(raw.select("doc_id", "label", "caption").dropDuplicates(["doc_id", "label"]), ["doc_id", "label"])
+            images = store.save("images", images)
+            described = providers.describe(raw, images, vision, deadline=S.Deadline.after(vision_seconds))
+            figures = store.save("figures", described.join(resolved, ["doc_id", "label"], "left"))
+            release(resolved)
+        with S.measured("chunks_s", took):
+            summarized = materialize(providers.summaries(parsed, summarize), "summaries")
+            chunks = store.save("chunks", C.all_chunks(parsed, summarized, figures))
+        with S.measured("maps_s", took):
+            maps = store.save("maps", digest.article_map(parsed, figures, glossary))
+        # last: a broken run is not taken for a finished one
+        store.save("manifest", prints.withColumns({"version": F.lit(files_.SCHEMA_VERSION), "ts": F.lit(time.time())}))
     log_run(store.spark, f"{store.root}/log", took)
-    return Artifacts(parsed, chunks, figures, maps, timings=took)
+    return Artifacts(parsed, chunks, figures, images, maps, glossary, timings=took)

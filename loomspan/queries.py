@@ -14,6 +14,7 @@ from loomspan.functions import vectors as V
 from loomspan.operators import answers as A
 from loomspan.operators import chunks as C
 from loomspan.operators import digest, evaluation, latex, providers, qa_cache, retrieval, structure
+from loomspan.plans.shared import materialize
 from loomspan.sources import files as S
 from loomspan.sources import questions as Q
 
@@ -181,7 +182,7 @@ def equations(spark, sf_dir):
 
 @query(SECTIONS + f", {FIGS} " + r"select g.doc_id, regexp_extract(g1, '\\label\{([^}]+)\}', 1) as label, regexp_extract(g1, 'graphics\{([^}]+)\}', 1) as tex_path, regexp_extract(g1, 'caption\{([^}]+)\}', 1) as caption, p0 as char_pos, s.number as section from g join sec s on s.doc_id = g.doc_id and p0 >= s.char_start and p0 < s.char_end")
 def figures(spark, sf_dir):
-    return parsed(spark, sf_dir, "figures").select("doc_id", F.inline("figures")).drop("section_path")
+    return parsed(spark, sf_dir, "figures").select("doc_id", F.inline("figures")).drop("section_path", "section_title")
 
 
 LABELS = SECTIONS + f", {EQS}, {FIGS}, " + r"""target as (select doc_id, label, arg_max(kind, rank) as kind from (
@@ -429,7 +430,23 @@ def article_outline(spark, sf_dir):
     return rows.select("doc_id", F.array_join(digest.outline(F.col("sections"), none), "\n").alias("outline"))
 
 
-@query()
+WORDS = r"""kw as (select doc_id, i as sec_i, regexp_replace(body, '([A-Za-z])\d', '\1#', 'g') as plain, body from (select doc_id, i, substring(text, char_start + 1, char_end - char_start) as body from sec where level = 1)),
+kp as (select doc_id, sec_i, list_concat(list_transform(regexp_extract_all(body, '[A-Za-z_][A-Za-z0-9_]*\s*=\s*\d+(?:\.\d+)?(?:[eE][+-]?\d+)?'), lambda m: regexp_replace(m, '\s*=\s*', '=')),
+  list_transform(regexp_extract_all(body, '\\text(?:tt|sf|sc)\{([^{}]+)\}', 1), lambda v: trim(v)), list_transform(regexp_extract_all(body, '\\verb\|([^|]+)\|', 1), lambda v: trim(v)),
+  list_filter(list_transform(regexp_extract_all(plain, '\d+(?:[.,]\d+)?(?:\s*%)?'), lambda v: trim(v)), lambda v: regexp_matches(v, '[.,]') or length(trim(replace(v, '%', ''))) > 1)) as k from kw),
+kd as (select doc_id, sec_i, v, min(j) as j from (select doc_id, sec_i, unnest(k) as v, unnest(range(1, len(k) + 1)) as j from kp) where v <> '' and length(v) <= 40 group by 1, 2, 3),
+kl as (select doc_id, sec_i, string_agg(v, ', ' order by turn) as words from (select *, row_number() over (partition by doc_id, sec_i order by j) as turn from kd) where turn <= 8 group by 1, 2)"""
+
+
+@query(SECTIONS + f", {EQS}, {REFS}, {WORDS}" + r""", seen as (select r.doc_id, r.g1 as label, coalesce(s.number, '0') as section, min(r.p0) as p0 from r left join sec s on s.doc_id = r.doc_id and r.p0 >= s.char_start and r.p0 < s.char_end group by 1, 2, 3),
+o as (select sec.doc_id, string_agg(repeat('  ', level - 1) || '- **' || number || ' ' || title || '**' || coalesce(chr(10) || '  - Keywords: ' || words, ''), chr(10) order by i) as t from sec left join kl on kl.doc_id = sec.doc_id and kl.sec_i = sec.i group by sec.doc_id),
+q as (select doc_id, string_agg(line, chr(10) order by i) as t from (select e.doc_id, e.i, '- **' || regexp_extract(g1, '\\label\{([^}]+)\}', 1) || '** (Section ' || s.number || ') — `' || substring(trim(regexp_replace(trim(g1), '\s+', ' ', 'g')), 1, 200) || '`' as line
+  from e join sec s on s.doc_id = e.doc_id and p0 >= s.char_start and p0 < s.char_end where e.i <= 30) group by doc_id),
+x as (select doc_id, string_agg(line, chr(10) order by label) as t from (select doc_id, label, row_number() over (partition by doc_id order by label) as k, line from (
+  select doc_id, label, '- ' || label || ' referenced from: ' || array_to_string(list_transform(list(section order by p0)[1:8], lambda v: '§' || v), ', ') as line from seen group by doc_id, label)) where k <= 60 group by doc_id),
+m as (select tex.doc_id, concat_ws(chr(10), '# Article Map', chr(10) || '## Identity', '- **Title**: (unknown)', '- **Length**: ' || length(text) || ' chars / ~' || greatest(1, length(text) // 1800) || ' chunks',
+  chr(10) || '## Outline', o.t, chr(10) || '## Equations of Interest' || chr(10) || q.t, chr(10) || '## Cross-Reference Index' || chr(10) || x.t) as t from tex left join o using (doc_id) left join q using (doc_id) left join x using (doc_id)),
+c as (select doc_id, case when length(t) > 16000 then t[1:16000] || chr(10) || chr(10) || '[...truncated...]' else t end as t from m) select doc_id, cast(length(t) as integer) as n_chars, md5(t) as digest from c""")
 def article_map(spark, sf_dir):
     p = parsed(spark, sf_dir, *digest.PARTS, keep_text=True)
     return digest.article_map(p).select("doc_id", F.length("map").alias("n_chars"), F.md5("map").alias("digest"))
@@ -482,10 +499,13 @@ def validate_counts(spark, sf_dir):
     return evaluation.validate(c.where("role = 'user'").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("slot")), c.where("role = 'assistant'").select(F.col("conv_id").alias("doc_id"), (F.col("turn") - 1).alias("slot"), F.col("text").alias("answer")))
 
 
-@query("select conv_id, turn, turn % 3 = 0 as refused from conversations where regexp_matches(text, '[a-z]') and lower(text) <> 'no answer'")
+REFUSES = r"lower(regexp_replace({0}, '^[\s.\"''`]+|[\s.\"''`]+$', '', 'g')) in ('', 'no answer')"
+
+
+@query(f"select conv_id, turn, turn % 3 = 0 or {REFUSES.format('text')} as refused from conversations")
 def no_answer_filter(spark, sf_dir):
     text = F.when(F.col("turn") % 3 == 0, F.lit(" \"No Answer.\" ")).otherwise(F.col("text"))
-    return table(spark, sf_dir, "conversations").where(F.col("text").rlike("[a-z]") & (F.lower("text") != "no answer")).select("conv_id", "turn", T.is_no_answer(text).alias("refused"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.is_no_answer(text).alias("refused"))
 
 
 @query("select doc_id, source = 'src3' or regexp_matches(text, '[\\x{0400}-\\x{04FF}]') as cyrillic from documents")
@@ -493,22 +513,38 @@ def script_detect(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.has_cyrillic(F.concat("text", F.when(F.col("source") == "src3", "привет").otherwise(""))).alias("cyrillic"))
 
 
-@query("select conv_id, turn, case when turn % 2 = 0 then regexp_replace(text, '^\\s+|\\s+$', '', 'g') else 'from context' || chr(10) || chr(10) || '" + A.NOTE + "' end as answer from conversations where role <> 'system' and regexp_matches(text, '[a-z]') and lower(text) <> 'no answer'")
+@query(f"select conv_id, turn, case when turn % 2 = 0 and not ({REFUSES.format('text')}) then case when regexp_matches(text, '[\\x{{0400}}-\\x{{04FF}}]') then 'in English' else regexp_replace(text, '^\\s+|\\s+$', '', 'g') end else 'from context' || chr(10) || chr(10) || '{A.NOTE}' end as answer from conversations")
 def answer_postprocess(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("role <> 'system' and lower(text) <> 'no answer'").where(F.col("text").rlike("[a-z]"))
-    rows = rows.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise("No answer.").alias("answer"))
-    return A.postprocess(rows, F.lit("from context"), F.lit(None).cast("string")).select("conv_id", "turn", "answer")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise("No answer.").alias("answer"))
+    return A.postprocess(rows, F.lit("from context"), F.lit("in English")).select("conv_id", "turn", "answer")
 
 
-@query("with l as (select conv_id, turn, unnest(string_split(text, chr(10))) as line from conversations) select conv_id, turn, count(*) as n from l where regexp_matches(line, '\\S') group by 1, 2")
+@query("with l as (select conv_id, turn, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S'))) as line from conversations), n as (select conv_id, turn, count(*) as n from l group by 1, 2) select conv_id, turn, n, cast(sum(length(b)) as bigint) as chars from (select conv_id, turn, n, unnest(list_transform(range(1, n + 1), lambda k: k || '. no answer')) as b from n) group by 1, 2, 3")
 def baseline_stub(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.struct("conv_id", "turn").alias("doc_id"), "text")
-    return Q.baseline(rows).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select("doc_id.conv_id", "doc_id.turn", "n")
+    rows = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("doc_id"), "text")
+    return Q.baseline(rows).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("block")).alias("chars")).select("doc_id.conv_id", "doc_id.turn", "n", "chars")
 
 
-@query("select conv_id, turn, regexp_matches(text, '(?m)^[ \\t]*[0-9]+[.)]') as numbered from conversations")
+@query("select conv_id, turn, case when turn % 4 = 0 then 'markdown' else 'numbered' end as fmt from conversations")
 def numbered_detect(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").rlike(r"(?m)^[ \t]*[0-9]+[.)]").alias("numbered"))
+    text = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("x\n  ## question 3  \n"), "text")).otherwise(F.concat(F.lit("## Question 1 more\n1. "), "text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(Q.is_markdown(text), "markdown").otherwise("numbered").alias("fmt"))
+
+
+@query(r"""with q as (select conv_id, count(*) filter (where role = 'user') as nq, count(*) filter (where role = 'assistant') as na from conversations group by conv_id)
+select conv_id as doc_id, case when na = 0 then 'no answers' when conv_id % 5 = 4 then 'formats differ' when conv_id % 5 = 3 then 'text before the first answer' when conv_id % 5 = 2 then 'empty answer' when na <> nq then 'number of answers' end as problem
+from q where nq > 0""")
+def validate_file(spark, sf_dir):
+    """Answer files of conversations: fitting ones, and by the conversation's number one of the ways not to."""
+    flat = F.regexp_replace("text", r"\s+", " ")
+    lists = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == r, F.struct("turn", flat.alias("t"))))), lambda x: F.concat(F.lit("x "), x["t"])).alias(n) for r, n in (("user", "q"), ("assistant", "a"))])
+    kind = F.col("conv_id") % 5
+    markdown = lambda c, word: F.array_join(F.transform(c, lambda t, i: F.concat(F.lit(f"## {word} "), (i + 1).cast("string"), F.lit("\n"), F.when((kind == 2) & (i == 0) & F.lit(word == "Answer"), " ").otherwise(t))), "\n\n")
+    numbered = lambda c: F.array_join(F.transform(c, lambda t, i: F.concat((i + 1).cast("string"), F.lit(". "), t)), "\n")
+    is_md = kind.isin(0, 2, 4)
+    answers = F.when(kind == 4, numbered(F.col("a"))).when(is_md, markdown(F.col("a"), "Answer")).when(kind == 3, F.concat(F.lit("preface\n"), numbered(F.col("a")))).otherwise(numbered(F.col("a")))
+    files = lists.where(F.size("q") > 0).select(F.col("conv_id").alias("doc_id"), F.when(is_md, markdown(F.col("q"), "Question")).otherwise(F.array_join("q", "\n")).alias("questions"), F.when(F.size("a") > 0, answers).otherwise("").alias("answers"))
+    return evaluation.validate_files(files)
 
 
 # ---------------------------------------------------------------- metrics
@@ -568,6 +604,66 @@ def fingerprint_docs(spark, sf_dir):
     return S.fingerprint(files)
 
 
+def _files(spark, sf_dir, *named: tuple[str, Column]) -> DataFrame:
+    """(doc_id, path, text): for every document the files given by path and text; null texts are no file."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(p).alias("path"), t.alias("text")) for p, t in named])).alias("f")).select("doc_id", "f.*").where("text is not null")
+
+
+def _when(condition: str, text: Column) -> Column:
+    return F.when(F.expr(condition), text)
+
+
+@query("select doc_id, case doc_id % 3 when 0 then 'x/Tex_Source' when 1 then '' else '' end as root from documents")
+def tex_root(spark, sf_dir):
+    any_ = F.col("text")
+    return S.tex_root(_files(spark, sf_dir, ("a/b/one.tex", any_), ("a/two.tex", any_), ("x/Tex_Source/deep/er/main.tex", _when("doc_id % 3 = 0", any_)), ("x/Tex_Source/fig.png", any_), ("top.tex", _when("doc_id % 3 = 1", any_))))
+
+
+@query("select doc_id, case doc_id % 4 when 0 then 'paper.tex' when 1 then 'b.tex' when 2 then 'z.tex' else 'sections/only.tex' end as entry from documents")
+def entry_point(spark, sf_dir):
+    """One class among others; a class under a name that isn't an entry's; no class, more inputs first; one class in a folder of sections."""
+    start, more = F.lit("\n \\documentclass{a}"), F.lit("\\input{a}\\include{b}")
+    return S.entry_point(_files(
+        spark, sf_dir, ("paper.tex", _when("doc_id % 4 = 0", F.concat(start, "text"))), ("many.tex", _when("doc_id % 4 = 0", F.concat(more, more, "text"))),
+        ("macros.tex", _when("doc_id % 4 = 1", F.concat(start, more, "text"))), ("b.tex", _when("doc_id % 4 = 1", start)),
+        ("fig/a.tex", _when("doc_id % 4 = 2", F.concat(more, more))), ("y.tex", _when("doc_id % 4 = 2", F.col("text"))), ("z.tex", _when("doc_id % 4 = 2", more)),
+        ("sections/only.tex", _when("doc_id % 4 = 3", start)), ("main.tex", _when("doc_id % 4 = 3", F.concat(more, "text"))),
+    ))
+
+
+@query("select doc_id, unnest(['a', 'b', 'c']) as name, unnest(['two', source, 'kept']) as last, unnest(['one', 'style', 'kept']) as first_plain from documents")
+def macro_sources(spark, sf_dir):
+    files = _files(
+        spark, sf_dir, ("preamble.tex", F.lit("\\newcommand{\\a}{two}")), ("macros.tex", F.lit("\\def\\a{one}")), ("sub/z.sty", F.lit("\\newcommand{\\b}{style}")),
+        ("main.tex", F.concat(F.lit("\\newcommand{\\b}{"), "source", F.lit("}\\def\\c{kept}\\begin{document}\\newcommand{\\d}{no}"))), ("sub/macros.tex", F.lit("\\def\\e{no}")),
+    )
+    entries = files.select("doc_id").distinct().withColumn("entry", F.lit("main.tex"))
+    return latex.glossary(latex.macros(S.macro_sources(files, entries), order_col="turn")).select("doc_id", "name", "last", "first_plain")
+
+
+@query(r"select doc_id, md5('A[' || text || '|' || lang || ']B' || 'Z') as digest from documents")
+def expand_inputs(spark, sf_dir):
+    files = _files(spark, sf_dir, ("main.tex", F.lit("A\\input{sub/b}B\\subfile{sub/b.tex}\\include{none}Z")), ("sub/b.tex", F.concat(F.lit("["), "text", F.lit("\\input{main}|\\input{ c }]"))), ("sub/c.tex", F.col("lang")))
+    entries = files.select("doc_id").distinct().withColumn("entry", F.lit("main.tex"))
+    return latex.expand_inputs(files, entries).select("doc_id", F.md5("text").alias("digest"))
+
+
+@query("select doc_id, lang || ' | ' || source as caption, 'q ' || doc_id || ' in ' || lang || ' {text}' as prompt from documents")
+def prompt_fill(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.concat_ws(" | ", "lang", "source").alias("caption"), providers.filled("q {id} in {where}{none} {text}", id=F.col("doc_id"), where=F.col("lang"), none=F.lit(None)).alias("prompt"))
+
+
+@query("select vec_id as question_id, case when vec_id % 40 = 0 then 'mini' else 'none' end as how from embeddings where vec_id % 20 = 0".replace("'mini'", "'exact'").replace("'none'", "'miss'"))
+def qa_probe(spark, sf_dir):
+    """Questions of a document: some kept word by word, the others without a vector."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("question_id"), (F.col("vec_id") % 7).alias("doc_id"), F.concat(F.lit("What is "), "vec_id").alias("question"), "embedding")
+    entries = rows.where("question_id % 40 <> 20").select(F.col("question_id").alias("entry_id"), "doc_id", F.concat(F.lit(" what is, "), "question_id", F.lit("?")).alias("question"), "embedding")
+    asked = rows.where("question_id % 20 = 0").withColumn("embedding", F.array().cast("array<float>"))
+    return qa_cache.lookup(asked, entries, by="doc_id").select("question_id", "how")
+
+
 @query("select event_id, json_extract_string(props, '$.' || json_keys(props)[1]) as first from events")
 def json_salvage(spark, sf_dir):
     fenced = F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n``` done"))
@@ -603,11 +699,10 @@ def base64_plain(spark, sf_dir):
 
 @query()
 def answer_two_pass(spark, sf_dir):
-    """A question from each document whose id is divisible by 20, answered from the chunks of all documents' LaTeX views."""
+    """A question of every document whose id is divisible by 20, answered from that document's chunks; half of them name a section's title."""
     from loomspan.plans.answering import answer
 
-    p = parsed(spark, sf_dir, *C.PARTS, keep_text=True)
-    chunks = C.all_chunks(p).select(F.concat(F.col("doc_id").cast("string"), F.lit(" "), "chunk_id").alias("chunk_id"), "kind", "section_number", "section_top", "has_figure", "figure_refs", "equation_refs", "text")
+    p = materialize(parsed(spark, sf_dir, *C.PARTS, keep_text=True).where("doc_id % 20 = 0"), "asked-of")
     sections = p.select("doc_id", F.inline("sections")).select("doc_id", "number", "title")
-    asked = p.where("doc_id % 20 = 0").select("doc_id", F.col("doc_id").alias("question_id"), F.lit(1).alias("slot"), F.concat(F.lit("What shows "), F.substring("text", 30, 60)).alias("question"))
-    return answer(asked, chunks, sections, limits=retrieval.Limits(least=0.1)).select("question_id", "slot", "deferred", F.length("answer").alias("n_chars"))
+    asked = p.select("doc_id", F.col("doc_id").alias("question_id"), F.lit(1).alias("slot"), F.lit(1).alias("idx"), F.concat(F.lit("What shows "), F.substring("text", 30, 60)).alias("question"))
+    return answer(asked, C.all_chunks(p), sections, limits=retrieval.Limits(least=0.1)).select("question_id", "slot", "how", "deferred", "fallback_used", F.size("doc_ids").alias("n_sources"), F.length("answer").alias("n_chars"))

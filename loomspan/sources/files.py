@@ -6,7 +6,7 @@ import hashlib
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -14,9 +14,10 @@ from loomspan.functions import text as T
 
 # Names that aren't entry files, folders that don't hold them, image endings in order of preference.
 NOT_ENTRIES = r"(?i)^(?:macros|preamble|defs|appendix\d*|references)$"
-NOT_ENTRY_FOLDERS = "figures sections fig img images".split()
+NOT_ENTRY_FOLDERS = ("figures", "sections", "fig", "img", "images")
+TEX_FOLDERS = ("tex source", "tex-source", "texsource")
 IMAGE_ENDINGS = ["", ".pdf", ".png", ".jpg", ".jpeg", ".PDF", ".PNG", ".JPG"]
-MACRO_FILES = "macros.tex preamble.tex defs.tex commands.tex".split()
+MACRO_FILES = ("macros.tex", "preamble.tex", "defs.tex", "commands.tex")
 SCHEMA_VERSION = 1
 
 
@@ -40,38 +41,49 @@ def base_name(path: Column) -> Column:
 
 
 def tex_root(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, root): the first folder named like "tex source" with a .tex file in it; else the folder with most .tex files below, the shallower of equals."""
+    """(id, root): the first folder named like "tex source" that has a .tex file at any depth; else the folder with most .tex files below, the
+    shallower of equals. The data folder itself is the empty root."""
     tex = files.where(F.col("path").endswith(".tex")).select(id_col, "path")
     parts = F.split("path", "/")
-    ups = tex.select(id_col, "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("root"))
-    named = F.lower(F.translate(base_name(F.col("root")), "_", " ")).isin("tex source", "tex-source", "texsource")
-    direct = folder(F.col("path")) == F.col("root")
-    counts = ups.groupBy(id_col, "root").agg(F.count(F.lit(1)).alias("n"), F.max(named & direct).alias("named"))
-    best = Window.partitionBy(id_col).orderBy(F.desc("named"), F.when(F.col("named"), F.col("root")), F.desc("n"), F.size(F.split("root", "/")), "root")
-    return counts.withColumn("k", F.row_number().over(best)).where("k = 1").select(id_col, "root")
+    ups = tex.select(id_col, F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("root"))
+    # one row a folder and document, whatever the number of its files
+    counts = ups.groupBy(id_col, "root").agg(F.count(F.lit(1)).alias("n"))
+    named = F.lower(F.translate(base_name(F.col("root")), "_", " ")).isin(*TEX_FOLDERS)
+    rank = F.struct((~named).alias("a"), F.when(named, F.lit(0)).otherwise(-F.col("n")).alias("b"), F.when(named, F.lit(0)).otherwise(F.length("root") - F.length(F.translate("root", "/", "")) + (F.col("root") != "").cast("int")).alias("c"), F.col("root").alias("d"))
+    return counts.groupBy(id_col).agg(F.min_by("root", rank).alias("root"))
+
+
+def under_root(files: DataFrame, roots: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The files below their document's root, with paths relative to it."""
+    rows = files.join(roots, id_col).where((F.col("root") == "") | F.startswith("path", F.concat("root", F.lit("/"))))
+    relative = F.when(F.col("root") == "", F.col("path")).otherwise(F.substr("path", F.length("root") + 2))
+    return rows.withColumn("path", relative).drop("root")
 
 
 def entry_point(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, entry) from (id, path, text): files with a document class first, then names that look like a main file, more inputs, larger size, path."""
     name = F.regexp_replace(base_name(F.col("path")), r"\.tex$", "")
-    inside = F.arrays_overlap(F.split(F.lower(folder(F.col("path"))), "/"), F.array(*map(F.lit, NOT_ENTRY_FOLDERS)))
-    rows = files.select(id_col, "path", F.col("text").rlike(r"(?m)^[^%\n]*\\documentclass").alias("main"), (~name.rlike(NOT_ENTRIES) & ~inside).alias("likely"), F.regexp_count("text", F.lit(r"\\(?:input|include|subfile)\s*\{[^}]+\}")).alias("inputs"), F.length("text").alias("size"))
-    order = Window.partitionBy(id_col).orderBy(F.desc("main"), F.desc("likely"), F.desc("inputs"), F.desc("size"), "path")
-    return rows.withColumn("k", F.row_number().over(order)).where("k = 1").select(id_col, F.col("path").alias("entry"))
+    inside = F.arrays_overlap(F.split(F.lower("path"), "/"), F.array(*map(F.lit, NOT_ENTRY_FOLDERS)))
+    main = F.col("text").rlike(r"(?m)^\s*\\documentclass\b")
+    inputs = F.regexp_count("text", F.lit(r"\\(?:input|include|subfile)\s*\{[^}]+\}"))
+    rank = F.struct((~main).alias("a"), (name.rlike(NOT_ENTRIES) | inside).alias("b"), (-inputs).alias("c"), (-F.octet_length("text")).alias("d"), F.col("path").alias("e"))
+    return files.groupBy(id_col).agg(F.min_by("path", rank).alias("entry"))
 
 
 def macro_sources(files: DataFrame, entries: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, turn, text): the usual macro files at the root, all style files, and the entry before its \\begin{document}."""
-    name = F.when(F.col("path").contains("/"), F.lit(None)).otherwise(F.col("path"))
-    fixed = files.where(name.isin(*MACRO_FILES)).select(id_col, F.lit(1).alias("turn"), "text")
-    styles = files.where(F.col("path").endswith(".sty")).select(id_col, F.lit(2).alias("turn"), "text")
-    head = files.join(entries, id_col).where("path = entry").select(id_col, F.lit(3).alias("turn"), F.substring_index("text", "\\begin{document}", 1).alias("text"))
+    """(id, turn, text): the usual macro files at the root in their order, all style files by path, and the entry before its
+    \\begin{document}. ``turn`` is a text that sorts so."""
+    place = F.array_position(F.array(*map(F.lit, MACRO_FILES)), F.col("path"))
+    fixed = files.where(F.col("path").isin(*MACRO_FILES)).select(id_col, F.concat(F.lit("1 "), place.cast("string")).alias("turn"), "text")
+    styles = files.where(F.col("path").endswith(".sty")).select(id_col, F.concat(F.lit("2 "), "path").alias("turn"), "text")
+    begin = F.instr("text", "\\begin{document}")
+    head = files.join(entries, id_col).where("path = entry").select(id_col, F.lit("3").alias("turn"), F.when(begin > 1, F.substr("text", F.lit(1), begin - 1)).otherwise(F.col("text")).alias("text"))
     return fixed.unionByName(styles).unionByName(head)
 
 
 def graphics_paths(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, turn, folder): the folders that \\graphicspath names, in order."""
-    lists = F.flatten(F.transform(F.regexp_extract_all(text_col, F.lit(r"\\graphicspath\s*\{((?:\s*\{[^{}]*\})+)\s*\}"), F.lit(1)), lambda x: F.regexp_extract_all(x, F.lit(r"\{([^{}]*)\}"), F.lit(1))))
+    lists = F.flatten(F.transform(F.regexp_extract_all(text_col, F.lit(r"\\graphicspath\s*\{((?:\s*\{[^{}]*\})+)\s*\}"), F.lit(1)), lambda x: F.regexp_extract_all(x, F.lit(r"\{([^{}]+)\}"), F.lit(1))))
     return texts.select(id_col, F.posexplode(lists).alias("turn", "f")).select(id_col, "turn", F.regexp_replace(T.strip(F.col("f")), "^\\./|/$", "").alias("folder"))
 
 
@@ -105,7 +117,10 @@ def fingerprint(files: DataFrame, id_col: str = "doc_id", version: int = SCHEMA_
     return files.select(id_col, "path", "content").groupBy(id_col).applyInPandas(one, f"`{id_col}` {kind}, fingerprint string, n_files long")
 
 
-def text_fingerprint(text: Column, path: Column, version: int = SCHEMA_VERSION) -> Column:
-    """The fingerprint of a document of one text file, in built-in expressions."""
-    joined = F.concat(F.encode(F.lit(f"v{version}"), "utf-8"), F.unhex(F.lit("00")), F.encode(path, "utf-8"), F.unhex(F.lit("00")), F.encode(F.coalesce(text, F.lit("<unreadable>")), "utf-8"), F.unhex(F.lit("00")))
-    return F.substring(F.sha2(joined, 256), 1, 16)
+def images(figures: DataFrame, files: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, label, kind, image): the content of figures' image files and its media type. PDF pages would have to be rendered, which
+    nothing here does, so they have none, like figures whose file isn't found."""
+    ending = F.lower(F.regexp_extract("resolved_path", r"\.([^./]*)$", 1))
+    kind = F.when(ending == "png", "image/png").when(ending.isin("jpg", "jpeg"), "image/jpeg")
+    have = files.select(id_col, F.col("path").alias("resolved_path"), F.col("content").alias("image"))
+    return figures.select(id_col, "label", "resolved_path", kind.alias("kind")).where("kind is not null").join(have, [id_col, "resolved_path"]).select(id_col, "label", "kind", "image")

@@ -1,61 +1,126 @@
-"""Stored entities: Parquet tables under one folder, reused while the sources' fingerprint stays."""
+"""Stored entities: versions of Parquet tables under one folder, reused while the sources' fingerprint stays."""
 
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DESCRIPTION = T.StructType([T.StructField(n, T.StringType()) for n in ("subject", "axes_or_layout", "takeaway")] + [T.StructField(n, T.ArrayType(T.StringType())) for n in ("key_visual_elements", "numbers_visible")])
-QA_ENTRY = "entry_id long, question string, question_norm string, question_embedding array<double>, answer string, doc_ids array<string>, plan string, ts double, source string"
-
+from loomspan.functions.text import normalize_question
+from loomspan.plans.shared import _hadoop_path
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+DESCRIPTION = T.StructType([T.StructField(n, T.StringType()) for n in ("subject", "axes_or_layout", "takeaway")] + [T.StructField(n, T.ArrayType(T.StringType())) for n in ("key_visual_elements", "numbers_visible")])
+#: An answered question as it is kept; ``plan`` is JSON.
+ENTRY = "doc_id long, question string, question_norm string, question_embedding array<double>, answer string, doc_ids array<string>, plan string, ts double, source string"
+MANIFEST = "doc_id long, fingerprint string, n_files long, version int, ts double"
 
 
 class Store:
-    """Entities by name. Spark's commit protocol makes each write all or nothing."""
+    """Entities by name. A write makes a new version beside the old one; the name then points to it by one rename, so a reader sees the
+    old table or the new one, and a write that breaks off leaves the old one as it was."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _pointer(self, name: str):
+        return _hadoop_path(self.spark, f"{self.root}/{name}/_current")
+
+    def _version(self, name: str) -> str | None:
+        path, fs = self._pointer(name)
+        if not fs.exists(path):
+            return None
+        stream = fs.open(path)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def _point(self, name: str, version: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        fresh, fs = _hadoop_path(self.spark, f"{self.root}/{name}/_current-{uuid.uuid4().hex}")
+        stream = fs.create(fresh, True)
+        stream.write(bytearray(version.encode()))
+        stream.close()
+        path, _ = self._pointer(name)
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(fresh, path, options)
+
+    def has(self, name: str) -> bool:
+        return self._version(name) is not None
+
+    def non_empty(self, name: str) -> bool:
+        """Whether the entity is stored and has a row."""
+        df = self.load(name)
+        return df is not None and not df.isEmpty()
+
     def save(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        """The stored table. ``df`` may be read from the version that it replaces."""
+        before, version = self._version(name), f"v-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{name}/{version}")
+        self._point(name, version)
+        if before is not None:
+            path, fs = _hadoop_path(self.spark, f"{self.root}/{name}/{before}")
+            fs.delete(path, True)
         return self.load(name)
 
-    def append(self, name: str, df: DataFrame) -> None:
-        df.write.mode("append").parquet(f"{self.root}/{name}")
+    def append(self, name: str, df: DataFrame) -> DataFrame:
+        """Rows added to the current version by Spark's commit protocol; the first ones make it."""
+        version = self._version(name)
+        if version is None:
+            return self.save(name, df)
+        df.write.mode("append").parquet(f"{self.root}/{name}/{version}")
+        return self.load(name)
 
     def load(self, name: str) -> DataFrame | None:
         """None for what isn't stored."""
-        path = f"{self.root}/{name}"
-        return self.spark.read.parquet(path) if _exists(self.spark, f"{path}/_SUCCESS") else None
+        version = self._version(name)
+        return None if version is None else self.spark.read.parquet(f"{self.root}/{name}/{version}")
 
     def upsert(self, name: str, df: DataFrame, key: list[str]) -> DataFrame:
-        """New rows replace stored ones of the same key; the old table is read before it is replaced."""
-        old = self.load(name)
-        fresh = df.dropDuplicates(key)
-        if old is None:
-            return self.save(name, fresh)
-        merged = old.join(fresh.select(*key), key, "left_anti").unionByName(fresh)
-        merged.write.mode("overwrite").parquet(f"{self.root}/{name}.next")
-        return self.save(name, self.spark.read.parquet(f"{self.root}/{name}.next"))
-
-    def fresh(self, fingerprints: DataFrame, names: list[str], key: str = "doc_id") -> bool:
-        """True if all entities are stored and the manifest has the same fingerprints."""
-        old = self.load("manifest")
-        if old is None or any(self.load(n) is None for n in names):
+        """New rows replace stored ones of the same key."""
+        old, fresh = self.load(name), df.dropDuplicates(key)
+        return self.save(name, fresh if old is None else old.join(fresh.select(*key), key, "left_anti").unionByName(fresh))
+
+    def fresh(self, fingerprints: DataFrame, names: list[str], version: int, key: str = "doc_id") -> bool:
+        """True if all entities are stored and the manifest, of this version, has the same fingerprints. A manifest that can't be read, or
+        has other columns, counts as none."""
+        try:
+            old = self.load("manifest")
+            if old is None or not all(self.has(n) for n in names):
+                return False
+            old = old.where(F.col("version") == version).select(key, "fingerprint")
+            now = fingerprints.select(key, "fingerprint")
+            return now.exceptAll(old).isEmpty() and old.exceptAll(now).isEmpty()
+        except Exception:
             return False
-        return fingerprints.select(key, "fingerprint").exceptAll(old.select(key, "fingerprint")).isEmpty() and old.count() == fingerprints.count()
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """JSON lines; malformed ones are skipped."""
-    return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
+def entries_of(answered: DataFrame, now: Column | None = None) -> DataFrame:
+    """Rows to keep from (doc_id, question, embedding, answer, doc_ids, plan)."""
+    return answered.select("doc_id", "question", normalize_question(F.col("question")).alias("question_norm"), F.col("embedding").cast("array<double>").alias("question_embedding"), "answer", "doc_ids", "plan", (F.unix_micros(F.current_timestamp()) / 1e6 if now is None else now).alias("ts"), F.lit("fresh").alias("source"))
+
+
+def read_entries(spark: SparkSession, path: str, doc_id: int = 0) -> DataFrame:
+    """Kept answers from JSON lines, as far as they have the required fields; ``plan`` may be an object, and lines that name no document
+    belong to ``doc_id``."""
+    rows = spark.read.text(path).select(F.from_json("value", ENTRY).alias("e"), F.get_json_object("value", "$.plan").alias("p"))
+    return usable(rows.select("e.*", "p").withColumns({"plan": F.coalesce("p", "plan"), "doc_id": F.coalesce("doc_id", F.lit(doc_id))}).drop("p"))
+
+
+def usable(entries: DataFrame) -> DataFrame:
+    """Rows with the required fields, others defaulted."""
+    return entries.where("question is not null and question_norm is not null and answer is not null").withColumns({"question_embedding": F.coalesce("question_embedding", F.array().cast("array<double>")), "ts": F.coalesce("ts", F.lit(0.0)), "source": F.coalesce("source", F.lit("fresh")), "doc_ids": F.coalesce("doc_ids", F.array().cast("array<string>")), "plan": F.coalesce("plan", F.lit("{}"))})
+
+
+def numbered(entries: DataFrame) -> DataFrame:
+    """Kept answers as the cache asks them: (entry_id, doc_id, question, embedding, answer), ids in order of time."""
+    rows = usable(entries)
+    return rows.select(F.struct("ts", "question_norm", F.xxhash64("answer").alias("h")).alias("entry_id"), "doc_id", "question", F.col("question_embedding").alias("embedding"), "answer")
 
 
 def write_text(df: DataFrame, path: str, column: str = "text") -> None:
