@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes in one Arrow batch, whatever the length of the texts; a text of more is a batch of its own.
 ARROW_BYTES = "4m"
@@ -21,6 +25,13 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def map_rows(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``docs.mapInArrow`` with the same columns, by place: their names may be any."""
+    plain = [f"c{k}" for k in range(len(docs.columns))]
+    shape = StructType([StructField(n, f.dataType) for n, f in zip(plain, docs.schema.fields, strict=True)])
+    return docs.toDF(*plain).mapInArrow(run, shape).toDF(*docs.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

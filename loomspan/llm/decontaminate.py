@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import bounded_batches
+from loomspan.llm.common import bounded_batches, map_rows, named
 
 WINDOW = 10
-#: Item words in one automaton: a bound of some hundred MB on what is broadcast.
-MAX_BLOCK_WORDS = 1_000_000
+#: Item words in one automaton. Built it has at most twice as many states, of some 30 bytes each where they have one way on, as most do;
+#: while it is built on the driver a state takes some hundred bytes.
+MAX_BLOCK_WORDS = 300_000
 #: In the filter: documents with this share of hit words go as a whole; below it the spans are cut out.
 MAX_COVERAGE = 0.5
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -38,14 +40,18 @@ def words_of(text: str | None) -> list[bytes]:
 
 @dataclass
 class Automaton:
-    """Generalised suffix automaton over word numbers. ``items_at[s]``: items with a window that state s stands for."""
+    """Generalised suffix automaton over word numbers. ``items_at[s]``: items with a window that state s stands for. Once built, a state that
+    has one way on has it in two arrays; only branching ones keep a table."""
 
     window: int
     vocabulary: dict[bytes, int] = field(default_factory=dict)
     next: list[dict[int, int]] = field(default_factory=lambda: [{}])
-    link: list[int] = field(default_factory=lambda: [-1])
-    length: list[int] = field(default_factory=lambda: [0])
-    anchor: list[int] = field(default_factory=list)
+    link: list[int] | array = field(default_factory=lambda: [-1])
+    length: list[int] | array = field(default_factory=lambda: [0])
+    anchor: list[int] | array = field(default_factory=list)
+    word: array = field(default_factory=lambda: array("i"))
+    to: array = field(default_factory=lambda: array("i"))
+    branches: dict[int, dict[int, int]] = field(default_factory=dict)
     items_at: dict[int, list[int]] = field(default_factory=dict)
     short: dict[int, list[tuple[int, list[int]]]] = field(default_factory=dict)
     least: int = 0
@@ -98,6 +104,7 @@ class Automaton:
             if self.length[s] >= window:
                 up = self.link[s]
                 self.anchor[s] = s if self.length[up] < window else self.anchor[up]
+        self._compact()
         at: dict[int, set[int]] = {}
         short: dict[int, dict[int, set[int]]] = {}
         for k, row in enumerate(numbers):
@@ -113,12 +120,27 @@ class Automaton:
         self.least = min((min(len(r), window) for r in numbers), default=0)
         return self
 
+    def _compact(self) -> None:
+        self.word, self.to = array("i", [-1]) * len(self.next), array("i", [-1]) * len(self.next)
+        for s, after in enumerate(self.next):
+            if len(after) == 1:
+                ((self.word[s], self.to[s]),) = after.items()
+            elif after:
+                self.branches[s] = after
+        self.link, self.length, self.anchor = array("i", self.link), array("i", self.length), array("i", self.anchor)
+        self.next = []
+
     def _step(self, s: int, length: int, w: int) -> tuple[int, int]:
-        while s and w not in self.next[s]:
+        word, branches = self.word, self.branches
+        while True:
+            if word[s] == w:
+                return self.to[s], length + 1
+            if s in branches and (to := branches[s].get(w)) is not None:
+                return to, length + 1
+            if not s:
+                return 0, 0
             s = self.link[s]
             length = self.length[s]
-        to = self.next[s].get(w)
-        return (0, 0) if to is None else (to, length + 1)
 
     def scan(self, words: list[bytes], least: int) -> tuple[np.ndarray | None, set[int], int]:
         """Hit flags by word (None: no hit), the items with occurring windows, and the longest passage found in runs of
@@ -197,8 +219,9 @@ class _Blocks:
 
 
 def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_block_words: int = MAX_BLOCK_WORDS) -> DataFrame:
-    """(id, n_words, n_hit, items array<string>, longest) for each row, repeated and null ids too. Null texts have no words;
-    null or empty items no window; items of the same words all count."""
+    """(id, n_words, n_hit, items array<string>, longest) for each row, repeated and null ids too. Null and empty texts have no words, long
+    ones are read whole; null or empty items no window; items of the same words all count. Only the two named columns are read, so no
+    other name clashes; without documents there is no row, without items no hit."""
     spark = docs.sparkSession
     bounded_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -216,12 +239,13 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
                 longest.append(most)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(longest, pa.int64())], names=[id_col, "n_words", "n_hit", "items", "longest"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_hit long, items array<string>, longest long")
+    return docs.select(named(id_col), named(text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_hit long, items array<string>, longest long")
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, max_coverage: float = MAX_COVERAGE, max_block_words: int = MAX_BLOCK_WORDS) -> DataFrame:
     """``docs`` with the spans of hit words cut out of the text, a space in each one's place; documents whose share of
-    hit words reaches ``max_coverage`` go. Other columns stay as they are; null texts and texts without hits are untouched."""
+    hit words reaches ``max_coverage`` go. Other columns stay as they are, whatever their names; null and empty texts and texts without hits
+    are untouched; rows are judged each, whatever their ids."""
     bounded_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     blocks = _Blocks(items, item_col, item_text_col, window, max_block_words)
@@ -238,7 +262,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: s
             batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
             yield batch.filter(pa.array(stay, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def cut(text: str, hit: np.ndarray) -> str:
@@ -255,7 +279,7 @@ def cut(text: str, hit: np.ndarray) -> str:
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (and the longest passage) for every document."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document."""
     from loomspan.llm.common import table
 
     found = find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import fold, hash_order
+from loomspan.llm.common import fold, hash_order, named
 from loomspan.llm.quality_rules import with_statistics
 
 #: Most labelled documents that a model is fitted on, in hash order of the id.
@@ -158,26 +158,28 @@ def fit_rules(columns: dict[str, np.ndarray], y: np.ndarray, seed: int = 7) -> R
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, one column a statistic); null and empty texts have zeros."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("n_marks", F.length("text") - F.length(F.translate("text", "!", "")))
+    text = F.coalesce(named(text_col), F.lit(""))
+    rows = docs.select(named(id_col).alias("id"), text.alias("text")).withColumn("n_marks", F.length("text") - F.length(F.translate("text", "!", "")))
     return with_statistics(rows, "text").select("id", *[F.expr(x).alias(k) for k, x in STATISTICS.items()])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: tuple[int, int] | None = (3, 1), max_labelled: int = MAX_LABELLED) -> RuleModel:
-    """Fit on at most ``max_labelled`` labelled documents; labels of the held-out fold are never read. Null labels, ids
-    without a document and repeated labels of one id (the largest counts) do no harm."""
+    """Fit on at most ``max_labelled`` labelled ids; labels of the held-out fold are never read. Null labels, ids without a
+    document and repeated labels of one id (the largest counts) do no harm; rows that repeat an id are documents each. Without
+    documents or without both labels there are no rules, and the score is the smoothed share."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
     if held_out:
         known = known.where(~fold("id", *held_out))
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(*hash_order("id")).limit(max_labelled)
     # broadcast: at most max_labelled rows of two numbers
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
-    got = statistics(rows, "id", "text").dropDuplicates(["id"]).join(F.broadcast(known), "id").toPandas().sort_values("id", ignore_index=True)
+    rows = docs.select(named(id_col).alias("id"), named(text_col).alias("text")).join(F.broadcast(known), "id")
+    got = statistics(rows, "id", "text").join(F.broadcast(known), "id").toPandas().sort_values(["id", *STATISTICS], ignore_index=True)
     return fit_rules({k: got[k].to_numpy(np.float64) for k in STATISTICS}, got["y"].to_numpy(np.float64))
 
 
 def score(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) for every row; only the text is read besides the id."""
+    """(id, score) for every row, null and repeated ids too; null and empty texts have statistics of zero, long ones are read whole. Only the
+    text is read besides the id, so no other name clashes; an empty table gives no row."""
     return statistics(docs, id_col, text_col).select(F.col("id").alias(id_col), model.column().alias("score"))
 
 

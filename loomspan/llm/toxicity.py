@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import bounded_batches, fold, named
+from loomspan.llm.common import bounded_batches, fold, map_rows, named
 from loomspan.plans.shared import materialize, release
 
 #: Bits of the feature hash.
@@ -275,7 +275,7 @@ def reject(docs: DataFrame, model: PUModel, text_col: str = "text", threshold: f
         for batch in batches:
             yield batch.filter(pa.array([of(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
