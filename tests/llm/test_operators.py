@@ -757,7 +757,23 @@ def test_sum_of_squares_takes_the_smallest_sum():
         assert cost(own) == min(options)
 
 
-# ------------------------------------------------------------------ pipeline
+# ------------------------------------------------------------------ names, and the pipeline
+
+
+def test_no_column_name_clashes(spark, docs, odd):
+    """Every operator on a table whose other columns have the names that operators use, and on rows that repeat."""
+    names = ["id", "text_", "score", "kept", "gone", "lines", "key", "n", "sig", "hashes", "h1", "p", "u", "turn", "features", "y", "upto", "grp", "raw", "name", "to", "kind", "piece", "length", "start", "items", "longest", "n_hit", "a.b", "held_out", "component_id", "n_chars_", "window"]
+    rows = odd.drop("score").unionByName(odd.drop("score"))
+    other = rows.withColumns({n: F.lit(f"x{k}") for k, n in enumerate(names)})
+    bench, labels = spark.createDataFrame([(1, "k l m\nn o p", "x")], "item_id long, text string, n_hit string"), spark.read.parquet(f"{SF}/labels.parquet").withColumns({"text": F.lit("x"), "y": F.lit("x")})
+    n = rows.count()
+    same = lambda f: sorted(map(str, f(other).collect())) == sorted(map(str, f(rows).collect()))
+    assert same(near_dedup.link) and same(suffix_dedup.remove) and same(quality_rules.judge) and same(lambda d: packing.best_fit(d).drop("sequence_id", "offset")) and same(lambda d: decontaminate.find(d, bench))
+    for module in (toxicity, quality_classifier):
+        assert same(lambda d, m=module: m.score(d, m.train(d, labels)))
+    assert same(lambda d: language_id.identify(d, language_id.train(d)))
+    for out in (line_dedup.dedup(other, counts=None), decontaminate.clean(other, bench), toxicity.reject(other, toxicity.train(other, labels)), near_dedup.keep_one(other)):
+        assert out.columns == other.columns and 0 < out.count() <= n
 
 
 def test_pipeline_stages_equal_brute_force(spark, docs):
@@ -776,6 +792,31 @@ def test_pipeline_stages_equal_brute_force(spark, docs):
     assert all(r["n_chars"] == len(r["text"]) for r in frame.collect())
 
 
+def test_pipeline_of_odd_rows(spark, odd, tmp_path):
+    """Null, empty, long and repeated rows, clashing names, and an empty table, through all stages."""
+    import shutil
+
+    import corpus_pipeline as P
+
+    other = odd.withColumns({n: F.lit("x") for n in ("gone", "lines_total", "id", "component_id", "piece", "p", "u")})
+    rows = other.unionByName(other.where("doc_id in (5, 8) or doc_id is null"))
+    for name, frame in (("odd", rows), ("none", rows.where("false"))):
+        d = tmp_path / name
+        frame.write.parquet(str(d / "documents.parquet"))
+        for t in ("labels", "benchmark"):
+            shutil.copy(f"{SF}/{t}.parquet", d / f"{t}.parquet")
+        now = spark.read.parquet(str(d / "documents.parquet"))
+        for stage, f in P.STAGES[:-1]:
+            after = f(spark, now, str(d))
+            assert after.columns == rows.columns, stage
+            now = spark.createDataFrame(after.collect(), after.schema)
+        out = P.run(spark, str(d))
+        ids = [r["doc_id"] for r in out.where("piece = 0").collect()]
+        # 4 and 5 are copies: 5 goes, both of its rows; 7 repeats no window of its own lines but the first
+        want = [0, 1, 2, 3, 4, 6, 7, 8, 8, None, None] if name == "odd" else []
+        assert sorted(ids, key=str) == sorted(want, key=str) == sorted((r["doc_id"] for r in now.collect()), key=str)
+
+
 def test_hash_of_kept_text(spark):
     from loomspan.llm.registry import QUERIES
 
