@@ -6,10 +6,9 @@ with the first one of its region, all of whose sequences share a prefix. How lon
 sets share the shortest one, ``depth_for`` values, it is that; where a run of sets is denser than ``DENSE``, it is as many values more
 as bring the set among the first of its run. Candidates are confirmed on full shingle sets and united to components.
 
-Regions (equal first values in a tree) that still hold several components after that get two more steps, so that no
-candidate is capped away. First, members are compared with their region's hub, the one with most confirmed links: a
-pair a member. Then, what lies outside a region's largest component is the query set, compared with the whole region in
-blocks; signatures and full sets are compared within the block, and only links leave it.
+Regions (equal first ``depth_for`` values in a tree) that still hold several components after that get one more step, so that
+no candidate is capped away: what lies outside a region's largest component is the query set, compared with the whole region in
+blocks of bounded rows and shingles; signatures and full sets are compared within the block, and only links leave it.
 
 Sets that are equal (128 bits of hash of the whole set) are one node from the start, whatever the number of copies.
 """
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import bounded_batches, named
-from loomspan.llm.graph import components
+from loomspan.llm.graph import forest, united
 from loomspan.plans.shared import materialize, release
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -35,7 +34,7 @@ MISS = 1e-5
 #: Distance in a tree's order up to which neighbours are candidates at first, and sets in a region before it is taken deeper.
 REACH, DENSE = 2, 32
 #: Most rows, and most shingles of all its rows, in one side of a block of the last step: bounds a task's time and memory.
-BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1_000_000
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1_000_000
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, TREES * DEPTH, dtype=np.uint64)
@@ -262,41 +261,26 @@ def _roots(found: DataFrame, tables: list[DataFrame], docs: DataFrame, reps: Dat
     members = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
     members = materialize(members.join(reps, "id"), "members")
     sets = materialize(_sets(docs, members, id_col, text_col, shingle), "sets")
-    # One likely edge for each node first: most other candidates then lie within a component.
+    # One likely edge for each node first, to a smaller one: most other candidates then lie within a component.
     best = found.groupBy("b").agg(F.max_by("a", F.struct("weight", "a")).alias("a")).select("a", "b")
-    edges = materialize(_confirmed(best, sets, similarity), "links")
-    roots = components(edges)
+    roots = forest(_confirmed(best, sets, similarity).select(F.col("v").alias("node"), F.col("u").alias("parent")))
 
     def add(fresh: DataFrame) -> None:
-        nonlocal edges, roots
+        nonlocal roots
         fresh = materialize(fresh, "links")
         if not fresh.isEmpty():
-            before = (edges, roots, fresh)
-            edges = materialize(edges.unionByName(fresh), "links")
-            roots = components(edges)
-            release(*before)
+            roots = united(roots, fresh)
+        release(fresh)
 
     add(_confirmed(_across(found, roots, least, reps), sets, similarity))
     release(*tables)
     regions = _open_regions(members, roots, depth)
     if not regions.isEmpty():
-        add(_confirmed(_across(_spokes(regions, edges), roots, least, reps), sets, similarity))
-        release(regions)
-        regions = _open_regions(members, roots, depth)
-        if not regions.isEmpty():
-            add(_block_links(regions, members, sets, similarity, least, depth))
-    release(regions, members, sets, edges)
+        add(_block_links(regions, members, sets, similarity, least, depth))
+    release(regions, members, sets)
     return roots
 
 
-def _spokes(regions: DataFrame, edges: DataFrame) -> DataFrame:
-    """(a, b): each member of a region with the region's hub, the one that has most links so far, if that is in another component."""
-    degree = materialize(edges.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree")), "degree")
-    rank = F.struct(F.coalesce("degree", F.lit(0)), "id")
-    hubs = materialize(regions.join(degree, "id", "left").groupBy("tree", "region").agg(F.max_by("id", rank).alias("hub"), F.max_by("c", rank).alias("hub_c")), "hubs")
-    return regions.join(hubs, ["tree", "region"]).where("c <> hub_c").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-
-
 def _open_regions(members: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """(tree, region, id, n, c, k) of the regions with several components and more members than the neighbours' distance covers."""
     at = members.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "sig", F.coalesce("root", "id").alias("c"))

@@ -355,6 +355,24 @@ def test_near_dedup_odd_rows(spark, odd):
     assert near_dedup.link(odd.unionByName(odd)).count() == 2 * len(ODD)
 
 
+def test_forest_and_united_components(spark):
+    rng = random.Random(13)
+    parents = {i: rng.randrange(max(0, i - 3), i) for i in range(1, 200) if rng.random() < 0.9} | {1000 + i: 999 + i for i in range(1, 70)}
+    top = lambda i: i if i not in parents else top(parents[i])
+    roots = graph.forest(spark.createDataFrame(list(parents.items()), "node long, parent long"))
+    assert {r["node"]: r["root"] for r in roots.collect()} == {i: top(i) for i in parents}
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(6)] + [(1069, 5), (3, 3), (2000, 2001), (2001, 2000)]
+    group = {i: {i} for i in [*range(200), *range(1000, 1070), 2000, 2001]}
+    for a, b in [*parents.items(), *links]:
+        if group[a] is not group[b]:
+            group[a] |= group[b]
+            for i in group[b]:
+                group[i] = group[a]
+    got = {r["node"]: r["root"] for r in graph.united(roots, spark.createDataFrame(links, "u long, v long")).collect()}
+    assert {i: got.get(i, i) for i in group} == {i: min(g) for i, g in group.items()} and all(k != v for k, v in got.items())
+    assert graph.forest(spark.createDataFrame([], "node long, parent long")).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(100, 400)] + [(7, 5), (9, 7), (5, 9)], "u long, v long")
     got = {r["node"]: r["root"] for r in graph.components(edges).collect()}
