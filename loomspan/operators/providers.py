@@ -108,15 +108,16 @@ def offline_vector(text: Column, size: int = 64) -> Column:
 
 
 def embed_distinct(rows: DataFrame, text_col: str, service: Callable[[list[str]], list[list[float]]] | None = None, size: int = 64) -> DataFrame:
-    """The same, each text once however many rows have it."""
+    """The same for questions: each text once however many rows have it, and a failure leaves a question without a vector."""
     if service is None:
         return embed(rows, text_col, None, size)
-    return rows.join(embed(rows.select(text_col).distinct(), text_col, service, size), text_col, "left")
+    return rows.join(embed(rows.select(text_col).distinct(), text_col, service, size, strict=False), text_col, "left")
 
 
-def embed(rows: DataFrame, text_col: str, service: Callable[[list[str]], list[list[float]]] | None = None, size: int = 64, too_large: Callable[[Exception], bool] = lambda e: "large" in str(e).lower(), sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+def embed(rows: DataFrame, text_col: str, service: Callable[[list[str]], list[list[float]]] | None = None, size: int = 64, too_large: Callable[[Exception], bool] = lambda e: "large" in str(e).lower(), sleep: Callable[[float], None] = time.sleep, strict: bool = True) -> DataFrame:
     """Adds ``embedding``. With a service: batches of ``BATCH``, texts cut by the ladder while it finds them too large, at last
-    one by one, and a zero vector for what still fails; other errors are tried again after growing delays."""
+    one by one, and a zero vector for what still is; other errors are tried again after growing delays, and then raised, or, unless
+    ``strict``, the texts have no vector: an empty one, which is near to nothing."""
     if service is None:
         return rows.withColumn("embedding", offline_vector(F.col(text_col), size))
 
@@ -153,7 +154,17 @@ def embed(rows: DataFrame, text_col: str, service: Callable[[list[str]], list[li
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             texts = part[text_col].fillna("").tolist()
-            part["embedding"] = [v for k in range(0, len(texts), BATCH) for v in vectors(texts[k : k + BATCH])]
+            found = []
+            for k in range(0, len(texts), BATCH):
+                some = texts[k : k + BATCH]
+                try:
+                    found += vectors(some)
+                except Exception as e:
+                    if strict:
+                        raise
+                    S.log.warning("embedding failed: %s", e)
+                    found += [[] for _ in some]
+            part["embedding"] = found
             yield part
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "embedding")

@@ -88,7 +88,7 @@ def graphics_paths(texts: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def resolve_figures(figures: DataFrame, files: DataFrame, folders: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, label, tex_path, resolved_path): the first existing of root, own and graphics folders times image endings, else any image of the same stem."""
+    """(id, label, tex_path, resolved_path): the first existing of root and graphics folders times image endings, else any image of the same stem."""
     bases = folders.select(id_col, (F.col("turn") + 2).alias("b"), "folder").unionByName(figures.select(id_col).distinct().select(id_col, F.lit(0).alias("b"), F.lit("").alias("folder")))
     ending = F.posexplode(F.array(*map(F.lit, IMAGE_ENDINGS)))
     tried = figures.select(id_col, "label", "tex_path").join(bases, id_col).select(id_col, "label", "tex_path", "b", "folder", ending.alias("e", "ending"))

@@ -85,6 +85,16 @@ def test_embedding_retries_and_zero_vector(spark):
     assert got == {1: [1.0], 2: [0.0]}
 
 
+def test_questions_without_a_vector_find_nothing(spark, article):
+    def broken(texts):
+        raise OSError("down")
+
+    asked = spark.createDataFrame([(1, 1, 1, 1, "What is alpha?")], "question_id long, doc_id long, slot int, idx int, question string")
+    chunks, sections = article
+    r = answering.answer(asked, chunks, sections, services=answering.Services(embedder=broken, size=2)).first()
+    assert r["embedding"] == [] and r["doc_ids"] == [] and r["answer"].startswith("no answer")
+
+
 # ------------------------------------------------------------------ sources and stored entities
 
 
