@@ -22,6 +22,8 @@ from loomspan.functions import vectors as V
 
 #: Questions in one block: what is collected and broadcast at a time. More questions take a scan of the chunks for each block.
 QUESTION_BLOCK = 2000
+#: Chunks in one matrix product: with as many questions some MB.
+CHUNK_BLOCK = 256
 #: What the order of a sum may change in a cosine; rows so near to the last place are scored again one by one.
 ROUNDING = 1e-9
 
@@ -131,7 +133,7 @@ class _Questions:
 
 def _streamed(questions: _Questions, batches: Iterator[pa.RecordBatch], id_col: str, vector_at: int) -> Iterator[pa.RecordBatch]:
     best = {name: np.full((k, questions.n), -1.0) for name, (k, _) in questions.passes.items()}
-    for batch in batches:
+    for batch in (b.slice(k, CHUNK_BLOCK) for b in batches for k in range(0, b.num_rows, CHUNK_BLOCK)):
         n = batch.num_rows
         if not n or not questions.n:
             continue

@@ -160,7 +160,7 @@ def test_retrieval_streams_as_it_ranks_in_one(spark):
     v = rng.normal(size=(600, 8))
     v[100:120] = v[7]  # ties
     rows = [(f"c{k:04}", "body", str(k % 5), str(k % 5), False, [], [], v[k].tolist() if k != 11 else [1.0]) for k in range(600)]
-    chunks = spark.createDataFrame(rows, "chunk_id string, kind string, section_number string, section_top string, has_figure boolean, figure_refs array<string>, equation_refs array<string>, embedding array<double>").repartition(7)
+    chunks = spark.createDataFrame(rows, "chunk_id string, kind string, section_number string, section_top string, has_figure boolean, figure_refs array<string>, equation_refs array<string>, embedding array<double>").repartition(2)
     q = np.vstack([v[7], v[3], np.zeros(8), rng.normal(size=8)])
     plans = spark.createDataFrame([(k, q[k].tolist(), ["2"] if k == 3 else None, False, None) for k in range(4)], "question_id long, embedding array<double>, scope array<string>, is_figure boolean, target_label string")
     before, retrieval.QUESTION_BLOCK = retrieval.QUESTION_BLOCK, 2
