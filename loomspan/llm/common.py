@@ -9,16 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-#: Bytes in one Arrow batch, whatever the length of the texts; a text of more is a batch of its own.
-ARROW_BYTES = "4m"
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound what one Python worker holds at a time. One value for all operators, so a plan that runs later has the same bound;
-    a bound that the session has already stays."""
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
-
+from loomspan.plans.shared import bounded_batches as bounded_batches
 
 def named(column: str) -> Column:
     """The column of just this name, dots and back-ticks in it included."""

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import named
-from loomspan.plans.shared import materialize
+from loomspan.plans.shared import materialize, release
 
 LINES = 3
 
@@ -39,7 +39,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     firsts = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "first")).alias("kept"), F.max(F.struct("id", "first")).alias("latest")).where("kept <> latest").select("h1", "h2", "kept")
     later = found.join(firsts, ["h1", "h2"]).where(F.struct("id", "first") != F.col("kept"))
     spans = later.groupBy("id").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    return spans.select("id", F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"])))).alias("gone"))
+    out = materialize(spans.select("id", F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"])))).alias("gone")), "gone")
+    release(found)
+    return out
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines: int = LINES, counts: tuple[str, str] | None = ("lines_total", "lines_removed"), drop_emptied: bool = False) -> DataFrame:
