@@ -11,6 +11,7 @@ from pyspark.sql.types import StructField, StructType
 
 from loomspan.plans.shared import bounded_batches as bounded_batches
 
+
 def named(column: str) -> Column:
     """The column of just this name, dots and back-ticks in it included."""
     return F.col("`" + column.replace("`", "``") + "`")

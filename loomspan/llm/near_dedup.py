@@ -376,3 +376,20 @@ def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
 
     found = link(table(spark, sf_dir, "documents"), shingle=3, similarity=0.85)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+OP3_SQL = r"""
+with recursive doc as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+shingle as (
+  select distinct doc_id, s from (
+    select doc_id, array_to_string(w[i:i + 2], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from doc where len(w) >= 3)
+    union all select doc_id, array_to_string(w, ' ') from doc where len(w) between 1 and 2)),
+size as (select doc_id, count(*) as n from shingle group by doc_id),
+pair as (select a.doc_id as a, b.doc_id as b, count(*) as k from shingle a join shingle b on a.s = b.s and a.doc_id < b.doc_id group by all),
+link as (select a, b from pair join size x on x.doc_id = a join size y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+edge as (select a, b from link union all select b, a from link),
+reach as (select doc_id, doc_id as far from documents union select r.doc_id, e.b from reach r join edge e on e.a = r.far),
+least as (select doc_id, min(far) as component_id from reach group by doc_id)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from least left join size using (doc_id)
+"""

@@ -6,11 +6,11 @@ from loomspan.llm.decontaminate import OP5_SQL, op5_decontamination
 from loomspan.llm.html_text import op1_html_extraction
 from loomspan.llm.language_id import op6_language_id
 from loomspan.llm.line_dedup import OP4_SQL, op4_line_dedup
-from loomspan.llm.near_dedup import op3_near_dedup
+from loomspan.llm.near_dedup import OP3_SQL, op3_near_dedup
 from loomspan.llm.packing import op8_packing
 from loomspan.llm.quality_classifier import op9_quality_classifier
 from loomspan.llm.quality_rules import op2_quality_rules, op2_sql
-from loomspan.llm.suffix_dedup import op7_suffix_dedup
+from loomspan.llm.suffix_dedup import OP7_SQL, op7_suffix_dedup
 from loomspan.llm.toxicity import op10_toxicity
 
 QUERIES = {
@@ -28,6 +28,8 @@ QUERIES = {
 
 SQL = {
     "op2_quality_rules": op2_sql(),
+    "op3_near_dedup": OP3_SQL,
     "op4_line_dedup": OP4_SQL,
     "op5_decontamination": OP5_SQL,
+    "op7_suffix_dedup": OP7_SQL,
 }

@@ -553,3 +553,22 @@ def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     from loomspan.llm.common import table
 
     return remove(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP7_SQL = """
+with doc as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+win as (select doc_id, i, substring(h, 2 * i + 1, 100) as s from (select doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) as i from doc)),
+earliest as (select s, min(doc_id) as m from win group by s having min(doc_id) < max(doc_id)),
+gone as (select doc_id, i from win join earliest using (s) where doc_id > m),
+island as (
+  select doc_id, i, sum(cast(p is null or i > p + 50 as int)) over (partition by doc_id order by i) as g
+  from (select doc_id, i, lag(i) over (partition by doc_id order by i) as p from gone)),
+run as (select doc_id, min(i) as a, max(i) + 50 as b from island group by doc_id, g),
+piece as (
+  select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as a, a as b from run
+  union all select doc_id, max(b), null from run group by doc_id),
+kept as (select doc_id, string_agg(substring(h, 2 * a + 1, 2 * (coalesce(b, length(h) // 2) - a)), '' order by a) as h from piece join doc using (doc_id) group by doc_id),
+total as (select doc_id, cast(sum(b - a) as bigint) as n_removed, count(*) as n_spans from run group by doc_id)
+select doc.doc_id, length(doc.h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept.h, doc.h))) as kept_sha256
+from doc left join kept using (doc_id) left join total using (doc_id)
+"""
