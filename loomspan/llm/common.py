@@ -17,6 +17,17 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+#: Numbers in a table that is broadcast at most: some 16 MB. The optimizer would go by the size of its files, and they are compressed.
+BROADCAST_NUMBERS = 1_000_000
+
+
+def small_side(df: DataFrame, numbers: Column) -> DataFrame:
+    """``df`` as the small side of a join: broadcast if its rows hold ``BROADCAST_NUMBERS`` numbers at most; else to be merged with the
+    other side by an exchange."""
+    total = df.agg(F.coalesce(F.sum(numbers), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= BROADCAST_NUMBERS else df.hint("merge")
+
+
 def map_rows(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """``docs.mapInArrow`` with the same columns, by place: their names may be any."""
     plain = [f"c{k}" for k in range(len(docs.columns))]

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import named
+from loomspan.llm.common import named, small_side
 from loomspan.plans.shared import materialize, release
 
 LINES = 3
@@ -56,7 +56,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines
     others = [c for c in docs.columns if c not in (id_col, text_col) and c.lower() not in taken]
     rows = docs.select(named(id_col).alias("key"), named(text_col).alias("text"), F.struct(F.lit(None).cast("int"), *map(named, others)).alias("others"))
     split = _lines(F.col("text"))
-    rows = rows.join(gone.withColumnRenamed("id", "key"), "key", "left").withColumn("lines", F.when(F.col("gone").isNotNull(), split))
+    rows = rows.join(small_side(gone.withColumnRenamed("id", "key"), F.size("gone") + 1), "key", "left").withColumn("lines", F.when(F.col("gone").isNotNull(), split))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     # ``lines`` is named twice, which keeps the optimizer from splitting the text anew for every line.
     text = F.when(F.col("gone").isNull(), F.col("text")).when(F.size("lines") == F.size("gone"), F.lit("")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n"))

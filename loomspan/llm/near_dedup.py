@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import bounded_batches, named
+from loomspan.llm.common import bounded_batches, named, small_side
 from loomspan.llm.graph import forest, united
 from loomspan.plans.shared import materialize, release
 
@@ -367,6 +367,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     they repeat it. Rows with a null id stay."""
     found = link(docs, id_col, text_col, shingle, similarity)
     gone = materialize(found.where("component_id <> id").select("id").distinct(), "gone")
+    gone = small_side(gone, F.lit(1))
     return docs.join(gone, docs[id_col] == gone["id"], "left_anti")
 
 
