@@ -68,14 +68,14 @@ def consistency(share: float, k: int) -> float:
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_upper (all long, of the whole text; null counts as empty)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("__w", F.filter(F.split(text, _SPACE), lambda x: x != ""))
+    # Built-in array functions are compiled; a lambda is called for each word, so there is one only for the windows.
+    rows = docs.withColumn("__w", F.array_remove(F.split(text, _SPACE), ""))
     words = F.col("__w")
     window = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
-    rows = rows.withColumn("__h", F.when(F.size(words) >= 3, window)).withColumn("__o", F.sort_array("__h"))
-    h, o = F.col("__h"), F.col("__o")
-    again = F.exists(F.sequence(F.lit(1), F.size(o) - 1), lambda i: F.get(o, i) == F.get(o, i - 1))
-    # Only texts with a repeated window are sorted with their positions.
-    rows = rows.withColumn("__s", F.when((F.size(o) >= 2) & again, F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+    rows = rows.withColumn("__h", F.when(F.size(words) >= 3, window))
+    h = F.col("__h")
+    # Only texts with a repeated window are sorted, with their positions.
+    rows = rows.withColumn("__s", F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
     s = F.col("__s")
     twice = F.filter(F.transform(s, lambda x, k: F.when((x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]), x["i"])), lambda x: x.isNotNull())
     rows = rows.withColumn("__p", F.sort_array(twice))
