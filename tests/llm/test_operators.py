@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.llm import decontaminate, graph, html_text, language_id, line_dedup, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, toxicity
+from loomspan.llm import common, decontaminate, graph, html_text, language_id, line_dedup, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup, toxicity
 
 SF = "/root/testdata/sf0.001"
 ODD = [(0, None), (1, ""), (2, " \n\t\n"), (3, "word"), (4, "a b c d e f g\nh i j\nk l m\nn o p"), (5, "a b c d e f g\nh i j\nk l m\nn o p"), (6, "long " * 30_000), (7, "x\n" * 4), (None, "no id at all here"), (8, "\x00 é́ 🎉 ß")]
@@ -410,6 +410,19 @@ def test_line_dedup_equals_brute_force(spark, odd):
     assert line_dedup.dedup(odd.where("false")).count() == 0
 
 
+def test_small_sides_are_broadcast_only_when_small(spark, monkeypatch):
+    own = {i: f"a\nb\nc\n{i}" for i in range(50)}
+    df = spark.createDataFrame(list(own.items()), "doc_id long, text string")
+    near = spark.createDataFrame([(i, "one two three four five six") for i in range(50)], "doc_id long, text string")
+    plans = []
+    for most in (10**6, 10):
+        monkeypatch.setattr(common, "BROADCAST_NUMBERS", most)
+        out, kept = line_dedup.dedup(df), near_dedup.keep_one(near)
+        assert {r["doc_id"]: r["text"] for r in out.collect()} == brute_lines(own) and [r["doc_id"] for r in kept.collect()] == [0]
+        plans.append([x._jdf.queryExecution().toString() for x in (out, kept)])
+    assert all("BroadcastHashJoin" in p for p in plans[0]) and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans[1])
+
+
 def test_line_dedup_with_clashing_names(spark):
     names = ["gone", "lines", "key", "others", "text_", "removed", "total", "__n", "__id", "__lines", "id", "first", "last", "h1", "a.b"]
     rows = [(i, t, *[f"{i}{n}" for n in names], 7, 8) for i, t in [(1, "a\nb\nc\nd"), (2, "a\nb\nc"), (2, "a\nb\nc"), (3, None), (None, "a\nb\nc")]]
