@@ -238,7 +238,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     full = own.where("n > 0 and id is not null")
     nodes = materialize(full.groupBy("key").agg(F.min("id").alias("rep")), "nodes")
     reps = own.where("sig is not null").join(nodes.select(F.col("rep").alias("id")), "id", "left_semi")
-    reps = reps.groupBy("id").agg(F.max(F.struct("n", "key", "sig")).alias("x")).select("id", "x.*")
+    reps = reps.groupBy("id").agg(F.max(F.struct("n", "key", "sig")).alias("x"), F.count(F.lit(1)).alias("times")).select("id", "x.*", "times")
     reps = materialize(reps, "reps")
     partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Signature agreement of a pair at the similarity is binomial; six standard deviations below it nothing is lost.
@@ -261,7 +261,9 @@ def _roots(found: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text
     """(node, root) of the components over all links that share a region, from the candidates ``found``."""
     members = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
     members = materialize(members.join(reps, "id"), "members")
-    sets = materialize(_sets(docs, members, id_col, text_col, shingle), "sets")
+    sets = _sets(docs, members, id_col, text_col, shingle)
+    # Rows that repeat an id have one set; without such rows there is nothing to exchange for it.
+    sets = materialize(sets if members.where("times > 1").isEmpty() else sets.dropDuplicates(["id"]), "sets")
     # One likely edge for each node first, to a smaller one: most other candidates then lie within a component.
     best = found.groupBy("b").agg(F.max_by("a", F.struct("weight", "a")).alias("a")).select("a", "b")
     roots = forest(_confirmed(best, sets, similarity).select(F.col("v").alias("node"), F.col("u").alias("parent")))
@@ -307,7 +309,7 @@ def _block_links(regions: DataFrame, members: DataFrame, sets: DataFrame, simila
     whole = rows.select("tree", "region", "id", "c", F.lit(False).alias("asks"), F.pmod(turn, "nm").cast("int").alias("mb"), each("nq").alias("qb"))
     query = rows.where("c <> main").select("tree", "region", "id", "c", F.lit(True).alias("asks"), F.pmod(turn, "nq").cast("int").alias("qb"), each("nm").alias("mb"))
     # signature and set in one row, so that a block's rows are joined once
-    block = whole.unionByName(query).join(members.drop("n").join(sets, "id"), "id").select("tree", "region", "mb", "qb", "id", "c", "asks", "sig", "hashes")
+    block = whole.unionByName(query).join(members.select("id", "sig").join(sets, "id"), "id").select("tree", "region", "mb", "qb", "id", "c", "asks", "sig", "hashes")
     per_mille = round(1000 * similarity)
     kind = regions.schema["id"].dataType.simpleString()
 
