@@ -1,10 +1,12 @@
 """Filtered vector top-k, re-ranking, grouped deduplication, fallback and bonus: set at a time over all questions.
 
 ``chunks`` (chunk_id, kind, section_number, section_top, has_figure, figure_refs, equation_refs, embedding[, text]);
-``plans`` (question_id, embedding, scope array<string> or null, is_figure, target_label). Questions are the small side: blocks of
-at most ``QUESTION_BLOCK`` of them are broadcast as one matrix, and chunks stream past it in Arrow batches, a matrix product each. A
-task emits a row only if it can be among the best of a pass so far, so what is exchanged is some rows a question and task, never
-all pairs. Ranking, deduplication, fallback and bonus are windows over that one exchange by question.
+``plans`` (question_id, embedding, scope array<string> or null, is_figure, target_label). Up to ``QUESTION_BLOCK`` questions are
+broadcast as one matrix, and chunks stream past it in Arrow batches, a matrix product each. More questions, and questions that share a
+key with their chunks (a document, a cell of an index, a section), meet them in a grid: the rows of a key are split into blocks on
+both sides, and each pair of blocks is one group. Either way a row goes on only if it can be among the best of a pass so far, so
+what is exchanged is some rows a question and task, never all pairs. Ranking, deduplication, fallback and bonus are windows over
+that one exchange by question.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from loomspan.functions import vectors as V
 
-
-#: Questions in one block: what is collected and broadcast at a time. More questions take a scan of the chunks for each block.
+#: Questions in one block: what is broadcast at most, and what one group of the grid holds.
 QUESTION_BLOCK = 2000
+#: Numbers in the vectors of one group's chunks: 8 MB.
+BLOCK_NUMBERS = 1_000_000
 #: Chunks in one matrix product: with as many questions some MB.
 CHUNK_BLOCK = 256
 #: What the order of a sum may change in a cosine; rows so near to the last place are scored again one by one.
@@ -167,36 +171,63 @@ def _streamed(questions: _Questions, batches: Iterator[pa.RecordBatch], id_col:
         yield pa.RecordBatch.from_arrays([*kept.columns, ids, pa.array(exact), *marks], names=[*kept.schema.names, "question_id", "sim", *(f"in_{p}" for p in flags)])
 
 
-def nearest(chunks: DataFrame, plans: DataFrame, passes: dict[str, tuple[int, str]], id_col: str = "chunk_id") -> DataFrame:
+def _shape(chunks: DataFrame, plans: DataFrame, passes: dict[str, tuple[int, str]]) -> T.StructType:
+    fields = [T.StructField(f.name, f.dataType) for f in chunks.schema.fields if f.name != "embedding"]
+    return T.StructType([*fields, T.StructField("question_id", plans.schema["question_id"].dataType), T.StructField("sim", T.DoubleType()), *(T.StructField(f"in_{p}", T.BooleanType()) for p in passes)])
+
+
+def nearest(chunks: DataFrame, plans: DataFrame, passes: dict[str, tuple[int, str]], id_col: str = "chunk_id", block: int = QUESTION_BLOCK) -> DataFrame:
     """(chunk columns without the vector, question_id, sim, in_<pass>): for every question at least its nearest chunks of each pass, by
-    cosine, 0 at least. ``passes``: name to (how many, which chunks: all, figures or scoped)."""
-    asked = [c for c in ("question_id", "embedding", "scope", "is_figure") if c in plans.columns]
-    plans = plans.select(*asked)
-    n = plans.count()
-    blocks = max(1, -(-n // QUESTION_BLOCK))
-    fields = [f for f in chunks.schema.fields if f.name != "embedding"]
-    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"question_id {plans.schema['question_id'].dataType.simpleString()}", "sim double", *(f"in_{p} boolean" for p in passes)])
+    cosine, 0 at least. ``passes``: name to (how many, which chunks: all, figures or scoped). At most ``block`` questions are
+    broadcast; more of them meet the chunks block by block."""
+    plans = plans.select(*(c for c in ("question_id", "embedding", "scope", "is_figure") if c in plans.columns))
+    rows = plans.limit(block + 1).toArrow()
+    if rows.num_rows > block:
+        return grid(chunks, plans, passes, [], id_col, block)
     at = chunks.columns.index("embedding")
-    out = None
-    for block in range(blocks):
-        # bound: about QUESTION_BLOCK questions
-        own = plans if blocks == 1 else plans.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == block)
-        payload = chunks.sparkSession.sparkContext.broadcast(_Questions(own.toArrow(), passes))
-        found = chunks.mapInArrow(lambda batches, payload=payload: _streamed(payload.value, batches, id_col, at), shape)
-        out = found if out is None else out.unionByName(found)
-    return out
+    payload = chunks.sparkSession.sparkContext.broadcast(_Questions(rows, passes))
+    return chunks.mapInArrow(lambda batches: _streamed(payload.value, batches, id_col, at), _shape(chunks, plans, passes))
+
+
+def grid(chunks: DataFrame, plans: DataFrame, passes: dict[str, tuple[int, str]], keys: list[str], id_col: str = "chunk_id", block: int = QUESTION_BLOCK, numbers: int = BLOCK_NUMBERS) -> DataFrame:
+    """What ``nearest`` gives, for questions and chunks of equal ``keys``; without keys, all of them. A key's chunks are dealt by hash to blocks
+    of about ``numbers`` components and its questions to blocks of about ``block``, so a group is bounded however many rows a key has.
+    Chunks go along once for each block of their key's questions, and only if it has any."""
+    left, right = (chunks, plans) if keys else (chunks.withColumn("__all", F.lit(0)), plans.withColumn("__all", F.lit(0)))
+    keys = keys or ["__all"]
+    blocks = lambda n, most: F.greatest(F.ceil(n / most), F.lit(1)).cast("int")
+    asked = right.groupBy(*keys).agg(blocks(F.count("*"), block).alias("__b"))
+    held = left.join(asked.select(*keys), keys, "left_semi").groupBy(*keys).agg(blocks(F.sum(F.coalesce(F.size("embedding"), F.lit(0))), numbers).alias("__a"))
+    sizes = asked.join(held, keys).select(*keys, "__b", "__a")
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(sizes, keys).withColumn("__i", of(id_col, "__a")).withColumn("__j", every("__b"))
+    right = right.join(sizes.toDF(*keys, "__m", "__n"), keys).withColumn("__j", of("question_id", "__m")).withColumn("__i", every("__n"))
+    shape, columns = _shape(chunks, plans, passes), chunks.columns
+    schema, at = to_arrow_schema(shape), columns.index("embedding")
+
+    def run(own: pa.Table, questions: pa.Table) -> pa.Table:
+        found = list(_streamed(_Questions(questions, passes), own.select(columns).to_batches(), id_col, at)) if own.num_rows and questions.num_rows else []
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, names=schema.names) for b in found]).cast(schema) if found else schema.empty_table()
+
+    group = [*keys, "__i", "__j"]
+    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(run, shape)
 
 
 def within(chunks: DataFrame, plans: DataFrame, passes: dict[str, tuple[int, str]], by: str) -> DataFrame:
-    """What ``nearest`` gives, for questions that ask their own document alone: an equi-join on ``by``, so no chunk meets another document's
-    questions, and columns in place of vectors' matrices."""
-    left = chunks.withColumn("__v", V.doubles(F.col("embedding"))).withColumn("__n", V.norm(F.col("__v"))).drop("embedding")
-    right = plans.select(by, "question_id", F.col("scope").alias("__scope"), F.col("is_figure").alias("__figure"), V.doubles(F.col("embedding")).alias("__q")).withColumn("__m", V.norm(F.col("__q")))
-    pairs = left.join(right, by)
-    admitted = {"all": F.lit(True), "figures": ~F.col("__figure") | figure_kinds(), "scoped": predicate(F.col("__scope"), F.col("__figure"))}
-    flags = [F.coalesce(admitted[kind], F.lit(False)).alias(f"in_{name}") for name, (_, kind) in passes.items()]
-    sim = F.greatest(F.lit(0.0), V.cosine(F.col("__v"), F.col("__q"), F.col("__n"), F.col("__m")))
-    return pairs.select(*(c for c in chunks.columns if c != "embedding"), "question_id", sim.alias("sim"), *flags)
+    """What ``nearest`` gives, for questions that ask their own document alone."""
+    asked = plans.select(*(c for c in (by, "question_id", "embedding", "scope", "is_figure") if c in plans.columns))
+    return grid(chunks, asked, passes, [by])
+
+
+def scoped(chunks: DataFrame, plans: DataFrame, k: int, keys: list[str] | None = None) -> DataFrame:
+    """What ``nearest`` gives for the pass ``s`` and questions with a scope, by an inverted index: a chunk is posted under its section and its
+    top section, a question asks for the items of its scope, and only rows that share one meet. A chunk found by two items is one row."""
+    keys = keys or []
+    posted = chunks.withColumn("__item", F.explode(F.array_distinct(F.array("section_number", "section_top")))).where("__item is not null")
+    asked = plans.select(*keys, "question_id", "embedding", "is_figure", F.explode(F.array_distinct("scope")).alias("__item"))
+    found = grid(posted, asked, {"s": (k, "figures")}, [*keys, "__item"]).drop("__item")
+    return found.dropDuplicates(["question_id", "chunk_id", *keys])
 
 
 def _nearest_first(id_col: str = "chunk_id") -> list[Column]:
@@ -221,11 +252,21 @@ def best_per_group(rows: DataFrame, limit: int) -> DataFrame:
 
 def retrieve(chunks: DataFrame, plans: DataFrame, limits: Limits = Limits(), by: str | None = None) -> DataFrame:
     """At most top + bonus chunks a question, of all chunks or those of its own document, the column ``by`` of both tables:
-    (question_id, chunk columns, sim, score, ord, fallback_used). The scoped pass fetches,
+    (question_id, chunk columns, sim, score, ord, fallback_used)."""
+    passes = passes_of(limits)
+    return chosen(nearest(chunks, plans, passes) if by is None else within(chunks, plans, passes, by), plans, limits)
+
+
+def passes_of(limits: Limits) -> dict[str, tuple[int, str]]:
+    """Scoped, global and free of filters."""
+    return {"s": (limits.fetch, "scoped"), "g": (limits.fetch, "figures"), "p": (limits.fetch // 2, "all")}
+
+
+def chosen(found: DataFrame, plans: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """What ``retrieve`` gives, of the rows ``found`` by its passes. The scoped pass fetches,
     thresholds, re-ranks and dedups; with fewer than ``min_scoped`` left it gives way to the global pass; otherwise the best
     chunks without any filter follow, as far as they aren't there yet. All of it is windows on rows that met by question once."""
-    passes = {"s": (limits.fetch, "scoped"), "g": (limits.fetch, "figures"), "p": (limits.fetch // 2, "all")}
-    found = nearest(chunks, plans, passes) if by is None else within(chunks, plans, passes, by)
+    passes = passes_of(limits)
     rows = found.join(plans.select("question_id", "scope", "is_figure", "target_label"), "question_id")
     by_score = [F.desc("score"), F.desc("sim"), F.col("chunk_id")]
     place = lambda flag, by, *more: F.row_number().over(Window.partitionBy("question_id", flag, *more).orderBy(*by))

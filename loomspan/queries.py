@@ -6,6 +6,8 @@ paragraph, an equation in every fourth and a figure in every fifth.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ from loomspan.functions import text as T
 from loomspan.functions import vectors as V
 from loomspan.operators import answers as A
 from loomspan.operators import chunks as C
-from loomspan.operators import digest, evaluation, latex, providers, qa_cache, retrieval, structure
-from loomspan.plans.shared import materialize
+from loomspan.operators import digest, evaluation, latex, providers, qa_cache, retrieval, structure, vector_index
+from loomspan.plans.shared import materialize, shared_root
 from loomspan.sources import files as S
 from loomspan.sources import questions as Q
 
@@ -346,6 +348,18 @@ union all select question_id, chunk_id, bord, sim, false from b1 where bord <= 8
 union all select question_id, chunk_id, ord, score, true from g1 where question_id not in (select question_id from enough))"""
 
 
+def _index(spark, sf_dir) -> vector_index.Index:
+    chunks = vector_chunks(spark, sf_dir)
+    return vector_index.build(chunks, f"{shared_root(spark)}/loomspan/index-{uuid.uuid4().hex}")
+
+
+@query(SQL["knn_topk"])
+def index_topk(spark, sf_dir):
+    """As ``knn_topk``, through the index: cells that can't hold one of the nearest aren't read."""
+    found, _ = vector_index.search(_index(spark, sf_dir), vector_plans(spark, sf_dir).drop("is_figure"), 6)
+    return found.select("question_id", "chunk_id", F.col("rank").cast("int").alias("rank"), _six("sim"))
+
+
 def _retrieved(spark, sf_dir) -> DataFrame:
     rows = retrieval.retrieve(vector_chunks(spark, sf_dir), vector_plans(spark, sf_dir), LIMITS)
     return rows.select("question_id", "chunk_id", F.col("ord").cast("int").alias("ord"), _six("score"), "fallback_used")
@@ -356,6 +370,13 @@ def retrieve_scoped(spark, sf_dir):
     return _retrieved(spark, sf_dir)
 
 
+@query(SQL["retrieve_scoped"])
+def retrieve_indexed(spark, sf_dir):
+    """As ``retrieve_scoped``: global passes through the index's cells, scoped ones through postings by section."""
+    rows = vector_index.retrieve(_index(spark, sf_dir), vector_plans(spark, sf_dir), LIMITS)
+    return rows.select("question_id", "chunk_id", F.col("ord").cast("int").alias("ord"), _six("score"), "fallback_used")
+
+
 @query(RETRIEVE + " select question_id, chunk_id, cast(ord as integer) as ord, round(score, 6) as score, fallback_used from final where fallback_used")
 def retrieve_fallback(spark, sf_dir):
     return _retrieved(spark, sf_dir).where("fallback_used")
