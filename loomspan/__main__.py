@@ -67,11 +67,9 @@ def ingested(spark: SparkSession, args: argparse.Namespace, services: answering.
     return ingest(read_folder(spark, os.path.abspath(args.data)), store, services.chat, services.vision), store
 
 
-def embedded(art: Artifacts, store: Store, services: answering.Services) -> DataFrame:
-    """Chunks with vectors, kept between runs as long as the structure is."""
-    if not (art.reused and store.non_empty("vectors")):
-        store.save("vectors", answering.providers.embed(art.chunks, "text", services.embedder, services.size))
-    return store.load("vectors")
+def embedded(art: Artifacts, store: Store, services: answering.Services, model: str | None) -> DataFrame:
+    """Chunks with vectors; a text is sent to the service only if no run before has sent it."""
+    return answering.providers.embed_kept(art.chunks, "text", services.embedder, store.keyed("vectors", ["key"]), model or "", services.size)
 
 
 def sections_of(art: Artifacts) -> DataFrame:
@@ -85,7 +83,7 @@ def run_answer(spark: SparkSession, args: argparse.Namespace) -> int:
     try:
         services = services_of(args)
         art, store = ingested(spark, args, services)
-        chunks = embedded(art, store, services)
+        chunks = answering.materialize(embedded(art, store, services, args.embedder), "embedded")
         answered = answering.materialize(answering.answer(asked.drop("fmt"), chunks, sections_of(art), art.maps, answering.kept(store), art.images, services, deadline=deadline), "answered")
         write_file(answering.answer_file(asked, answered), args.out)
         answering.keep(store, answered)
@@ -107,7 +105,7 @@ def run_evaluate(spark: SparkSession, args: argparse.Namespace) -> int:
         asked = evaluation.read_items(spark, items).withColumns({"question_id": F.monotonically_increasing_id(), "doc_id": F.lit(0).cast("long")})
         asked = answering.materialize(answering.providers.embed(asked, "q", services.embedder, services.size), "items")
         plans = asked.select("question_id", "doc_id", "embedding", F.lit(None).cast("array<string>").alias("scope"), (F.col("kind") == "figure").alias("is_figure"), F.col("target_figure").alias("target_label"))
-        found = answering.retrieval.retrieve(embedded(art, store, services), plans, by="doc_id")
+        found = answering.retrieval.retrieve(embedded(art, store, services, args.embedder), plans, by="doc_id")
         report = report.unionByName(evaluation._long("synthetic_recall", [evaluation.recall_at(asked, found)]))
         report = report.unionByName(evaluation.counts_by_kind(asked).select(F.lit("synthetic_kinds").alias("section"), F.col("kind").alias("metric"), F.col("n").cast("string").alias("value")))
     answers, questions = args.out, os.path.join(args.data, "questions.txt")

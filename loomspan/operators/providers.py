@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from loomspan.functions import text as T
 from loomspan.functions import vectors as V
 from loomspan.operators import services as S
+from loomspan.plans.shared import materialize, release
 from loomspan.sources.store import DESCRIPTION
+from loomspan.sources.tables import KeyedTable
 
 BATCH, LADDER = 32, (1500, 800, 400)
 ATTEMPTS, BASE_DELAY = 3, 2.0
@@ -171,6 +173,23 @@ def embed(rows: DataFrame, text_col: str, service: Callable[[list[str]], list[li
     return rows.drop("embedding").mapInPandas(run, f"{fields}, embedding array<double>")
 
 
+def embed_kept(rows: DataFrame, text_col: str, service: Callable[[list[str]], list[list[float]]] | None, memo: KeyedTable, model: str, size: int = 64, **how) -> DataFrame:
+    """As ``embed``, but a text that was embedded before isn't sent again: vectors are kept in ``memo`` (key, embedding) under a hash of the
+    model and of the text as it is cut first. Equal texts of one run are sent once. Without a service there is nothing to keep."""
+    if service is None:
+        return embed(rows, text_col, None, size)
+    cut = F.substring(F.coalesce(text_col, F.lit("")), 1, LADDER[0])
+    keyed = rows.drop("embedding").withColumn("__key", F.sha2(F.concat(F.lit(f"{model}\0"), cut), 256))
+    asked = keyed.groupBy(F.col("__key").alias("key")).agg(F.min(text_col).alias("text"))
+    old = memo.read()
+    missing = materialize(asked if old is None else asked.join(old.select("key"), "key", "left_anti"), "unseen")
+    if old is None or not missing.isEmpty():
+        memo.upsert(embed(missing, "text", service, size, **how).select("key", "embedding"))
+        memo.compact()
+    release(missing)
+    return keyed.join(memo.read().withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
+
+
 def rule_plan(questions: DataFrame, sections: DataFrame) -> DataFrame:
     """(question_id, scope, is_figure, target_label, needs_vision): up to three sections whose titles share most words with the
     question; figure words make it one about figures. ``sections`` (doc_id, number, title); joined by document and word."""

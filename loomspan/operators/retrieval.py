@@ -176,11 +176,12 @@ def _shape(chunks: DataFrame, plans: DataFrame, passes: dict[str, tuple[int, str
     return T.StructType([*fields, T.StructField("question_id", plans.schema["question_id"].dataType), T.StructField("sim", T.DoubleType()), *(T.StructField(f"in_{p}", T.BooleanType()) for p in passes)])
 
 
-def nearest(chunks: DataFrame, plans: DataFrame, passes: dict[str, tuple[int, str]], id_col: str = "chunk_id", block: int = QUESTION_BLOCK) -> DataFrame:
+def nearest(chunks: DataFrame, plans: DataFrame, passes: dict[str, tuple[int, str]], id_col: str = "chunk_id", block: int | None = None) -> DataFrame:
     """(chunk columns without the vector, question_id, sim, in_<pass>): for every question at least its nearest chunks of each pass, by
     cosine, 0 at least. ``passes``: name to (how many, which chunks: all, figures or scoped). At most ``block`` questions are
     broadcast; more of them meet the chunks block by block."""
     plans = plans.select(*(c for c in ("question_id", "embedding", "scope", "is_figure") if c in plans.columns))
+    block = block or QUESTION_BLOCK
     rows = plans.limit(block + 1).toArrow()
     if rows.num_rows > block:
         return grid(chunks, plans, passes, [], id_col, block)

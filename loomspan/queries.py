@@ -19,6 +19,8 @@ from loomspan.operators import digest, evaluation, latex, providers, qa_cache, r
 from loomspan.plans.shared import materialize, shared_root
 from loomspan.sources import files as S
 from loomspan.sources import questions as Q
+from loomspan.sources.store import compared
+from loomspan.sources.tables import KeyedTable
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -238,6 +240,49 @@ def abstract(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(structure.abstract(text)).alias("digest"))
 
 
+# ---------------------------------------------------------------- stored tables
+
+
+def _new_table(spark: SparkSession, name: str, keys: list[str]) -> KeyedTable:
+    return KeyedTable(spark, f"{shared_root(spark)}/loomspan/{name}-{uuid.uuid4().hex}", keys)
+
+
+@query("""with old as (select doc_id, text from documents join labels using (doc_id)),
+now_ as (select doc_id, case when toxic = 1 then 'withdrawn' else text end as text from documents left join labels using (doc_id) where coalesce(quality, 1) <> 0),
+both_ as (select 'old' as side, doc_id, text from old union all select 'now', doc_id, text from now_),
+f as (select side, doc_id, length(text) as n, substring(sha256(encode('v1') || '\\x00'::blob || encode('main.tex') || '\\x00'::blob || encode(text) || '\\x00'::blob), 1, 16) as fingerprint from both_)
+select doc_id, case when o.doc_id is null then 'new' when w.doc_id is null then 'deleted' when o.fingerprint = w.fingerprint then 'same' else 'changed' end as change, w.fingerprint, cast(w.n as integer) as n_chars
+from (select * from f where side = 'old') o full join (select * from f where side = 'now') w using (doc_id)""")
+def ingest_changes(spark, sf_dir):
+    """A corpus of the labelled documents becomes one of all but the bad ones, the toxic ones withdrawn: what changed by fingerprint, and the
+    stored table after only that was written."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    old = docs.join(labels.select("doc_id"), "doc_id")
+    now = docs.join(labels, "doc_id", "left").where(F.coalesce("quality", F.lit(1)) != 0).select("doc_id", F.when(F.col("toxic") == 1, "withdrawn").otherwise(F.col("text")).alias("text"))
+    prints = [materialize(S.fingerprint(d.select("doc_id", F.lit("main.tex").alias("path"), F.encode("text", "utf-8").alias("content"))), "prints") for d in (old, now)]
+    rows = lambda d, p: d.select("doc_id", F.length("text").alias("n_chars")).join(p.select("doc_id", "fingerprint"), "doc_id")
+    stored = _new_table(spark, "articles", ["doc_id"])
+    stored.upsert(rows(old, prints[0]))
+    changes = materialize(compared(prints[1], prints[0]), "changes")
+    todo, gone = changes.where("change in ('new', 'changed')"), changes.where("change <> 'same'")
+    stored.upsert(rows(now.join(todo.select("doc_id"), "doc_id", "left_semi"), prints[1]), gone.select("doc_id"))
+    return changes.join(stored.read(), "doc_id", "left").select("doc_id", "change", "fingerprint", "n_chars")
+
+
+@query("""with c as (select client_id, arg_max(struct_pack(op, source, segment, city, balance), row(seq, change_id)) as l from client_changes group by client_id)
+select client_id, source, segment, city, balance from clients where client_id not in (select client_id from c)
+union all select client_id, l.source, l.segment, l.city, l.balance from c where l.op <> 'D'""")
+def table_upsert(spark, sf_dir):
+    """Clients with the last of each one's changes applied, as two changes of a keyed table."""
+    row = ["client_id", "source", "segment", "city", "balance"]
+    last = table(spark, sf_dir, "client_changes").groupBy("client_id").agg(F.max_by(F.struct("op", *row[1:]), F.struct("seq", "change_id")).alias("l")).select("client_id", "l.*")
+    last = materialize(last, "last-changes")
+    stored = _new_table(spark, "clients", ["client_id"])
+    stored.upsert(table(spark, sf_dir, "clients").select(*row))
+    stored.upsert(last.where("op <> 'D'").select(*row), last.where("op = 'D'").select("client_id"))
+    return stored.read()
+
+
 # ---------------------------------------------------------------- chunks
 
 

@@ -1,4 +1,4 @@
-"""Stored entities: versions of Parquet tables under one folder, reused while the sources' fingerprint stays."""
+"""Stored entities under one folder: whole tables in versions, and tables changed by key, as far as the sources' fingerprints change."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspan.functions.text import normalize_question
-from loomspan.plans.shared import _hadoop_path
+from loomspan.plans.shared import _hadoop_path, materialize
+from loomspan.sources.tables import KeyedTable
 
 DESCRIPTION = T.StructType([T.StructField(n, T.StringType()) for n in ("subject", "axes_or_layout", "takeaway")] + [T.StructField(n, T.ArrayType(T.StringType())) for n in ("key_visual_elements", "numbers_visible")])
 #: An answered question as it is kept; ``plan`` is JSON.
@@ -50,8 +51,12 @@ class Store:
         options[0] = rename.OVERWRITE
         jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(fresh, path, options)
 
+    def keyed(self, name: str, keys: list[str]) -> KeyedTable:
+        """The entity as a table that is changed by key."""
+        return KeyedTable(self.spark, f"{self.root}/{name}", keys)
+
     def has(self, name: str) -> bool:
-        return self._version(name) is not None
+        return self._version(name) is not None or bool(self.keyed(name, []).versions())
 
     def non_empty(self, name: str) -> bool:
         """Whether the entity is stored and has a row."""
@@ -79,25 +84,37 @@ class Store:
     def load(self, name: str) -> DataFrame | None:
         """None for what isn't stored."""
         version = self._version(name)
-        return None if version is None else self.spark.read.parquet(f"{self.root}/{name}/{version}")
+        return self.keyed(name, []).read() if version is None else self.spark.read.parquet(f"{self.root}/{name}/{version}")
 
     def upsert(self, name: str, df: DataFrame, key: list[str]) -> DataFrame:
-        """New rows replace stored ones of the same key."""
-        old, fresh = self.load(name), df.dropDuplicates(key)
-        return self.save(name, fresh if old is None else old.join(fresh.select(*key), key, "left_anti").unionByName(fresh))
+        """New rows replace stored ones of the same key; of rows that share one, any."""
+        self.keyed(name, key).upsert(df.dropDuplicates(key))
+        return self.load(name)
 
-    def fresh(self, fingerprints: DataFrame, names: list[str], version: int, key: str = "doc_id") -> bool:
-        """True if all entities are stored and the manifest, of this version, has the same fingerprints. A manifest that can't be read, or
-        has other columns, counts as none."""
+    def changes(self, fingerprints: DataFrame, names: list[str], version: int, key: str = "doc_id") -> DataFrame:
+        """(key, change) of every document that is there or in the manifest. Unless all entities are stored, every document is new; a manifest of
+        another version, one that can't be read, and one with other columns count as none."""
+        old = None
         try:
-            old = self.load("manifest")
-            if old is None or not all(self.has(n) for n in names):
-                return False
-            old = old.where(F.col("version") == version).select(key, "fingerprint")
-            now = fingerprints.select(key, "fingerprint")
-            return now.exceptAll(old).isEmpty() and old.exceptAll(now).isEmpty()
+            if all(self.has(n) for n in names) and (old := self.load("manifest")) is not None:
+                old = materialize(old.where(F.col("version") == version).select(key, "fingerprint"), "manifest")
         except Exception:
-            return False
+            old = None
+        return compared(fingerprints, old, key)
+
+    def fresh(self, fingerprints: DataFrame, names: list[str], version: int, key: str = "doc_id") -> bool:
+        """True if nothing has changed."""
+        return self.changes(fingerprints, names, version, key).where("change <> 'same'").isEmpty()
+
+
+def compared(now: DataFrame, old: DataFrame | None, key: str = "doc_id") -> DataFrame:
+    """(key, change): new, changed, same or deleted, by the fingerprints that two manifests (key, fingerprint) have."""
+    now = now.select(key, F.col("fingerprint").alias("__now"))
+    if old is None:
+        return now.select(key, F.lit("new").alias("change"))
+    both = now.join(old.select(key, F.col("fingerprint").alias("__old")), key, "full_outer")
+    change = F.when(F.col("__old").isNull(), "new").when(F.col("__now").isNull(), "deleted").when(F.col("__old") == F.col("__now"), "same").otherwise("changed")
+    return both.select(key, change.alias("change"))
 
 
 def entries_of(answered: DataFrame, now: Column | None = None) -> DataFrame:
