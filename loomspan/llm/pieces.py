@@ -25,7 +25,7 @@ from loomspan.llm.common import bounded_batches, named, table
 
 MARK = "▁"
 #: Bytes of chunks and their ids in each of two generations of a worker's table, what Python adds to an entry, and the longest chunk in it.
-TABLE_BYTES, OVERHEAD, LONGEST = 100_000_000, 200, 200
+TABLE_BYTES, OVERHEAD, LONGEST = 32_000_000, 200, 200
 #: Chunks that the library segments in one call.
 CALL = 20_000
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -124,6 +124,12 @@ class Pieces:
         ends = joined.offsets.to_numpy()[cut.offsets.to_numpy() - cut.offsets[0].as_py()] if len(joined) else np.zeros(len(cut) + 1, np.int32)
         return pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), joined.flatten()).take(places)
 
+    def texts(self, ids: pa.ListArray) -> pa.Array:
+        """What the library makes of each list of ids; of none and null the empty text."""
+        ends = np.cumsum([0, *ids.value_lengths().fill_null(0).to_numpy()]).tolist()
+        every = ids.flatten().to_numpy(zero_copy_only=False).tolist()
+        return pa.array([self.inner.decode(every[a:b]) if a < b else "" for a, b in zip(ends, ends[1:], strict=False)], pa.string())
+
 
 def _lists(numbers: list[bytes]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, numbers)]) // 4
@@ -131,8 +137,8 @@ def _lists(numbers: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
-def encode(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """(id, ids array<int>) of every row: the whole text's ids, without begin and end. Null and empty texts have none; repeated rows are
+def encode(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """(id, ids array<int>[, decoded]) of every row: the whole text's ids, without begin and end, and what they decode to. Null and empty texts have none; repeated rows are
     encoded each; ids of any type, null ones too, come back as they are; only the two named columns are read, so others can't clash;
     an empty table gives no row."""
     bounded_batches(docs.sparkSession)
@@ -141,10 +147,13 @@ def encode(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Pieces.of(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), model.ids(batch.column(1))], names=[id_col, ids_col])
+            ids = model.ids(batch.column(1))
+            decoded = {decoded_col: model.texts(ids)} if decoded_col else {}
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, *decoded.values()], names=[id_col, ids_col, *decoded])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(named(id_col), named(text_col)).mapInArrow(run, f"`{id_col}` {kind}, `{ids_col}` array<int>")
+    more = f", `{decoded_col}` string" if decoded_col else ""
+    return docs.select(named(id_col), named(text_col)).mapInArrow(run, f"`{id_col}` {kind}, `{ids_col}` array<int>{more}")
 
 
 def decode(encoded: DataFrame, model_path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -156,11 +165,7 @@ def decode(encoded: DataFrame, model_path: str | None = None, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Pieces.of(path)
         for batch in batches:
-            column = batch.column(1)
-            ends = np.cumsum([0, *column.value_lengths().fill_null(0).to_numpy()]).tolist()
-            every = column.flatten().to_numpy(zero_copy_only=False).tolist()
-            texts = [model.inner.decode(every[a:b]) if a < b else "" for a, b in zip(ends, ends[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=[id_col, ids_col, text_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, model.texts(batch.column(1))], names=[id_col, ids_col, text_col])
 
     kind = encoded.schema[id_col].dataType.simpleString()
     return encoded.select(named(id_col), named(ids_col)).mapInArrow(run, f"`{id_col}` {kind}, `{ids_col}` array<int>, `{text_col}` string")
@@ -168,6 +173,6 @@ def decode(encoded: DataFrame, model_path: str | None = None, id_col: str = "doc
 
 def op13_pieces(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
-    both = decode(encode(table(spark, sf_dir, "documents")))
+    both = encode(table(spark, sf_dir, "documents"), decoded_col="decoded")
     decimals = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimals, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimals, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
