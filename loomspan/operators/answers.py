@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import text as T
+from loomspan.operators.scan import running
 from loomspan.operators import services as S
 from loomspan.operators.providers import FALLBACK_MAP_CHARS, FALLBACK_PROMPT, TRANSLATE_PROMPT
 
@@ -45,15 +46,16 @@ def format_sources(rows: DataFrame, by: str = "question_id", order: str = "ord")
 
 
 def pack_context(chunks: DataFrame, by: str = "doc_id", limit: int = CONTEXT_CHARS) -> DataFrame:
-    """(by, char_start, chunk_id, block, total): a document's chunks in order of place, up to the first block beyond the limit."""
+    """(by, char_start, chunk_id, block, total): a document's chunks in order of place, up to the first block beyond the limit. Chunk ids are
+    the document's own, each once. Lengths alone are added up, over ranges of the order, so a document may have any number of
+    chunks; then the texts of the few that fit are joined to them."""
     section = F.coalesce(F.nullif(F.col("section_path"), F.lit("")), F.nullif(F.col("section_number"), F.lit("")), F.lit("?"))
     block = F.concat(F.lit("["), F.coalesce("kind", F.lit("body")), F.lit("; "), section, F.lit("]\n"), T.strip(F.col("text")))
-    rows = chunks.where(~T.blank(F.col("text"))).withColumn("block", block)
-    order = Window.partitionBy(by).orderBy(F.coalesce("char_start", F.lit(0)), "chunk_id")
-    # A block has 9 characters at least with what parts it from the next, so more can't fit; each task cuts to these before the exchange.
-    rows = rows.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= limit // 9 + 1)
-    total = F.sum(F.length("block") + 2).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("total", total).where(F.col("total") <= limit).select(by, "char_start", "chunk_id", "block", "total")
+    rows = chunks.where(~T.blank(F.col("text"))).select(by, F.coalesce("char_start", F.lit(0)).alias("__at"), "char_start", "chunk_id", block.alias("block"))
+    sizes = rows.select(by, "__at", "chunk_id", (F.length("block") + 2).alias("__n"))
+    fit = running(sizes, [by], ["__at", "chunk_id"], {"total": F.col("__n")}).where(F.col("total") <= limit)
+    fit = fit.select(F.col(by).alias("__by"), F.col("chunk_id").alias("__id"), "total")
+    return rows.join(fit, F.col(by).eqNullSafe(F.col("__by")) & (F.col("chunk_id") == F.col("__id"))).select(by, "char_start", "chunk_id", "block", "total")
 
 
 def packed(chunks: DataFrame, by: str = "doc_id") -> DataFrame:

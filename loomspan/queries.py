@@ -15,7 +15,7 @@ from loomspan.functions import text as T
 from loomspan.functions import vectors as V
 from loomspan.operators import answers as A
 from loomspan.operators import chunks as C
-from loomspan.operators import digest, evaluation, latex, providers, qa_cache, retrieval, structure, vector_index
+from loomspan.operators import digest, evaluation, intervals, latex, providers, qa_cache, retrieval, scan, structure, vector_index
 from loomspan.plans.shared import materialize, shared_root
 from loomspan.sources import files as S
 from loomspan.sources import questions as Q
@@ -283,6 +283,23 @@ def table_upsert(spark, sf_dir):
     return stored.read()
 
 
+@query("""with c as (select client_id, valid_at, arg_max(struct_pack(segment, city), row(seq, change_id)) as l from client_changes where client_id is not null and valid_at is not null group by all)
+select s.sale_id, s.client_id, s.sold_at, c.l.segment as segment, c.l.city as city from sales s asof left join c on s.client_id = c.client_id and s.sold_at >= c.valid_at""")
+def sales_as_of(spark, sf_dir):
+    """Each sale with its client's segment and city as they were when it was made."""
+    sales, changes = table(spark, sf_dir, "sales").select("sale_id", "client_id", "sold_at"), table(spark, sf_dir, "client_changes")
+    return scan.as_of(sales, changes, ["client_id"], "sold_at", "valid_at", ["segment", "city"], ["seq", "change_id"])
+
+
+@query("""select click_id, client_id, ts, cast(count(*) over w as bigint) as n, cast(count(*) filter (kind = 'purchase') over w as bigint) as purchases, last_value(kind ignore nulls) over w as last_kind
+from (select *, row_number() over (partition by client_id, ts, click_id order by arrived_at) as k from clicks) window w as (partition by client_id order by ts nulls first, click_id nulls first, arrived_at nulls first, kind nulls first, k rows unbounded preceding)""")
+def click_running(spark, sf_dir):
+    """Each click with its client's clicks and purchases so far and the kind of the latest."""
+    clicks = table(spark, sf_dir, "clicks").select("click_id", "client_id", "ts", "arrived_at", "kind")
+    rows = scan.running(clicks, ["client_id"], ["ts", "click_id", "arrived_at", "kind"], {"n": F.lit(1), "purchases": (F.col("kind") == "purchase").cast("int")}, {"last_kind": F.col("kind")})
+    return rows.select("click_id", "client_id", "ts", "n", "purchases", "last_kind")
+
+
 # ---------------------------------------------------------------- chunks
 
 
@@ -320,6 +337,19 @@ def chunk_union(spark, sf_dir):
     return rows.groupBy("doc_id", "kind").agg(n.alias("n"), F.sum(F.when(~F.col("kind").isin("body", "equation"), F.length("text"))).alias("chars"))
 
 
+@query(SECTIONS + """, pieces as (select doc_id, cast(i as integer) as i, i * 1050 as a, least(i * 1050 + 1200, n) as b from (select doc_id, length(text) as n, unnest(range(0, cast(greatest(ceil((length(text) - 150) / 1050.0), 1) as bigint))) as i from tex))
+select p.doc_id, p.i, s.number, s.char_start, cast(least(p.b, s.char_end) - greatest(p.a, s.char_start) as bigint) as shared from pieces p join sec s on s.doc_id = p.doc_id and p.a < s.char_end and s.char_start < p.b""")
+def chunk_sections(spark, sf_dir):
+    """Which sections each fixed-width piece shares characters with, and how many: a join of two tables of spans by overlap."""
+    texts = materialize(tex(spark, sf_dir), "latex")
+    pieces = texts.select("doc_id", F.length("text").alias("n"), F.posexplode(F.transform(C.fixed_width(F.col("text")), F.length)).alias("i", "__n"))
+    at = F.col("i") * (C.SIZE - C.OVERLAP)
+    pieces = pieces.select("doc_id", "i", at.cast("long").alias("char_start"), F.least(at + C.SIZE, F.col("n")).cast("long").alias("char_end"))
+    sections = materialize(structure.parse(texts, parts=("sections",), keep_text=False).select("doc_id", F.inline("sections")).select("doc_id", "number", F.col("char_start").cast("long"), F.col("char_end").cast("long")), "sections")
+    shared = F.least("left.char_end", "right.char_end") - F.greatest("left.char_start", "right.char_start")
+    return intervals.overlaps(pieces, sections, ["doc_id"]).select("left.doc_id", "left.i", "right.number", F.col("right.char_start").cast("int").alias("char_start"), shared.alias("shared"))
+
+
 @query("select doc_id, case when source = 'src0' then '' else '|' || source || '|' || lang || '|' end as refs from documents")
 def pipe_encode(spark, sf_dir):
     items = F.when(F.col("source") == "src0", F.array(F.lit(""))).otherwise(F.array("source", F.lit(""), "lang"))
