@@ -24,7 +24,9 @@ from loomspan.llm.common import bounded_batches, named
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 #: Never shown.
-INVISIBLE = frozenset("head title script style template noscript noembed noframes iframe object audio video canvas datalist meta link base".split())
+INVISIBLE = frozenset("head title script style template noscript noembed noframes iframe object audio video canvas datalist meta link base rp".split())
+#: Values of display that set an element on lines of its own, and that don't.
+DISPLAYED_BLOCK, DISPLAYED_INLINE = frozenset("block flex grid list-item table flow-root".split()), frozenset("inline inline-block inline-flex inline-grid contents".split())
 #: Of drawings and formulas: not shown, set on lines of their own, and holding HTML again.
 FOREIGN_INVISIBLE = frozenset("title desc metadata defs annotation annotation-xml".split())
 FOREIGN_LINED = frozenset("text foreignobject mtr".split())
@@ -47,6 +49,8 @@ HEAD = frozenset("title meta link base script style template noscript".split())
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"'][^\s=/>]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+#: A comment ends at once, or at the next of these.
+_ABRUPT, _COMMENT_END = re.compile("-?>"), re.compile("--!?>")
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
 _NUMBER = re.compile(r"[ \t\n\r\f]*\+?([0-9]+)")
 
@@ -89,8 +93,8 @@ def tokens(text: str) -> Iterator[tuple[str, str, dict[str, str] | None]]:
         after = text[less + 1 : less + 2]
         if after == "!" or after == "?":
             if text.startswith("<!--", less):
-                end = text.find("-->", less + 4)
-                at = size if end < 0 else end + 3
+                m = _ABRUPT.match(text, less + 4) or _COMMENT_END.search(text, less + 4)
+                at = m.end() if m else size
             elif text.startswith("<![CDATA[", less):
                 end = text.find("]]>", less)
                 yield "text", text[less + 9 : size if end < 0 else end], None
@@ -132,20 +136,26 @@ def tokens(text: str) -> Iterator[tuple[str, str, dict[str, str] | None]]:
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(text, at)
             end = close.start() if close else size
-            if name == "textarea" or name == "xmp":
+            if name in ("textarea", "xmp", "style"):
                 yield "text", html.unescape(text[at:end]) if name == "textarea" else text[at:end], None
             yield "end", name, None
             at = size if not close else (x + 1 if (x := text.find(">", end)) >= 0 else size)
 
 
 class Node:
-    """An element. ``seen``: whether its own text shows; ``gone``: it isn't laid out at all; ``lines``: of a table that is laid out."""
+    """An element. ``seen``: whether its own text shows; ``gone``: it isn't laid out at all; ``block``: whether it is set on lines of its own,
+    where a style says so; ``lines``: of a table that is laid out."""
 
-    __slots__ = ("attributes", "children", "foreign", "gone", "lines", "name", "seen")
+    __slots__ = ("attributes", "block", "children", "foreign", "gone", "lines", "name", "seen")
 
     def __init__(self, name: str, attributes: dict[str, str] | None = None, foreign: bool = False):
         self.name, self.attributes, self.children, self.foreign = name, attributes or {}, [], foreign
-        self.seen, self.gone, self.lines = True, False, None
+        self.seen, self.gone, self.lines, self.block = True, False, None, None
+
+    def gap(self) -> str | None:
+        """How it is set apart: by a blank line, by a line's end, or not at all."""
+        own = "spaced" if self.name in SPACED else "lined" if self.name in LINED or (self.foreign and self.name in FOREIGN_LINED) else None
+        return own if self.block is None else (own or "lined") if self.block else None
 
 
 class _Open:
@@ -252,40 +262,116 @@ def _imply(stack: _Open, name: str) -> None:
         stack.push(row)
 
 
-def _styles(node: Node) -> dict[str, str]:
-    """The last value of each property of the style attribute, important ones before others; in drawings attributes count as styles."""
-    found = {k: node.attributes[k].strip().lower() for k in ("display", "visibility") if k in node.attributes} if node.foreign else {}
-    strong = set()
-    for part in node.attributes.get("style", "").split(";"):
+#: What decides about visibility and lines.
+_READ = ("display", "visibility", "content-visibility")
+_COMPOUND = re.compile(r"([a-zA-Z][a-zA-Z0-9-]*|\*)?((?:[.#][a-zA-Z_-][\w-]*)*)\Z")
+_PART = re.compile(r"([.#])([\w-]+)")
+_CSS_COMMENT, _BRACE = re.compile(r"/\*.*?(?:\*/|\Z)", re.S), re.compile("[{}]")
+
+
+def _declared(text: str) -> list[tuple[str, str, bool]]:
+    """(property, value, important) of a list of declarations, those that are read."""
+    out = []
+    for part in text.split(";"):
         name, colon, value = part.partition(":")
-        name, value = name.strip().lower(), value.strip().lower()
-        if not colon:
-            continue
-        bare, mark, rest = value.partition("!")
-        important = bool(mark) and rest.strip() == "important"
-        if important or name not in strong:
-            found[name] = bare.strip() if important else value
-        if important:
-            strong.add(name)
+        name = name.strip().lower()
+        if colon and name in _READ:
+            bare, mark, rest = value.strip().lower().partition("!")
+            important = bool(mark) and rest.strip() == "important"
+            out.append((name, bare.strip() if important else value.strip().lower(), important))
+    return out
+
+
+class Rules:
+    """Simple rules of style elements: an element's name, classes and id, alone or together. Others, as those that look at ancestors or
+    states, and those of a medium, are passed over."""
+
+    def __init__(self) -> None:
+        self.of: dict[tuple[str, str], list[tuple[str | None, frozenset, frozenset, tuple, list]]] = {}
+        self.count = 0
+
+    def read(self, sheet: str) -> None:
+        sheet = _CSS_COMMENT.sub("", sheet)
+        depth, last, before = 0, 0, ""
+        for m in _BRACE.finditer(sheet):
+            part, last = sheet[last : m.start()], m.end()
+            if m[0] == "{":
+                depth += 1
+                if depth == 1:
+                    before = part
+            elif depth == 1 and "@" not in before and (declared := _declared(part)):
+                for selector in before.split(","):
+                    if c := _COMPOUND.match(selector.strip()):
+                        self._add(c, declared)
+            depth -= m[0] == "}" and depth > 0
+
+    def _add(self, c: re.Match, declared: list[tuple[str, str, bool]]) -> None:
+        name = c[1].lower() if c[1] and c[1] != "*" else None
+        parts = _PART.findall(c[2])
+        classes, ids = frozenset(x for k, x in parts if k == "."), frozenset(x for k, x in parts if k == "#")
+        if not (c[1] or parts):
+            return
+        self.count += 1
+        rank = (len(ids), len(classes), name is not None, self.count)
+        key = ("#", min(ids)) if ids else (".", min(classes)) if classes else ("", name or "*")
+        self.of.setdefault(key, []).append((name, classes, ids, rank, declared))
+
+    def matching(self, node: Node) -> list[tuple[tuple, list]]:
+        """(rank, declarations) of the rules that hold for the element, the strongest last."""
+        if not self.of:
+            return []
+        a = node.attributes
+        classes, own = frozenset(a.get("class", "").split()), a.get("id", "").strip()
+        found = []
+        for key in [("", node.name), ("", "*"), *((".", c) for c in classes), ("#", own)]:
+            for name, need, ids, rank, declared in self.of.get(key, ()):
+                if (name is None or name == node.name) and need <= classes and ids <= {own}:
+                    found.append((rank, declared))
+        return sorted(found, key=lambda x: x[0])
+
+
+def _styles(node: Node, rules: Rules | None = None) -> dict[str, str]:
+    """The value of each property that is read: of attributes of drawings, of rules, of the style attribute, and then of the important ones
+    among both."""
+    found = {k: node.attributes[k].strip().lower() for k in ("display", "visibility") if k in node.attributes} if node.foreign else {}
+    declared = [x for _, d in (rules.matching(node) if rules else ()) for x in d] + _declared(node.attributes.get("style", ""))
+    for strong in (False, True):
+        found |= {name: value for name, value, important in declared if important == strong}
     return found
 
 
-def _visibility(node: Node, up: Node | None) -> None:
-    """Sets ``gone`` and ``seen``. Visibility is inherited and may be set again further in; what isn't displayed takes all in it along."""
+def _visibility(node: Node, up: Node | None, rules: Rules | None = None) -> None:
+    """Sets ``gone``, ``seen`` and ``block``. Visibility is inherited and may be set again further in; what isn't displayed takes all in it along.
+    A value of display shows what the attribute ``hidden`` would hide."""
     a, name = node.attributes, node.name
-    styles = _styles(node) if a and ("style" in a or node.foreign) else {}
+    styles = _styles(node, rules) if "style" in a or node.foreign or (rules and rules.of) else {}
+    display = styles.get("display")
+    unset = display is None or display in ("inherit", "initial", "unset", "revert")
     node.gone = (
-        name in INVISIBLE or (node.foreign and name in FOREIGN_INVISIBLE) or "hidden" in a or name == "input" or (name == "dialog" and "open" not in a)
-        or styles.get("display") == "none" or styles.get("content-visibility") == "hidden"
+        name in INVISIBLE or (node.foreign and name in FOREIGN_INVISIBLE) or name == "input" or (unset and ("hidden" in a or (name == "dialog" and "open" not in a)))
+        or display == "none" or styles.get("content-visibility") == "hidden"
     )
+    node.block = True if display in DISPLAYED_BLOCK else False if display in DISPLAYED_INLINE else None
     node.seen = up is None or up.seen
     if (own := styles.get("visibility")) in ("visible", "hidden", "collapse"):
         node.seen = own == "visible"
 
 
+def _rules(root: Node) -> Rules:
+    """Of all style elements, in their order."""
+    rules, stack = Rules(), [root]
+    while stack:
+        node = stack.pop()
+        if node.name == "style" and not node.foreign:
+            rules.read("".join(c for c in node.children if isinstance(c, str)))
+        stack += [c for c in reversed(node.children) if not isinstance(c, str)]
+    return rules
+
+
 def mark(root: Node) -> list[Node]:
     """Marks what is visible in the whole tree; the displayed tables, inner ones before those around them."""
-    _visibility(root, None)
+    rules = _rules(root)
+    _visibility(root, None, rules)
     tables, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -297,7 +383,7 @@ def mark(root: Node) -> list[Node]:
             node.children = ([first] if first else []) + rest
         for child in node.children:
             if not isinstance(child, str):
-                _visibility(child, node)
+                _visibility(child, node, rules)
                 if not child.gone:
                     stack.append(child)
     return tables[::-1]  # a table comes before what is in it
@@ -442,10 +528,8 @@ def render(root: Node) -> list[str]:
                 counters.pop()
             if name == "pre":
                 pre -= 1
-            if name in SPACED:
-                out.gap(0 if name in ("ul", "ol", "menu") and counters else 1)
-            elif name in LINED or (node.foreign and name in FOREIGN_LINED):
-                out.gap(0)
+            if (apart := node.gap()) is not None:
+                out.gap(int(apart == "spaced" and not (name in ("ul", "ol", "menu") and counters)))
             continue
         stack[-1][1] = k + 1
         child = node.children[k]
@@ -483,10 +567,8 @@ def render(root: Node) -> list[str]:
             out.gap(1)
             continue
         state = None
-        if name in SPACED:
-            out.gap(0 if name in ("ul", "ol", "menu") and counters else 1)
-        elif name in LINED or (child.foreign and name in FOREIGN_LINED):
-            out.gap(0)
+        if (apart := child.gap()) is not None:
+            out.gap(int(apart == "spaced" and not (name in ("ul", "ol", "menu") and counters)))
         if name in ("td", "th") or (child.foreign and name == "mtd"):
             out.space = True
         if name == "tr":

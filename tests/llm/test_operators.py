@@ -73,6 +73,12 @@ def test_html_shows_every_visible_word(spark):
         (None, ""), ("", ""), ("plain &amp; simple", "plain & simple"), ("<p>a<p>b", "a\n\nb"), ("<div>a</div><div>b", "a\nb"), ("a<br>b", "a\nb"),
         ("<ul><li>a<li>b<ol><li>c</ol></ul>", "- a\n- b\n  1. c"), ("<table><tr><td>a<td>bb<tr><td>ccc<td>d</table>", "a   | bb\nccc | d"),
         ("<p hidden>x</p><p style='display : none'>y</p>z", "z"), ("<script>if (a<b) {}</script>a<!-- b -->c", "ac"), ("a <b>b</b>c", "a bc"), ("<pre>a\n  b</pre>", "a\n  b"),
+        ("<b>1</b><!-->2--><i>3</i>", "12-->3"), ("p<!--->q", "pq"), ("a<!-- x --!>b", "ab"), ("a<!---->b<!-- - -> -->c<!-- open", "abc"), ("a<!--x--!y-->b", "ab"),
+        ("<p hidden style='display:block'>x</p>", "x"), ("<dialog style='display:block'>x</dialog><div hidden>y", "x"), ("one<span style='display:block'>two</span>three<i style='display: flex'>four</i>", "one\ntwo\nthree\nfour"),
+        ("<div>a</div><div style='display:inline'>b</div>c", "a\nbc"), ("<ruby>x<rp>(</rp><rt>y</rt><rp>)</rp></ruby>", "xy"),
+        ("<style>.no, #off {display:none} p.q{visibility:hidden}</style><b class='a no'>1</b><b id=off>2</b><p class=q>3</p><p>4", "4"),
+        ("<style>/* .a{display:none} */ .a{display:none} .a.b{display:block} @media print{.c{display:none}} .d{display:none!important}</style><i class='b a'>1</i><i class=a>2</i><i class=c>3</i><i class=d style='display:inline'>4</i><i class=e>5", "1\n35"),
+        ("<style>div .x{display:none} .y:hover{display:none} a>b{display:none}</style><div><i class=x>1</i><i class=y>2</i>", "12"), ("<style>em{display:none}</style><svg><style>i{display:none}</style></svg><em>1</em><i style='display:inline'>2</i>", "2"),
         ("1 < 2 > 0", "1 < 2 > 0"), ("<a title='x>y'>t</a>", "t"), ("cut <b off", "cut"),
     ],
 )
@@ -80,6 +86,14 @@ def test_html_layout(source, want):
     assert html_text.page_text(source)[1] == want
 
 
+def test_html_of_odd_style_sheets_takes_linear_time():
+    began = time.time()
+    for sheet in ("x" * 1_000_000, "{" * 1_000_000, "a{" * 300_000, "}" * 1_000_000, "/*" * 500_000, "a" * 500_000 + "{display:none}", ".a" * 300_000 + "{display:none}", "b{display:none;" * 100_000):
+        assert html_text.page_text(f"<style>{sheet}</style><b class=c>t</b>")[1] == "t"
+        assert html_text.page_text(f"t<!--{sheet}-->")[1] == "t"
+    assert time.time() - began < 30
+
+
 @pytest.mark.parametrize(
     ("source", "want"),
     [
