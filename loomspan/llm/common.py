@@ -52,3 +52,12 @@ def fold(id_col: str, modulus: int, held: int) -> Column:
 def hash_order(id_col: str) -> list[Column]:
     """A fixed pseudo-random order of ids, for bounded samples that don't depend on partitioning."""
     return [F.xxhash64(F.col(id_col).cast("string")), F.col(id_col)]
+
+
+#: Share by which a sample by hash may exceed what was asked for before it is cut again.
+SLACK = 1.1
+
+
+def share(hashed: Column, most: int, of: int) -> Column:
+    """True for about ``most`` of ``of`` rows, by a 64-bit hash of theirs."""
+    return F.lit(True) if of <= most else hashed < F.lit(int(-(2**63) + 2**64 * most / of))

@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import bounded_batches, fold, named
+from loomspan.llm.common import SLACK, bounded_batches, fold, named, share
+from loomspan.plans.shared import materialize, release
 
 WINDOW = 256
 EMBEDDING, WIDTHS, FILTERS = 6, (2, 3, 4), 8
@@ -127,7 +128,7 @@ def fit_cnn(x: np.ndarray, y: np.ndarray, languages: list[str], seed: int = 11,
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: tuple[int, int] | None = (4, 2), docs_per_language: int = DOCS_PER_LANGUAGE) -> ByteCNN:
     """Fit on about ``docs_per_language`` documents of each language, and about ``MAX_DOCS`` in all, none of the held-out fold. The choice
     goes by the hash of the id: no sort, no window, so a language that has most rows costs no more than others. Null texts, ids and
-    languages are left out, rows that repeat an id are documents each; without rows nothing is learnt."""
+    languages are left out, rows that repeat an id are documents each, equal ones one; without rows nothing is learnt."""
     bounded_batches(docs.sparkSession)
     known = docs.select(named(id_col).cast("string").alias("id"), named(lang_col).cast("string").alias("lang"), named(text_col).alias("text")).where("id is not null and lang is not null")
     if held_out:
@@ -137,7 +138,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     most = max(LEAST_DOCS, min(docs_per_language, MAX_DOCS // max(1, len(kinds))))
     shares = [(k, 2**63 - 1 if counts[k] <= most else int(-(2**63) + 2**64 * most / counts[k])) for k in kinds]
     limits = docs.sparkSession.createDataFrame(shares, "lang string, upto long")
-    rows = known.where("text is not null").join(F.broadcast(limits), "lang").where(F.xxhash64("id") <= F.col("upto")).select("id", "text", "lang")
+    rows = known.where("text is not null").join(F.broadcast(limits), "lang").where(F.xxhash64("id") <= F.col("upto")).select("id", "text", "lang", F.xxhash64("id", "text").alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,9 +147,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 w = windows_of(text)
                 at = np.unique(np.linspace(0, len(w) - 1, min(len(w), WINDOWS_PER_DOC)).astype(int))
                 out.append(w[at].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], names=["id", "lang", "windows"])
-
-    got = sorted(rows.mapInArrow(run, "id string, lang string, windows binary").collect())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary()), batch.column(3)], names=["id", "lang", "windows", "h"])
+
+    # An id may have any number of rows: equal ones are learnt once, and others beyond the bound are cut by their own hash.
+    found = materialize(rows.mapInArrow(run, "id string, lang string, windows binary, h long").dropDuplicates(["h", "lang"]), "windows")
+    over = {r["lang"]: r["n"] for r in found.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect() if r["n"] > SLACK * most}
+    kept = F.lit(True)
+    for lang, n in over.items():
+        kept &= (F.col("lang") != lang) | share(F.col("h"), most, n)
+    got = sorted(found.where(kept).select("id", "lang", "windows").collect())
+    release(found)
     parts = [np.frombuffer(r["windows"], np.uint8).reshape(-1, WINDOW) for r in got]
     number = {lang: k for k, lang in enumerate(kinds)}
     y = np.repeat([number[r["lang"]] for r in got], [len(p) for p in parts]).astype(np.int64)

@@ -164,7 +164,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: tuple[int, int] | None = (3, 1), max_labelled: int = MAX_LABELLED) -> RuleModel:
-    """Fit on at most ``max_labelled`` labelled ids; labels of the held-out fold are never read. Null labels, ids without a
+    """Fit on at most ``max_labelled`` rows of at most as many labelled ids; labels of the held-out fold are never read. Null labels, ids without a
     document and repeated labels of one id (the largest counts) do no harm; rows that repeat an id are documents each. Without
     documents or without both labels there are no rules, and the score is the smoothed share."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
@@ -173,7 +173,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(*hash_order("id")).limit(max_labelled)
     # broadcast: at most max_labelled rows of two numbers
     rows = docs.select(named(id_col).alias("id"), named(text_col).alias("text")).join(F.broadcast(known), "id")
-    got = statistics(rows, "id", "text").join(F.broadcast(known), "id").toPandas().sort_values(["id", *STATISTICS], ignore_index=True)
+    stats = statistics(rows, "id", "text").join(F.broadcast(known), "id")
+    # an id may have any number of rows, so rows are bounded too, those of the smallest hashes staying
+    stats = stats.orderBy(*hash_order("id"), F.xxhash64(*STATISTICS), *STATISTICS).limit(max_labelled)
+    got = stats.toPandas().sort_values(["id", *STATISTICS], ignore_index=True)
     return fit_rules({k: got[k].to_numpy(np.float64) for k in STATISTICS}, got["y"].to_numpy(np.float64))
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import bounded_batches, fold, map_rows, named
+from loomspan.llm.common import SLACK, bounded_batches, fold, map_rows, named, share
 from loomspan.plans.shared import materialize, release
 
 #: Bits of the feature hash.
@@ -205,10 +205,10 @@ def _hashed(frame: DataFrame, keep: dict[int, int] | None) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: tuple[int, int] | None = (3, 1), prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> PUModel:
-    """Fit on about ``max_positive`` confirmed documents and a plain sample of about ``max_unlabelled`` of the corpus, both by the hash of
-    the id, so the choice depends neither on partitioning nor on labels. ``held_out`` = (modulus, remainder) of the crc32 of the id: labels
+    """Fit on about ``max_positive`` confirmed documents and a plain sample of about ``max_unlabelled`` of the corpus, by hashes of id and
+    text, so the choice depends neither on partitioning nor on labels. ``held_out`` = (modulus, remainder) of the crc32 of the id: labels
     of that fold are never read, and its texts aren't used either. ``prior``: share of toxic documents in the corpus; by default it is
-    estimated. Null labels and null ids are left out; rows that repeat an id are documents each; an empty table, or labels without a
+    estimated. Null labels and null ids are left out; rows that repeat an id are documents each, equal ones one; an empty table, or labels without a
     positive, give a model without weights whose score is the smoothed share."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -221,9 +221,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     below = lambda most, of: F.lit(True) if of <= most else F.col("turn") < F.lit(int(-(2**63) + 2**64 * most / of))
     positives = known.where("y = 1").select("id").distinct().withColumn("turn", F.xxhash64(F.col("id").cast("string"))).where(below(max_positive, toxic)).select("id", F.lit(True).alias("p"))
     # broadcast: about max_positive ids at most
-    sample = corpus.join(F.broadcast(positives), "id", "left").withColumns({"p": F.coalesce("p", F.lit(False)), "u": below(max_unlabelled, rows)}).where("p or u").select("p", "u", "turn", "text")
-    sample = materialize(sample, "sample")
-    n_p, n_u = sample.agg(F.coalesce(F.sum(F.col("p").cast("int")), F.lit(0)), F.coalesce(F.sum(F.col("u").cast("int")), F.lit(0))).first()
+    sample = corpus.join(F.broadcast(positives), "id", "left").withColumn("h", F.xxhash64("id", "text"))
+    sample = sample.withColumns({"p": F.coalesce("p", F.lit(False)), "u": share(F.col("h"), max_unlabelled, rows)}).where("p or u").select("p", "u", "turn", "text", "h")
+    # An id may have any number of rows: equal ones are learnt once, and others beyond the bound are cut by their own hash.
+    sample = materialize(sample.dropDuplicates(["h"]), "sample")
+    held = lambda: sample.agg(F.coalesce(F.sum(F.col("p").cast("int")), F.lit(0)), F.coalesce(F.sum(F.col("u").cast("int")), F.lit(0))).first()
+    n_p, n_u = held()
+    if n_p > SLACK * max_positive or n_u > SLACK * max_unlabelled:
+        cut = lambda c, most, n: F.col(c) & share(F.col("h"), most, n if n > SLACK * most else most)
+        whole, sample = sample, sample.withColumns({"p": cut("p", max_positive, n_p), "u": cut("u", max_unlabelled, n_u)}).where("p or u")
+        sample = materialize(sample, "sample")
+        release(whole)
+        n_p, n_u = held()
+    sample = sample.drop("h")
     if not n_p or not n_u:
         return PUModel(float(np.log(start / (1 - start))), {}, start)
     counts = materialize(_hashed(sample, None), "counts")

@@ -13,7 +13,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.llm import centroids, pieces, schema_rewrite
+from loomspan.llm import centroids, language_id, pieces, quality_classifier, schema_rewrite, toxicity
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["client_id", "master_id", "source", "updated_at", "name", "email", "city", "nation_id", "segment", "balance"]
@@ -278,3 +278,29 @@ def test_a_model_that_cannot_be_cut_reads_whole_texts(library, monkeypatch):
     model = pieces.Pieces(pieces.default_model())
     monkeypatch.setattr(model, "segment", lambda chunks: 1 / 0)
     assert model.ids(pa.array(["a  b", None])).to_pylist() == [library.encode("a  b"), []]
+
+
+# ------------------------------------------------------------------ bounds on what is learnt from
+
+
+@pytest.fixture(scope="module")
+def hot(spark):
+    """One id with 30,000 rows, of which 10,000 are equal, beside ordinary documents; and their labels."""
+    some = spark.range(30_000).select(F.lit(12).cast("long").alias("doc_id"), F.concat(F.lit("words of a text "), F.when(F.col("id") < 20_000, F.col("id")).otherwise(0).cast("string")).alias("text"), F.lit("en").alias("lang"))
+    rest = spark.range(100, 400).select(F.col("id").alias("doc_id"), F.concat(F.lit("des mots et d'autres "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 3 == 0, "fr").otherwise("en").alias("lang"))
+    docs = some.unionByName(rest)
+    return docs, docs.select("doc_id").distinct().select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), (F.col("doc_id") % 4 == 0).cast("int").alias("toxic"))
+
+
+def test_rows_of_one_id_do_not_exceed_the_bounds(spark, hot, monkeypatch):
+    docs, labels = hot
+    seen = {}
+    monkeypatch.setattr(quality_classifier, "fit_rules", lambda columns, y: seen.update(op9=len(y)))
+    quality_classifier.train(docs, labels, max_labelled=100)
+    monkeypatch.setattr(language_id, "fit_cnn", lambda windows, y, kinds: seen.update(op6=len(y), kinds=kinds))
+    language_id.train(docs, docs_per_language=20)
+    monkeypatch.setattr(toxicity, "fit_pu", lambda p, u, *more, **named: seen.update(p=len(p), u=len(u)) or (np.zeros(more[-1]), 0.0, []))
+    toxicity.train(docs, labels, prior=0.3, max_positive=400, max_unlabelled=800)
+    assert seen["op9"] == 100
+    assert seen["kinds"] == ["en", "fr"] and 0 < seen["op6"] <= 2 * 20 * language_id.WINDOWS_PER_DOC * 1.5
+    assert 200 < seen["p"] <= 440 * 1.2 and 400 < seen["u"] <= 880 * 1.2
