@@ -51,12 +51,12 @@ class Store:
         options[0] = rename.OVERWRITE
         jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(fresh, path, options)
 
-    def keyed(self, name: str, keys: list[str]) -> KeyedTable:
-        """The entity as a table that is changed by key."""
+    def keyed(self, name: str, keys: list[str] | None = None) -> KeyedTable:
+        """The entity as a table that is changed by key; ``keys`` are those of a table that doesn't exist yet."""
         return KeyedTable(self.spark, f"{self.root}/{name}", keys)
 
     def has(self, name: str) -> bool:
-        return self._version(name) is not None or bool(self.keyed(name, []).versions())
+        return self._version(name) is not None or bool(self.keyed(name).versions())
 
     def non_empty(self, name: str) -> bool:
         """Whether the entity is stored and has a row."""
@@ -68,8 +68,8 @@ class Store:
         before, version = self._version(name), f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{name}/{version}")
         self._point(name, version)
-        if before is not None:
-            path, fs = _hadoop_path(self.spark, f"{self.root}/{name}/{before}")
+        for old in ("log", "data", *([before] if before else [])):  # of a table that was changed by key, or of the version before
+            path, fs = _hadoop_path(self.spark, f"{self.root}/{name}/{old}")
             fs.delete(path, True)
         return self.load(name)
 
@@ -77,18 +77,28 @@ class Store:
         """Rows added to the current version by Spark's commit protocol; the first ones make it."""
         version = self._version(name)
         if version is None:
-            return self.save(name, df)
+            if not self.has(name):
+                return self.save(name, df)
+            self.keyed(name).append(df)
+            return self.load(name)
         df.write.mode("append").parquet(f"{self.root}/{name}/{version}")
         return self.load(name)
 
     def load(self, name: str) -> DataFrame | None:
         """None for what isn't stored."""
         version = self._version(name)
-        return self.keyed(name, []).read() if version is None else self.spark.read.parquet(f"{self.root}/{name}/{version}")
+        return self.keyed(name).read() if version is None else self.spark.read.parquet(f"{self.root}/{name}/{version}")
 
     def upsert(self, name: str, df: DataFrame, key: list[str]) -> DataFrame:
-        """New rows replace stored ones of the same key; of rows that share one, any."""
-        self.keyed(name, key).upsert(df.dropDuplicates(key))
+        """New rows replace stored ones of the same key; of rows that share one, any. A table that was saved whole is changed by key from now on."""
+        table, version = self.keyed(name, key), self._version(name)
+        if version is not None:
+            table.upsert(self.load(name))
+        table.upsert(df.dropDuplicates(key))
+        if version is not None:
+            for old in ("_current", version):
+                path, fs = _hadoop_path(self.spark, f"{self.root}/{name}/{old}")
+                fs.delete(path, True)
         return self.load(name)
 
     def changes(self, fingerprints: DataFrame, names: list[str], version: int, key: str = "doc_id") -> DataFrame:

@@ -46,16 +46,18 @@ class Segment:
 @dataclass
 class Snapshot:
     version: int
+    keys: list[str]
     buckets: int
     schema: T.StructType | None
     segments: list[Segment]
 
 
 class KeyedTable:
-    """Rows by ``keys``, of which any number may share a key; a change replaces all rows of the keys that it names. Null keys are keys."""
+    """Rows by ``keys``, of which any number may share a key; a change replaces all rows of the keys that it names. Null keys are keys. The log
+    knows the keys and the number of buckets, so they are only needed for the first change."""
 
-    def __init__(self, spark: SparkSession, root: str, keys: list[str], buckets: int = BUCKETS):
-        self.spark, self.root, self.keys, self.buckets = spark, root.rstrip("/"), keys, buckets
+    def __init__(self, spark: SparkSession, root: str, keys: list[str] | None = None, buckets: int = BUCKETS):
+        self.spark, self.root, self.keys, self.buckets = spark, root.rstrip("/"), keys or [], buckets
 
     # -------------------------------------------------------------- log
 
@@ -71,14 +73,14 @@ class KeyedTable:
         known = self.versions()
         version = (known[-1] if known else 0) if version is None else version
         if version == 0:
-            return Snapshot(0, self.buckets, None, [])
+            return Snapshot(0, self.keys, self.buckets, None, [])
         path, fs = _hadoop_path(self.spark, self._log(version))
         stream = fs.open(path)
         try:
             found = json.loads(bytes(stream.readAllBytes()))
         finally:
             stream.close()
-        return Snapshot(version, found["buckets"], T.StructType.fromJson(found["schema"]), [Segment(**s) for s in found["segments"]])
+        return Snapshot(version, found["keys"], found["buckets"], T.StructType.fromJson(found["schema"]), [Segment(**s) for s in found["segments"]])
 
     def _log(self, version: int) -> str:
         return f"{self.root}/log/{version:012d}.json"
@@ -88,7 +90,7 @@ class KeyedTable:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         pending, fs = _hadoop_path(self.spark, f"{self.root}/log/.pending-{uuid.uuid4().hex}")
         stream = fs.create(pending, True)
-        stream.write(bytearray(json.dumps({"buckets": now.buckets, "schema": now.schema.jsonValue(), "segments": [vars(s) for s in now.segments]}).encode()))
+        stream.write(bytearray(json.dumps({"keys": now.keys, "buckets": now.buckets, "schema": now.schema.jsonValue(), "segments": [vars(s) for s in now.segments]}).encode()))
         stream.close()
         path, _ = _hadoop_path(self.spark, self._log(now.version))
         try:
@@ -108,8 +110,8 @@ class KeyedTable:
 
     # -------------------------------------------------------------- segments
 
-    def _bucket(self, n: int) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(n)).cast("int")
+    def _bucket(self, now: Snapshot) -> Column:
+        return F.pmod(F.xxhash64(*now.keys), F.lit(now.buckets)).cast("int")
 
     def _put(self, df: DataFrame, path: str) -> list[int]:
         """Writes by bucket, a task some buckets, large ones split; the buckets that have any."""
@@ -120,16 +122,16 @@ class KeyedTable:
         """Rows with the table's columns and types; the first change defines them."""
         return df if now.schema is None else df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in now.schema.fields))
 
-    def _segment(self, rows: DataFrame | None, gone: DataFrame | None, now: Snapshot) -> Segment:
+    def _segment(self, rows: DataFrame | None, gone: DataFrame | None, now: Snapshot, replace: bool) -> Segment:
         out = Segment(f"data/{uuid.uuid4().hex}")
         keys = None
         if rows is not None:
-            out.rows = self._put(rows.withColumn(BUCKET, self._bucket(now.buckets)), f"{out.path}/rows")
-            # as they were written, so that what makes them runs once
-            keys = self._part(out.path, "rows", rows.schema).select(*self.keys, BUCKET)
+            out.rows = self._put(rows.withColumn(BUCKET, self._bucket(now)), f"{out.path}/rows")
+            if replace:  # as they were written, so that what makes them runs once
+                keys = self._part(out.path, "rows", rows.schema).select(*now.keys, BUCKET)
         if gone is not None:
             kinds = (now.schema or rows.schema if rows is not None else now.schema) or gone.schema
-            other = gone.select(*(F.col(k).cast(kinds[k].dataType).alias(k) for k in self.keys)).withColumn(BUCKET, self._bucket(now.buckets))
+            other = gone.select(*(F.col(k).cast(kinds[k].dataType).alias(k) for k in now.keys)).withColumn(BUCKET, self._bucket(now))
             keys = other if keys is None else keys.unionByName(other)
         if keys is not None:
             out.gone = self._put(keys.distinct(), f"{out.path}/gone")
@@ -141,24 +143,28 @@ class KeyedTable:
 
     # -------------------------------------------------------------- changes
 
-    def upsert(self, rows: DataFrame | None, gone: DataFrame | None = None, attempts: int = 20) -> int:
+    def append(self, rows: DataFrame) -> int:
+        """Adds ``rows`` to those that their keys have."""
+        return self.upsert(rows, replace=False)
+
+    def upsert(self, rows: DataFrame | None, gone: DataFrame | None = None, attempts: int = 20, replace: bool = True) -> int:
         """``rows`` stand for all rows of their keys, and rows of the keys of ``gone`` go; the new version. A change that breaks off leaves the
         table as it was."""
         now = self.snapshot()
         rows = None if rows is None else self._shaped(rows, now)
-        segment = self._segment(rows, gone, now)
+        segment = self._segment(rows, gone, now, replace)
         for _ in range(attempts):
             schema = now.schema if now.schema is not None else rows.schema if rows is not None else None
             if schema is None or not (segment.rows or segment.gone):
                 return now.version if now.schema is not None or rows is None else self._settled(now, schema, attempts)
-            if self._commit(Snapshot(now.version + 1, now.buckets, schema, [*now.segments, segment])):
+            if self._commit(Snapshot(now.version + 1, now.keys, now.buckets, schema, [*now.segments, segment])):
                 return now.version + 1
             now = self.snapshot()
         raise Outrun(self.root)
 
     def _settled(self, now: Snapshot, schema: T.StructType, attempts: int) -> int:
         """An empty first change defines the columns."""
-        return now.version + 1 if self._commit(Snapshot(now.version + 1, now.buckets, schema, [])) else self.snapshot().version
+        return now.version + 1 if self._commit(Snapshot(now.version + 1, now.keys, now.buckets, schema, [])) else self.snapshot().version
 
     def compact(self, many: int = MANY) -> list[int]:
         """Merges the rows of buckets that more than ``many`` segments name into one segment; these buckets. What other writers add meanwhile
@@ -175,7 +181,7 @@ class KeyedTable:
             if last.segments[: len(now.segments)] != now.segments:
                 return []
             kept = [s for s in (x.without(touched) for x in now.segments) if s.rows or s.gone]
-            if self._commit(Snapshot(last.version + 1, last.buckets, last.schema, [*kept, merged, *last.segments[len(now.segments) :]])):
+            if self._commit(Snapshot(last.version + 1, last.keys, last.buckets, last.schema, [*kept, merged, *last.segments[len(now.segments) :]])):
                 return sorted(touched)
         return []
 
@@ -208,14 +214,14 @@ class KeyedTable:
         if not parts:
             return self.spark.createDataFrame([], T.StructType([*now.schema.fields, T.StructField(BUCKET, T.IntegerType())]))
         rows = reduce(DataFrame.unionByName, parts)
-        keys = T.StructType([now.schema[k] for k in self.keys])
+        keys = T.StructType([now.schema[k] for k in now.keys])
         first = min(i for i, s in enumerate(now.segments) if own(s.rows))
         # a segment's own list is of earlier rows, so only lists behind the first rows matter
         lists = [self._part(s.path, "gone", keys).where(F.col(BUCKET).isin(b)).withColumn("__last", F.lit(i)) for i, s in enumerate(now.segments) if i > first and (b := own(s.gone))]
         if not lists:
             return rows.drop(SEGMENT)
-        last = reduce(DataFrame.unionByName, lists).groupBy(BUCKET, *self.keys).agg(F.max("__last").alias("__last"))
-        last = last.select(F.col(BUCKET).alias("__b"), *(F.col(k).alias(f"__k{i}") for i, k in enumerate(self.keys)), "__last")
-        same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(self.keys)), F.col(BUCKET) == F.col("__b"))
+        last = reduce(DataFrame.unionByName, lists).groupBy(BUCKET, *now.keys).agg(F.max("__last").alias("__last"))
+        last = last.select(F.col(BUCKET).alias("__b"), *(F.col(k).alias(f"__k{i}") for i, k in enumerate(now.keys)), "__last")
+        same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(now.keys)), F.col(BUCKET) == F.col("__b"))
         live = rows.join(last, same, "left").where(F.col("__last").isNull() | (F.col(SEGMENT) >= F.col("__last")))
         return live.select(*now.schema.names, BUCKET)

@@ -33,6 +33,15 @@ def test_changes_replace_whole_keys(spark, table):
     assert rows(table.read(1)) == rows(spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "n"), (None, None)], SHAPE))
 
 
+def test_the_log_knows_the_keys(spark, table, tmp_path):
+    table.upsert(spark.range(100).select(F.col("id").alias("k"), F.lit("old").alias("v")))
+    other = KeyedTable(spark, f"file://{tmp_path}/t", buckets=3)  # as a reader that knows nothing
+    other.upsert(spark.createDataFrame([(5, "new")], SHAPE))
+    other.append(spark.createDataFrame([(5, "more"), (6, "more")], SHAPE))
+    got = rows(other.read())
+    assert got == rows(table.read()) and len(got) == 102 and (5, "old") not in got and {(5, "new"), (5, "more"), (6, "old"), (6, "more")} <= set(got)
+
+
 def test_rows_are_cast_to_the_first_shape_and_nothing_changes_nothing(spark, table):
     table.upsert(spark.createDataFrame([], SHAPE))
     assert table.read().schema.simpleString() == "struct<k:bigint,v:string>" and table.read().count() == 0
