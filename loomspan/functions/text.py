@@ -39,12 +39,6 @@ def between(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
 
 
-def around(text: Column, at: Column, span: int) -> tuple[Column, Column]:
-    """What stands up to ``span`` characters before and after a place, stripped."""
-    lo = F.greatest(at - span, F.lit(0))
-    return strip(between(text, lo, at)), strip(between(text, at, at + span))
-
-
 def cut(text: Column, limit: int, mark: str = "") -> Column:
     """At most ``limit`` characters, with ``mark`` after what was cut."""
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(mark))).otherwise(text)

@@ -191,10 +191,15 @@ def ingest_report(parsed: DataFrame, chunks: DataFrame, figures: DataFrame) -> D
     sizes = chunk_sizes(chunks.withColumn("doc_id", F.lit(0))).select(F.col("p50").cast("string").alias("chunk_size_p50"), F.col("p95").cast("string").alias("chunk_size_p95"))
     total = chunks.agg(F.count(F.lit(1)).cast("string").alias("n_chunks_total"))
     loose = dangling(parsed)
-    shown = lambda c: F.array_join(F.slice(F.array_sort(F.flatten(F.collect_list(F.slice(c, 1, SHOWN)))), 1, SHOWN), ", ")
-    labels = loose.agg(shown("undefined").alias("label_undefined_referenced"), shown("unreferenced").alias("label_defined_unreferenced"))
+
+    def shown(column: str, name: str) -> DataFrame:
+        """The first ``SHOWN`` labels of all documents."""
+        first = loose.select(F.explode(column).alias("l")).distinct().orderBy("l").limit(SHOWN)
+        return first.agg(F.array_join(F.array_sort(F.collect_list("l")), ", ").alias(name))
+
+    labels = [shown("undefined", "label_undefined_referenced"), shown("unreferenced", "label_defined_unreferenced")]
     rate = resolution_rate(figures).select(F.col("figure_resolution_rate").cast("string"))
-    return _long("retrieval", [covered, sizes, total, labels, rate])
+    return _long("retrieval", [covered, sizes, total, *labels, rate])
 
 
 def _long(section: str, rows: list[DataFrame]) -> DataFrame:

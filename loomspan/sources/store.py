@@ -29,7 +29,8 @@ class Store:
     def _pointer(self, name: str):
         return _hadoop_path(self.spark, f"{self.root}/{name}/_current")
 
-    def _version(self, name: str) -> str | None:
+    def version(self, name: str) -> str | None:
+        """The folder that the name points to; None for what isn't stored, or is changed by key."""
         path, fs = self._pointer(name)
         if not fs.exists(path):
             return None
@@ -56,7 +57,7 @@ class Store:
         return KeyedTable(self.spark, f"{self.root}/{name}", keys)
 
     def has(self, name: str) -> bool:
-        return self._version(name) is not None or bool(self.keyed(name).versions())
+        return self.version(name) is not None or bool(self.keyed(name).versions())
 
     def non_empty(self, name: str) -> bool:
         """Whether the entity is stored and has a row."""
@@ -65,17 +66,21 @@ class Store:
 
     def save(self, name: str, df: DataFrame) -> DataFrame:
         """The stored table. ``df`` may be read from the version that it replaces."""
-        before, version = self._version(name), f"v-{uuid.uuid4().hex}"
+        before, version = self.version(name), f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{name}/{version}")
+        self.publish(name, version, before)
+        return self.load(name)
+
+    def publish(self, name: str, version: str, before: str | None) -> None:
+        """Lets the name point to a version that is complete; what it pointed to before goes."""
         self._point(name, version)
         for old in ("log", "data", *([before] if before else [])):  # of a table that was changed by key, or of the version before
             path, fs = _hadoop_path(self.spark, f"{self.root}/{name}/{old}")
             fs.delete(path, True)
-        return self.load(name)
 
     def append(self, name: str, df: DataFrame) -> DataFrame:
         """Rows added to the current version by Spark's commit protocol; the first ones make it."""
-        version = self._version(name)
+        version = self.version(name)
         if version is None:
             if not self.has(name):
                 return self.save(name, df)
@@ -86,12 +91,12 @@ class Store:
 
     def load(self, name: str) -> DataFrame | None:
         """None for what isn't stored."""
-        version = self._version(name)
+        version = self.version(name)
         return self.keyed(name).read() if version is None else self.spark.read.parquet(f"{self.root}/{name}/{version}")
 
     def upsert(self, name: str, df: DataFrame, key: list[str]) -> DataFrame:
         """New rows replace stored ones of the same key; of rows that share one, any. A table that was saved whole is changed by key from now on."""
-        table, version = self.keyed(name, key), self._version(name)
+        table, version = self.keyed(name, key), self.version(name)
         if version is not None:
             table.upsert(self.load(name))
         table.upsert(df.dropDuplicates(key))
