@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import bounded_batches, named, small_side
-from loomspan.llm.graph import forest, united
+from loomspan.llm.graph import components, forest, united
 from loomspan.plans.shared import materialize, release
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -228,7 +228,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     """(id, n_shingles, component_id) for every row of ``docs``: the smallest id reachable over pairs of sets that reach
     ``similarity``. Words are split at ASCII white space after lower-casing A-Z. Null texts and texts without words have an
     empty set and are linked with nothing, as are rows with a null id (whose component is null). Rows that repeat an id
-    count as one document; of different texts the one with most shingles (of ties the larger hash) is compared. Long texts are read whole;
+    count as one document: each of their texts is compared, and what is linked with one of them is linked with all. Long texts are read whole;
     only the two named columns are read, so no other name clashes; an empty table gives no row. ``similarity`` counts to three decimals."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -236,6 +236,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     own = materialize(signatures(docs, id_col, text_col, shingle), "signatures")
     kind = own.schema["id"].dataType.simpleString()
     full = own.where("n > 0 and id is not null")
+    if not full.groupBy("id").agg((F.min("key") != F.max("key")).alias("several")).where("several").isEmpty():
+        return _link_sets(own, docs, id_col, text_col, shingle, similarity)
     nodes = materialize(full.groupBy("key").agg(F.min("id").alias("rep")), "nodes")
     reps = own.where("sig is not null").join(nodes.select(F.col("rep").alias("id")), "id", "left_semi")
     reps = reps.groupBy("id").agg(F.max(F.struct("n", "key", "sig")).alias("x"), F.count(F.lit(1)).alias("times")).select("id", "x.*", "times")
@@ -257,6 +259,31 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     return linked.unionByName(alone)
 
 
+def _link_sets(own: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """``link`` for a table in which an id has several sets: sets are linked under numbers of their own, and the components of sets that share an
+    id are united."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own_sets = [shingle_set(t, shingle) for t in batch.column(0).to_pylist()]
+            keys = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in own_sets]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column(0)], names=["key", "text"])
+
+    texts = docs.where(named(id_col).isNotNull()).select(named(text_col).alias("text")).mapInArrow(run, "key binary, text string")
+    sets = materialize(texts.where("key is not null").dropDuplicates(["key"]).select(F.monotonically_increasing_id().alias("node"), "key", "text"), "set-texts")
+    linked = link(sets, "node", "text", shingle, similarity).select(F.col("id").alias("node"), F.col("component_id").alias("c"))
+    full = own.where("n > 0 and id is not null")
+    at = full.select("id", "key").distinct().join(sets.select("key", "node"), "key").join(linked, "node").select("id", "c").distinct()
+    at = materialize(at, "set-components")
+    release(sets)
+    top = components(at.join(at.groupBy("id").agg(F.min("c").alias("u")), "id").where("c <> u").select("u", F.col("c").alias("v")))
+    at = at.join(top.withColumnRenamed("node", "c"), "c", "left").select("id", F.coalesce("root", "c").alias("root")).distinct()
+    by_id = at.join(at.groupBy("root").agg(F.min("id").alias("component_id")), "root").select("id", "component_id")
+    rows = full.select("id", F.col("n").alias("n_shingles")).join(by_id, "id")
+    alone = own.where("n = 0 or id is null").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    return rows.unionByName(alone)
+
+
 def _roots(found: DataFrame, docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, depth: int, least: int) -> DataFrame:
     """(node, root) of the components over all links that share a region, from the candidates ``found``."""
     members = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()

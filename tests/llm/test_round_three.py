@@ -13,7 +13,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.llm import centroids, language_id, pieces, quality_classifier, schema_rewrite, toxicity
+from loomspan.llm import centroids, language_id, near_dedup, pieces, quality_classifier, schema_rewrite, toxicity
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["client_id", "master_id", "source", "updated_at", "name", "email", "city", "nation_id", "segment", "balance"]
@@ -304,3 +304,43 @@ def test_rows_of_one_id_do_not_exceed_the_bounds(spark, hot, monkeypatch):
     assert seen["op9"] == 100
     assert seen["kinds"] == ["en", "fr"] and 0 < seen["op6"] <= 2 * 20 * language_id.WINDOWS_PER_DOC * 1.5
     assert 200 < seen["p"] <= 440 * 1.2 and 400 < seen["u"] <= 880 * 1.2
+
+
+# ------------------------------------------------------------------ 3, ids with several texts
+
+
+def grouped(rows, shingle, similarity):
+    """Smallest reachable id by brute force, over equal and similar sets and over the sets of an id."""
+    sets = [(i, frozenset(near_dedup.shingle_set(t, shingle).tolist())) for i, t in rows]
+    of = {i: i for i, _ in sets}
+
+    def top(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    for i, a in sets:
+        for j, b in sets:
+            if i < j and a and b and len(a & b) >= similarity * len(a | b):
+                x, y = sorted((top(i), top(j)))
+                of[y] = x
+    return {i: top(i) for i in of}
+
+
+def test_every_text_of_an_id_is_compared(spark):
+    r = random.Random(12)
+    words = [f"w{k}" for k in range(400)]
+    text = lambda n: [r.choice(words) for _ in range(n)]
+    near = lambda t: [*t[:30], "changed", *t[31:]]
+    b, base = text(80), [text(60 + k % 50) for k in range(20)]
+    rows = [(5, text(300)), (5, b), (7, b), (9, near(b)), (11, text(90)), (11, near(near(b)[::-1])), (12, near(b)[::-1])]
+    rows += [(100 + r.randrange(40), base[r.randrange(20)] if r.random() < 0.5 else near(base[r.randrange(20)])) for _ in range(60)]
+    rows = [(i, " ".join(t)) for i, t in rows] + [(5, None), (200, ""), (201, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 6):
+        got = near_dedup.link(df.repartition(parts), shingle=3, similarity=0.85).collect()
+        assert len(got) == len(rows)
+        comp = {x["id"]: x["component_id"] for x in got if x["n_shingles"]}
+        want = grouped(rows, 3, 0.85)
+        assert comp == {i: want[i] for i in comp} and comp[9] == comp[7] == 5
+        assert all(x["component_id"] == x["id"] for x in got if not x["n_shingles"])
