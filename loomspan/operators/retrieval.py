@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Questions in one block: what is broadcast at most, and what one group of the grid holds.
 QUESTION_BLOCK = 2000
+#: Pairs whose cosines are summed in one step.
+PAIR_BLOCK = 32_768
 #: Numbers in the vectors of one group's chunks: 8 MB.
 BLOCK_NUMBERS = 1_000_000
 #: Chunks in one matrix product: with as many questions some MB.
@@ -111,6 +114,8 @@ class _Questions:
         scopes = rows["scope"].to_pylist() if "scope" in rows.column_names else [None] * self.n
         self.is_figure = np.array([bool(x) for x in rows["is_figure"].to_pylist()] if "is_figure" in rows.column_names else [False] * self.n, bool)
         self.unscoped = np.array([not x for x in scopes], bool)
+        #: What as many other rows as are asked for reach already.
+        self.least = rows["least"].to_numpy() if "least" in rows.column_names else np.full(self.n, -1.0)
         self.asked: dict[str, list[int]] = {}
         for k, scope in enumerate(scopes):
             for item in set(scope or ()):
@@ -136,7 +141,7 @@ class _Questions:
 
 
 def _streamed(questions: _Questions, batches: Iterator[pa.RecordBatch], id_col: str, vector_at: int) -> Iterator[pa.RecordBatch]:
-    best = {name: np.full((k, questions.n), -1.0) for name, (k, _) in questions.passes.items()}
+    best = {name: np.tile(questions.least, (k, 1)) for name, (k, _) in questions.passes.items()}
     for batch in (b.slice(k, CHUNK_BLOCK) for b in batches for k in range(0, b.num_rows, CHUNK_BLOCK)):
         n = batch.num_rows
         if not n or not questions.n:
@@ -156,21 +161,48 @@ def _streamed(questions: _Questions, batches: Iterator[pa.RecordBatch], id_col:
         row, asked = np.nonzero(np.logical_or.reduce(list(flags.values())))
         if not len(row):
             continue
-        # The product's sums depend on a row's place in the matrix; those that stay are summed alike, so equal vectors tie.
-        exact = np.zeros(len(row))
-        for rows, v, norm in own:
-            for mine, q, q_norm in questions.units:
-                if v.shape[1] == q.shape[1]:
-                    a, b = np.searchsorted(rows, row), np.searchsorted(mine, asked)
-                    hit = np.flatnonzero((a < len(rows)) & (b < len(mine)))
-                    hit = hit[(rows[a[hit]] == row[hit]) & (mine[b[hit]] == asked[hit])]
-                    exact[hit] = np.maximum((v[a[hit]] * q[b[hit]]).sum(axis=1) / (norm[a[hit]] * q_norm[b[hit]]), 0.0)
+        exact = _exact(own, questions.units, row, asked, sims[row, asked])
+        # Ties may be any number of rows; no more than are asked for go on, by id.
+        order = np.lexsort((_places(batch.column(batch.schema.get_field_index(id_col)))[row], -exact, asked))
+        some = np.zeros(len(row), bool)
+        for name, (k, _) in questions.passes.items():
+            mine = order[flags[name][row[order], asked[order]]]
+            starts = np.flatnonzero(np.diff(asked[mine], prepend=-1))
+            place = np.arange(len(mine)) - np.repeat(starts, np.diff(np.append(starts, len(mine))))
+            over = mine[place >= k]
+            flags[name][row[over], asked[over]] = False
+            some[mine[place < k]] = True
+        row, asked, exact = row[some], asked[some], exact[some]
         kept = batch.take(pa.array(row)).drop_columns([batch.schema.names[vector_at]])
         ids = questions.ids.take(pa.array(asked)).combine_chunks()
         marks = [pa.array(f[row, asked]) for f in flags.values()]
         yield pa.RecordBatch.from_arrays([*kept.columns, ids, pa.array(exact), *marks], names=[*kept.schema.names, "question_id", "sim", *(f"in_{p}" for p in flags)])
 
 
+def _places(ids: pa.Array) -> np.ndarray:
+    """Of each id its place in ascending order."""
+    columns = dict(zip(map(str, range(ids.type.num_fields)), ids.flatten(), strict=True)) if pa.types.is_struct(ids.type) else {"0": ids}
+    out = np.empty(len(ids), np.int64)
+    out[pc.sort_indices(pa.table(columns), sort_keys=[(c, "ascending") for c in columns], null_placement="at_start").to_numpy()] = np.arange(len(ids))
+    return out
+
+
+def _exact(own: list, units: list, row: np.ndarray, asked: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Cosines of pairs. A product's sums depend on a row's place in the matrix; here each is summed alike, so equal vectors tie. Those that are
+    not above 0 stay 0."""
+    exact = np.zeros(len(row))
+    for rows, v, norm in own:
+        for mine, q, q_norm in units:
+            if v.shape[1] != q.shape[1]:
+                continue
+            a, b = np.minimum(np.searchsorted(rows, row), len(rows) - 1), np.minimum(np.searchsorted(mine, asked), len(mine) - 1)
+            hits = np.flatnonzero((near > 0) & (rows[a] == row) & (mine[b] == asked)) if len(rows) and len(mine) else []
+            for k in range(0, len(hits), PAIR_BLOCK):
+                hit = hits[k : k + PAIR_BLOCK]
+                exact[hit] = np.maximum((v[a[hit]] * q[b[hit]]).sum(axis=1) / (norm[a[hit]] * q_norm[b[hit]]), 0.0)
+    return exact
+
+
 def _shape(chunks: DataFrame, plans: DataFrame, passes: dict[str, tuple[int, str]]) -> T.StructType:
     fields = [T.StructField(f.name, f.dataType) for f in chunks.schema.fields if f.name != "embedding"]
     return T.StructType([*fields, T.StructField("question_id", plans.schema["question_id"].dataType), T.StructField("sim", T.DoubleType()), *(T.StructField(f"in_{p}", T.BooleanType()) for p in passes)])

@@ -12,6 +12,7 @@ The index is two tables: rows, in folders by cell, so a scan of some cells reads
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import isqrt
@@ -27,6 +28,7 @@ from pyspark.sql import types as T
 from loomspan.functions import vectors as V
 from loomspan.operators import retrieval as R
 from loomspan.plans.shared import bounded_batches, materialize, release
+from loomspan.sources.store import Store
 
 #: Rows that centres are fitted on, about, and the most centres: with vectors of a thousand numbers they are 8 MB.
 SAMPLE, MOST_CELLS = 50_000, 1024
@@ -196,7 +198,7 @@ def search(index: Index, asked: DataFrame, k: int, id_col: str = "chunk_id") ->
     known = first.groupBy("question_id").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(0.0).alias("least"))
     rest = asked.join(known, "question_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
     late = materialize(_visits(rest, bounds, k, True), "visits")
-    out = best(first.drop("rank").unionByName(met(late.drop("least")).drop("in_k", "cell")))
+    out = best(first.drop("rank").unionByName(met(late).drop("in_k", "cell")))
     return out, early.select("question_id", "cell").unionByName(late.select("question_id", "cell"))
 
 
@@ -207,13 +209,16 @@ def retrieve(index: Index, plans: DataFrame, limits: R.Limits = R.Limits()) -> D
     chunks = index.rows.drop("cell", "angle")
     some = F.size(F.coalesce("scope", F.array().cast("array<string>"))) > 0
     marked = lambda df, s, g, p: df.withColumns({"in_s": s, "in_g": g, "in_p": p})
-    yes, no = F.lit(True), F.lit(False)
-    whole, _ = search(index, plans, limits.fetch)
-    kinds = plans.select("question_id", (~some).alias("__free"), (~F.col("is_figure")).alias("__plain"))
-    whole = marked(whole.drop("rank").join(kinds, "question_id"), F.col("__free"), yes, F.col("__plain")).drop("__free", "__plain")
-    free, _ = search(index, plans.where("is_figure").withColumn("is_figure", F.lit(False)), limits.fetch // 2)
+    # One search for both global passes: a question about a figure asks again for any kind.
+    again = plans.where("is_figure").select("question_id", "embedding", F.lit(False).alias("is_figure"), F.lit(True).alias("free"))
+    asked = plans.select("question_id", "embedding", "is_figure", F.lit(False).alias("free")).unionByName(again)
+    whole, _ = search(index, asked.select(F.struct("question_id", "free").alias("question_id"), "embedding", "is_figure"), limits.fetch)
+    kinds = plans.select("question_id", (~some).alias("__unscoped"), (~F.col("is_figure")).alias("__plain"))
+    whole = whole.drop("rank").withColumns({"__again": F.col("question_id.free"), "question_id": F.col("question_id.question_id")}).join(kinds, "question_id")
+    first = ~F.col("__again")
+    whole = marked(whole, first & F.col("__unscoped"), first, ~first | F.col("__plain")).drop("__again", "__unscoped", "__plain")
     in_scope = R.scoped(chunks, plans.where(some), limits.fetch)
-    found = whole.unionByName(marked(free.drop("rank"), no, no, yes)).unionByName(marked(in_scope, yes, no, no))
+    found = whole.unionByName(marked(in_scope, F.lit(True), F.lit(False), F.lit(False)))
     same = [c for c in found.columns if not c.startswith("in_")]
     merged = found.groupBy("question_id", "chunk_id").agg(*(F.first(c).alias(c) for c in same if c not in ("question_id", "chunk_id")), *(F.bool_or(c).alias(c) for c in ("in_s", "in_g", "in_p")))
     return R.chosen(merged, plans, limits)
@@ -227,3 +232,20 @@ def refreshed(index: Index, fresh: DataFrame, path: str, gone: DataFrame | None
     stay = index.rows.drop("cell", "angle").join(out, "chunk_id", "left_anti").select(*fresh.columns)
     _write(placed(stay.unionByName(fresh), centres), centres, path)
     return open_index(spark, path, fresh)
+
+
+def keep(store: Store, chunks: DataFrame, name: str = "index", gone: DataFrame | None = None) -> Index:
+    """The index that is kept under this name with ``chunks`` in place of those of their ids, and without those of ``gone``; the first call builds
+    it. Readers see the index before or after."""
+    old, before = kept(store, name), store.version(name)
+    version = f"v-{uuid.uuid4().hex}"
+    path = f"{store.root}/{name}/{version}"
+    out = build(chunks, path) if old is None else refreshed(old, chunks, path, gone)
+    store.publish(name, version, before)
+    return out
+
+
+def kept(store: Store, name: str = "index") -> Index | None:
+    """The kept index; None without any."""
+    version = store.version(name)
+    return None if version is None else open_index(store.spark, f"{store.root}/{name}/{version}")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspan.operators import retrieval, vector_index
+from loomspan.sources.store import Store
 
 SHAPE = "chunk_id string, kind string, section_number string, section_top string, has_figure boolean, figure_refs array<string>, equation_refs array<string>, embedding array<double>"
 PLAN = "question_id long, embedding array<double>, scope array<string>, is_figure boolean, target_label string"
@@ -115,6 +116,18 @@ def test_index_follows_changed_chunks(spark, clustered, tmp_path):
     assert ids(found.collect()) == best(want, asked, 4)
 
 
+def test_an_index_is_kept_in_the_store(spark, clustered, tmp_path):
+    chunks, asked = clustered
+    s = Store(spark, f"file://{tmp_path}/s")
+    assert vector_index.kept(s) is None
+    some, flat = chunks.where("chunk_id < 'c00300'"), asked.where("question_id < 10").drop("is_figure")
+    vector_index.keep(s, some)
+    vector_index.keep(s, chunks.where("chunk_id between 'c00250' and 'c00400'"), gone=spark.createDataFrame([("c00001",)], "chunk_id string"))
+    found, _ = vector_index.search(vector_index.kept(s), flat, 3)
+    assert ids(found.collect()) == best(chunks.where("chunk_id <= 'c00400' and chunk_id <> 'c00001'"), flat, 3)
+    assert len([x for x in (tmp_path / "s/index").iterdir() if x.name.startswith("v-")]) == 1
+
+
 def test_index_of_nothing(spark, clustered, tmp_path):
     chunks, asked = clustered
     index = vector_index.build(chunks.limit(0), f"file://{tmp_path}/none")
