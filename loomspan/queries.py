@@ -256,16 +256,18 @@ from (select * from f where side = 'old') o full join (select * from f where sid
 def ingest_changes(spark, sf_dir):
     """A corpus of the labelled documents becomes one of all but the bad ones, the toxic ones withdrawn: what changed by fingerprint, and the
     stored table after only that was written."""
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    old = docs.join(labels.select("doc_id"), "doc_id")
-    now = docs.join(labels, "doc_id", "left").where(F.coalesce("quality", F.lit(1)) != 0).select("doc_id", F.when(F.col("toxic") == 1, "withdrawn").otherwise(F.col("text")).alias("text"))
-    prints = [materialize(S.fingerprint(d.select("doc_id", F.lit("main.tex").alias("path"), F.encode("text", "utf-8").alias("content"))), "prints") for d in (old, now)]
-    rows = lambda d, p: d.select("doc_id", F.length("text").alias("n_chars")).join(p.select("doc_id", "fingerprint"), "doc_id")
+    name = F.lit("main.tex")
+    docs = table(spark, sf_dir, "documents").select("doc_id", S.fingerprint_of_one(name, F.encode("text", "utf-8")).alias("fingerprint"), F.length("text").alias("n_chars"))
+    marked = materialize(docs.join(table(spark, sf_dir, "labels").withColumn("known", F.lit(True)), "doc_id", "left"), "marked")
+    gone = F.lit("withdrawn")
+    edited = {"fingerprint": S.fingerprint_of_one(name, F.encode(gone, "utf-8")), "n_chars": F.length(gone)}
+    old = marked.where("known").select(*docs.columns)
+    now = marked.where(F.coalesce("quality", F.lit(1)) != 0).select("doc_id", *(F.when(F.col("toxic") == 1, e).otherwise(F.col(c)).alias(c) for c, e in edited.items()))
     stored = _new_table(spark, "articles", ["doc_id"])
-    stored.upsert(rows(old, prints[0]))
-    changes = materialize(compared(prints[1], prints[0]), "changes")
-    todo, gone = changes.where("change in ('new', 'changed')"), changes.where("change <> 'same'")
-    stored.upsert(rows(now.join(todo.select("doc_id"), "doc_id", "left_semi"), prints[1]), gone.select("doc_id"))
+    stored.upsert(old)
+    changes = materialize(compared(now, old), "changes")
+    todo = changes.where("change in ('new', 'changed')").select("doc_id")
+    stored.upsert(now.join(todo, "doc_id", "left_semi"), changes.where("change <> 'same'").select("doc_id"))
     return changes.join(stored.read(), "doc_id", "left").select("doc_id", "change", "fingerprint", "n_chars")
 
 

@@ -117,6 +117,13 @@ def fingerprint(files: DataFrame, id_col: str = "doc_id", version: int = SCHEMA_
     return files.select(id_col, "path", "content").groupBy(id_col).applyInPandas(one, f"`{id_col}` {kind}, fingerprint string, n_files long")
 
 
+def fingerprint_of_one(path: Column, content: Column, version: int = SCHEMA_VERSION) -> Column:
+    """What ``fingerprint`` gives for an article of this one file, without bringing files together."""
+    zero = F.unhex(F.lit("00"))
+    whole = F.concat(F.encode(F.lit(f"v{version}"), "utf-8"), zero, F.encode(path, "utf-8"), zero, F.coalesce(content, F.encode(F.lit("<unreadable>"), "utf-8")), zero)
+    return F.substring(F.sha2(whole, 256), 1, 16)
+
+
 def images(figures: DataFrame, files: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, label, kind, image): the content of figures' image files and its media type. PDF pages would have to be rendered, which
     nothing here does, so they have none, like figures whose file isn't found."""

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomspan.operators import providers
 from loomspan.plans import ingest
+from loomspan.sources import files as files_
 from loomspan.sources import store
 
 FILES = "doc_id long, path string, content binary"
@@ -71,6 +72,12 @@ def test_a_broken_run_is_taken_up_again(spark, tmp_path, parsed, monkeypatch):
     assert stored(s) == stored(whole)
 
 
+def test_the_print_of_one_file_needs_no_group(spark):
+    df = spark.createDataFrame([(1, "main.tex", bytearray(b"abc")), (2, "ü/x.tex", bytearray("é\x00".encode())), (3, "a", bytearray(b""))], FILES)
+    want = {r["doc_id"]: r["fingerprint"] for r in files_.fingerprint(df).collect()}
+    assert {r[0]: r[1] for r in df.select("doc_id", files_.fingerprint_of_one(F.col("path"), F.col("content"))).collect()} == want
+
+
 def test_many_articles_from_folders(spark, tmp_path):
     for name, inner in (("alpha", "tex source/"), ("beta", "deep/er/"), ("gamma", "")):
         for _, path, content in article(len(name)):
