@@ -15,3 +15,7 @@ def _same_in_blocks(spark, monkeypatch, name):
 
 def test_questions_that_are_entries_of_the_same_table(spark, monkeypatch):
     assert _same_in_blocks(spark, monkeypatch, "qa_semantic_lookup")
+
+
+def test_metrics_of_questions_that_are_entries_of_the_same_table(spark, monkeypatch):
+    assert len(_same_in_blocks(spark, monkeypatch, "qa_cache_metrics")) == 1
