@@ -1,5 +1,7 @@
 """More questions than one block holds meet the rows in a grid."""
 
+from pyspark.sql import functions as F
+
 from loomspan import queries as core
 from loomspan.operators import retrieval
 
@@ -19,3 +21,11 @@ def test_questions_that_are_entries_of_the_same_table(spark, monkeypatch):
 
 def test_metrics_of_questions_that_are_entries_of_the_same_table(spark, monkeypatch):
     assert len(_same_in_blocks(spark, monkeypatch, "qa_cache_metrics")) == 1
+
+
+def test_a_group_lets_through_no_more_than_is_asked_for(spark):
+    """Each batch of a group brings a nearer row; only the nearest of the whole group go on."""
+    chunks = spark.range(2000).select(F.format_string("c%04d", "id").alias("chunk_id"), F.array(F.lit(1.0), 1 / (F.col("id") + 1)).alias("embedding")).coalesce(1)
+    plans = spark.range(3).select(F.col("id").alias("question_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+    rows = retrieval.nearest(chunks, plans, {"k": (4, "all")}, block=1).collect()
+    assert sorted((r["question_id"], r["chunk_id"]) for r in rows) == [(q, f"c{i}") for q in range(3) for i in range(1996, 2000)]
