@@ -185,19 +185,21 @@ def search(index: Index, asked: DataFrame, k: int, id_col: str = "chunk_id") ->
     bounds = index.bounds()
     rows = index.rows.drop("angle")
     order = Window.partitionBy("question_id").orderBy(*R._nearest_first(id_col))
+    # A question makes many visits, so a small table of questions is spread before.
+    spread = lambda df: df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "question_id")
     best = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     passes = {"k": (k, "figures" if {"kind", "has_figure"} <= set(rows.columns) else "all")}
 
     def met(visits: DataFrame) -> DataFrame:
         """Only the files of visited cells are read."""
         cells = [r["cell"] for r in visits.select("cell").distinct().collect()]  # bound: one a cell
-        return R.grid(rows.where(F.col("cell").isin(cells)), visits, passes, ["cell"], id_col)
+        return R.grid(rows.where(F.col("cell").isin(cells)), visits, passes, ["cell"], id_col, few=True)
 
-    early = materialize(_visits(asked, bounds, k, False), "visits")
+    early = materialize(_visits(spread(asked), bounds, k, False), "visits")
     first = materialize(best(met(early).drop("in_k", "cell")), "first-found")
     known = first.groupBy("question_id").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(0.0).alias("least"))
     rest = asked.join(known, "question_id", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
-    late = materialize(_visits(rest, bounds, k, True), "visits")
+    late = materialize(_visits(spread(rest), bounds, k, True), "visits")
     out = best(first.drop("rank").unionByName(met(late).drop("in_k", "cell")))
     return out, early.select("question_id", "cell").unionByName(late.select("question_id", "cell"))
 

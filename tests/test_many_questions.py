@@ -29,3 +29,12 @@ def test_a_group_lets_through_no_more_than_is_asked_for(spark):
     plans = spark.range(3).select(F.col("id").alias("question_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
     rows = retrieval.nearest(chunks, plans, {"k": (4, "all")}, block=1).collect()
     assert sorted((r["question_id"], r["chunk_id"]) for r in rows) == [(q, f"c{i}") for q in range(3) for i in range(1996, 2000)]
+
+
+def test_visits_of_cells_are_never_broadcast(spark):
+    """A question's vector stands in each of its visits: small in files, large in the driver's memory. Only the sizes of cells are broadcast."""
+    shape = "chunk_id long, embedding array<double>, cell int"
+    rows = spark.createDataFrame([(1, [1.0, 0.0], 0)], shape)
+    visits = spark.createDataFrame([(1, [1.0, 0.0], 0)], "question_id long, embedding array<double>, cell int")
+    plan = retrieval.grid(rows, visits, {"k": (1, "all")}, ["cell"], few=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rightHint=(strategy=broadcast)") == 2
