@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType, StructField
 
 from loomspan.functions import text as T
+from loomspan.functions.groups import streamed
 
 # Names that aren't entry files, folders that don't hold them, image endings in order of preference.
 NOT_ENTRIES = r"(?i)^(?:macros|preamble|defs|appendix\d*|references)$"
@@ -103,18 +105,18 @@ def resolve_figures(figures: DataFrame, files: DataFrame, folders: DataFrame, id
 
 def fingerprint(files: DataFrame, id_col: str = "doc_id", version: int = SCHEMA_VERSION) -> DataFrame:
     """(id, fingerprint, n_files): 16 hex digits of SHA-256 over the version and each file's path and bytes, sorted by path. A document's
-    own files meet in one task; bytes are hashed as they stream."""
+    own files meet in one task; they are hashed as they stream by."""
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        h = hashlib.sha256(f"v{version}\0".encode())
-        for path, content in sorted(zip(part["path"], part["content"], strict=True), key=lambda x: x[0]):
+    def one(rows: Iterator[tuple]) -> tuple[str, int]:
+        h, n = hashlib.sha256(f"v{version}\0".encode()), 0
+        for path, content in rows:
             h.update(path.encode() + b"\0")
-            h.update(b"<unreadable>" if content is None else bytes(content))
+            h.update(b"<unreadable>" if content is None else content)
             h.update(b"\0")
-        return pd.DataFrame({id_col: [part[id_col].iloc[0]], "fingerprint": [h.hexdigest()[:16]], "n_files": [len(part)]})
+            n += 1
+        return h.hexdigest()[:16], n
 
-    kind = files.schema[id_col].dataType.simpleString()
-    return files.select(id_col, "path", "content").groupBy(id_col).applyInPandas(one, f"`{id_col}` {kind}, fingerprint string, n_files long")
+    return streamed(files.select(id_col, "path", "content"), id_col, ["path"], one, [StructField("fingerprint", StringType()), StructField("n_files", LongType())])
 
 
 def fingerprint_of_one(path: Column, content: Column, version: int = SCHEMA_VERSION) -> Column:
